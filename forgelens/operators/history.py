@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ def month_of(ts: Column) -> Column:
     return F.substring(ts.cast("string"), 1, 7)
 
 
+def moment(at: datetime) -> Column:
+    """A UTC point in time as a literal that no session time zone moves."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def whole_days(start: Column, end: Column) -> Column:
     """Whole 24-hour periods from start to end, rounded down; independent of any time zone."""
 
@@ -169,8 +175,8 @@ def frequency_columns() -> dict[str, Column]:
     }
 
 
-def inactivity_columns(as_of: Column, inactive_days_threshold: int = 90) -> dict[str, Column]:
-    days = whole_days(F.col("last_commit_at"), as_of)
+def inactivity_columns(as_of: datetime, inactive_days_threshold: int = 90) -> dict[str, Column]:
+    days = whole_days(F.col("last_commit_at"), moment(as_of))
     return {
         "inactive": F.coalesce(days >= inactive_days_threshold, F.lit(True)),
         "days_since_last_commit": days,
@@ -202,7 +208,7 @@ def commit_frequency(repos: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def inactivity(
-    repos: DataFrame, commits: DataFrame, as_of: Column, inactive_days_threshold: int = 90
+    repos: DataFrame, commits: DataFrame, as_of: datetime, inactive_days_threshold: int = 90
 ) -> DataFrame:
     return _activity(repos, commits, inactivity_columns(as_of, inactive_days_threshold))
 

@@ -32,7 +32,7 @@ def loc_statistics(repos: DataFrame, file_loc: DataFrame) -> DataFrame:
     )
     stats = counted.groupBy("repo", "measure").agg(
         (F.sum(F.col("lines") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("lines", 0.5, "n").alias("median"),
+        F.percentile("lines", 0.5, F.col("n")).alias("median"),
     )
     columns = [
         F.max(F.when(F.col("measure") == measure, F.col(stat))).alias(f"{stat}_{measure}_lines")

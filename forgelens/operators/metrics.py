@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,7 +99,7 @@ def structural_metrics(repos: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def activity_metrics(repos: DataFrame, commits: DataFrame, as_of: Column) -> DataFrame:
+def activity_metrics(repos: DataFrame, commits: DataFrame, as_of: datetime) -> DataFrame:
     columns = {**history.frequency_columns(), **history.inactivity_columns(as_of)}
     totals = per_repo(repos, history.activity_totals(commits))
     return totals.select("repo", *[c.alias(name) for name, c in columns.items()])
@@ -111,7 +112,7 @@ def history_metrics(
     repos: DataFrame,
     commits: DataFrame,
     commit_files: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     max_commits: int | None = None,
 ) -> DataFrame:
     """Activity metrics and quality signals from one reading of the history."""
@@ -134,7 +135,7 @@ def quality_signals(
     repos: DataFrame,
     commits: DataFrame,
     commit_files: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     max_commits: int | None = None,
 ) -> DataFrame:
     metrics = history_metrics(repos, commits, commit_files, as_of, max_commits)
@@ -146,14 +147,14 @@ def repository_metrics(
     files: DataFrame,
     commits: DataFrame,
     commit_files: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     max_commits: int | None = None,
 ) -> DataFrame:
     """The ``repo_metrics`` table, flat: structure, activity and quality of every repository."""
     structure = structural_metrics(repos, files)
     return structure.join(
         history_metrics(repos, commits, commit_files, as_of, max_commits), "repo"
-    ).withColumn("generated_at", as_of)
+    ).withColumn("generated_at", history.moment(as_of))
 
 
 # Scores

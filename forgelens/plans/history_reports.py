@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.operators import history
 from forgelens.tables import per_repo
 
 
-def history_summary(repos: DataFrame, commits: DataFrame, as_of: Column) -> DataFrame:
+def history_summary(repos: DataFrame, commits: DataFrame, as_of: datetime) -> DataFrame:
     """Frequency, inactivity, messages, merges, bus factor and score of normalised commits."""
     columns = {
         **history.frequency_columns(),
@@ -40,7 +42,7 @@ def git_history_report(
     repos: DataFrame,
     commits: DataFrame,
     commit_files: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     max_commits: int | None = None,
 ) -> dict[str, DataFrame]:
     chosen = _prepared(commits, max_commits)
@@ -56,7 +58,7 @@ def extended_summary(
     repos: DataFrame,
     commits: DataFrame,
     commit_files: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     max_commits: int | None = None,
 ) -> DataFrame:
     """The summary with churn and merges."""
@@ -70,7 +72,7 @@ def extended_git_history_report(
     repos: DataFrame,
     commits: DataFrame,
     commit_files: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     max_commits: int | None = None,
 ) -> dict[str, DataFrame]:
     report = git_history_report(repos, commits, commit_files, as_of, max_commits)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions import scores
@@ -57,7 +59,7 @@ def analyze_repositories(
     files: DataFrame,
     commits: DataFrame,
     commit_files: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     preset: str = "relaxed",
     max_commits: int | None = None,
 ) -> DataFrame:
@@ -72,7 +74,7 @@ def analyze_repositories_compact(
     files: DataFrame,
     commits: DataFrame,
     commit_files: DataFrame,
-    as_of: Column,
+    as_of: datetime,
     preset: str = "relaxed",
     max_commits: int | None = None,
 ) -> DataFrame:

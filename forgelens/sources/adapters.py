@@ -38,8 +38,22 @@ SELECT source AS repo, doc_id AS seq,
          || CASE WHEN doc_id % 7 = 0 THEN 'test_' ELSE 'f' END || CAST(doc_id AS STRING)
          || CASE doc_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.md' WHEN 3 THEN '.java'
                  WHEN 4 THEN '.go' WHEN 5 THEN '.txt' WHEN 6 THEN '.PY' ELSE '' END AS path,
-       text AS text, {bytes}(text) AS size_bytes, doc_id % 11 = 0 AS is_symlink, doc_id % 13 = 0 AS is_executable
-FROM documents"""
+       text, {bytes}(text) AS size_bytes, doc_id % 11 = 0 AS is_symlink, doc_id % 13 = 0 AS is_executable
+FROM (SELECT doc_id, source,
+             CASE WHEN doc_id % 29 = 0 THEN 'x' || chr(0) ELSE '' END
+               || replace(replace(replace(replace(text, '. ', chr(13) || chr(10) || '# '), ', ', chr(10) || '  ' || chr(10)),
+                          ' re', chr(11) || '  // '), 'th ', 'if ')
+               || CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '' END AS text
+      FROM documents)"""
+
+ROOT_FILES_SQL = """
+SELECT 'r' || CAST(CAST(floor(doc_id / 14.0) AS INT) AS STRING) AS repo, doc_id AS seq,
+       CASE doc_id % 14 WHEN 0 THEN 'README.md' WHEN 1 THEN 'CONTRIBUTING.md' WHEN 2 THEN 'CHANGELOG.md'
+            WHEN 3 THEN 'requirements.txt' WHEN 4 THEN 'pyproject.toml' WHEN 5 THEN 'package.json' WHEN 6 THEN 'pom.xml'
+            WHEN 7 THEN '.github/workflows/ci.yml' WHEN 8 THEN '.gitlab-ci.yml' WHEN 9 THEN '.travis.yml'
+            WHEN 10 THEN 'Jenkinsfile' WHEN 11 THEN '.gitignore' WHEN 12 THEN 'src/a.py' ELSE 'tests/test_a.py' END AS path,
+       text, {bytes}(text) AS size_bytes, false AS is_symlink, false AS is_executable
+FROM (SELECT doc_id, replace(text, '. ', chr(10)) AS text FROM documents WHERE doc_id * 7 % 5 <> 0)"""
 
 PAGE_FILES_SQL = """
 SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS repo, page_id AS seq,
@@ -101,6 +115,10 @@ class Inputs:
     def files(self) -> DataFrame:
         return self._with_content(self._adapt(DOCUMENT_FILES_SQL, "documents"))
 
+    @property
+    def root_files(self) -> DataFrame:
+        return self._with_content(self._adapt(ROOT_FILES_SQL, "documents"))
+
     @property
     def page_files(self) -> DataFrame:
         return self._with_content(self._adapt(PAGE_FILES_SQL, "pages"))
