@@ -188,14 +188,14 @@ def churn(x: Inputs) -> DataFrame:
 
 
 @query(
-    "churn_of_small_files",
+    "churn_of_large_changes",
     """, part_impact AS (SELECT repo, path, sum(insertions + deletions) AS v FROM commit_files WHERE insertions > 45 GROUP BY repo, path),
        m AS (SELECT repo, path, v, avg(v) OVER (PARTITION BY repo) AS m FROM part_impact)
        SELECT repo, count(*) AS files, count(*) FILTER (v > 2 * m) AS high_churn_files, round(any_value(m), 2) AS average_churn
        FROM m GROUP BY repo""",
     "commit_files",
 )
-def churn_of_small_files(x: Inputs) -> DataFrame:
+def churn_of_large_changes(x: Inputs) -> DataFrame:
     big_changes = x.commit_files.where("insertions > 45")
     return h.churn(repos_of(x.commits), h.file_impact(big_changes))
 

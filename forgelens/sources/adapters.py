@@ -108,8 +108,11 @@ class Inputs:
 
     @staticmethod
     def _with_content(files: DataFrame) -> DataFrame:
-        content = F.col("text").cast("binary")
-        return with_file_defaults(files.withColumn("content", content).drop("text"))
+        columns = {
+            "content": F.col("text").cast("binary"),
+            "size_bytes": F.col("size_bytes").cast("bigint"),
+        }
+        return with_file_defaults(files.withColumns(columns).drop("text"))
 
     @property
     def files(self) -> DataFrame:
