@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from forgelens.functions.sql import in_list, lit, map_of
 
 # Name lists and markers that decide how a file is classified.
 EXCLUDED_DIRS = (
@@ -32,95 +31,85 @@ LANGUAGES = {
 CATEGORIES = ("binary", "config", "docs", "source", "test", "unknown")
 
 
-def file_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+def file_name(path: str = "path") -> str:
+    return f"substring_index({path}, '/', -1)"
 
 
-def parent(path: Column) -> Column:
+def parent(path: str = "path") -> str:
     """Directory part; the empty string for an entry at the root."""
-    return F.substring(path, F.lit(1), F.length(path) - F.length(file_name(path)) - 1)
+    return f"left({path}, length({path}) - length({file_name(path)}) - 1)"
 
 
-def depth(path: Column) -> Column:
-    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) + 1
+def depth(path: str = "path") -> str:
+    return f"(length({path}) - length(replace({path}, '/', '')) + 1)"
 
 
-def ancestors(directory: Column) -> Column:
+def ancestors(directory: str) -> str:
     """The directory itself and all directories above it, outermost first."""
-    parts = F.split(directory, "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
-    )
-
-
-def suffix(path: Column) -> Column:
-    """Last extension of the file name in lower case, with its dot; empty when there is none."""
-    return F.lower(raw_suffix(path))
+    parts = f"split({directory}, '/')"
+    return f"transform(sequence(1, size({parts})), n -> array_join(slice({parts}, 1, n), '/'))"
 
 
-def raw_suffix(path: Column) -> Column:
-    return F.regexp_extract(file_name(path), r"(?s)^.+(\.[^.]+)$", 1)
+def raw_suffix(path: str = "path") -> str:
+    """Last extension of the file name with its dot; empty when there is none."""
+    pattern = lit(r"(?s)^.+(\.[^.]+)$")
+    return f"regexp_extract({file_name(path)}, {pattern}, 1)"
 
 
-def language_of_suffix(ext: Column) -> Column:
-    return F.try_element_at(
-        F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), ext
-    )
+def suffix(path: str = "path") -> str:
+    return f"lower({raw_suffix(path)})"
 
 
-def language(path: Column) -> Column:
-    return language_of_suffix(suffix(path))
+def language(path: str = "path") -> str:
+    names = map_of({ext: lit(name) for ext, name in LANGUAGES.items()})
+    return f"try_element_at({names}, {suffix(path)})"
 
 
 def _names(names: Iterable[str]) -> str:
     return "|".join(re.escape(n) for n in sorted(set(names)))
 
 
-def in_excluded_dir(path: Column, extra: Iterable[str] = ()) -> Column:
+def in_excluded_dir(path: str = "path", extra: Iterable[str] = ()) -> str:
     """True when a directory above the file carries an excluded name."""
-    return F.rlike(path, F.lit(f"(^|/)({_names([*EXCLUDED_DIRS, *extra])})/"))
+    pattern = lit(f"(^|/)({_names([*EXCLUDED_DIRS, *extra])})/")
+    return f"rlike({path}, {pattern})"
 
 
-def has_excluded_name(path: Column, names: Iterable[str]) -> Column:
+def has_excluded_name(path: str, names: Iterable[str]) -> str:
     """True when any component of the path, the last one included, carries one of the names."""
-    return F.rlike(path, F.lit(f"(^|/)({_names(names)})(/|$)"))
+    pattern = lit(f"(^|/)({_names(names)})(/|$)")
+    return f"rlike({path}, {pattern})"
 
 
-def is_loc_excluded(path: Column, extra: Iterable[str] = ()) -> Column:
+def is_loc_excluded(path: str = "path", extra: Iterable[str] = ()) -> str:
     return has_excluded_name(path, [*LOC_EXCLUDED_NAMES, *extra])
 
 
-def _contains_any(text: Column, markers: Iterable[str]) -> Column:
-    return F.rlike(text, F.lit(_names(markers)))
-
-
-def is_test_path(path: Column) -> Column:
-    return _contains_any(F.lower(F.concat(F.lit("/"), path)), TEST_MARKERS)
+def is_test_path(path: str = "path") -> str:
+    return f"rlike(lower('/' || {path}), {lit(_names(TEST_MARKERS))})"
 
 
-def is_index_test_path(path: Column) -> Column:
-    return _contains_any(F.lower(path), INDEX_TEST_MARKERS)
+def is_index_test_path(path: str = "path") -> str:
+    return f"rlike(lower({path}), {lit(_names(INDEX_TEST_MARKERS))})"
 
 
-def is_index_source_path(path: Column) -> Column:
-    return F.rlike(path, F.lit(f"({_names(INDEX_SOURCE_SUFFIXES)})$"))
+def is_index_source_path(path: str = "path") -> str:
+    pattern = lit(f"({_names(INDEX_SOURCE_SUFFIXES)})$")
+    return f"rlike({path}, {pattern})"
 
 
-def is_config_path(path: Column) -> Column:
-    return file_name(path).isin(*CONFIG_FILES)
+def is_config_path(path: str = "path") -> str:
+    return in_list(file_name(path), CONFIG_FILES)
 
 
-def is_doc_suffix(ext: Column) -> Column:
-    return ext.isin(*DOC_SUFFIXES)
+def is_doc_path(path: str = "path") -> str:
+    return in_list(suffix(path), DOC_SUFFIXES)
 
 
-def category(binary: Column, path: Column) -> Column:
-    ext = suffix(path)
+def category(binary: str, path: str = "path") -> str:
+    """The first class that holds, in this order."""
     return (
-        F.when(binary, "binary")
-        .when(is_test_path(path), "test")
-        .when(is_config_path(path), "config")
-        .when(is_doc_suffix(ext), "docs")
-        .when(ext.isin(*LANGUAGES), "source")
-        .otherwise("unknown")
+        f"CASE WHEN {binary} THEN 'binary' WHEN {is_test_path(path)} THEN 'test' "
+        f"WHEN {is_config_path(path)} THEN 'config' WHEN {is_doc_path(path)} THEN 'docs' "
+        f"WHEN {in_list(suffix(path), LANGUAGES)} THEN 'source' ELSE 'unknown' END"
     )

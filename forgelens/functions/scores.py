@@ -2,61 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
+def clamp(value: str, low: float = 0.0, high: float = 1.0) -> str:
     """Restrict to a range; NULL stays NULL (``greatest`` and ``least`` would skip it)."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+    return f"CASE WHEN {value} IS NOT NULL THEN greatest({low}D, least({high}D, {value})) END"
 
 
-def ratio(numerator: Column, denominator: Column, default: float = 0.0) -> Column:
-    positive = F.when(denominator > 0, denominator.cast("double"))
-    return F.coalesce(clamp(numerator / positive), F.when(denominator <= 0, F.lit(default)))
+def ratio(numerator: str, denominator: str, default: float = 0.0) -> str:
+    quotient = clamp(f"(double({numerator}) / double({denominator}))")
+    return f"CASE WHEN {denominator} <= 0 THEN {default}D ELSE {quotient} END"
 
 
-def inverse(value: Column, scale: float) -> Column:
+def inverse(value: str, scale: float) -> str:
     """1 for nothing, falling to 0 at ``scale``."""
-    return F.when(value <= 0, F.lit(1.0)).otherwise(clamp(F.lit(1.0) - value / F.lit(float(scale))))
+    return f"CASE WHEN {value} <= 0 THEN 1.0D ELSE {clamp(f'(1.0D - {value} / {float(scale)}D)')} END"
 
 
-def share(part: Column, whole: Column, digits: int = 3) -> Column:
+def share(part: str, whole: str, digits: int = 3) -> str:
     """Rounded part of a whole; 0.0 of nothing."""
-    return F.coalesce(F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits), F.lit(0.0))
+    return f"coalesce(round(try_divide(double({part}), double({whole})), {digits}), 0.0D)"
 
 
-def activity_trend(commits_per_day: Column, low: float = 0.01, high: float = 0.1) -> Column:
+def activity_trend(commits_per_day: str, low: float = 0.01, high: float = 0.1) -> str:
     return (
-        F.when(commits_per_day >= high, "high")
-        .when(commits_per_day >= low, "moderate")
-        .otherwise("low")
+        f"CASE WHEN {commits_per_day} >= {high}D THEN 'high' "
+        f"WHEN {commits_per_day} >= {low}D THEN 'moderate' ELSE 'low' END"
     )
 
 
-def churn_stability(churn_average: Column, stable: float = 200.0, volatile: float = 600.0) -> Column:
+def churn_stability(churn: str, stable: float = 200.0, volatile: float = 600.0) -> str:
     return (
-        F.when(churn_average <= stable, "stable")
-        .when(churn_average <= volatile, "moderate")
-        .otherwise("volatile")
+        f"CASE WHEN {churn} <= {stable}D THEN 'stable' "
+        f"WHEN {churn} <= {volatile}D THEN 'moderate' ELSE 'volatile' END"
     )
 
 
-def bus_factor_risk(bus_factor: Column) -> Column:
-    return F.when(bus_factor >= 4, "low").when(bus_factor >= 2, "medium").otherwise("high")
+def bus_factor_risk(bus_factor: str) -> str:
+    return f"CASE WHEN {bus_factor} >= 4 THEN 'low' WHEN {bus_factor} >= 2 THEN 'medium' ELSE 'high' END"
 
 
-def grade(score: Column) -> Column:
+def grade(score: str) -> str:
     return (
-        F.when(score >= 0.85, "A").when(score >= 0.7, "B").when(score >= 0.55, "C").otherwise("D")
+        f"CASE WHEN {score} >= 0.85D THEN 'A' WHEN {score} >= 0.7D THEN 'B' "
+        f"WHEN {score} >= 0.55D THEN 'C' ELSE 'D' END"
     )
 
 
-def explain_component(name: str, score: Column) -> Column:
-    text = F.concat(F.lit(f"{name.capitalize()} score "), score.cast("string"))
-    return F.concat(text, F.lit(" (grade "), grade(score), F.lit(")"))
-
-
-def present_only(*items: Column) -> Column:
-    """Array of the items that are not NULL, in the order given."""
-    return F.array_compact(F.array(*items))
+def explain_component(name: str, score: str) -> str:
+    return f"'{name.capitalize()} score ' || {score} || ' (grade ' || {grade(score)} || ')'"

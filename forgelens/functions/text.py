@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from forgelens.functions.sql import lit
 
 # The characters Python treats as white space, and its line boundaries.
 WHITESPACE = (
@@ -16,57 +15,61 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 BINARY_PROBE_BYTES = 1024
 
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+def strip(text: str) -> str:
+    return f"btrim({text}, {lit(WHITESPACE)})"
 
 
-def lstrip(text: Column) -> Column:
-    return F.ltrim(text, F.lit(WHITESPACE))
+def lstrip(text: str) -> str:
+    return f"trim(LEADING {lit(WHITESPACE)} FROM {text})"
 
 
-def rstrip(text: Column) -> Column:
-    return F.rtrim(text, F.lit(WHITESPACE))
-
-
-def line_parts(text: Column) -> Column:
+def line_parts(text: str) -> str:
     """Pieces between line boundaries; the piece after a final boundary is an empty string."""
-    return F.split(text, LINE_BREAK, -1)
+    return f"split({text}, {lit(LINE_BREAK)}, -1)"
 
 
-def has_open_end(parts: Column) -> Column:
+def open_end(parts: str) -> str:
     """1 when the last piece of ``line_parts`` is the empty rest after a final boundary."""
-    return (F.element_at(parts, -1) == "").cast("int")
+    return f"int(element_at({parts}, -1) = '')"
+
+
+def line_count(parts: str) -> str:
+    return f"bigint(size({parts}) - {open_end(parts)})"
+
+
+def blank_count(parts: str) -> str:
+    return f"bigint(size(filter({parts}, l -> {strip('l')} = '')) - {open_end(parts)})"
 
 
-def lines(text: Column) -> Column:
-    parts = line_parts(text)
-    return F.slice(parts, F.lit(1), F.size(parts) - has_open_end(parts))
+def lines(text: str) -> str:
+    """The lines of a text. The empty rest after a final boundary is no line."""
+    marked = f"transform(array({line_parts(text)}), p -> slice(p, 1, size(p) - {open_end('p')}))"
+    return f"{marked}[0]"
 
 
-def is_binary(content: Column, sample_bytes: int = BINARY_PROBE_BYTES) -> Column:
+def is_binary(content: str, sample_bytes: int = BINARY_PROBE_BYTES) -> str:
     """A NUL byte in the first bytes. Missing content is not binary."""
-    probe = F.contains(F.substring(content, 1, sample_bytes), F.lit(bytearray(b"\x00")))
-    return F.coalesce(probe, F.lit(False))
+    return f"coalesce(contains(substring({content}, 1, {sample_bytes}), X'00'), false)"
 
 
-def decode_lenient(content: Column) -> Column:
+def decode_lenient(content: str) -> str:
     """UTF-8 text without the undecodable bytes; missing content gives the empty string."""
-    raw = content.cast("string")
-    cleaned = F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))
-    return F.coalesce(F.when(F.is_valid_utf8(raw), raw).otherwise(cleaned), F.lit(""))
+    raw = f"cast({content} AS string)"
+    cleaned = f"replace(make_valid_utf8({raw}), '\ufffd', '')"
+    return f"coalesce(if(is_valid_utf8({raw}), {raw}, {cleaned}), '')"
 
 
-def safe_text(content: Column, max_bytes: int | None = None) -> Column:
+def safe_text(content: str, max_bytes: int | None = None) -> str:
     """Lenient text of a file, empty for binary files; optionally of its first bytes only."""
-    body = content if max_bytes is None else F.substring(content, 1, max_bytes)
-    return F.when(is_binary(content), F.lit("")).otherwise(decode_lenient(body))
+    body = content if max_bytes is None else f"substring({content}, 1, {max_bytes})"
+    return f"if({is_binary(content)}, '', {decode_lenient(body)})"
 
 
-_HASHES = {"md5": F.md5, "sha1": F.sha1}
-_HASHES |= {f"sha{bits}": (lambda c, bits=bits: F.sha2(c, bits)) for bits in (224, 256, 384, 512)}
+_HASHES = {"md5": "md5({})", "sha1": "sha1({})"}
+_HASHES |= {f"sha{bits}": f"sha2({{}}, {bits})" for bits in (224, 256, 384, 512)}
 
 
-def content_hash(content: Column, algorithm: str = "sha256") -> Column:
+def content_hash(content: str, algorithm: str = "sha256") -> str:
     if algorithm not in _HASHES:
         raise ValueError(f"unsupported hash algorithm: {algorithm}")
-    return _HASHES[algorithm](content)
+    return _HASHES[algorithm].format(content)

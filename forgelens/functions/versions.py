@@ -2,59 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from forgelens.functions.sql import lit
 from forgelens.functions.text import strip
 
-# Specification operators in the order they are tried, and the version pattern.
+# Specification operators in the order they are tried, the characters of a version
+# and the words of a pre-release.
 SPEC_SEPARATORS = ("==", ">=", "<=", "~=", ">", "<", "^")
-VERSION_PATTERN = r"(?:>=|<=|==|~=|>|<|\^)?\s*([0-9a-zA-Z.\-+]+)"
+VERSION_CHARACTERS = r"[0-9a-zA-Z.\-+]+"
 PRE_RELEASE_WORDS = ("alpha", "beta", "dev")
 
 
-def present(version: Column) -> Column:
-    return F.coalesce(version != "", F.lit(False))
+def present(version: str) -> str:
+    return f"coalesce({version} <> '', false)"
+
+
+def normalize_version(version: str) -> str:
+    """The first run of version characters, which leaves out the operator before it.
 
+    Text without such a run is only stripped; NULL and empty text give NULL.
+    """
+    run = f"regexp_extract({version}, {lit(VERSION_CHARACTERS)}, 0)"
+    return f"CASE WHEN {version} <> '' THEN if({run} <> '', {run}, {strip(version)}) END"
 
-def normalize_version(version: Column) -> Column:
-    found = F.regexp_extract(version, VERSION_PATTERN, 1)
-    return F.when(present(version), F.when(found != "", found).otherwise(strip(version)))
 
+def split_specs(raw_lines: str) -> str:
+    """Array of ``struct(name, version)`` for an array of specifications such as ``lib>=1.0``.
 
-def split_spec(raw: Column) -> tuple[Column, Column]:
-    """Name and normalised version of a specification such as ``lib>=1.0``."""
-    name = version = F.lit(None).cast("string")
-    for sep in reversed(SPEC_SEPARATORS):
-        at = F.instr(raw, sep)
-        here = F.contains(raw, F.lit(sep))
-        name = F.when(here, strip(F.substring(raw, F.lit(1), at - 1))).otherwise(name)
-        rest = F.substring(raw, at + len(sep), F.length(raw))
-        version = F.when(here, normalize_version(rest)).otherwise(version)
-    return F.coalesce(name, strip(raw)), version
+    The separators are tried in order and the first one contained splits at its first place.
+    """
+    tried = ", ".join(f"CASE WHEN contains(r, {lit(s)}) THEN {lit(s)} END" for s in SPEC_SEPARATORS)
+    marked = f"transform({raw_lines}, r -> struct(r AS raw, coalesce({tried}) AS sep))"
+    parts = (
+        f"transform({marked}, m -> struct("
+        f"{strip('if(m.sep IS NULL, m.raw, substring_index(m.raw, m.sep, 1))')} AS name, "
+        f"substring(m.raw, instr(m.raw, m.sep) + length(m.sep)) AS rest))"
+    )
+    version = normalize_version("p.rest")
+    return f"transform({parts}, p -> struct(p.name AS name, {version} AS version))"
 
 
-def first_number(version: Column) -> Column:
-    """The first run of digits as text; NULL without one."""
-    return F.nullif(F.regexp_extract(version, r"(\d+)", 1), F.lit(""))
+def first_number(version: str) -> str:
+    """The first run of digits as text; empty without one."""
+    return f"regexp_extract({version}, '([0-9]+)', 1)"
 
 
-def has_zero_major(version: Column) -> Column:
+def has_zero_major(version: str) -> str:
     """First number is zero, wherever it stands."""
-    return F.coalesce(F.rlike(version, F.lit(r"^\D*0+(\D|$)")), F.lit(False))
+    return f"coalesce(rlike({version}, {lit(r'^[^0-9]*0+([^0-9]|$)')}), false)"
 
 
-def has_positive_major(version: Column) -> Column:
-    return F.coalesce(F.rlike(version, F.lit(r"^\D*0*[1-9]")), F.lit(False))
+def has_positive_major(version: str) -> str:
+    return f"coalesce(rlike({version}, '^[^0-9]*0*[1-9]'), false)"
 
 
-def starts_with_zero(version: Column) -> Column:
-    return F.coalesce(F.startswith(version, F.lit("0.")), F.lit(False))
+def starts_with_zero(version: str) -> str:
+    return f"coalesce(startswith({version}, '0.'), false)"
 
 
-def contains_word(version: Column, *words: str) -> Column:
-    return F.coalesce(F.rlike(version, F.lit("|".join(words))), F.lit(False))
+def contains_word(version: str, *words: str) -> str:
+    return f"coalesce(rlike({version}, {lit('|'.join(words))}), false)"
 
 
-def is_pre_release(version: Column) -> Column:
+def is_pre_release(version: str) -> str:
     return contains_word(version, *PRE_RELEASE_WORDS)

@@ -1,6 +1,8 @@
-"""Analyzer registry: functions from tables to ``(repo, name, score, details)``.
+"""Analyzers: scores per repository as rows ``(repo, name, score, details)``.
 
-An analyzer is a DataFrame function, registered by name. ``details`` is a JSON object.
+The built-in analyzers are folds: aggregates over ``file_measures`` with a score and details on top.
+All chosen folds run in one aggregate over one reading of the files. An analyzer of a user's own is
+either another fold or any DataFrame function, registered by name.
 """
 
 from __future__ import annotations
@@ -9,13 +11,11 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from forgelens.functions import paths
-from forgelens.functions.text import decode_lenient, has_open_end, line_parts
-from forgelens.operators import files as f
-from forgelens.operators.loc import loc_statistics, loc_totals
+from forgelens.functions.sql import array_of, exprs, in_list, lit, present_only
+from forgelens.operators.files import file_measures
 from forgelens.tables import per_repo
 
 # The files the analyzers look for.
@@ -30,140 +30,156 @@ class Tables:
     files: DataFrame
 
 
-Analyzer = Callable[[Tables], DataFrame]
-REGISTRY: dict[str, Analyzer] = {}
-
-
-def analyzer(name: str) -> Callable[[Analyzer], Analyzer]:
-    def register(function: Analyzer) -> Analyzer:
-        REGISTRY[name] = function
-        return function
-
-    return register
-
-
-def analyze(tables: Tables, names: Iterable[str] | None = None) -> DataFrame:
-    """Results of the named analyzers, all of them by default."""
-    chosen = list(REGISTRY) if names is None else list(names)
-    return reduce(DataFrame.unionByName, [REGISTRY[name](tables) for name in chosen])
-
-
-def _result(df: DataFrame, name: str, score: Column, details: Column) -> DataFrame:
-    return df.select(
-        "repo", F.lit(name).alias("name"), score.cast("double").alias("score"), details.alias("details")
-    )
-
-
-def _per_10k(code_lines: Column) -> Column:
-    return F.least(F.lit(1.0), code_lines / F.lit(10000.0))
-
-
-@analyzer("ci")
-def ci(tables: Tables) -> DataFrame:
-    """A root-level CI file or directory exists."""
-    path = F.col("path")
-
-    def found(p: str) -> Column:
-        return (path == p) | F.startswith(path, F.lit(p + "/"))
-
-    hits = [F.max(found(p)).alias(f"_{i}") for i, p in enumerate(CI_PATHS)]
-    wanted = reduce(lambda a, b: a | b, [found(p) for p in CI_PATHS])
-    per = per_repo(tables.repos, tables.files.where(wanted).groupBy("repo").agg(*hits))
-    listed = F.array_compact(
-        F.array(*[F.when(F.col(f"_{i}"), F.lit(p)) for i, p in enumerate(CI_PATHS)])
-    )
-    score = F.when(F.size(listed) > 0, 1.0).otherwise(0.0)
-    return _result(per, "ci", score, F.to_json(F.struct(listed.alias("ci_files"))))
-
-
-def loc_v1_totals(tables: Tables) -> DataFrame:
-    """Lines of nine code suffixes; comments count as code and nothing is excluded."""
-    counted = f.plain_line_counts(tables.files)
-    totals = counted.groupBy("repo").agg(
-        F.count("*").alias("files"),
-        F.sum("total_lines").alias("lines"),
-        F.sum("non_blank_lines").alias("code_lines"),
-        F.sum("blank_lines").alias("blank_lines"),
-    )
-    zeros = dict.fromkeys(["files", "lines", "code_lines", "blank_lines"], 0)
-    return per_repo(tables.repos, totals, zeros=zeros)
-
-
-@analyzer("loc")
-def loc(tables: Tables) -> DataFrame:
-    details = F.to_json(F.struct("files", "lines", "code_lines", "blank_lines"))
-    return _result(loc_v1_totals(tables), "loc", _per_10k(F.col("code_lines")), details)
-
-
-@analyzer("loc_detailed")
-def loc_detailed(tables: Tables) -> DataFrame:
-    """Lines of four suffixes with comments apart; per-file rows are in ``loc_report``."""
-    file_loc = f.line_kinds(tables.files)
-    summary = loc_totals(tables.repos, file_loc)
-    joined = summary.join(loc_statistics(tables.repos, file_loc), "repo")
-    totals = F.struct("files", "total_lines", "code_lines", "blank_lines", "comment_lines")
-    stats = F.struct(
-        "mean_total_lines", "median_total_lines", "mean_code_lines", "median_code_lines"
-    )
-    details = F.to_json(F.struct(totals.alias("summary"), stats.alias("statistics")))
-    return _result(joined, "loc", _per_10k(F.col("code_lines")), details)
-
-
-@analyzer("complexity")
-def complexity(tables: Tables) -> DataFrame:
-    tokens = f.branch_tokens(tables.files).groupBy("repo").agg(
-        F.sum("tokens").alias("complexity_tokens")
-    )
-    per = per_repo(tables.repos, tokens, zeros={"complexity_tokens": 0})
-    score = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("complexity_tokens") / F.lit(5000.0))
-    return _result(per, "complexity", score, F.to_json(F.struct("complexity_tokens")))
-
-
-def test_ratio(tables: Tables) -> DataFrame:
-    path = F.col("path")
-    is_test = paths.is_index_test_path(path)
-    python = tables.files.where(paths.raw_suffix(path) == ".py")
-    counts = python.groupBy("repo").agg(
-        F.count_if(is_test).alias("test_files"), F.count_if(~is_test).alias("source_files")
-    )
-    per = per_repo(tables.repos, counts, zeros={"test_files": 0, "source_files": 0})
-    return per.withColumn(
-        "ratio", F.col("test_files") / F.greatest(F.lit(1), F.col("source_files"))
+@dataclass(frozen=True)
+class Fold:
+    """``aggregates`` over the file measures; ``score`` and ``details`` (a struct) over those."""
+
+    name: str
+    aggregates: dict[str, str]
+    score: str
+    details: str
+
+
+FOLDS: dict[str, Fold] = {}
+CUSTOM: dict[str, Callable[[Tables], DataFrame]] = {}
+
+
+def register_fold(key: str, fold: Fold) -> None:
+    FOLDS[key] = fold
+
+
+def register(key: str, analyzer: Callable[[Tables], DataFrame]) -> None:
+    """Add a DataFrame function that returns ``(repo, name, score, details)``."""
+    CUSTOM[key] = analyzer
+
+
+def folded(tables: Tables, keys: Iterable[str]) -> DataFrame:
+    """The aggregates of the folds, one row per repository, from a single pass."""
+    aggregates = {f"{k}_{a}": sql for k in keys for a, sql in FOLDS[k].aggregates.items()}
+    measures = file_measures(tables.files, [*DOC_FILES, *ROOT_MANIFESTS])
+    return per_repo(tables.repos, measures.groupBy("repo").agg(*exprs(**aggregates)))
+
+
+def _row(key: str) -> str:
+    fold = FOLDS[key]
+    named = {a: f"`{key}_{a}`" for a in fold.aggregates}
+    score, details = fold.score.format(**named), fold.details.format(**named)
+    return f"struct({lit(fold.name)} AS name, double({score}) AS score, to_json({details}) AS details)"
+
+
+def analyze(tables: Tables, keys: Iterable[str] | None = None) -> DataFrame:
+    """Results of the chosen analyzers, all of them by default."""
+    chosen = [*FOLDS, *CUSTOM] if keys is None else list(keys)
+    folds = [k for k in chosen if k in FOLDS]
+    results = [CUSTOM[k](tables) for k in chosen if k not in FOLDS]
+    if folds:
+        rows = ", ".join(_row(k) for k in folds)
+        results.append(folded(tables, folds).selectExpr("repo", f"inline(array({rows}))"))
+    return reduce(DataFrame.unionByName, results)
+
+
+def _sum(value: str, condition: str = "true") -> str:
+    return f"coalesce(sum({value}) FILTER (WHERE {condition}), 0)"
+
+
+def _zero(name: str) -> str:
+    return f"coalesce({{{name}}}, 0L)"
+
+
+def _zeros(*names: str) -> str:
+    return ", ".join(f"{_zero(n)} AS {n}" for n in names)
+
+
+# Lines of nine code suffixes: comments count as code and nothing is excluded.
+register_fold(
+    "loc",
+    Fold(
+        "loc",
+        {
+            "files": "count_if(is_code)",
+            "lines": _sum("lines", "is_code"),
+            "code_lines": _sum("lines - blank_lines", "is_code"),
+            "blank_lines": _sum("blank_lines", "is_code"),
+        },
+        f"least(1.0D, {_zero('code_lines')} / 10000.0D)",
+        f"struct({_zeros('files', 'lines', 'code_lines', 'blank_lines')})",
+    ),
+)
+
+# Lines of four suffixes with comments apart. The median keeps a count per distinct value.
+_KINDS = {
+    "total_lines": "lines",
+    "code_lines": "lines - blank_lines - comment_lines",
+    "blank_lines": "blank_lines",
+    "comment_lines": "comment_lines",
+}
+_STATS = {
+    f"{stat}_{kind}": f"{function}(CASE WHEN has_comments THEN {_KINDS[kind]} END)"
+    for kind in ("total_lines", "code_lines")
+    for stat, function in (("mean", "avg"), ("median", "median"))
+}
+register_fold(
+    "loc_detailed",
+    Fold(
+        "loc",
+        {
+            "files": "count_if(has_comments)",
+            **{kind: _sum(value, "has_comments") for kind, value in _KINDS.items()},
+            **_STATS,
+        },
+        f"least(1.0D, {_zero('code_lines')} / 10000.0D)",
+        f"struct(struct({_zeros('files', *_KINDS)}) AS summary, "
+        f"struct({', '.join(f'{{{s}}} AS {s}' for s in _STATS)}) AS statistics)",
+    ),
+)
+
+register_fold(
+    "complexity",
+    Fold(
+        "complexity",
+        {"complexity_tokens": _sum("tokens")},
+        f"greatest(0.0D, 1.0D - {_zero('complexity_tokens')} / 5000.0D)",
+        f"struct({_zeros('complexity_tokens')})",
+    ),
+)
+
+_PYTHON = f"{paths.raw_suffix()} = '.py'"
+_RATIO = f"{_zero('test_files')} / double(greatest(1L, {_zero('source_files')}))"
+register_fold(
+    "tests",
+    Fold(
+        "tests",
+        {
+            "test_files": f"count_if({_PYTHON} AND {paths.is_index_test_path()})",
+            "source_files": f"count_if({_PYTHON} AND NOT {paths.is_index_test_path()})",
+        },
+        f"least(1.0D, {_RATIO})",
+        f"struct({_zeros('test_files', 'source_files')}, {_RATIO} AS ratio)",
+    ),
+)
+
+
+def _root_file_fold(name: str, files: tuple[str, ...], full: float) -> Fold:
+    """Lines of named root files; details name the files that exist."""
+    aggregates = {f"f{i}": f"max(lines) FILTER (WHERE path = {lit(f)})" for i, f in enumerate(files)}
+    total = " + ".join(_zero(a) for a in aggregates)
+    found = present_only(
+        *[f"if({{f{i}}} IS NULL, NULL, struct({lit(f)} AS k, {{f{i}}} AS v))" for i, f in enumerate(files)]
     )
-
-
-@analyzer("tests")
-def tests(tables: Tables) -> DataFrame:
-    details = F.to_json(F.struct("test_files", "source_files", "ratio"))
-    return _result(test_ratio(tables), "tests", F.least(F.lit(1.0), "ratio"), details)
-
-
-def root_file_lines(tables: Tables, names: tuple[str, ...]) -> DataFrame:
-    """Lines of named root files, one column each; NULL where the file is missing."""
-    pieces = F.col("_pieces")
-    counted = (
-        tables.files.where(F.col("path").isin(*names))
-        .withColumn("_pieces", line_parts(decode_lenient(F.col("content"))))
-        .select("repo", "path", (F.size(pieces) - has_open_end(pieces)).cast("bigint").alias("lines"))
-    )
-    columns = [F.max(F.when(F.col("path") == n, F.col("lines"))).alias(n) for n in names]
-    return per_repo(tables.repos, counted.groupBy("repo").agg(*columns))
-
-
-def _root_file_result(tables: Tables, name: str, names: tuple[str, ...], full: float) -> DataFrame:
-    columns = [F.col(f"`{n}`") for n in names]
-    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in columns])
-    score = F.least(F.lit(1.0), total / F.lit(full))
-    # NULL fields are left out, so only files that exist are named.
-    return _result(root_file_lines(tables, names), name, score, F.to_json(F.struct(*columns)))
-
-
-@analyzer("documentation")
-def documentation(tables: Tables) -> DataFrame:
-    return _root_file_result(tables, "documentation", DOC_FILES, 300.0)
-
-
-@analyzer("dependencies")
-def dependencies(tables: Tables) -> DataFrame:
-    """Size of the root manifests in lines."""
-    return _root_file_result(tables, "dependencies", ROOT_MANIFESTS, 200.0)
+    return Fold(name, aggregates, f"least(1.0D, ({total}) / {full}D)", f"map_from_entries({found})")
+
+
+register_fold("documentation", _root_file_fold("documentation", DOC_FILES, 300.0))
+register_fold("dependencies", _root_file_fold("dependencies", ROOT_MANIFESTS, 200.0))
+
+_CI = {f"p{i}": f"path = {lit(p)} OR startswith(path, {lit(p + '/')})" for i, p in enumerate(CI_PATHS)}
+_CI_FOUND = present_only(*[f"CASE WHEN {{p{i}}} THEN {lit(p)} END" for i, p in enumerate(CI_PATHS)])
+register_fold(
+    "ci",
+    Fold(
+        "ci",
+        {name: f"bool_or({condition})" for name, condition in _CI.items()},
+        f"if(size({_CI_FOUND}) > 0, 1.0D, 0.0D)",
+        f"struct({_CI_FOUND} AS ci_files)",
+    ),
+)

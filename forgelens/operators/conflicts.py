@@ -5,11 +5,12 @@ They work on ``dep_occurrences``: after deduplication each name has one row and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions import versions
 from forgelens.functions.scores import share
+from forgelens.functions.sql import exprs
 from forgelens.operators.skew import join_hot
 from forgelens.tables import per_repo
 
@@ -18,35 +19,28 @@ def _keyed(occurrences: DataFrame) -> DataFrame:
     return occurrences.withColumn("dep_key", F.lower("name"))
 
 
+def _distinct_versions(occurrences: DataFrame) -> DataFrame:
+    pinned = _keyed(occurrences).where(versions.present("version"))
+    return pinned.selectExpr("repo", "dep_key AS name", "version").distinct()
+
+
 def version_conflicts(occurrences: DataFrame) -> DataFrame:
     """Names with several versions: ``(repo, name, n_versions)``."""
-    distinct = _keyed(occurrences).where(versions.present(F.col("version")))
-    counts = (
-        distinct.select("repo", "dep_key", "version")
-        .distinct()
-        .groupBy("repo", "dep_key")
-        .agg(F.count("*").alias("n_versions"))
-    )
-    return counts.where(F.col("n_versions") > 1).withColumnRenamed("dep_key", "name")
+    counts = _distinct_versions(occurrences).groupBy("repo", "name")
+    return counts.agg(*exprs(n_versions="count(*)")).where("n_versions > 1")
 
 
 def conflicting_versions(occurrences: DataFrame) -> DataFrame:
     """The versions of each version conflict, one row each; a name may have any number."""
-    distinct = (
-        _keyed(occurrences)
-        .where(versions.present(F.col("version")))
-        .select("repo", F.col("dep_key").alias("name"), "version")
-        .distinct()
-    )
-    return join_hot(distinct, version_conflicts(occurrences), ["repo", "name"], ["version"], ways=8)
+    found = version_conflicts(occurrences)
+    return join_hot(_distinct_versions(occurrences), found, ["repo", "name"], ["version"], ways=8)
 
 
 def _several(occurrences: DataFrame, column: str, values: str) -> DataFrame:
     """Names with several values of an enumeration, so the collected set is small."""
-    collected = _keyed(occurrences).groupBy("repo", "dep_key").agg(
-        F.array_sort(F.collect_set(column)).alias(values)
-    )
-    return collected.where(F.size(values) > 1).withColumnRenamed("dep_key", "name")
+    collected = _keyed(occurrences).groupBy("repo", "dep_key")
+    collected = collected.agg(F.expr(f"array_sort(collect_set({column})) AS {values}"))
+    return collected.where(f"size({values}) > 1").withColumnRenamed("dep_key", "name")
 
 
 def type_conflicts(occurrences: DataFrame) -> DataFrame:
@@ -55,42 +49,34 @@ def type_conflicts(occurrences: DataFrame) -> DataFrame:
 
 def ecosystem_shadowing(occurrences: DataFrame) -> DataFrame:
     shadowed = _several(occurrences, "source", "sources")
-    return shadowed.withColumn("count", F.size("sources").cast("bigint"))
+    return shadowed.withColumn("count", F.expr("bigint(size(sources))"))
 
 
 def version_divergence(occurrences: DataFrame) -> DataFrame:
     """Spread of the major versions of a name, relative to the largest; 0.0 when all are zero."""
-    version = F.col("version")
-    major: Column = versions.first_number(version).cast("double")
+    major = f"double(nullif({versions.first_number('version')}, ''))"
     spread = (
         _keyed(occurrences)
-        .where(versions.present(version))
-        .groupBy("repo", "dep_key")
-        .agg(
-            F.count(major).alias("_majors"),
-            F.max(major).alias("_max"),
-            F.min(major).alias("_min"),
-        )
-        .where(F.col("_majors") > 1)
-    )
-    return spread.select(
-        "repo",
-        F.col("dep_key").alias("name"),
-        share(F.col("_max") - F.col("_min"), F.col("_max")).alias("divergence"),
+        .where(versions.present("version"))
+        .selectExpr("repo", "dep_key AS name", f"{major} AS major")
+        .groupBy("repo", "name")
+        .agg(*exprs(majors="count(major)", high="max(major)", low="min(major)"))
     )
+    divergence = exprs(divergence=share("high - low", "high"))
+    return spread.where("majors > 1").select("repo", "name", *divergence)
 
 
 def conflicts(occurrences: DataFrame) -> DataFrame:
     """All conflicts with their number of differing values."""
 
-    def rows(found: DataFrame, kind: str, size: Column) -> DataFrame:
-        return found.select(
-            "repo", "name", F.lit(kind).alias("conflict_type"), size.cast("bigint").alias("n_values")
+    def rows(found: DataFrame, kind: str, size: str) -> DataFrame:
+        return found.selectExpr(
+            "repo", "name", f"'{kind}' AS conflict_type", f"bigint({size}) AS n_values"
         )
 
-    version = rows(version_conflicts(occurrences), "version_conflict", F.col("n_versions"))
-    types = rows(type_conflicts(occurrences), "dependency_type_conflict", F.size("types"))
-    shadow = rows(ecosystem_shadowing(occurrences), "ecosystem_shadowing", F.size("sources"))
+    version = rows(version_conflicts(occurrences), "version_conflict", "n_versions")
+    types = rows(type_conflicts(occurrences), "dependency_type_conflict", "size(types)")
+    shadow = rows(ecosystem_shadowing(occurrences), "ecosystem_shadowing", "size(sources)")
     return version.unionByName(types).unionByName(shadow)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions import versions
-from forgelens.functions.scores import present_only
+from forgelens.functions.sql import array_of, exprs, in_list, lit, map_of, present_only
 from forgelens.tables import DEPENDENCY_TYPES, per_repo
 
 # License of name prefixes, in rule order, and the restrictive licenses.
@@ -23,38 +23,33 @@ TOOLING_TYPES = ("development", "build")
 # Merge
 
 
-def _merge_in_order(rows: DataFrame, key: str, order: Column) -> DataFrame:
+def _merge_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Reduce the rows of a key to one: the first seen wins, gaps are filled from later rows.
 
     The version comes from the first row that has one and the type from the first row whose type
     is known. All of it is one aggregate, so rows combine on the map side before the shuffle.
     """
-    first = F.min_by(F.struct("name", "version", "source", "dep_type"), order)
-    # A struct orders by its first field, so the least one carries the value of the first row.
-    with_version = F.min(
-        F.when(versions.present(F.col("version")), F.struct(order.alias("at"), "version"))
-    )
-    known_type = F.min(
-        F.when(F.col("dep_type") != "unknown", F.struct(order.alias("at"), "dep_type"))
-    )
-    return (
-        rows.groupBy("repo", key)
-        .agg(
-            first.alias("_first"),
-            with_version.alias("_versioned"),
-            known_type.alias("_typed"),
-            F.min(order).alias("ord"),
-        )
-        .select(
-            "repo",
-            *([key] if key != "name" else []),
-            F.col("_first.name").alias("name"),
-            F.coalesce("_versioned.version", "_first.version").alias("version"),
-            F.col("_first.source").alias("source"),
-            F.coalesce("_typed.dep_type", "_first.dep_type").alias("dep_type"),
-            "ord",
+    has_version = versions.present("version")
+    merged = rows.groupBy("repo", key).agg(
+        *exprs(
+            first=f"min_by(struct(name, version, source, dep_type), {order})",
+            # A struct orders by its first field, so the least one is that of the first row.
+            versioned=f"min(CASE WHEN {has_version} THEN struct({order} AS at, version) END)",
+            typed=f"min(CASE WHEN dep_type <> 'unknown' THEN struct({order} AS at, dep_type) END)",
+            ord=f"min({order})",
         )
     )
+    return merged.select(
+        "repo",
+        *([key] if key != "name" else []),
+        *exprs(
+            name="first.name",
+            version="coalesce(versioned.version, first.version)",
+            source="first.source",
+            dep_type="coalesce(typed.dep_type, first.dep_type)",
+        ),
+        "ord",
+    )
 
 
 def entries_per_manifest(occurrences: DataFrame) -> DataFrame:
@@ -62,16 +57,18 @@ def entries_per_manifest(occurrences: DataFrame) -> DataFrame:
     return (
         occurrences.groupBy("repo", "file_seq", "name")
         .agg(
-            F.min("entry_seq").alias("entry_seq"),
-            F.max_by(F.struct("version", "source", "dep_type"), "entry_seq").alias("_last"),
+            *exprs(
+                entry_seq="min(entry_seq)",
+                last="max_by(struct(version, source, dep_type), entry_seq)",
+            )
         )
-        .select("repo", "file_seq", "entry_seq", "name", "_last.*")
+        .select("repo", "file_seq", "entry_seq", "name", "last.*")
     )
 
 
 def merge_dependencies(occurrences: DataFrame) -> DataFrame:
     """Merge manifests in file order, by the name as spelled."""
-    order = F.struct("file_seq", "entry_seq")
+    order = "struct(file_seq, entry_seq)"
     return _merge_in_order(entries_per_manifest(occurrences), "name", order)
 
 
@@ -81,56 +78,53 @@ def deduplicate(merged: DataFrame) -> DataFrame:
     This is a second step on purpose: a spelling is back-filled by its own later entries before
     another spelling can lend it a version.
     """
-    keyed = merged.withColumn("dep_key", F.lower("name"))
-    return _merge_in_order(keyed, "dep_key", F.col("ord"))
+    return _merge_in_order(merged.withColumn("dep_key", F.lower("name")), "dep_key", "ord")
 
 
 # Enrichment
 
 
-def resolve_license(name: Column, rules: Sequence[tuple[str, str]] = LICENSE_PREFIXES) -> Column:
-    lowered = F.lower(name)
-    matches = [F.when(F.startswith(lowered, F.lit(prefix)), F.lit(value)) for prefix, value in rules]
-    return F.coalesce(*matches, F.lit("Unknown"))
+def resolve_license(name: str = "name", rules: Sequence[tuple[str, str]] = LICENSE_PREFIXES) -> str:
+    if not rules:
+        return "'Unknown'"
+    cases = " ".join(
+        f"WHEN startswith(lower({name}), {lit(prefix)}) THEN {lit(value)}" for prefix, value in rules
+    )
+    return f"CASE {cases} ELSE 'Unknown' END"
 
 
-def _vulnerability(prefix: str, severity: str, description: str, name: Column) -> Column:
-    return F.struct(
-        F.concat(F.lit(prefix), F.upper(name), F.lit("-001")).alias("identifier"),
-        F.lit(severity).alias("severity"),
-        F.lit(description).alias("description"),
-        F.lit(None).cast("string").alias("fixed_version"),
+def _vulnerability(prefix: str, severity: str, description: str, name: str) -> str:
+    return (
+        f"struct('{prefix}' || upper({name}) || '-001' AS identifier, '{severity}' AS severity, "
+        f"'{description}' AS description, cast(NULL AS string) AS fixed_version)"
     )
 
 
-def resolve_vulnerabilities(name: Column, version: Column) -> Column:
-    pre = F.when(
-        versions.contains_word(version, "alpha", "beta"),
-        _vulnerability("PRE-", "medium", "Pre-release version detected", name),
+def resolve_vulnerabilities(name: str = "name", version: str = "version") -> str:
+    early = _vulnerability("PRE-", "medium", "Pre-release version detected", name)
+    zero = _vulnerability("ZERO-", "high", "Major version zero dependency", name)
+    return present_only(
+        f"CASE WHEN {versions.contains_word(version, 'alpha', 'beta')} THEN {early} END",
+        f"CASE WHEN {versions.starts_with_zero(version)} THEN {zero} END",
     )
-    zero = F.when(
-        versions.starts_with_zero(version),
-        _vulnerability("ZERO-", "high", "Major version zero dependency", name),
-    )
-    return present_only(pre, zero)
 
 
-def has_severe(vulnerabilities: Column) -> Column:
-    return F.exists(vulnerabilities, lambda v: v["severity"].isin("high", "critical"))
+def has_severe(vulnerabilities: str = "vulnerabilities") -> str:
+    return f"exists({vulnerabilities}, v -> v.severity IN ('high', 'critical'))"
 
 
 def enrich(
     deduplicated: DataFrame, license_rules: Sequence[tuple[str, str]] = LICENSE_PREFIXES
 ) -> DataFrame:
     """Add license, vulnerabilities and the vulnerable and outdated flags."""
-    name, version = F.col("name"), F.col("version")
-    return deduplicated.withColumns(
-        {
-            "license": resolve_license(name, license_rules),
-            "vulnerabilities": resolve_vulnerabilities(name, version),
-            "is_outdated": versions.has_zero_major(version),
-        }
-    ).withColumn("is_vulnerable", has_severe(F.col("vulnerabilities")))
+    return deduplicated.select(
+        "*",
+        *exprs(
+            license=resolve_license("name", license_rules),
+            vulnerabilities=resolve_vulnerabilities(),
+            is_outdated=versions.has_zero_major("version"),
+        ),
+    ).select("*", *exprs(is_vulnerable=has_severe()))
 
 
 def dependencies(
@@ -144,58 +138,48 @@ def dependencies(
 
 
 def outdated_count(repos: DataFrame, deps: DataFrame) -> DataFrame:
-    outdated = F.count_if(versions.has_zero_major(F.col("version"))).alias("outdated")
-    return per_repo(repos, deps.groupBy("repo").agg(outdated), zeros={"outdated": 0})
+    outdated = exprs(outdated=f"count_if({versions.has_zero_major('version')})")
+    return per_repo(repos, deps.groupBy("repo").agg(*outdated), zeros={"outdated": 0})
 
 
 def vulnerable_count(repos: DataFrame, deps: DataFrame) -> DataFrame:
-    severe = has_severe(resolve_vulnerabilities(F.col("name"), F.col("version")))
-    counts = deps.groupBy("repo").agg(F.count_if(severe).alias("vulnerable"))
-    return per_repo(repos, counts, zeros={"vulnerable": 0})
+    severe = exprs(vulnerable=f"count_if({has_severe(resolve_vulnerabilities())})")
+    return per_repo(repos, deps.groupBy("repo").agg(*severe), zeros={"vulnerable": 0})
 
 
 def dependency_summary(repos: DataFrame, deps: DataFrame, sources: DataFrame) -> DataFrame:
     """Totals per repository; ``sources (repo, sources_detected)`` comes from the manifests."""
-    counts = deps.groupBy("repo").agg(
-        F.count("*").alias("total"),
-        F.count_if("is_vulnerable").alias("vulnerable"),
-        F.count_if("is_outdated").alias("outdated"),
-    )
-    return (
-        per_repo(repos, counts, sources, zeros={"total": 0, "vulnerable": 0, "outdated": 0})
-        .withColumn(
-            "sources_detected", F.coalesce("sources_detected", F.array().cast("array<string>"))
-        )
-        .withColumn("sources", F.size("sources_detected").cast("bigint"))
+    counts = {
+        "total": "count(*)",
+        "vulnerable": "count_if(is_vulnerable)",
+        "outdated": "count_if(is_outdated)",
+    }
+    joined = per_repo(
+        repos, deps.groupBy("repo").agg(*exprs(**counts)), sources, zeros=dict.fromkeys(counts, 0)
     )
+    return joined.withColumn(
+        "sources_detected", F.expr(f"coalesce(sources_detected, {array_of([])})")
+    ).withColumn("sources", F.expr("bigint(size(sources_detected))"))
 
 
 def sources_in(occurrences: DataFrame) -> DataFrame:
     """Ecosystems seen in dependency rows, for inputs that come without manifests."""
-    found = F.array_sort(F.collect_set("source")).alias("sources_detected")
-    return occurrences.groupBy("repo").agg(found)
+    found = exprs(sources_detected="array_sort(collect_set(source))")
+    return occurrences.groupBy("repo").agg(*found)
 
 
-def health_score(total: Column, vulnerable: Column, outdated: Column) -> Column:
-    whole = F.when(total > 0, total.cast("double"))
-    penalty = vulnerable / whole * 0.6 + outdated / whole * 0.4
-    score = F.greatest(F.lit(0.0), F.round(F.lit(1.0) - penalty, 3))
-    return F.when(total == 0, F.lit(1.0)).otherwise(score)
+def health_score(total: str, vulnerable: str, outdated: str) -> str:
+    penalty = f"({vulnerable} / double({total}) * 0.6D + {outdated} / double({total}) * 0.4D)"
+    return f"CASE WHEN {total} = 0 THEN 1.0D ELSE greatest(0.0D, round(1.0D - {penalty}, 3)) END"
 
 
-def recommendations(vulnerable: Column, outdated: Column, health: Column) -> Column:
+def recommendations(vulnerable: str, outdated: str, health: str) -> str:
     found = present_only(
-        F.when(
-            vulnerable > 0,
-            F.concat(vulnerable.cast("string"), F.lit(" vulnerable dependencies detected")),
-        ),
-        F.when(
-            outdated > 0, F.concat(outdated.cast("string"), F.lit(" outdated dependencies detected"))
-        ),
-        F.when(health < 0.7, F.lit("Dependency health score is below recommended threshold")),
+        f"CASE WHEN {vulnerable} > 0 THEN {vulnerable} || ' vulnerable dependencies detected' END",
+        f"CASE WHEN {outdated} > 0 THEN {outdated} || ' outdated dependencies detected' END",
+        f"CASE WHEN {health} < 0.7D THEN 'Dependency health score is below recommended threshold' END",
     )
-    none = F.array(F.lit("No major dependency issues detected"))
-    return F.when(F.size(found) > 0, found).otherwise(none)
+    return f"if(size({found}) > 0, {found}, array('No major dependency issues detected'))"
 
 
 def dependencies_by_type(repos: DataFrame, deps: DataFrame) -> DataFrame:
@@ -203,25 +187,19 @@ def dependencies_by_type(repos: DataFrame, deps: DataFrame) -> DataFrame:
 
     Every repository has all six types; a type without members has one row with NULL name.
     """
-    members = deps.select("repo", "dep_type", "name")
-    every_type = F.array(*[F.lit(t) for t in DEPENDENCY_TYPES])
-    present = deps.groupBy("repo").agg(F.collect_set("dep_type").alias("_present"))
-    none = F.array().cast("array<string>")
-    empty = repos.join(present, "repo", "left").select(
-        "repo",
-        F.explode(F.array_except(every_type, F.coalesce("_present", none))).alias("dep_type"),
-        F.lit(None).cast("string").alias("name"),
+    present = deps.groupBy("repo").agg(*exprs(present="collect_set(dep_type)"))
+    absent = f"array_except({array_of(DEPENDENCY_TYPES)}, coalesce(present, {array_of([])}))"
+    empty = repos.join(present, "repo", "left").selectExpr(
+        "repo", f"explode({absent}) AS dep_type", "cast(NULL AS string) AS name"
     )
-    return members.unionByName(empty)
+    return deps.select("repo", "dep_type", "name").unionByName(empty)
 
 
 def type_counts(repos: DataFrame, deps: DataFrame) -> DataFrame:
     """Number of dependencies of each of the six types, zeros included."""
-    every_type = F.explode(F.array(*[F.lit(t) for t in DEPENDENCY_TYPES])).alias("dep_type")
-    counts = deps.groupBy("repo", "dep_type").agg(F.count("*").alias("dependencies"))
-    return repos.select("repo", every_type).join(counts, ["repo", "dep_type"], "left").fillna(
-        0, ["dependencies"]
-    )
+    every_type = repos.selectExpr("repo", f"explode({array_of(DEPENDENCY_TYPES)}) AS dep_type")
+    counts = deps.groupBy("repo", "dep_type").agg(*exprs(dependencies="count(*)"))
+    return every_type.join(counts, ["repo", "dep_type"], "left").fillna(0, ["dependencies"])
 
 
 def dependencies_by_source(deps: DataFrame) -> DataFrame:
@@ -230,138 +208,123 @@ def dependencies_by_source(deps: DataFrame) -> DataFrame:
 
 
 def license_distribution(deps: DataFrame) -> DataFrame:
-    return deps.groupBy("repo", "license").agg(F.count("*").alias("dependencies"))
+    return deps.groupBy("repo", "license").agg(*exprs(dependencies="count(*)"))
 
 
 # Risk and freshness
 
+IS_RESTRICTIVE = in_list("license", RESTRICTIVE_LICENSES)
+IS_TOOLING = in_list("dep_type", TOOLING_TYPES)
+IS_ZERO = versions.starts_with_zero("version")
+IS_PRE_RELEASE = versions.is_pre_release("version")
+IS_PINNED = versions.present("version")
 
-def is_restrictive() -> Column:
-    return F.col("license").isin(*RESTRICTIVE_LICENSES)
 
-
-def risk_score() -> Column:
-    zero = versions.starts_with_zero(F.col("version"))
+def risk_score() -> str:
     score = (
-        F.when(F.col("is_vulnerable"), 0.5).otherwise(0.0)
-        + F.when(zero, 0.2).otherwise(0.0)
-        + F.when(is_restrictive(), 0.2).otherwise(0.0)
-        - F.when(F.col("dep_type") == "optional", 0.1).otherwise(0.0)
+        f"if(is_vulnerable, 0.5D, 0.0D) + if({IS_ZERO}, 0.2D, 0.0D) "
+        f"+ if({IS_RESTRICTIVE}, 0.2D, 0.0D) - if(dep_type = 'optional', 0.1D, 0.0D)"
     )
-    return F.least(F.lit(1.0), F.round(score, 3))
+    return f"least(1.0D, round({score}, 3))"
 
 
 def with_risk(deps: DataFrame) -> DataFrame:
-    return deps.withColumn("risk_score", risk_score())
+    return deps.withColumn("risk_score", F.expr(risk_score()))
 
 
 def high_risk_nodes(deps: DataFrame, threshold: float = 0.5) -> DataFrame:
-    return with_risk(deps).where(F.col("risk_score") >= threshold).select("repo", "name", "risk_score")
+    return with_risk(deps).where(f"risk_score >= {threshold}D").select("repo", "name", "risk_score")
 
 
 def high_risk_dependencies(deps: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The insight report's own weighting; differs from ``risk_score``."""
     weight = (
-        F.when(F.col("is_vulnerable"), 0.4).otherwise(0.0)
-        + F.when(versions.starts_with_zero(F.col("version")), 0.2).otherwise(0.0)
-        + F.when(is_restrictive(), 0.2).otherwise(0.0)
+        f"if(is_vulnerable, 0.4D, 0.0D) + if({IS_ZERO}, 0.2D, 0.0D) + if({IS_RESTRICTIVE}, 0.2D, 0.0D)"
     )
-    return deps.where(weight >= threshold).select("repo", "name")
+    return deps.where(f"{weight} >= {threshold}D").select("repo", "name")
 
 
-def freshness() -> Column:
-    version = F.col("version")
+def freshness() -> str:
     return (
-        F.when(~versions.present(version), "unknown")
-        .when(versions.contains_word(version, "dev", "alpha"), "experimental")
-        .when(versions.starts_with_zero(version), "early")
-        .when(versions.has_positive_major(version), "stable")
-        .otherwise("unknown")
+        f"CASE WHEN NOT {IS_PINNED} THEN 'unknown' "
+        f"WHEN {versions.contains_word('version', 'dev', 'alpha')} THEN 'experimental' "
+        f"WHEN {IS_ZERO} THEN 'early' WHEN {versions.has_positive_major('version')} THEN 'stable' "
+        "ELSE 'unknown' END"
     )
 
 
 def freshness_summary(deps: DataFrame) -> DataFrame:
-    return deps.groupBy("repo", freshness().alias("freshness")).agg(F.count("*").alias("dependencies"))
+    grouped = deps.groupBy("repo", *exprs(freshness=freshness()))
+    return grouped.agg(*exprs(dependencies="count(*)"))
 
 
 # Policy
 
 
 def evaluate_policy(
-    repos: DataFrame,
     deps: DataFrame,
     max_vulnerable: int = 0,
     disallowed_licenses: Iterable[str] = (),
     allow_pre_release: bool = False,
 ) -> DataFrame:
     """One row per violation: ``(repo, rule, name, message)``."""
-    vulnerable = deps.groupBy("repo").agg(F.count_if("is_vulnerable").alias("_n"))
-    count = F.col("_n").cast("string")
-    over = vulnerable.where(F.col("_n") > max_vulnerable).select(
+    vulnerable = deps.groupBy("repo").agg(*exprs(n="count_if(is_vulnerable)"))
+    over = vulnerable.where(f"n > {max_vulnerable}").selectExpr(
         "repo",
-        F.lit("vulnerable_limit").alias("rule"),
-        F.lit(None).cast("string").alias("name"),
-        F.concat(F.lit("Vulnerable dependencies exceed limit ("), count, F.lit(")")).alias("message"),
+        "'vulnerable_limit' AS rule",
+        "cast(NULL AS string) AS name",
+        "'Vulnerable dependencies exceed limit (' || n || ')' AS message",
     )
-    name, license_ = F.col("name"), F.col("license")
-    banned = F.when(
-        license_.isin(*disallowed_licenses),
-        F.struct(
-            F.lit("license").alias("rule"),
-            F.concat(
-                F.lit("Disallowed license detected: "), name, F.lit(" ("), license_, F.lit(")")
-            ).alias("message"),
-        ),
+    banned = (
+        f"CASE WHEN {in_list('license', disallowed_licenses)} THEN struct('license' AS rule, "
+        "'Disallowed license detected: ' || name || ' (' || license || ')' AS message) END"
     )
-    early = F.when(
-        F.lit(not allow_pre_release) & versions.is_pre_release(F.col("version")),
-        F.struct(
-            F.lit("pre_release").alias("rule"),
-            F.concat(F.lit("Pre-release dependency detected: "), name).alias("message"),
-        ),
+    early = (
+        f"CASE WHEN {str(not allow_pre_release).lower()} AND {IS_PRE_RELEASE} THEN "
+        "struct('pre_release' AS rule, 'Pre-release dependency detected: ' || name AS message) END"
     )
-    each = deps.select("repo", "name", F.explode(present_only(banned, early)).alias("_v"))
-    return over.unionByName(each.select("repo", "_v.rule", "name", "_v.message"))
+    each = deps.selectExpr("repo", "name", f"explode({present_only(banned, early)}) AS v")
+    return over.unionByName(each.select("repo", "v.rule", "name", "v.message"))
 
 
 # Confidence
 
-
-def confidence_columns() -> tuple[Column, Column]:
-    """Score and reasons; the points are subtracted in a fixed order."""
-    version, name, source = F.col("version"), F.col("name"), F.col("source")
-    rules = [
-        (~versions.present(version), 0.25, "missing_version"),
-        (versions.is_pre_release(version), 0.15, "pre_release_version"),
-        ((source == "python") & F.startswith(name, F.lit("_")), 0.1, "private_python_package"),
-        ((source == "javascript") & F.startswith(name, F.lit("@")), 0.05, "scoped_package"),
-        ((source == "jvm") & F.contains(name, F.lit(":")), 0.05, "multi_artifact_coordinate"),
-        (F.col("license") == "Unknown", 0.15, "unknown_license"),
-    ]
-    score = F.lit(1.0)
-    for holds, points, _ in rules:
-        score = score - F.when(holds, points).otherwise(0.0)
-    reasons = present_only(*[F.when(holds, F.lit(reason)) for holds, _, reason in rules])
-    return F.greatest(F.lit(0.0), F.round(score, 3)), reasons
+# Condition, points lost and reason, in the order in which the points are subtracted.
+CONFIDENCE_RULES = (
+    (f"NOT {IS_PINNED}", 0.25, "missing_version"),
+    (IS_PRE_RELEASE, 0.15, "pre_release_version"),
+    ("source = 'python' AND startswith(name, '_')", 0.1, "private_python_package"),
+    ("source = 'javascript' AND startswith(name, '@')", 0.05, "scoped_package"),
+    ("source = 'jvm' AND contains(name, ':')", 0.05, "multi_artifact_coordinate"),
+    ("license = 'Unknown'", 0.15, "unknown_license"),
+)
 
 
 def confidence(deps: DataFrame) -> DataFrame:
-    score, reasons = confidence_columns()
+    lost = " ".join(f"- if({holds}, {points}D, 0.0D)" for holds, points, _ in CONFIDENCE_RULES)
+    reasons = [f"CASE WHEN {holds} THEN '{reason}' END" for holds, _, reason in CONFIDENCE_RULES]
     return deps.select(
-        "repo", "name", "source", score.alias("confidence_score"), reasons.alias("reasons")
+        "repo",
+        "name",
+        "source",
+        *exprs(
+            confidence_score=f"greatest(0.0D, round(1.0D {lost}, 3))", reasons=present_only(*reasons)
+        ),
     )
 
 
 def low_confidence(deps: DataFrame, below: float = 0.6) -> DataFrame:
-    return confidence(deps).where(F.col("confidence_score") < below)
+    return confidence(deps).where(f"confidence_score < {below}D")
 
 
 def confidence_summary(repos: DataFrame, deps: DataFrame, below: float = 0.6) -> DataFrame:
     # Scores have three decimals, so thousandths add up exactly in any order.
-    thousandths = F.sum(F.round(F.col("confidence_score") * 1000).cast("bigint"))
+    thousandths = "sum(bigint(round(confidence_score * 1000)))"
     totals = confidence(deps).groupBy("repo").agg(
-        F.round(thousandths / F.count("*") / 1000, 3).alias("average_confidence"),
-        F.count_if(F.col("confidence_score") < below).alias("low_confidence_dependencies"),
+        *exprs(
+            average_confidence=f"round({thousandths} / count(*) / 1000, 3)",
+            low_confidence_dependencies=f"count_if(confidence_score < {below}D)",
+        )
     )
     zeros = {"average_confidence": 1.0, "low_confidence_dependencies": 0}
     return per_repo(repos, totals, zeros=zeros)
@@ -370,130 +333,96 @@ def confidence_summary(repos: DataFrame, deps: DataFrame, below: float = 0.6) ->
 # Findings and explanations
 
 
-def _finding(severity: Column, category: str, message: Column, evidence: dict[str, Column]) -> Column:
-    items = [x for key, value in evidence.items() for x in (F.lit(key), value)]
-    mapping = F.create_map(*items) if items else F.create_map().cast("map<string,string>")
-    return F.struct(
-        severity.alias("severity"),
-        F.lit(category).alias("category"),
-        message.alias("message"),
-        mapping.cast("map<string,string>").alias("evidence"),
+def _finding(severity: str, category: str, message: str, evidence: dict[str, str]) -> str:
+    mapping = map_of(evidence) if evidence else "map()"
+    return (
+        f"struct({severity} AS severity, '{category}' AS category, {message} AS message, "
+        f"cast({mapping} AS map<string,string>) AS evidence)"
     )
 
 
 def findings(deps: DataFrame) -> DataFrame:
     """All findings, one row each, in order of ``position`` within a dependency."""
-    version, license_ = F.col("version"), F.col("license")
-    known = F.transform(
-        "vulnerabilities",
-        lambda v: _finding(
-            v["severity"],
-            "vulnerability",
-            F.concat(F.lit("Vulnerability detected: "), v["identifier"]),
-            {"version": version, "description": v["description"]},
-        ),
+    version = {"version": "version"}
+    known = _finding(
+        "v.severity",
+        "vulnerability",
+        "'Vulnerability detected: ' || v.identifier",
+        {**version, "description": "v.description"},
     )
-    rules = present_only(
-        F.when(
-            is_restrictive(),
-            _finding(
-                F.lit("medium"),
-                "license",
-                F.concat(F.lit("Potentially restrictive license: "), license_),
-                {"license": license_},
-            ),
-        ),
-        F.when(
-            versions.starts_with_zero(version),
-            _finding(
-                F.lit("medium"),
-                "stability",
-                F.lit("Dependency uses major version zero"),
-                {"version": version},
-            ),
-        ),
-        F.when(
-            versions.is_pre_release(version),
-            _finding(
-                F.lit("low"),
-                "stability",
-                F.lit("Pre-release dependency version detected"),
-                {"version": version},
-            ),
-        ),
-        F.when(
-            F.col("dep_type") == "optional",
-            _finding(F.lit("info"), "classification", F.lit("Optional dependency"), {}),
-        ),
+    restrictive = "'Potentially restrictive license: ' || license"
+    early = "'Pre-release dependency version detected'"
+    rules = {
+        IS_RESTRICTIVE: _finding("'medium'", "license", restrictive, {"license": "license"}),
+        IS_ZERO: _finding("'medium'", "stability", "'Dependency uses major version zero'", version),
+        IS_PRE_RELEASE: _finding("'low'", "stability", early, version),
+        "dep_type = 'optional'": _finding("'info'", "classification", "'Optional dependency'", {}),
+    }
+    ruled = present_only(*[f"CASE WHEN {holds} THEN {f} END" for holds, f in rules.items()])
+    listed = f"concat(transform(vulnerabilities, v -> {known}), {ruled})"
+    return deps.selectExpr("repo", "name", f"posexplode({listed}) AS (position, f)").select(
+        "repo", "name", "position", "f.*"
     )
-    return deps.select(
-        "repo", "name", F.posexplode(F.concat(known, rules)).alias("position", "_f")
-    ).select("repo", "name", "position", "_f.*")
 
 
 def findings_by_severity(all_findings: DataFrame) -> DataFrame:
-    return all_findings.groupBy("repo", "severity").agg(F.count("*").alias("findings"))
+    return all_findings.groupBy("repo", "severity").agg(*exprs(findings="count(*)"))
 
 
-def risk_explanation() -> Column:
-    version = F.col("version")
+def risk_explanation() -> str:
     reasons = present_only(
-        F.when(F.col("is_vulnerable"), F.lit("known vulnerabilities")),
-        F.when(versions.starts_with_zero(version), F.lit("major version zero")),
-        F.when(is_restrictive(), F.lit("restrictive license")),
-        F.when(~versions.present(version), F.lit("missing version pin")),
+        "CASE WHEN is_vulnerable THEN 'known vulnerabilities' END",
+        f"CASE WHEN {IS_ZERO} THEN 'major version zero' END",
+        f"CASE WHEN {IS_RESTRICTIVE} THEN 'restrictive license' END",
+        f"CASE WHEN NOT {IS_PINNED} THEN 'missing version pin' END",
     )
-    text = F.concat(F.lit("Risk due to: "), F.array_join(reasons, ", "))
-    return F.when(F.size(reasons) > 0, text).otherwise("No significant risk factors identified")
+    text = f"'Risk due to: ' || array_join({reasons}, ', ')"
+    return f"if(size({reasons}) > 0, {text}, 'No significant risk factors identified')"
 
 
 def explanations(deps: DataFrame) -> DataFrame:
-    return deps.select("repo", "name", risk_explanation().alias("explanation"))
+    return deps.select("repo", "name", *exprs(explanation=risk_explanation()))
 
 
 # Usage and upgrades
 
 
 def usage_profiles(deps: DataFrame) -> DataFrame:
-    dep_type = F.col("dep_type")
-    tooling, runtime = dep_type.isin(*TOOLING_TYPES), dep_type == "runtime"
     reasons = present_only(
-        F.when(tooling, F.lit("development_or_build_dependency")),
-        F.when(runtime, F.lit("runtime_dependency")),
-        F.when(F.col("is_vulnerable"), F.lit("has_known_vulnerabilities")),
-        F.when(versions.starts_with_zero(F.col("version")), F.lit("early_version_dependency")),
-        F.when(is_restrictive(), F.lit("restrictive_license")),
+        f"CASE WHEN {IS_TOOLING} THEN 'development_or_build_dependency' END",
+        "CASE WHEN dep_type = 'runtime' THEN 'runtime_dependency' END",
+        "CASE WHEN is_vulnerable THEN 'has_known_vulnerabilities' END",
+        f"CASE WHEN {IS_ZERO} THEN 'early_version_dependency' END",
+        f"CASE WHEN {IS_RESTRICTIVE} THEN 'restrictive_license' END",
     )
-    none = F.array(F.lit("no_special_risk_indicators"))
-    criticality = F.when(F.col("is_vulnerable"), "high").when(tooling, "low").otherwise("medium")
     return deps.select(
         "repo",
         "name",
-        F.when(tooling, "tooling").when(runtime, "runtime").otherwise("direct").alias("usage_type"),
-        criticality.alias("criticality"),
-        F.when(F.size(reasons) > 0, reasons).otherwise(none).alias("reasoning"),
+        *exprs(
+            usage_type=f"CASE WHEN {IS_TOOLING} THEN 'tooling' WHEN dep_type = 'runtime' THEN 'runtime' ELSE 'direct' END",
+            criticality=f"CASE WHEN is_vulnerable THEN 'high' WHEN {IS_TOOLING} THEN 'low' ELSE 'medium' END",
+            reasoning=f"if(size({reasons}) > 0, {reasons}, array('no_special_risk_indicators'))",
+        ),
     )
 
 
 def upgrade_impacts(deps: DataFrame) -> DataFrame:
-    version = F.col("version")
-    pinned, vulnerable = versions.present(version), F.col("is_vulnerable")
-    zero, stable = versions.has_zero_major(version), versions.has_positive_major(version)
-    tooling = F.col("dep_type").isin(*TOOLING_TYPES)
+    zero, stable = versions.has_zero_major("version"), versions.has_positive_major("version")
     notes = present_only(
-        F.when(zero, F.lit("unstable_major_version")),
-        F.when(stable, F.lit("semantic_versioning_applies")),
-        F.when(vulnerable, F.lit("security_fix_recommended")),
-        F.when(tooling, F.lit("tooling_dependency")),
+        f"CASE WHEN {zero} THEN 'unstable_major_version' END",
+        f"CASE WHEN {stable} THEN 'semantic_versioning_applies' END",
+        "CASE WHEN is_vulnerable THEN 'security_fix_recommended' END",
+        f"CASE WHEN {IS_TOOLING} THEN 'tooling_dependency' END",
     )
-    risk = F.when(vulnerable | zero, "high").when(stable, "medium").otherwise("low")
-    effort = F.when(tooling, "low").when(zero | stable, "medium").otherwise("low")
-    unknown = F.lit("unknown")
+    risk = f"CASE WHEN is_vulnerable OR {zero} THEN 'high' WHEN {stable} THEN 'medium' ELSE 'low' END"
+    effort = f"CASE WHEN {IS_TOOLING} THEN 'low' WHEN {zero} OR {stable} THEN 'medium' ELSE 'low' END"
     return deps.select(
         "repo",
         "name",
-        F.when(pinned, version).alias("current_version"),
-        F.when(pinned, risk).otherwise(unknown).alias("risk_level"),
-        F.when(pinned, effort).otherwise(unknown).alias("estimated_effort"),
-        F.when(pinned, notes).otherwise(F.array(F.lit("version_not_pinned"))).alias("notes"),
+        *exprs(
+            current_version=f"CASE WHEN {IS_PINNED} THEN version END",
+            risk_level=f"if({IS_PINNED}, {risk}, 'unknown')",
+            estimated_effort=f"if({IS_PINNED}, {effort}, 'unknown')",
+            notes=f"if({IS_PINNED}, {notes}, array('version_not_pinned'))",
+        ),
     )

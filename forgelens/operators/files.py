@@ -5,20 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgelens.functions import paths
-from forgelens.functions.text import (
-    content_hash,
-    decode_lenient,
-    has_open_end,
-    is_binary,
-    line_parts,
-    lstrip,
-    safe_text,
-    strip,
-)
+from forgelens.functions import paths, text
+from forgelens.functions.sql import array_of, expr_map, exprs, in_list, lit, map_of, present_only
 from forgelens.operators.skew import first_n, join_hot, salt_of, salts
 from forgelens.tables import per_repo
 
@@ -31,41 +22,33 @@ COMMENT_PREFIXES = {".py": "#", ".js": "//", ".ts": "//", ".java": "//"}
 DEPTH_SLOTS = 4096
 
 
-def _line_counts(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Add total and blank line counts of a text column; the pieces are split once."""
-    pieces = F.col(f"_{prefix}pieces")
-    rest = has_open_end(pieces)
-    blank = F.size(F.filter(pieces, lambda line: strip(line) == "")) - rest
-    return (
-        df.withColumn(f"_{prefix}pieces", line_parts(F.col(text)))
-        .withColumns(
-            {
-                f"{prefix}total_lines": (F.size(pieces) - rest).cast("bigint"),
-                f"{prefix}blank_lines": blank.cast("bigint"),
-            }
-        )
-        .withColumn(
-            f"{prefix}non_blank_lines", F.col(f"{prefix}total_lines") - F.col(f"{prefix}blank_lines")
-        )
-        .drop(f"_{prefix}pieces")
-    )
-
-
 def classify_files(files: DataFrame) -> DataFrame:
     """Add ``language`` and ``category``; only the binary probe looks at the content."""
-    path = F.col("path")
     return files.withColumns(
-        {
-            "language": paths.language(path),
-            "category": paths.category(is_binary(F.col("content")), path),
-        }
+        expr_map(
+            {"language": paths.language(), "category": paths.category(text.is_binary("content"))}
+        )
     )
 
 
+def _with_pieces(files: DataFrame, content_text: str) -> DataFrame:
+    """Split the text once; the counts that follow read the pieces."""
+    return files.withColumn("_pieces", F.expr(text.line_parts(content_text)))
+
+
+LINE_COUNTS = {
+    "total_lines": text.line_count("_pieces"),
+    "blank_lines": text.blank_count("_pieces"),
+    "non_blank_lines": f"{text.line_count('_pieces')} - {text.blank_count('_pieces')}",
+}
+
+
 def count_file_lines(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Add line counts of the safe text: none for binary or missing content."""
-    with_text = files.withColumn("_text", safe_text(F.col("content"), max_bytes))
-    return _line_counts(with_text, "_text", "").drop("_text")
+    pieces = _with_pieces(files, text.safe_text("content", max_bytes))
+    totals = expr_map({k: LINE_COUNTS[k] for k in ("total_lines", "blank_lines")})
+    counted = pieces.withColumns(totals).drop("_pieces")
+    return counted.withColumn("non_blank_lines", F.expr("total_lines - blank_lines"))
 
 
 def file_features(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -76,32 +59,35 @@ def file_features(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return count_file_lines(classify_files(files), max_bytes).drop("content")
 
 
+def _comment_count(pieces: str, suffix: str) -> str:
+    """Lines that start with the comment prefix of the suffix; none where it has no prefix."""
+    prefix = f"try_element_at({map_of({k: lit(v) for k, v in COMMENT_PREFIXES.items()})}, {suffix})"
+    marked = f"filter({pieces}, l -> startswith({text.lstrip('l')}, {prefix}))"
+    return f"bigint(if({in_list(suffix, COMMENT_PREFIXES)}, size({marked}), 0))"
+
+
 def line_kinds(files: DataFrame) -> DataFrame:
     """Per-file total, code, blank and comment lines of the files the counter knows."""
-    suffix = paths.suffix(F.col("path"))
-    wanted = suffix.isin(*COMMENT_PREFIXES) & ~paths.is_loc_excluded(F.col("path"))
-    prefix = F.create_map(*[F.lit(x) for pair in COMMENT_PREFIXES.items() for x in pair])[suffix]
-    pieces = F.col("_pieces")
-    stripped = F.transform(pieces, lstrip)
-    blank = F.size(F.filter(stripped, lambda line: line == "")) - has_open_end(pieces)
-    comment = F.size(F.filter(stripped, lambda line: F.startswith(line, F.col("_prefix"))))
+    known = in_list("_suffix", COMMENT_PREFIXES)
+    wanted = files.withColumn("_suffix", F.expr(paths.suffix())).where(
+        f"{known} AND NOT {paths.is_loc_excluded()}"
+    )
     return (
-        files.where(wanted)
-        .withColumn("_pieces", line_parts(decode_lenient(F.col("content"))))
+        _with_pieces(wanted, text.decode_lenient("content"))
         .select(
             "repo",
             "path",
-            (F.size(pieces) - has_open_end(pieces)).cast("bigint").alias("total_lines"),
-            blank.cast("bigint").alias("blank_lines"),
-            "_pieces",
-            prefix.alias("_prefix"),
+            *exprs(
+                total_lines=text.line_count("_pieces"),
+                blank_lines=text.blank_count("_pieces"),
+                comment_lines=_comment_count("_pieces", "_suffix"),
+            ),
         )
-        .withColumn("comment_lines", comment.cast("bigint"))
-        .select(
+        .selectExpr(
             "repo",
             "path",
             "total_lines",
-            (F.col("total_lines") - F.col("blank_lines") - F.col("comment_lines")).alias("code_lines"),
+            "total_lines - blank_lines - comment_lines AS code_lines",
             "blank_lines",
             "comment_lines",
         )
@@ -110,25 +96,57 @@ def line_kinds(files: DataFrame) -> DataFrame:
 
 def plain_line_counts(files: DataFrame) -> DataFrame:
     """Per-file lines of the nine code suffixes, read without a binary guard."""
-    known = files.where(paths.suffix(F.col("path")).isin(*LOC_SUFFIXES))
-    with_text = known.withColumn("_text", decode_lenient(F.col("content")))
-    counted = _line_counts(with_text, "_text", "")
-    return counted.select("repo", "path", "total_lines", "blank_lines", "non_blank_lines")
+    known = files.where(in_list(paths.suffix(), LOC_SUFFIXES))
+    pieces = _with_pieces(known, text.decode_lenient("content"))
+    counted = pieces.select(
+        "repo", "path", *exprs(total_lines=LINE_COUNTS["total_lines"], blank_lines=LINE_COUNTS["blank_lines"])
+    )
+    return counted.withColumn("non_blank_lines", F.expr("total_lines - blank_lines"))
+
+
+def _token_count(content_text: str) -> str:
+    """Occurrences of the branch tokens as plain substrings."""
+    return "bigint(" + " + ".join(f"regexp_count({content_text}, {lit(t)})" for t in BRANCH_TOKENS) + ")"
 
 
 def branch_tokens(files: DataFrame) -> DataFrame:
-    """Per-file count of branch tokens in Python files, as plain substrings."""
-    text = F.col("_text")
-    total = sum((F.regexp_count(text, F.lit(token)) for token in BRANCH_TOKENS), F.lit(0))
-    return (
-        files.where(F.endswith("path", F.lit(".py")))
-        .withColumn("_text", decode_lenient(F.col("content")))
-        .select("repo", "path", total.cast("bigint").alias("tokens"))
+    """Per-file count of branch tokens in Python files."""
+    python = files.where("endswith(path, '.py')")
+    with_text = python.withColumn("_text", F.expr(text.decode_lenient("content")))
+    return with_text.select("repo", "path", *exprs(tokens=_token_count("_text")))
+
+
+def file_measures(files: DataFrame, whole_root_files: Iterable[str] = ()) -> DataFrame:
+    """All numbers the analyzers need of each file, from one reading of its content.
+
+    Only code files and the named root files are decoded and split. ``lines`` and ``blank_lines``
+    are plain counts, ``comment_lines`` and ``tokens`` are 0 where they are not defined.
+    """
+    code = in_list("_suffix", LOC_SUFFIXES)
+    python = "endswith(path, '.py')"
+    needed = f"{code} OR {python} OR {in_list('path', whole_root_files)}"
+    decoded = files.withColumn("_suffix", F.expr(paths.suffix())).select(
+        "repo",
+        "path",
+        "_suffix",
+        *exprs(_text=f"CASE WHEN {needed} THEN {text.decode_lenient('content')} ELSE '' END"),
+    )
+    return _with_pieces(decoded, "_text").select(
+        "repo",
+        "path",
+        *exprs(
+            is_code=code,
+            has_comments=f"{in_list('_suffix', COMMENT_PREFIXES)} AND NOT {paths.is_loc_excluded()}",
+            lines=text.line_count("_pieces"),
+            blank_lines=text.blank_count("_pieces"),
+            comment_lines=_comment_count("_pieces", "_suffix"),
+            tokens=f"if({python}, {_token_count('_text')}, 0L)",
+        ),
     )
 
 
 def file_hashes(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
-    return files.withColumn("hash", content_hash(F.col("content"), algorithm))
+    return files.withColumn("hash", F.expr(text.content_hash("content", algorithm)))
 
 
 # Filters
@@ -136,35 +154,32 @@ def file_hashes(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
 
 def listed(files: DataFrame, exclude_dirs: Iterable[str] = ()) -> DataFrame:
     """Files outside the excluded directories."""
-    return files.where(~paths.in_excluded_dir(F.col("path"), exclude_dirs))
+    return files.where(f"NOT {paths.in_excluded_dir('path', exclude_dirs)}")
 
 
 def listed_dirs(dirs: DataFrame, exclude_dirs: Iterable[str] = ()) -> DataFrame:
     """Directories that are neither excluded nor below an excluded one."""
     names = [*paths.EXCLUDED_DIRS, *exclude_dirs]
-    return dirs.where(~paths.has_excluded_name(F.col("path"), names))
+    return dirs.where(f"NOT {paths.has_excluded_name('path', names)}")
 
 
 def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that no ignore rule of their repository matches."""
-    f, r = F.col("path"), F.col("pattern")
-    hit = (
-        F.when(F.col("kind") == "prefix", F.startswith(f, r))
-        .when(F.col("kind") == "suffix", F.endswith(f, r))
-        .otherwise(F.contains(f, r))
+    matches = (
+        "f.repo = r.repo AND f._salt = r._salt AND CASE r.kind WHEN 'prefix' THEN startswith(f.path, r.pattern) "
+        "WHEN 'suffix' THEN endswith(f.path, r.pattern) ELSE contains(f.path, r.pattern) END"
     )
     salted = files.withColumn("_salt", salt_of("path")).alias("f")
     spread = rules.withColumn("_salt", F.explode(salts())).alias("r")
-    same = (F.col("f.repo") == F.col("r.repo")) & (F.col("f._salt") == F.col("r._salt"))
-    return salted.join(spread, same & hit, "left_anti").drop("_salt")
+    return salted.join(spread, F.expr(matches), "left_anti").drop("_salt")
 
 
 def large_files(files: DataFrame, min_size_bytes: int) -> DataFrame:
-    return files.where(F.col("size_bytes") >= min_size_bytes)
+    return files.where(f"size_bytes >= {min_size_bytes}")
 
 
 def shallow_dirs(dirs: DataFrame, max_depth: int) -> DataFrame:
-    return dirs.where(F.col("depth") <= max_depth)
+    return dirs.where(f"depth <= {max_depth}")
 
 
 # Directories
@@ -177,22 +192,24 @@ def derive_dirs(files: DataFrame) -> DataFrame:
     directory, outer directories first, and is unique for depths below ``DEPTH_SLOTS``.
     """
     parents = (
-        files.groupBy("repo", paths.parent(F.col("path")).alias("dir"))
+        files.groupBy("repo", *exprs(dir=paths.parent()))
         .agg(F.min("seq").alias("first_seq"))
         .where("dir <> ''")
     )
-    depth = paths.depth(F.col("path")).cast("int")
+    depth = f"int({paths.depth()})"
     return (
-        parents.select("repo", "first_seq", F.explode(paths.ancestors(F.col("dir"))).alias("path"))
+        parents.selectExpr("repo", "first_seq", f"explode({paths.ancestors('dir')}) AS path")
         .groupBy("repo", "path")
         .agg(F.min("first_seq").alias("first_seq"))
         .select(
             "repo",
-            (F.col("first_seq") * DEPTH_SLOTS + depth).alias("seq"),
-            "path",
-            depth.alias("depth"),
-            F.lit(False).alias("is_symlink"),
-            F.lit(True).alias("readable"),
+            *exprs(
+                seq=f"first_seq * {DEPTH_SLOTS} + {depth}",
+                path="path",
+                depth=depth,
+                is_symlink="false",
+                readable="true",
+            ),
         )
     )
 
@@ -204,29 +221,26 @@ def directory_totals(files: DataFrame, dirs: DataFrame, include_root: bool = Fal
     directory, so only distinct directories take part in the lookup of the nearest one.
     Files at the root belong to no directory unless ``include_root`` adds the row ``''``.
     """
-    parents = files.groupBy("repo", paths.parent(F.col("path")).alias("dir")).agg(
-        F.count("*").alias("total_files"), F.sum("size_bytes").alias("total_size_bytes")
-    )
+    sums = exprs(total_files="count(*)", total_size_bytes="sum(size_bytes)")
+    parents = files.groupBy("repo", *exprs(dir=paths.parent())).agg(*sums)
     known = dirs.select("repo", "path", "depth")
     if include_root:
-        root = files.select("repo").distinct().select("repo", F.lit("").alias("path"), F.lit(0).alias("depth"))
+        root = files.select("repo").distinct().selectExpr("repo", "'' AS path", "0 AS depth")
         known = known.unionByName(root)
-    candidates = parents.select(
-        "*", F.explode(F.concat(F.array(F.lit("")), paths.ancestors(F.col("dir")))).alias("path")
-    ).distinct()
+    above = f"explode(array_distinct(concat(array(''), {paths.ancestors('dir')}))) AS path"
+    candidates = parents.selectExpr("*", above)
     nearest = (
         join_hot(candidates, known, ["repo", "path"], ["dir"], ways=8)
         .groupBy("repo", "dir")
         .agg(
-            F.max_by("path", "depth").alias("path"),
-            F.first("total_files").alias("total_files"),
-            F.first("total_size_bytes").alias("total_size_bytes"),
+            *exprs(
+                path="max_by(path, depth)",
+                total_files="any_value(total_files)",
+                total_size_bytes="any_value(total_size_bytes)",
+            )
         )
         .groupBy("repo", "path")
-        .agg(
-            F.sum("total_files").alias("total_files"),
-            F.sum("total_size_bytes").alias("total_size_bytes"),
-        )
+        .agg(*exprs(total_files="sum(total_files)", total_size_bytes="sum(total_size_bytes)"))
     )
     return known.join(nearest, ["repo", "path"], "left").fillna(
         0, ["total_files", "total_size_bytes"]
@@ -258,19 +272,19 @@ def _scan(
     dirs: DataFrame,
     limits: ScanLimits,
     exclude_dirs: Iterable[str],
-    keep_file: Column,
-    keep_dir: Column,
+    keep_file: str,
+    keep_dir: str,
 ) -> Scan:
     inside = listed(files, exclude_dirs)
-    good = inside.where(F.col("error").isNull() & keep_file)
+    good = inside.where(f"error IS NULL AND {keep_file}")
     found_dirs = listed_dirs(dirs, exclude_dirs).where(keep_dir)
     if limits.max_depth is not None:
-        good = good.where(paths.depth(F.col("path")) <= limits.max_depth)
+        good = good.where(f"{paths.depth()} <= {limits.max_depth}")
         found_dirs = shallow_dirs(found_dirs, limits.max_depth)
     good = good.select(*SCAN_COLUMNS)
     if limits.max_files is not None:
         good = first_n(good, ["repo"], "seq", limits.max_files)
-    errors = inside.where(F.col("error").isNotNull()).select("repo", "seq", "path", "error")
+    errors = inside.where("error IS NOT NULL").select("repo", "seq", "path", "error")
     return Scan(good, found_dirs.select("repo", "seq", "path", "depth"), errors)
 
 
@@ -279,8 +293,8 @@ def scan(
 ) -> Scan:
     """Metadata scan: symlinked files are left out unless symlinks are followed."""
     limits = limits or ScanLimits()
-    keep = F.lit(True) if limits.follow_symlinks else ~F.col("is_symlink")
-    return _scan(files, dirs, limits, exclude_dirs, keep, F.lit(True))
+    keep = "true" if limits.follow_symlinks else "NOT is_symlink"
+    return _scan(files, dirs, limits, exclude_dirs, keep, "true")
 
 
 def scan_guarded(
@@ -288,9 +302,7 @@ def scan_guarded(
 ) -> Scan:
     """Scan without unreadable entries, and without symlinks unless they are followed."""
     limits = limits or ScanLimits()
-    safe = F.col("readable")
-    if not limits.follow_symlinks:
-        safe = safe & ~F.col("is_symlink")
+    safe = "readable" if limits.follow_symlinks else "readable AND NOT is_symlink"
     return _scan(files, dirs, limits, exclude_dirs, safe, safe)
 
 
@@ -298,7 +310,7 @@ def scan_best_effort(
     files: DataFrame, dirs: DataFrame, limits: ScanLimits | None = None, exclude_dirs: Iterable[str] = ()
 ) -> Scan:
     """Scan that keeps every entry, symlinked files included."""
-    return _scan(files, dirs, limits or ScanLimits(), exclude_dirs, F.lit(True), F.lit(True))
+    return _scan(files, dirs, limits or ScanLimits(), exclude_dirs, "true", "true")
 
 
 def truncate_errors(errors: DataFrame, max_errors: int = 50) -> DataFrame:
@@ -319,15 +331,14 @@ def enforce_limits(
 
 def scan_summary(repos: DataFrame, result: Scan) -> DataFrame:
     """Counts and bytes per repository, zeros included."""
-    zeros = {"total_files": 0, "total_directories": 0, "total_size_bytes": 0, "errors_count": 0}
+    zeros = ("total_files", "total_directories", "total_size_bytes", "errors_count")
+    sums = exprs(total_files="count(*)", total_size_bytes="sum(size_bytes)")
     return per_repo(
         repos,
-        result.files.groupBy("repo").agg(
-            F.count("*").alias("total_files"), F.sum("size_bytes").alias("total_size_bytes")
-        ),
+        result.files.groupBy("repo").agg(*sums),
         result.dirs.groupBy("repo").agg(F.count("*").alias("total_directories")),
         result.errors.groupBy("repo").agg(F.count("*").alias("errors_count")),
-        zeros=zeros,
+        zeros=dict.fromkeys(zeros, 0),
     )
 
 
@@ -335,9 +346,9 @@ def scan_summary(repos: DataFrame, result: Scan) -> DataFrame:
 
 
 def files_per_language(files: DataFrame, exclude_dirs: Iterable[str] = ()) -> DataFrame:
-    language = paths.language(F.col("path")).alias("language")
-    counted = listed(files, exclude_dirs).select("repo", language).where("language IS NOT NULL")
-    return counted.groupBy("repo", "language").agg(F.count("*").alias("files"))
+    named = listed(files, exclude_dirs).select("repo", *exprs(language=paths.language()))
+    counted = named.where("language IS NOT NULL").groupBy("repo", "language")
+    return counted.agg(F.count("*").alias("files"))
 
 
 def files_per_category(files: DataFrame, exclude_dirs: Iterable[str] = ()) -> DataFrame:
@@ -347,7 +358,7 @@ def files_per_category(files: DataFrame, exclude_dirs: Iterable[str] = ()) -> Da
 
 def depth_histogram(files: DataFrame, dirs: DataFrame) -> DataFrame:
     """Entries per depth, directories included."""
-    entries = listed(files).select("repo", paths.depth(F.col("path")).cast("int").alias("depth"))
+    entries = listed(files).select("repo", *exprs(depth=f"int({paths.depth()})"))
     both = entries.unionByName(listed_dirs(dirs).select("repo", "depth"))
     return both.groupBy("repo", "depth").agg(F.count("*").alias("entries"))
 
@@ -361,7 +372,7 @@ def repository_lines(
     sums = ("total_lines", "blank_lines", "non_blank_lines")
     counted = count_file_lines(listed(files, exclude_dirs), max_bytes_per_file)
     totals = counted.groupBy("repo").agg(
-        *[F.sum(c).alias(c) for c in sums], F.count("*").alias("files_counted")
+        *exprs(**{c: f"sum({c})" for c in sums}, files_counted="count(*)")
     )
     return per_repo(repos, totals, zeros=dict.fromkeys([*sums, "files_counted"], 0))
 
@@ -373,32 +384,29 @@ def directory_size(repos: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def extension_histogram(files: DataFrame) -> DataFrame:
-    ext = paths.suffix(F.col("path"))
-    named = F.when(ext == "", "<none>").otherwise(ext).alias("extension")
-    return files.groupBy("repo", named).agg(F.count("*").alias("files"))
-
-
-def index_counts(repos: DataFrame, files: DataFrame) -> DataFrame:
-    """Total, test and source files of the plain file index, without exclusions."""
-    flagged = index_files(files)
-    counts = flagged.groupBy("repo").agg(
-        F.count("*").alias("total_files"),
-        F.count_if("is_test").alias("test_files"),
-        F.count_if("is_source").alias("source_files"),
-    )
-    return per_repo(repos, counts, zeros={"total_files": 0, "test_files": 0, "source_files": 0})
+    named = exprs(extension=f"coalesce(nullif({paths.suffix()}, ''), '<none>')")
+    return files.groupBy("repo", *named).agg(F.count("*").alias("files"))
 
 
 def index_files(files: DataFrame) -> DataFrame:
-    path = F.col("path")
     return files.select(
         "repo",
         "path",
-        paths.is_index_test_path(path).alias("is_test"),
-        paths.is_index_source_path(path).alias("is_source"),
+        *exprs(is_test=paths.is_index_test_path(), is_source=paths.is_index_source_path()),
     )
 
 
+def index_counts(repos: DataFrame, files: DataFrame) -> DataFrame:
+    """Total, test and source files of the plain file index, without exclusions."""
+    counts = {
+        "total_files": "count(*)",
+        "test_files": "count_if(is_test)",
+        "source_files": "count_if(is_source)",
+    }
+    grouped = index_files(files).groupBy("repo").agg(*exprs(**counts))
+    return per_repo(repos, grouped, zeros=dict.fromkeys(counts, 0))
+
+
 def entry_counts(repos: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
     """Files and directories together, per repository."""
     entries = files.select("repo").unionByName(dirs.select("repo"))
@@ -408,44 +416,49 @@ def entry_counts(repos: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFra
 
 def directory_names(dirs: DataFrame) -> DataFrame:
     """Distinct directory names per repository, one row each."""
-    return dirs.select("repo", paths.file_name(F.col("path")).alias("name")).distinct()
+    return dirs.select("repo", *exprs(name=paths.file_name())).distinct()
+
+
+# Directories whose absence is a finding, with message and severity.
+WANTED_DIRECTORIES = {
+    "tests": ("No tests directory detected", "medium"),
+    ".github": ("No CI configuration detected", "low"),
+}
 
 
 def structure_findings(
     repos: DataFrame, files: DataFrame, dirs: DataFrame, max_entries: int = 100_000
 ) -> DataFrame:
     """Findings on repository size and on missing test and CI directories."""
-    size = F.col("file_count").cast("string")
     too_many = (
         entry_counts(repos, files, dirs)
-        .where(F.col("file_count") > max_entries)
+        .where(f"file_count > {max_entries}")
         .select(
             "repo",
-            F.concat(
-                F.lit("Repository contains "), size, F.lit(f" files (limit: {max_entries})")
-            ).alias("message"),
-            F.lit("high").alias("severity"),
-            F.lit("size_check").alias("source"),
+            *exprs(
+                message=f"'Repository contains ' || file_count || ' files (limit: {max_entries})'",
+                severity="'high'",
+                source="'size_check'",
+            ),
         )
     )
-    name = paths.file_name(F.col("path"))
-    wanted = {
-        "tests": ("No tests directory detected", "medium"),
-        ".github": ("No CI configuration detected", "low"),
-    }
-    present = dirs.where(name.isin(*wanted)).groupBy("repo").agg(F.collect_set(name).alias("_names"))
-    findings = [
-        F.when(
-            ~F.array_contains("_names", required),
-            F.struct(F.lit(message).alias("message"), F.lit(severity).alias("severity")),
-        )
-        for required, (message, severity) in wanted.items()
-    ]
+    name = paths.file_name()
+    present = (
+        dirs.where(in_list(name, WANTED_DIRECTORIES))
+        .groupBy("repo")
+        .agg(F.expr(f"collect_set({name}) AS _names"))
+    )
+    findings = present_only(
+        *[
+            f"CASE WHEN NOT array_contains(coalesce(_names, {array_of([])}), {lit(wanted)}) "
+            f"THEN struct({lit(message)} AS message, {lit(severity)} AS severity) END"
+            for wanted, (message, severity) in WANTED_DIRECTORIES.items()
+        ]
+    )
     missing = (
         repos.join(present, "repo", "left")
-        .withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
-        .select("repo", F.explode(F.array_compact(F.array(*findings))).alias("_f"))
-        .select("repo", "_f.message", "_f.severity", F.lit("structure_scan").alias("source"))
+        .selectExpr("repo", f"explode({findings}) AS f")
+        .selectExpr("repo", "f.message", "f.severity", "'structure_scan' AS source")
     )
     return too_many.unionByName(missing)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions.scores import share
+from forgelens.functions.sql import expr_map, exprs, in_list
 from forgelens.functions.text import strip
 from forgelens.operators.skew import first_n, join_hot, row_numbers
 from forgelens.tables import per_repo
@@ -19,9 +20,8 @@ LOW_QUALITY_MESSAGES = ("fix", "update", "changes", "stuff", "wip")
 
 
 def normalize_authors(commits: DataFrame) -> DataFrame:
-    return commits.withColumns(
-        {c: F.lower(strip(F.col(c))) for c in ("author_name", "author_email")}
-    )
+    names = ("author_name", "author_email")
+    return commits.withColumns(expr_map({c: f"lower({strip(c)})" for c in names}))
 
 
 def newest_commits(commits: DataFrame, max_commits: int | None) -> DataFrame:
@@ -29,51 +29,50 @@ def newest_commits(commits: DataFrame, max_commits: int | None) -> DataFrame:
 
 
 def is_meaningful(
-    message: Column,
+    message: str = "message",
     min_length: int = MIN_MESSAGE_LENGTH,
     low_quality: Iterable[str] = LOW_QUALITY_MESSAGES,
-) -> Column:
+) -> str:
     text = strip(message)
-    good = (F.length(text) >= min_length) & ~F.lower(text).isin(*low_quality)
-    return F.coalesce(good, F.lit(False))
+    poor = in_list(f"lower({text})", low_quality)
+    return f"coalesce(length({text}) >= {min_length} AND NOT {poor}, false)"
 
 
-def is_merge(message: Column) -> Column:
-    return F.startswith(F.lower(message), F.lit("merge"))
+def is_merge(message: str = "message") -> str:
+    return f"startswith(lower({message}), 'merge')"
 
 
-def day_of(ts: Column) -> Column:
-    return F.substring(ts.cast("string"), 1, 10)
+def day_of(ts: str = "authored_at") -> str:
+    return f"left(cast({ts} AS string), 10)"
 
 
-def month_of(ts: Column) -> Column:
-    return F.substring(ts.cast("string"), 1, 7)
+def month_of(ts: str = "authored_at") -> str:
+    return f"left(cast({ts} AS string), 7)"
 
 
-def moment(at: datetime) -> Column:
+def moment(at: datetime) -> str:
     """A UTC point in time as a literal that no session time zone moves."""
-    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+    return f"timestamp_ntz '{at.isoformat(sep=' ')}'"
 
 
-def whole_days(start: Column, end: Column) -> Column:
+def whole_days(start: str, end: str) -> str:
     """Whole 24-hour periods from start to end, rounded down; independent of any time zone."""
 
-    def time_of_day(ts: Column) -> Column:
-        return ts - ts.cast("date").cast("timestamp_ntz")
+    def time_of_day(ts: str) -> str:
+        return f"({ts} - cast(cast({ts} AS date) AS timestamp_ntz))"
 
-    early = F.when(time_of_day(end) < time_of_day(start), 1).otherwise(0)
-    return (F.date_diff(end.cast("date"), start.cast("date")) - early).cast("bigint")
+    early = f"if({time_of_day(end)} < {time_of_day(start)}, 1L, 0L)"
+    return f"(datediff(cast({end} AS date), cast({start} AS date)) - {early})"
 
 
 # Change statistics
 
 
 def commit_stats(commit_files: DataFrame) -> DataFrame:
-    return commit_files.groupBy("repo", "commit_hash").agg(
-        F.count("*").alias("files_changed"),
-        F.sum("insertions").alias("insertions"),
-        F.sum("deletions").alias("deletions"),
+    sums = exprs(
+        files_changed="count(*)", insertions="sum(insertions)", deletions="sum(deletions)"
     )
+    return commit_files.groupBy("repo", "commit_hash").agg(*sums)
 
 
 def attach_commit_stats(
@@ -86,30 +85,27 @@ def attach_commit_stats(
     """
     key = ["repo", "commit_hash"]
     columns = ("files_changed", "insertions", "deletions")
-    joined = commits.join(commit_stats(commit_files), key, "left")
-    filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in columns})
+    filled = commits.join(commit_stats(commit_files), key, "left").fillna(0, list(columns))
     if failed is None:
         return filled
-    marked = filled.join(failed.select(*key).distinct().withColumn("_failed", F.lit(True)), key, "left")
-    return marked.withColumns({c: F.when(F.col("_failed").isNull(), F.col(c)) for c in columns}).drop("_failed")
+    marks = failed.select(*key).distinct().withColumn("_failed", F.lit(True))
+    cleared = {c: f"CASE WHEN _failed IS NULL THEN {c} END" for c in columns}
+    return filled.join(marks, key, "left").withColumns(expr_map(cleared)).drop("_failed")
 
 
 def change_totals(repos: DataFrame, commits_with_stats: DataFrame) -> DataFrame:
-    totals = commits_with_stats.groupBy("repo").agg(
-        F.sum("files_changed").alias("files_changed"),
-        F.sum("insertions").alias("total_insertions"),
-        F.sum("deletions").alias("total_deletions"),
-    )
-    zeros = dict.fromkeys(["files_changed", "total_insertions", "total_deletions"], 0)
-    return per_repo(repos, totals, zeros=zeros)
+    sums = {
+        "files_changed": "sum(files_changed)",
+        "total_insertions": "sum(insertions)",
+        "total_deletions": "sum(deletions)",
+    }
+    totals = commits_with_stats.groupBy("repo").agg(*exprs(**sums))
+    return per_repo(repos, totals, zeros=dict.fromkeys(sums, 0))
 
 
 def _impact(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("commits"),
-        F.sum("insertions").alias("insertions"),
-        F.sum("deletions").alias("deletions"),
-    )
+    sums = exprs(commits="count(*)", insertions="sum(insertions)", deletions="sum(deletions)")
+    return rows.groupBy(*keys).agg(*sums)
 
 
 def commit_file_impact(commit_files: DataFrame) -> DataFrame:
@@ -126,22 +122,29 @@ def file_impact(commit_files: DataFrame, commits: DataFrame | None = None) -> Da
 
 def churn_against_mean(impacts: DataFrame) -> DataFrame:
     """Each file's churn beside the mean of its repository."""
-    churn = impacts.select("repo", "path", (F.col("insertions") + F.col("deletions")).alias("churn"))
+    churn = impacts.selectExpr("repo", "path", "insertions + deletions AS churn")
     means = churn.groupBy("repo").agg(
-        F.count("*").alias("files"), (F.sum("churn") / F.count("*")).alias("mean_churn")
+        *exprs(files="count(*)", mean_churn="sum(churn) / count(*)")
     )
     return join_hot(churn, means, ["repo"], ["path"])
 
 
 def churn(repos: DataFrame, impacts: DataFrame) -> DataFrame:
     """Files changed, files with more than twice the mean churn, and the mean."""
-    totals = churn_against_mean(impacts).groupBy("repo").agg(
-        F.count("*").alias("files"),
-        F.count_if(F.col("churn") > F.col("mean_churn") * 2).alias("high_churn_files"),
-        F.round(F.sum("churn") / F.count("*"), 2).alias("average_churn"),
-    )
     return per_repo(
-        repos, totals, zeros={"files": 0, "high_churn_files": 0, "average_churn": 0.0}
+        repos,
+        churn_totals(impacts),
+        zeros={"files": 0, "high_churn_files": 0, "average_churn": 0.0},
+    )
+
+
+def churn_totals(impacts: DataFrame) -> DataFrame:
+    return churn_against_mean(impacts).groupBy("repo").agg(
+        *exprs(
+            files="count(*)",
+            high_churn_files="count_if(churn > mean_churn * 2)",
+            average_churn="round(sum(churn) / count(*), 2)",
+        )
     )
 
 
@@ -150,57 +153,51 @@ def churn(repos: DataFrame, impacts: DataFrame) -> DataFrame:
 
 def activity_totals(commits: DataFrame) -> DataFrame:
     """All plain counts of a repository's commits, in one pass and one shuffle."""
-    message = F.col("message")
     return commits.groupBy("repo").agg(
-        F.count("*").alias("total_commits"),
-        F.min("authored_at").alias("first_commit_at"),
-        F.max("authored_at").alias("last_commit_at"),
-        F.count_if(is_meaningful(message)).alias("meaningful_messages"),
-        F.count_if(is_merge(message)).alias("merge_commits"),
+        *exprs(
+            total_commits="count(*)",
+            first_commit_at="min(authored_at)",
+            last_commit_at="max(authored_at)",
+            meaningful_messages=f"count_if({is_meaningful()})",
+            merge_commits=f"count_if({is_merge()})",
+        )
     )
 
 
-
-def _count(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
-
-
-def frequency_columns() -> dict[str, Column]:
-    span = whole_days(F.col("first_commit_at"), F.col("last_commit_at"))
-    days = F.greatest(span + 1, F.lit(1))
+def frequency_columns() -> dict[str, str]:
+    days = f"greatest({whole_days('first_commit_at', 'last_commit_at')} + 1, 1L)"
     return {
-        "total_commits": _count("total_commits"),
-        "days_active": F.when(F.col("first_commit_at").isNull(), F.lit(0)).otherwise(days).cast("bigint"),
-        "commits_per_day": share(F.col("total_commits"), days),
+        "total_commits": "coalesce(total_commits, 0L)",
+        "days_active": f"if(first_commit_at IS NULL, 0L, {days})",
+        "commits_per_day": share("total_commits", days),
     }
 
 
-def inactivity_columns(as_of: datetime, inactive_days_threshold: int = 90) -> dict[str, Column]:
-    days = whole_days(F.col("last_commit_at"), moment(as_of))
+def inactivity_columns(as_of: datetime, inactive_days_threshold: int = 90) -> dict[str, str]:
+    days = whole_days("last_commit_at", moment(as_of))
     return {
-        "inactive": F.coalesce(days >= inactive_days_threshold, F.lit(True)),
+        "inactive": f"coalesce({days} >= {inactive_days_threshold}, true)",
         "days_since_last_commit": days,
     }
 
 
-def message_columns() -> dict[str, Column]:
+def message_columns() -> dict[str, str]:
     return {
-        "total_messages": _count("total_commits"),
-        "meaningful_messages": _count("meaningful_messages"),
-        "meaningful_ratio": share(F.col("meaningful_messages"), F.col("total_commits")),
+        "total_messages": "coalesce(total_commits, 0L)",
+        "meaningful_messages": "coalesce(meaningful_messages, 0L)",
+        "meaningful_ratio": share("meaningful_messages", "total_commits"),
     }
 
 
-def merge_columns() -> dict[str, Column]:
+def merge_columns() -> dict[str, str]:
     return {
-        "merge_commits": _count("merge_commits"),
-        "merge_ratio": share(F.col("merge_commits"), F.col("total_commits")),
+        "merge_commits": "coalesce(merge_commits, 0L)",
+        "merge_ratio": share("merge_commits", "total_commits"),
     }
 
 
-def _activity(repos: DataFrame, commits: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    totals = per_repo(repos, activity_totals(commits))
-    return totals.select("repo", *[c.alias(name) for name, c in columns.items()])
+def _activity(repos: DataFrame, commits: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return per_repo(repos, activity_totals(commits)).select("repo", *exprs(**columns))
 
 
 def commit_frequency(repos: DataFrame, commits: DataFrame) -> DataFrame:
@@ -226,18 +223,16 @@ def commits_per_author(commits: DataFrame) -> DataFrame:
 
 
 def commits_per_day(commits: DataFrame) -> DataFrame:
-    day = day_of(F.col("authored_at")).alias("day")
-    return commits.groupBy("repo", day).agg(F.count("*").alias("commits"))
+    return commits.groupBy("repo", *exprs(day=day_of())).agg(F.count("*").alias("commits"))
 
 
 def commits_per_month(commits: DataFrame) -> DataFrame:
-    month = month_of(F.col("authored_at")).alias("month")
-    return commits.groupBy("repo", month).agg(F.count("*").alias("commits"))
+    return commits.groupBy("repo", *exprs(month=month_of())).agg(F.count("*").alias("commits"))
 
 
 def author_months(commits: DataFrame) -> DataFrame:
-    month = month_of(F.col("authored_at")).alias("month")
-    return commits.groupBy("repo", "author_email", month).agg(F.count("*").alias("commits"))
+    keys = ("repo", "author_email", *exprs(month=month_of()))
+    return commits.groupBy(*keys).agg(F.count("*").alias("commits"))
 
 
 # Authorship
@@ -246,17 +241,19 @@ def author_months(commits: DataFrame) -> DataFrame:
 def author_contributions(commits_with_stats: DataFrame) -> DataFrame:
     """Commits and changed lines per author; ``first_seq`` is the author's first place in the log."""
     return commits_with_stats.groupBy("repo", "author_email").agg(
-        F.count("*").alias("commits"),
-        F.coalesce(F.sum("insertions"), F.lit(0)).alias("insertions"),
-        F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"),
-        F.min("seq").alias("first_seq"),
+        *exprs(
+            commits="count(*)",
+            insertions="coalesce(sum(insertions), 0L)",
+            deletions="coalesce(sum(deletions), 0L)",
+            first_seq="min(seq)",
+        )
     )
 
 
 def author_ranks(commits: DataFrame) -> DataFrame:
     """The part of the contributions that the bus factor needs; no change statistics."""
     return commits.groupBy("repo", "author_email").agg(
-        F.count("*").alias("commits"), F.min("seq").alias("first_seq")
+        *exprs(commits="count(*)", first_seq="min(seq)")
     )
 
 
@@ -268,44 +265,41 @@ def _dominant_levels(contributions: DataFrame, threshold: float) -> DataFrame:
     authors are many. Within one commit count ``c`` the j-th author is needed as long as
     ``(before + j * c) / total`` stays below the threshold.
     """
-    ranked = Window.partitionBy("repo").orderBy(F.desc("commits"))
-    earlier = ranked.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("repo")
-    c, n = F.col("commits"), F.col("_authors")
-    before, total = F.col("_before"), F.col("_total")
-    guess = F.ceil((F.lit(threshold) * total - before) / c)
-
-    def reached(j: Column) -> Column:
-        return (before + j * c).cast("double") / total >= threshold
-
-    around = F.filter(F.sequence(guess - 1, guess + 1), reached)
-    needed = F.greatest(F.get(around, F.lit(0)), F.when(before == 0, F.lit(1)).otherwise(F.lit(0)))
+    earlier = "OVER (PARTITION BY repo ORDER BY commits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    guess = f"ceil(({threshold}D * total - before) / commits)"
+    needed = (
+        f"filter(sequence({guess} - 1, {guess} + 1), "
+        f"j -> double(before + j * commits) / total >= {threshold}D)"
+    )
     return (
         contributions.groupBy("repo", "commits")
-        .agg(F.count("*").alias("_authors"))
-        .withColumns(
-            {
-                "_before": F.coalesce(F.sum(c * n).over(earlier), F.lit(0)),
-                "_ahead": F.coalesce(F.sum(n).over(earlier), F.lit(0)),
-                "_total": F.sum(c * n).over(whole),
-            }
+        .agg(*exprs(authors="count(*)"))
+        .select(
+            "*",
+            *exprs(
+                before=f"coalesce(sum(commits * authors) {earlier}, 0L)",
+                ahead=f"coalesce(sum(authors) {earlier}, 0L)",
+                total="sum(commits * authors) OVER (PARTITION BY repo)",
+            ),
         )
-        .withColumn("_taken", F.least(n, needed))
-        .where(F.col("_taken") > 0)
+        .withColumn("taken", F.expr(f"least(authors, greatest(get({needed}, 0), int(before = 0)))"))
+        .where("taken > 0")
     )
 
 
+def bus_factor_totals(contributions: DataFrame, threshold: float = 0.5) -> DataFrame:
+    levels = _dominant_levels(contributions, threshold)
+    return levels.groupBy("repo").agg(*exprs(bus_factor="sum(taken)"))
+
+
 def bus_factor(repos: DataFrame, contributions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Number of most active authors who together reach the threshold share of commits."""
-    taken = _dominant_levels(contributions, threshold).groupBy("repo").agg(
-        F.sum("_taken").cast("bigint").alias("bus_factor")
-    )
-    return per_repo(repos, taken, zeros={"bus_factor": 0})
+    return per_repo(repos, bus_factor_totals(contributions, threshold), zeros={"bus_factor": 0})
 
 
 def dominant_authors(contributions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The authors behind the bus factor in order, ties by first appearance, one row each."""
-    levels = _dominant_levels(contributions, threshold).select("repo", "commits", "_ahead", "_taken")
+    levels = _dominant_levels(contributions, threshold).select("repo", "commits", "ahead", "taken")
     members = join_hot(
         contributions.select("repo", "author_email", "commits", "first_seq"),
         levels,
@@ -314,22 +308,20 @@ def dominant_authors(contributions: DataFrame, threshold: float = 0.5) -> DataFr
         ways=8,
     )
     return (
-        row_numbers(members, ["repo", "commits"], "first_seq", "_rn")
-        .where(F.col("_rn") <= F.col("_taken"))
-        .select("repo", (F.col("_ahead") + F.col("_rn")).alias("position"), "author_email", "commits")
+        row_numbers(members, ["repo", "commits"], "first_seq", "rn")
+        .where("rn <= taken")
+        .selectExpr("repo", "ahead + rn AS position", "author_email", "commits")
     )
 
 
 # Score
 
 
-def history_score_column() -> Column:
+def history_score() -> str:
     """Starts at 100 and loses points for inactivity, rare commits, few authors, poor messages."""
-    per_day = F.col("commits_per_day")
     lost = (
-        F.when(F.col("inactive"), 30.0).otherwise(0.0)
-        + F.when(per_day < 0.01, 20.0).when(per_day < 0.05, 10.0).otherwise(0.0)
-        + F.when(F.col("bus_factor") <= 1, 15.0).otherwise(0.0)
-        + F.when(F.col("meaningful_ratio") < 0.3, 10.0).otherwise(0.0)
+        "if(inactive, 30.0D, 0.0D)"
+        " + CASE WHEN commits_per_day < 0.01D THEN 20.0D WHEN commits_per_day < 0.05D THEN 10.0D ELSE 0.0D END"
+        " + if(bus_factor <= 1, 15.0D, 0.0D) + if(meaningful_ratio < 0.3D, 10.0D, 0.0D)"
     )
-    return F.greatest(F.round(F.lit(100.0) - lost, 2), F.lit(0.0))
+    return f"greatest(round(100.0D - ({lost}), 2), 0.0D)"

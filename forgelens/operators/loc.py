@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from forgelens.functions.sql import exprs
 from forgelens.operators.files import line_kinds
 from forgelens.tables import per_repo
 
@@ -13,37 +13,44 @@ LINE_KINDS = ("total_lines", "code_lines", "blank_lines", "comment_lines")
 
 def loc_totals(repos: DataFrame, file_loc: DataFrame) -> DataFrame:
     totals = file_loc.groupBy("repo").agg(
-        F.count("*").alias("files"), *[F.sum(c).alias(c) for c in LINE_KINDS]
+        *exprs(files="count(*)", **{c: f"sum({c})" for c in LINE_KINDS})
     )
     return per_repo(repos, totals, zeros=dict.fromkeys(["files", *LINE_KINDS], 0))
 
 
-def loc_statistics(repos: DataFrame, file_loc: DataFrame) -> DataFrame:
-    """Mean and exact median of total and code lines; NULL for a repository without files.
+def loc_summary(repos: DataFrame, file_loc: DataFrame) -> DataFrame:
+    """Totals with mean and exact median of total and code lines, from one reading of the files.
 
-    Files are first counted per line count, so the median sees distinct values with their
-    frequencies and not one row per file.
+    Files are first counted per measure and value. Sums, means and medians all follow from these
+    counts, and the median sees distinct values with frequencies instead of one row per file.
+    A repository without files has zero totals and NULL statistics.
     """
-    measures = F.explode(
-        F.create_map(F.lit("total"), F.col("total_lines"), F.lit("code"), F.col("code_lines"))
-    ).alias("measure", "lines")
-    counted = file_loc.select("repo", measures).groupBy("repo", "measure", "lines").agg(
-        F.count("*").alias("n")
+    measures = ", ".join(f"'{c}', {c}" for c in LINE_KINDS)
+    counted = (
+        file_loc.selectExpr("repo", f"explode(map({measures})) AS (measure, value)")
+        .groupBy("repo", "measure", "value")
+        .agg(*exprs(n="count(*)"))
+        .groupBy("repo", "measure")
+        .agg(
+            *exprs(
+                files="sum(n)",
+                total="sum(value * n)",
+                mean="sum(value * n) / sum(n)",
+                median="percentile(value, 0.5D, n)",
+            )
+        )
     )
-    stats = counted.groupBy("repo", "measure").agg(
-        (F.sum(F.col("lines") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.percentile("lines", 0.5, F.col("n")).alias("median"),
-    )
-    columns = [
-        F.max(F.when(F.col("measure") == measure, F.col(stat))).alias(f"{stat}_{measure}_lines")
-        for measure in ("total", "code")
-        for stat in ("mean", "median")
-    ]
-    return per_repo(repos, stats.groupBy("repo").agg(*columns))
+
+    def pick(stat: str, measure: str) -> str:
+        return f"max(CASE WHEN measure = '{measure}' THEN {stat} END)"
+
+    stats = {f"{s}_{m}": pick(s, m) for m in ("total_lines", "code_lines") for s in ("mean", "median")}
+    totals = {"files": pick("files", "total_lines"), **{m: pick("total", m) for m in LINE_KINDS}}
+    pivoted = counted.groupBy("repo").agg(*exprs(**totals, **stats))
+    return per_repo(repos, pivoted, zeros=dict.fromkeys(totals, 0))
 
 
 def loc_report(repos: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """Summary with statistics per repository, and the per-file rows beside it."""
     file_loc = line_kinds(files)
-    summary = loc_totals(repos, file_loc).join(loc_statistics(repos, file_loc), "repo")
-    return {"summary": summary, "files": file_loc}
+    return {"summary": loc_summary(repos, file_loc), "files": file_loc}

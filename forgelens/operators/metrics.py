@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions import scores
 from forgelens.functions.paths import CATEGORIES, LANGUAGES
+from forgelens.functions.sql import exprs, lit, present_only
 from forgelens.operators import history
 from forgelens.operators.files import file_features, listed
+from forgelens.operators.skew import join_hot
 from forgelens.plans.history_reports import extended_summary
 from forgelens.tables import per_repo
 
@@ -75,34 +78,37 @@ def structural_metrics(repos: DataFrame, files: DataFrame) -> DataFrame:
     One narrow pass over the contents and one shuffle of partial counts: languages and categories
     are known in advance, so each is a conditional count of the same aggregate.
     """
-    languages = sorted(set(LANGUAGES.values()))
-    features = file_features(listed(files))
-    totals = features.groupBy("repo").agg(
-        F.sum("total_lines").alias("total_lines"),
-        F.count("*").alias("files_counted"),
-        F.sum("blank_lines").alias("blank_lines"),
-        F.sum("non_blank_lines").alias("non_blank_lines"),
-        *[F.count_if(F.col("language") == x).alias(f"_l_{x}") for x in languages],
-        *[F.count_if(F.col("category") == x).alias(f"_c_{x}") for x in CATEGORIES],
+    sums = ("total_lines", "blank_lines", "non_blank_lines")
+    kinds = {"languages": ("language", LANGUAGES.values()), "file_categories": ("category", CATEGORIES)}
+    counts = {
+        f"_{column}_{value}": f"count_if({column} = {lit(value)})"
+        for column, values in kinds.values()
+        for value in sorted(set(values))
+    }
+    totals = file_features(listed(files)).groupBy("repo").agg(
+        *exprs(**{c: f"sum({c})" for c in sums}, files_counted="count(*)", **counts)
     )
 
-    def counted(prefix: str, names: list[str]) -> Column:
-        pairs = [x for name in names for x in (F.lit(name), F.coalesce(f"{prefix}{name}", F.lit(0)))]
-        return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
+    def counted(column: str, values: Iterable[str]) -> str:
+        pairs = ", ".join(f"{lit(v)}, coalesce(`_{column}_{v}`, 0L)" for v in sorted(set(values)))
+        return f"map_filter(map({pairs}), (k, n) -> n > 0)"
 
-    sums = ("total_lines", "files_counted", "blank_lines", "non_blank_lines")
     return per_repo(repos, totals).select(
         "repo",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in sums],
-        counted("_l_", languages).alias("languages"),
-        counted("_c_", sorted(CATEGORIES)).alias("file_categories"),
+        *exprs(
+            total_lines="coalesce(total_lines, 0L)",
+            files_counted="coalesce(files_counted, 0L)",
+            blank_lines="coalesce(blank_lines, 0L)",
+            non_blank_lines="coalesce(non_blank_lines, 0L)",
+            **{name: counted(*kind) for name, kind in kinds.items()},
+        ),
     )
 
 
 def activity_metrics(repos: DataFrame, commits: DataFrame, as_of: datetime) -> DataFrame:
     columns = {**history.frequency_columns(), **history.inactivity_columns(as_of)}
     totals = per_repo(repos, history.activity_totals(commits))
-    return totals.select("repo", *[c.alias(name) for name, c in columns.items()])
+    return totals.select("repo", *exprs(**columns))
 
 
 QUALITY = ("bus_factor", "meaningful_commit_ratio", "churn_average", "merge_ratio")
@@ -117,7 +123,7 @@ def history_metrics(
 ) -> DataFrame:
     """Activity metrics and quality signals from one reading of the history."""
     summary = extended_summary(repos, commits, commit_files, as_of, max_commits)
-    return summary.select(
+    return summary.selectExpr(
         "repo",
         "total_commits",
         "commits_per_day",
@@ -125,8 +131,8 @@ def history_metrics(
         "inactive",
         "days_since_last_commit",
         "bus_factor",
-        F.col("meaningful_ratio").alias("meaningful_commit_ratio"),
-        F.col("average_churn").alias("churn_average"),
+        "meaningful_ratio AS meaningful_commit_ratio",
+        "average_churn AS churn_average",
         "merge_ratio",
     )
 
@@ -154,54 +160,42 @@ def repository_metrics(
     structure = structural_metrics(repos, files)
     return structure.join(
         history_metrics(repos, commits, commit_files, as_of, max_commits), "repo"
-    ).withColumn("generated_at", history.moment(as_of))
+    ).withColumn("generated_at", F.expr(history.moment(as_of)))
 
 
 # Scores
 
 
-def structure_score() -> dict[str, Column]:
-    categories, counted = F.col("file_categories"), F.col("files_counted")
-    none = F.lit(0)
+def structure_score() -> dict[str, str]:
+    def part(category: str) -> str:
+        return scores.ratio(f"coalesce(try_element_at(file_categories, '{category}'), 0L)", "files_counted")
+
     parts = {
-        "language_diversity": scores.clamp(F.size("languages") / F.lit(5.0)),
-        "test_coverage_proxy": scores.ratio(
-            F.coalesce(F.try_element_at(categories, F.lit("test")), none), counted
-        ),
-        "documentation_proxy": scores.ratio(
-            F.coalesce(F.try_element_at(categories, F.lit("docs")), none), counted
-        ),
+        "language_diversity": scores.clamp("(size(languages) / 5.0D)"),
+        "test_coverage_proxy": part("test"),
+        "documentation_proxy": part("docs"),
     }
-    total = parts["language_diversity"] + parts["test_coverage_proxy"] + parts["documentation_proxy"]
-    return {**parts, "structure_score": scores.clamp(total / F.lit(3.0))}
+    return {**parts, "structure_score": scores.clamp(f"(({' + '.join(parts)}) / 3.0D)")}
 
 
-def activity_score(thresholds: Thresholds = DEFAULT_THRESHOLDS) -> dict[str, Column]:
+def activity_score(thresholds: Thresholds = DEFAULT_THRESHOLDS) -> dict[str, str]:
     """Recency counts for inactive repositories only; an active one has 0 there."""
-    days = F.col("days_since_last_commit")
-    frequency = scores.ratio(F.col("commits_per_day"), F.lit(thresholds.min_commits_per_day))
-    recency = F.when(
-        F.col("inactive") & days.isNotNull(), scores.inverse(days, thresholds.max_days_inactive)
-    ).otherwise(0.0)
+    recency = scores.inverse("days_since_last_commit", thresholds.max_days_inactive)
     return {
-        "frequency": frequency,
-        "recency": recency,
-        "activity_score": scores.clamp((frequency + recency) / F.lit(2.0)),
+        "frequency": scores.ratio("commits_per_day", f"{thresholds.min_commits_per_day}D"),
+        "recency": f"if(inactive AND days_since_last_commit IS NOT NULL, {recency}, 0.0D)",
+        "activity_score": scores.clamp("((frequency + recency) / 2.0D)"),
     }
 
 
-def quality_score(thresholds: Thresholds = DEFAULT_THRESHOLDS) -> dict[str, Column]:
-    bus = scores.ratio(F.col("bus_factor"), F.lit(thresholds.min_bus_factor))
-    messages = scores.clamp(F.col("meaningful_commit_ratio"))
-    churn = scores.inverse(F.col("churn_average"), thresholds.max_average_churn)
-    merges = scores.inverse(F.col("merge_ratio"), thresholds.max_merge_ratio)
-    return {
-        "bus_factor_score": bus,
-        "commit_messages": messages,
-        "churn": churn,
-        "merges": merges,
-        "quality_score": scores.clamp((bus + messages + churn + merges) / F.lit(4.0)),
+def quality_score(thresholds: Thresholds = DEFAULT_THRESHOLDS) -> dict[str, str]:
+    parts = {
+        "bus_factor_score": scores.ratio("bus_factor", str(thresholds.min_bus_factor)),
+        "commit_messages": scores.clamp("meaningful_commit_ratio"),
+        "churn": scores.inverse("churn_average", thresholds.max_average_churn),
+        "merges": scores.inverse("merge_ratio", thresholds.max_merge_ratio),
     }
+    return {**parts, "quality_score": scores.clamp(f"(({' + '.join(parts)}) / 4.0D)")}
 
 
 def with_scores(
@@ -212,27 +206,29 @@ def with_scores(
     """Add the section scores and the weighted total.
 
     Sections use the default thresholds whatever the preset, unless others are passed here.
+    A later expression refers to an earlier one of its select by name.
     """
     w = weights or DEFAULT_WEIGHTS
     sections = {**structure_score(), **activity_score(thresholds), **quality_score(thresholds)}
     total = (
-        F.col("structure_score") * w["structure"]
-        + F.col("activity_score") * w["activity"]
-        + F.col("quality_score") * w["quality"]
+        f"structure_score * {w['structure']}D + activity_score * {w['activity']}D "
+        f"+ quality_score * {w['quality']}D"
+    )
+    return metrics.select("*", *exprs(**sections)).withColumn(
+        "total_score", F.expr(f"round({scores.clamp(f'({total})')}, 3)")
     )
-    return metrics.withColumns(sections).withColumn("total_score", F.round(scores.clamp(total), 3))
 
 
-def risk_flags(thresholds: Thresholds = DEFAULT_THRESHOLDS) -> Column:
+def risk_flags(thresholds: Thresholds = DEFAULT_THRESHOLDS) -> str:
     t = thresholds
     rules = {
-        "inactive_repository": F.col("inactive"),
-        "low_bus_factor": F.col("bus_factor") < t.min_bus_factor,
-        "poor_commit_messages": F.col("meaningful_commit_ratio") < t.min_meaningful_commit_ratio,
-        "high_churn": F.col("churn_average") > t.max_average_churn,
-        "excessive_merges": F.col("merge_ratio") > t.max_merge_ratio,
+        "inactive_repository": "inactive",
+        "low_bus_factor": f"bus_factor < {t.min_bus_factor}",
+        "poor_commit_messages": f"meaningful_commit_ratio < {t.min_meaningful_commit_ratio}D",
+        "high_churn": f"churn_average > {t.max_average_churn}D",
+        "excessive_merges": f"merge_ratio > {t.max_merge_ratio}D",
     }
-    return scores.present_only(*[F.when(holds, F.lit(flag)) for flag, holds in rules.items()])
+    return present_only(*[f"CASE WHEN {holds} THEN '{flag}' END" for flag, holds in rules.items()])
 
 
 # Comparison
@@ -247,13 +243,13 @@ def compare_repositories(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
         "meaningful_commit_ratio_diff": "meaningful_commit_ratio",
     }
     scored = with_scores(metrics).select("repo", *values.values())
-    left = scored.select(F.col("repo").alias("a"), *[F.col(v).alias(f"_a_{v}") for v in values.values()])
-    right = scored.select(F.col("repo").alias("b"), *[F.col(v).alias(f"_b_{v}") for v in values.values()])
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", *[(F.col(f"_a_{v}") - F.col(f"_b_{v}")).alias(k) for k, v in values.items()])
-    )
+
+    def side(name: str) -> DataFrame:
+        return scored.selectExpr(f"repo AS {name}", *[f"{v} AS {name}_{v}" for v in values.values()])
+
+    differences = exprs(**{k: f"a_{v} - b_{v}" for k, v in values.items()})
+    left = join_hot(pairs, side("a"), ["a"], ["b"], ways=8)
+    return join_hot(left, side("b"), ["b"], ["a"], ways=8).select("a", "b", *differences)
 
 
 DELTA_COLUMNS = (
@@ -263,8 +259,6 @@ DELTA_COLUMNS = (
 
 def metric_deltas(snapshots: DataFrame, columns: tuple[str, ...] = DELTA_COLUMNS) -> DataFrame:
     """Change of each metric since the previous snapshot of the repository; NULL for the first."""
-    order = Window.partitionBy("repo").orderBy("snapshot_at")
-    deltas = [
-        F.round(F.col(c) - F.lag(c).over(order), 4).cast("double").alias(f"{c}_delta") for c in columns
-    ]
-    return snapshots.select("repo", "snapshot_at", *deltas)
+    before = "OVER (PARTITION BY repo ORDER BY snapshot_at)"
+    deltas = {f"{c}_delta": f"round(double({c}) - double(lag({c}) {before}), 4)" for c in columns}
+    return snapshots.select("repo", "snapshot_at", *exprs(**deltas))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 JOIN_WAYS = 32
@@ -16,12 +16,12 @@ BLOCK_ROWS = 65_536
 SMALL_LIMIT = 10_000
 
 
-def salt_of(*columns: str | Column, ways: int = JOIN_WAYS) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(ways)).cast("int")
+def salt_of(*columns: str, ways: int = JOIN_WAYS) -> Column:
+    return F.expr(f"int(pmod(xxhash64({', '.join(columns)}), {ways}))")
 
 
 def salts(ways: int = JOIN_WAYS) -> Column:
-    return F.sequence(F.lit(0), F.lit(ways - 1))
+    return F.expr(f"sequence(0, {ways - 1})")
 
 
 def join_hot(
@@ -47,22 +47,21 @@ def row_numbers(df: DataFrame, keys: Sequence[str], seq: str, name: str = "rn")
     """Row number per key in ``seq`` order, for groups of any size.
 
     ``seq`` is unique per key, so a block of consecutive values holds at most ``BLOCK_ROWS``
-    rows. Blocks are counted first, a running total over the few blocks gives each its offset,
+    rows (twice that around 0). Blocks are counted first, a running total over the few blocks gives each its offset,
     and rows are numbered inside their block only.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / F.lit(BLOCK_ROWS)))
+    by = ", ".join(keys)
+    blocked = df.withColumn("_block", F.expr(f"{seq} div {BLOCK_ROWS}"))
+    counts = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
     earlier = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        f"sum(_rows) OVER (PARTITION BY {by} ORDER BY _block "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    offsets = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.count("*").alias("_rows"))
-        .select(*keys, "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(seq)
+    offsets = counts.selectExpr(*keys, "_block", f"coalesce({earlier}, 0L) AS _offset")
+    inside = f"row_number() OVER (PARTITION BY {by}, _block ORDER BY {seq})"
     return (
         blocked.join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_offset") + F.row_number().over(inside))
+        .withColumn(name, F.expr(f"_offset + {inside}"))
         .drop("_block", "_offset")
     )
 
@@ -75,13 +74,14 @@ def first_n(df: DataFrame, keys: Sequence[str], seq: str, n: int) -> DataFrame:
     """
     if n > SMALL_LIMIT:
         return row_numbers(df, keys, seq, "_rn").where(F.col("_rn") <= n).drop("_rn")
-    part = Window.partitionBy(*keys, "_salt").orderBy(seq)
-    whole = Window.partitionBy(*keys).orderBy(seq)
+    by = ", ".join(keys)
+    part = F.expr(f"row_number() OVER (PARTITION BY {by}, _salt ORDER BY {seq})")
+    whole = F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY {seq})")
     return (
         df.withColumn("_salt", salt_of(seq))
-        .withColumn("_rn", F.row_number().over(part))
-        .where(F.col("_rn") <= n)
-        .withColumn("_rn", F.row_number().over(whole))
-        .where(F.col("_rn") <= n)
+        .withColumn("_rn", part)
+        .where(f"_rn <= {n}")
+        .withColumn("_rn", whole)
+        .where(f"_rn <= {n}")
         .drop("_salt", "_rn")
     )

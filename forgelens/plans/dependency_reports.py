@@ -13,12 +13,13 @@ from forgelens.sources import manifests as m
 
 
 def health_summary(repos: DataFrame, deps: DataFrame, sources: DataFrame) -> DataFrame:
-    counts = d.dependency_summary(repos, deps, sources)
-    scored = counts.withColumn(
-        "health_score", d.health_score(F.col("total"), F.col("vulnerable"), F.col("outdated"))
+    score = d.health_score("total", "vulnerable", "outdated")
+    advice = d.recommendations("vulnerable", "outdated", "health_score")
+    return (
+        d.dependency_summary(repos, deps, sources)
+        .withColumn("health_score", F.expr(score))
+        .withColumn("recommendations", F.expr(advice))
     )
-    advice = d.recommendations(F.col("vulnerable"), F.col("outdated"), F.col("health_score"))
-    return scored.withColumn("recommendations", advice)
 
 
 def dependency_report(

@@ -7,9 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgelens.functions import paths
 from forgelens.operators import files as f
-from forgelens.tables import per_repo
 
 
 def perform_scan(

@@ -7,24 +7,31 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.functions.sql import exprs
 from forgelens.operators import history
 from forgelens.tables import per_repo
 
 
-def history_summary(repos: DataFrame, commits: DataFrame, as_of: datetime) -> DataFrame:
-    """Frequency, inactivity, messages, merges, bus factor and score of normalised commits."""
+def history_summary(
+    repos: DataFrame, commits: DataFrame, as_of: datetime, *others: DataFrame
+) -> DataFrame:
+    """Frequency, inactivity, messages, merges, bus factor and score of normalised commits.
+
+    ``others`` are further per-repository results to join in the same step.
+    """
     columns = {
         **history.frequency_columns(),
         **history.inactivity_columns(as_of),
         **history.message_columns(),
         **history.merge_columns(),
+        "bus_factor": "coalesce(bus_factor, 0L)",
     }
-    bus = history.bus_factor(repos, history.author_ranks(commits))
+    kept = [c for other in others for c in other.columns if c != "repo"]
+    bus = history.bus_factor_totals(history.author_ranks(commits))
     return (
-        per_repo(repos, history.activity_totals(commits))
-        .select("repo", *[c.alias(name) for name, c in columns.items()])
-        .join(bus, "repo")
-        .withColumn("score", history.history_score_column())
+        per_repo(repos, history.activity_totals(commits), bus, *others)
+        .select("repo", *exprs(**columns), *kept)
+        .withColumn("score", F.expr(history.history_score()))
     )
 
 
@@ -64,8 +71,9 @@ def extended_summary(
     """The summary with churn and merges."""
     chosen = _prepared(commits, max_commits)
     only = None if max_commits is None else chosen
-    churn = history.churn(repos, history.file_impact(commit_files, only))
-    return history_summary(repos, chosen, as_of).join(churn, "repo")
+    churn = history.churn_totals(history.file_impact(commit_files, only))
+    zeros = {"files": 0, "high_churn_files": 0, "average_churn": 0.0}
+    return history_summary(repos, chosen, as_of, churn).fillna(zeros)
 
 
 def extended_git_history_report(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from forgelens.functions import scores
+from forgelens.functions.sql import exprs, lit
 from forgelens.operators import metrics as m
 
 SECTIONS = ("structure", "activity", "quality")
@@ -16,42 +16,41 @@ SECTIONS = ("structure", "activity", "quality")
 def metrics_report(metrics: DataFrame, preset: str = "relaxed") -> DataFrame:
     """All metrics with section scores, total score and risk flags under a preset."""
     chosen = m.find_preset(preset)
-    return m.with_scores(metrics, chosen.weights).withColumns(
-        {"preset": F.lit(chosen.name), "risk_flags": m.risk_flags(chosen.thresholds)}
-    )
+    flags = exprs(preset=lit(chosen.name), risk_flags=m.risk_flags(chosen.thresholds))
+    return m.with_scores(metrics, chosen.weights).select("*", *flags)
 
 
 def compact_metrics_report(metrics: DataFrame, preset: str = "relaxed") -> DataFrame:
-    return m.with_scores(metrics, m.find_preset(preset).weights).select(
+    return m.with_scores(metrics, m.find_preset(preset).weights).selectExpr(
         "repo",
-        F.col("total_score").alias("score"),
+        "total_score AS score",
         "inactive",
         "bus_factor",
         "commits_per_day",
-        F.size("languages").cast("bigint").alias("languages"),
-        F.col("files_counted").alias("files"),
+        "bigint(size(languages)) AS languages",
+        "files_counted AS files",
     )
 
 
-def evaluation_summary(metrics: DataFrame, preset: str = "relaxed") -> DataFrame:
+def evaluation_columns() -> dict[str, str]:
     """Grade, trend, stability and risk classes, and a sentence per section."""
+    return {
+        "overall_score": "total_score",
+        "grade": scores.grade("total_score"),
+        "activity_trend": scores.activity_trend("commits_per_day"),
+        "churn_stability": scores.churn_stability("churn_average"),
+        "bus_factor_risk": scores.bus_factor_risk("bus_factor"),
+        **{f"{s}_explanation": scores.explain_component(s, f"{s}_score") for s in SECTIONS},
+    }
+
+
+def evaluation_summary(metrics: DataFrame, preset: str = "relaxed") -> DataFrame:
     scored = m.with_scores(metrics, m.find_preset(preset).weights)
-    return scored.select(
-        "repo",
-        F.col("total_score").alias("overall_score"),
-        scores.grade(F.col("total_score")).alias("grade"),
-        scores.activity_trend(F.col("commits_per_day")).alias("activity_trend"),
-        scores.churn_stability(F.col("churn_average")).alias("churn_stability"),
-        scores.bus_factor_risk(F.col("bus_factor")).alias("bus_factor_risk"),
-        *[
-            scores.explain_component(name, F.col(f"{name}_score")).alias(f"{name}_explanation")
-            for name in SECTIONS
-        ],
-    )
+    return scored.select("repo", *exprs(**evaluation_columns()))
 
 
 def full_evaluation(metrics: DataFrame, preset: str = "relaxed") -> DataFrame:
-    return metrics_report(metrics, preset).join(evaluation_summary(metrics, preset), "repo")
+    return metrics_report(metrics, preset).select("*", *exprs(**evaluation_columns()))
 
 
 def analyze_repositories(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions import versions
+from forgelens.functions.sql import exprs
+from forgelens.functions.text import strip
 from forgelens.operators import conflicts as cf
 from forgelens.operators import dependencies as d
 from forgelens.operators import graph as g
@@ -46,13 +48,10 @@ NORMAL = """CASE WHEN coalesce(v, '') = '' THEN NULL
     "req",
 )
 def split_specifications(x: Inputs) -> DataFrame:
-    line = F.trim("line")
-    name, version = versions.split_spec(F.col("line"))
-    return (
-        x.requirement_lines.withColumn("line", line)
-        .where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
-        .select("repo", "entry_seq", name.alias("name"), version.alias("version"))
-    )
+    stripped = x.requirement_lines.selectExpr("repo", "entry_seq", f"{strip('line')} AS line")
+    kept = stripped.where("line <> '' AND NOT startswith(line, '#')")
+    spec = exprs(spec=f"{versions.split_specs('array(line)')}[0]")
+    return kept.select("repo", "entry_seq", *spec).select("repo", "entry_seq", "spec.*")
 
 
 @query(
@@ -72,12 +71,14 @@ def normalized_versions(x: Inputs) -> DataFrame:
         .when(key == 5, F.lit(" * "))
         .otherwise("")
     )
-    version = versions.normalize_version(raw)
-    return x.table("part").select(
-        F.col("p_partkey").alias("id"),
-        version.alias("version"),
-        versions.has_zero_major(version).alias("zero_major"),
-        versions.has_positive_major(version).alias("positive_major"),
+    rows = x.table("part").select(F.col("p_partkey").alias("id"), raw.alias("raw"))
+    normal = rows.select("id", *exprs(version=versions.normalize_version("raw")))
+    return normal.select(
+        "*",
+        *exprs(
+            zero_major=versions.has_zero_major("version"),
+            positive_major=versions.has_positive_major("version"),
+        ),
     )
 
 
@@ -398,7 +399,7 @@ def freshness_summary(x: Inputs) -> DataFrame:
 
 @query("freshness", f"SELECT repo, name, {FRESHNESS} AS freshness FROM deps", "deps")
 def freshness(x: Inputs) -> DataFrame:
-    return deps_of(x).select("repo", "name", d.freshness().alias("freshness"))
+    return deps_of(x).select("repo", "name", *exprs(freshness=d.freshness()))
 
 
 # Risk and policy
@@ -440,7 +441,7 @@ def high_risk_at_lower_threshold(x: Inputs) -> DataFrame:
     "deps",
 )
 def policy_violations(x: Inputs) -> DataFrame:
-    return d.evaluate_policy(dep_repos(x), deps_of(x), max_vulnerable=10, disallowed_licenses=("GPL", "MIT"))
+    return d.evaluate_policy(deps_of(x), max_vulnerable=10, disallowed_licenses=("GPL", "MIT"))
 
 
 @query(
@@ -450,7 +451,7 @@ def policy_violations(x: Inputs) -> DataFrame:
     "deps",
 )
 def policy_allowing_pre_releases(x: Inputs) -> DataFrame:
-    return d.evaluate_policy(dep_repos(x), deps_of(x), allow_pre_release=True)
+    return d.evaluate_policy(deps_of(x), allow_pre_release=True)
 
 
 # Confidence

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions import paths
-from forgelens.functions.text import decode_lenient, is_binary, safe_text
+from forgelens.functions.sql import array_of, exprs
+from forgelens.functions.text import content_hash, decode_lenient, is_binary, safe_text
 from forgelens.operators import analyzers as an
 from forgelens.operators import files as f
 from forgelens.operators import loc
@@ -15,7 +16,7 @@ from forgelens.queries.common import DIR_NAMES, LINE_BREAKS, query
 from forgelens.sources import ignore_rules, manifests
 from forgelens.sources.adapters import Inputs
 from forgelens.sources.json_sink import as_json
-from forgelens.tables import repos_of
+from forgelens.tables import per_repo, repos_of
 
 
 def dirs(x: Inputs) -> DataFrame:
@@ -176,13 +177,15 @@ def detailed_scan_directories(x: Inputs) -> DataFrame:
     "lined",
 )
 def safe_text_of_files(x: Inputs) -> DataFrame:
-    guarded, plain = safe_text(F.col("content")), decode_lenient(F.col("content"))
-    return x.files.select(
+    texts = x.files.select(
+        "repo", "path", *exprs(guarded=safe_text("content"), plain=decode_lenient("content"))
+    )
+    return texts.selectExpr(
         "repo",
         "path",
-        F.length(guarded).cast("bigint").alias("characters"),
-        F.md5(guarded.cast("binary")).alias("digest"),
-        F.length(plain).cast("bigint").alias("unguarded_characters"),
+        "bigint(length(guarded)) AS characters",
+        "md5(guarded) AS digest",
+        "bigint(length(plain)) AS unguarded_characters",
     )
 
 
@@ -195,19 +198,15 @@ def safe_text_of_files(x: Inputs) -> DataFrame:
 )
 def safe_text_of_first_bytes(x: Inputs) -> DataFrame:
     ascii_text = F.regexp_replace(F.col("content").cast("string"), r"[^\x00-\x7F]", "")
-    text = safe_text(ascii_text.cast("binary"), 200)
-    return x.files.select(
-        "repo",
-        "path",
-        F.length(text).cast("bigint").alias("characters"),
-        F.md5(text.cast("binary")).alias("digest"),
-    )
+    files = x.files.select("repo", "path", ascii_text.cast("binary").alias("content"))
+    texts = files.select("repo", "path", *exprs(text=safe_text("content", 200)))
+    return texts.selectExpr("repo", "path", "bigint(length(text)) AS characters", "md5(text) AS digest")
 
 
 @query("file_hashes", "SELECT repo, path, sha256(text) AS sha256, md5(text) AS md5, sha1(text) AS sha1 FROM files", "files")
 def file_hashes(x: Inputs) -> DataFrame:
-    hashed = [f.content_hash(F.col("content"), a).alias(a) for a in ("sha256", "md5", "sha1")]
-    return x.files.select("repo", "path", *hashed)
+    hashed = {a: content_hash("content", a) for a in ("sha256", "md5", "sha1")}
+    return x.files.select("repo", "path", *exprs(**hashed))
 
 
 @query(
@@ -264,7 +263,13 @@ def loc_totals(x: Inputs) -> DataFrame:
     "file_repos lined",
 )
 def plain_loc_totals(x: Inputs) -> DataFrame:
-    return an.loc_v1_totals(an.Tables(file_repos(x), x.files))
+    counted = f.plain_line_counts(x.files).groupBy("repo").agg(
+        *exprs(
+            files="count(*)", lines="sum(total_lines)", code_lines="sum(non_blank_lines)",
+            blank_lines="sum(blank_lines)",
+        )
+    )
+    return per_repo(file_repos(x), counted).fillna(0)
 
 
 @query(
@@ -296,15 +301,16 @@ def classified_files(x: Inputs) -> DataFrame:
     "page_files",
 )
 def classified_pages(x: Inputs) -> DataFrame:
-    path = F.col("path")
     return x.page_files.select(
         "repo",
         "path",
-        paths.file_name(path).alias("name"),
-        paths.suffix(path).alias("suffix"),
-        paths.depth(path).cast("bigint").alias("depth"),
-        paths.parent(path).alias("parent"),
-        is_binary(F.col("content")).alias("is_binary"),
+        *exprs(
+            name=paths.file_name(),
+            suffix=paths.suffix(),
+            depth=f"bigint({paths.depth()})",
+            parent=paths.parent(),
+            is_binary=is_binary("content"),
+        ),
     )
 
 
@@ -334,7 +340,7 @@ def file_index_counts(x: Inputs) -> DataFrame:
     "files",
 )
 def loc_excluded_files(x: Inputs) -> DataFrame:
-    return x.files.where(paths.is_loc_excluded(F.col("path"), ["docs"])).select("repo", "path")
+    return x.files.where(paths.is_loc_excluded("path", ["docs"])).select("repo", "path")
 
 
 @query("large_files", "SELECT repo, path, size_bytes FROM files WHERE size_bytes >= 2000", "files")
@@ -580,15 +586,11 @@ def repository_summary(x: Inputs) -> DataFrame:
     "root_repos root_files",
 )
 def ci_analyzer(x: Inputs) -> DataFrame:
-    found = F.from_json("details", "ci_files array<string>")["ci_files"]
-    numbered = F.transform(
-        found,
-        lambda p: F.concat(
-            F.array_position(F.array(*[F.lit(c) for c in an.CI_PATHS]), p).cast("string"), F.lit(":"), p
-        ),
-    )
-    text = F.when(F.size(found) > 0, F.array_join(numbered, ","))
-    return an.ci(an.Tables(repos_of(x.root_files), x.root_files)).select("repo", "score", text.alias("ci_files"))
+    found = "from_json(details, 'ci_files array<string>').ci_files"
+    numbered = f"transform({found}, p -> array_position({array_of(an.CI_PATHS)}, p) || ':' || p)"
+    text = f"CASE WHEN size({found}) > 0 THEN array_join({numbered}, ',') END"
+    result = an.analyze(an.Tables(repos_of(x.root_files), x.root_files), ["ci"])
+    return result.select("repo", "score", *exprs(ci_files=text))
 
 
 def _root_lines(names: tuple[str, ...], full: str) -> str:
@@ -599,20 +601,20 @@ def _root_lines(names: tuple[str, ...], full: str) -> str:
         (SELECT repo, path, string_split_regex(text, {LINE_BREAKS}) AS p FROM root_files)) GROUP BY repo"""
 
 
-def _root_file_scores(x: Inputs, analyze, names: tuple[str, ...]) -> DataFrame:
+def _root_file_scores(x: Inputs, key: str, names: tuple[str, ...]) -> DataFrame:
     tables = an.Tables(repos_of(x.root_files), x.root_files)
-    lines = an.root_file_lines(tables, names)
-    return analyze(tables).select("repo", "score").join(lines, "repo")
+    fields = {n: f"try_element_at(from_json(details, 'map<string,bigint>'), '{n}')" for n in names}
+    return an.analyze(tables, [key]).select("repo", "score", *exprs(**fields))
 
 
 @query("documentation_analyzer", _root_lines(an.DOC_FILES, "300.0e0"), "root_files")
 def documentation_analyzer(x: Inputs) -> DataFrame:
-    return _root_file_scores(x, an.documentation, an.DOC_FILES)
+    return _root_file_scores(x, "documentation", an.DOC_FILES)
 
 
 @query("manifest_size_analyzer", _root_lines(an.ROOT_MANIFESTS, "200.0e0"), "root_files")
 def manifest_size_analyzer(x: Inputs) -> DataFrame:
-    return _root_file_scores(x, an.dependencies, an.ROOT_MANIFESTS)
+    return _root_file_scores(x, "dependencies", an.ROOT_MANIFESTS)
 
 
 TEST_RATIO = r"""SELECT repo, count(*) FILTER (t) AS test_files, count(*) FILTER (NOT t) AS source_files,
@@ -623,7 +625,9 @@ FROM file_repos LEFT JOIN (SELECT repo, regexp_matches(lower(path), 'test_|_test
 
 @query("test_ratio", TEST_RATIO, "file_repos files")
 def test_ratio(x: Inputs) -> DataFrame:
-    return an.test_ratio(an.Tables(file_repos(x), x.files))
+    result = an.analyze(an.Tables(file_repos(x), x.files), ["tests"])
+    fields = "from_json(details, 'test_files bigint, source_files bigint, ratio double') AS d"
+    return result.selectExpr("repo", fields).select("repo", "d.*")
 
 
 @query(
@@ -635,7 +639,7 @@ def test_ratio(x: Inputs) -> DataFrame:
 )
 def complexity_analyzer(x: Inputs) -> DataFrame:
     tokens = F.from_json("details", "complexity_tokens bigint")["complexity_tokens"]
-    result = an.complexity(an.Tables(file_repos(x), x.files))
+    result = an.analyze(an.Tables(file_repos(x), x.files), ["complexity"])
     return result.select("repo", "score", tokens.alias("complexity_tokens"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forgelens.functions.sql import exprs
 from forgelens.operators import history as h
 from forgelens.plans import history_reports as reports
 from forgelens.queries.common import AS_OF, query
@@ -229,10 +230,7 @@ def message_quality(x: Inputs) -> DataFrame:
     "commits",
 )
 def meaningful_messages(x: Inputs) -> DataFrame:
-    message = F.col("message")
-    return x.commits.select(
-        "repo", "seq", h.is_meaningful(message).alias("meaningful"), h.is_merge(message).alias("merge")
-    )
+    return x.commits.select("repo", "seq", *exprs(meaningful=h.is_meaningful(), merge=h.is_merge()))
 
 
 @query("merge_commits", "SELECT repo, merge_commits, merge_ratio FROM hist", "hist")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions import scores
+from forgelens.functions.sql import exprs
 from forgelens.operators import metrics as m
 from forgelens.plans import metrics_reports as reports
 from forgelens.queries.common import AS_OF, query
@@ -72,17 +73,18 @@ def flags(bus: int, messages: str, churn: str, merges: str) -> str:
        FROM lineitem""",
 )
 def scalar_scores(x: Inputs) -> DataFrame:
-    quantity, line = F.col("l_quantity"), F.col("l_linenumber")
     return x.table("lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        scores.clamp((quantity - 10) / 20.0).alias("clamped"),
-        scores.ratio(quantity, line - 3, default=0.5).alias("ratio"),
-        scores.inverse(quantity - 5, 30).alias("inverse"),
-        scores.activity_trend(F.col("l_discount")).alias("trend"),
-        scores.churn_stability(quantity * 20).alias("stability"),
-        scores.bus_factor_risk(line).alias("risk"),
-        scores.grade(quantity / 50).alias("grade"),
+        *exprs(
+            clamped=scores.clamp("((l_quantity - 10) / 20.0D)"),
+            ratio=scores.ratio("l_quantity", "(l_linenumber - 3)", default=0.5),
+            inverse=scores.inverse("(l_quantity - 5)", 30),
+            trend=scores.activity_trend("l_discount"),
+            stability=scores.churn_stability("(l_quantity * 20)"),
+            risk=scores.bus_factor_risk("l_linenumber"),
+            grade=scores.grade("(l_quantity / 50)"),
+        ),
     )
 
 
@@ -179,7 +181,7 @@ def composite_scores(x: Inputs) -> DataFrame:
 def risk_flags(x: Inputs) -> DataFrame:
     return metrics_of(x).select(
         "repo",
-        *[F.array_join(m.risk_flags(p.thresholds), ",").alias(p.name) for p in m.PRESETS.values()],
+        *exprs(**{p.name: f"array_join({m.risk_flags(p.thresholds)}, ',')" for p in m.PRESETS.values()}),
     )
 
 

@@ -7,9 +7,9 @@ function giving the UTF-8 length of a string.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from forgelens.tables import with_file_defaults
 
@@ -88,9 +88,12 @@ class Inputs:
     def __init__(self, spark: SparkSession, directory: str) -> None:
         self.spark = spark
         self.directory = directory
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return self._tables[name]
 
     def _adapt(self, sql: str, *names: str) -> DataFrame:
         text = sql.format(bytes="octet_length")
@@ -98,38 +101,38 @@ class Inputs:
             text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
         return self.spark.sql(text, **{name: self.table(name) for name in names})
 
-    @property
+    @cached_property
     def commits(self) -> DataFrame:
         return self._adapt(COMMITS_SQL, "orders")
 
-    @property
+    @cached_property
     def commit_files(self) -> DataFrame:
         return self._adapt(COMMIT_FILES_SQL, "lineitem", "orders")
 
     @staticmethod
     def _with_content(files: DataFrame) -> DataFrame:
-        columns = {
-            "content": F.col("text").cast("binary"),
-            "size_bytes": F.col("size_bytes").cast("bigint"),
-        }
-        return with_file_defaults(files.withColumns(columns).drop("text"))
+        columns = (
+            "repo", "seq", "path", "cast(text AS binary) AS content",
+            "bigint(size_bytes) AS size_bytes", "is_symlink", "is_executable",
+        )
+        return with_file_defaults(files.selectExpr(*columns))
 
-    @property
+    @cached_property
     def files(self) -> DataFrame:
         return self._with_content(self._adapt(DOCUMENT_FILES_SQL, "documents"))
 
-    @property
+    @cached_property
     def root_files(self) -> DataFrame:
         return self._with_content(self._adapt(ROOT_FILES_SQL, "documents"))
 
-    @property
+    @cached_property
     def page_files(self) -> DataFrame:
         return self._with_content(self._adapt(PAGE_FILES_SQL, "pages"))
 
-    @property
+    @cached_property
     def occurrences(self) -> DataFrame:
         return self._adapt(OCCURRENCES_SQL, "part")
 
-    @property
+    @cached_property
     def requirement_lines(self) -> DataFrame:
         return self._adapt(REQUIREMENT_LINES_SQL, "part")

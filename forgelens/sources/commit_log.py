@@ -9,8 +9,9 @@ Each record starts with the byte 0x1E, so a file splits safely across tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from forgelens.functions.sql import exprs
 
 RECORD_SEPARATOR = "\x1e"
 # Years 1 to 9999; a time outside does not parse.
@@ -18,39 +19,36 @@ SECONDS_RANGE = (-62_135_596_800, 253_402_300_799)
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
-def header_fields(line: Column) -> Column:
-    """The five fields of a header line; the message keeps any further ``|``."""
-    return F.split(line, r"\|", 5)
-
-
 def parse_log_lines(records: DataFrame, line: str = "line") -> DataFrame:
-    """Parse header lines into commit columns, dropping the lines that do not parse."""
-    named = ("commit_hash", "author_name", "author_email", "_at", "message")
-    seconds = F.expr("try_cast(trim(_at) AS BIGINT)")
+    """Parse header lines into commit columns, dropping the lines that do not parse.
+
+    A header has five fields; the message keeps any further ``|``.
+    """
+    kept = [c for c in records.columns if c != line]
+    fields = records.selectExpr(*kept, f"split({line}, '[|]', 5) AS _f").where("size(_f) = 5")
     return (
-        records.withColumn("_f", header_fields(F.col(line)))
-        .where(F.size("_f") == 5)
-        .withColumns({name: F.col("_f")[i] for i, name in enumerate(named)})
-        .withColumn("_seconds", seconds)
-        .where(F.col("_seconds").between(*SECONDS_RANGE))
-        .withColumn("authored_at", F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, _seconds)"))
-        .drop("_f", "_at", "_seconds", line)
+        fields.selectExpr("*", "try_cast(trim(_f[3]) AS bigint) AS _seconds")
+        .where("_seconds BETWEEN {} AND {}".format(*SECONDS_RANGE))
+        .selectExpr(
+            *kept,
+            "_f[0] AS commit_hash",
+            "_f[1] AS author_name",
+            "_f[2] AS author_email",
+            f"{EPOCH} + make_dt_interval(0, 0, 0, _seconds) AS authored_at",
+            "_f[4] AS message",
+        )
     )
 
 
 def parse_numstat_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Parse numstat lines; ``-`` (a binary file) counts 0 and other shapes are dropped."""
-    return (
-        lines.withColumn("_f", F.split(F.col(line), "\t"))
-        .where(F.size("_f") == 3)
-        .select(
-            *[c for c in lines.columns if c != line],
-            F.col("_f")[2].alias("path"),
-            *[
-                F.coalesce(F.expr(f"try_cast(_f[{i}] AS BIGINT)"), F.lit(0)).alias(name)
-                for i, name in enumerate(("insertions", "deletions"))
-            ],
-        )
+    kept = [c for c in lines.columns if c != line]
+    fields = lines.selectExpr(*kept, f"split({line}, '\t') AS _f").where("size(_f) = 3")
+    return fields.selectExpr(
+        *kept,
+        "_f[2] AS path",
+        "coalesce(try_cast(_f[0] AS bigint), 0L) AS insertions",
+        "coalesce(try_cast(_f[1] AS bigint), 0L) AS deletions",
     )
 
 
@@ -63,37 +61,35 @@ def read_log_records(spark: SparkSession, path: str) -> DataFrame:
     raw = (
         spark.read.option("lineSep", RECORD_SEPARATOR)
         .text(path)
-        .select(
-            F.regexp_extract("_metadata.file_name", r"^(.*?)(\.log)?$", 1).alias("repo"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"),
+        .selectExpr(
+            "regexp_replace(_metadata.file_name, '[.]log$', '') AS repo",
+            "_metadata.file_block_start AS block",
+            "monotonically_increasing_id() AS place",
             "value",
         )
-        .where(F.col("value") != "")
+        .where("value <> ''")
     )
-    earlier = Window.partitionBy("repo").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        raw.groupBy("repo", "_block")
-        .agg(F.count("*").alias("_rows"))
-        .select("repo", "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    counts = raw.groupBy("repo", "block").agg(*exprs(n="count(*)"))
+    earlier = (
+        "sum(n) OVER (PARTITION BY repo ORDER BY block "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    inside = Window.partitionBy("repo", "_block").orderBy("_at")
-    parts = F.split("value", r"\r?\n", 2)
-    return raw.join(offsets, ["repo", "_block"]).select(
-        "repo",
-        (F.col("_offset") + F.row_number().over(inside)).alias("seq"),
-        parts[0].alias("header"),
-        F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("body"),
+    offsets = counts.selectExpr("repo", "block", f"coalesce({earlier}, 0L) AS skipped")
+    inside = "row_number() OVER (PARTITION BY repo, block ORDER BY place)"
+    return (
+        raw.join(offsets, ["repo", "block"])
+        .selectExpr("repo", f"skipped + {inside} AS seq", "split(value, '\\r?\\n', 2) AS parts")
+        .selectExpr(
+            "repo", "seq", "parts[0] AS header", "coalesce(get(parts, 1), '') AS body"
+        )
     )
 
 
 def commits_of(records: DataFrame) -> DataFrame:
-    return parse_log_lines(records.select("repo", "seq", F.col("header").alias("line")))
+    return parse_log_lines(records.selectExpr("repo", "seq", "header AS line"))
 
 
 def commit_files_of(records: DataFrame) -> DataFrame:
-    exploded = (
-        parse_log_lines(records.withColumnRenamed("header", "line"))
-        .select("repo", "commit_hash", F.posexplode(F.split("body", r"\r?\n")).alias("ordinal", "line"))
-    )
-    return parse_numstat_lines(exploded)
+    parsed = parse_log_lines(records.withColumnRenamed("header", "line"))
+    lines = "posexplode(split(body, '\\r?\\n')) AS (ordinal, line)"
+    return parse_numstat_lines(parsed.selectExpr("repo", "commit_hash", lines))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from forgelens.functions.sql import in_list
 from forgelens.functions.text import lines, safe_text, strip
 
 # The ignore files that are read.
@@ -13,28 +13,23 @@ IGNORE_FILES = (".gitignore", ".ignore", ".repoignore")
 
 def parse_ignore_lines(rules: DataFrame, line: str = "line") -> DataFrame:
     """``(repo, kind, pattern)`` of rule lines; blank lines and comments are dropped."""
-    rule = strip(F.col(line))
-    starred = F.length("_rule") > 1
     kind = (
-        F.when(F.startswith("_rule", F.lit("*")) & starred, "suffix")
-        .when(F.endswith("_rule", F.lit("*")) & starred, "prefix")
-        .otherwise("contains")
+        "CASE WHEN startswith(rule, '*') AND length(rule) > 1 THEN 'suffix' "
+        "WHEN endswith(rule, '*') AND length(rule) > 1 THEN 'prefix' ELSE 'contains' END"
     )
     pattern = (
-        F.when(F.col("kind") == "suffix", F.expr("substring(_rule, 2)"))
-        .when(F.col("kind") == "prefix", F.expr("left(_rule, length(_rule) - 1)"))
-        .otherwise(F.col("_rule"))
+        "CASE kind WHEN 'suffix' THEN substring(rule, 2) "
+        "WHEN 'prefix' THEN left(rule, length(rule) - 1) ELSE rule END"
     )
     return (
-        rules.withColumn("_rule", rule)
-        .where((F.col("_rule") != "") & ~F.startswith("_rule", F.lit("#")))
-        .withColumn("kind", kind)
-        .select("repo", "kind", pattern.alias("pattern"))
+        rules.selectExpr("repo", f"{strip(line)} AS rule")
+        .where("rule <> '' AND NOT startswith(rule, '#')")
+        .selectExpr("repo", "rule", f"{kind} AS kind")
+        .selectExpr("repo", "kind", f"{pattern} AS pattern")
         .distinct()
     )
 
 
 def standard_ignore_rules(files: DataFrame) -> DataFrame:
-    text_lines = F.explode(lines(safe_text(F.col("content"))))
-    found = files.where(F.col("path").isin(*IGNORE_FILES) & F.col("error").isNull())
-    return parse_ignore_lines(found.select("repo", text_lines.alias("line")))
+    found = files.where(f"{in_list('path', IGNORE_FILES)} AND error IS NULL")
+    return parse_ignore_lines(found.selectExpr("repo", f"explode({lines(safe_text('content'))}) AS line"))

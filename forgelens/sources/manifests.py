@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import tomllib
-from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgelens.functions.paths import depth, file_name
+from forgelens.functions import paths
+from forgelens.functions.sql import exprs, in_list, lit, map_of
 from forgelens.functions.text import lines, strip
-from forgelens.functions.versions import normalize_version, split_spec
-from forgelens.tables import OCCURRENCES
+from forgelens.functions.versions import normalize_version, split_specs
 
 # Manifest names with their ecosystem, and the sections of a package file.
 MANIFEST_SOURCES = {
@@ -29,230 +27,219 @@ PACKAGE_SECTIONS = {
     "peerDependencies": "peer",
     "optionalDependencies": "optional",
 }
-LINE_FORMATS = ("requirements.txt", "setup.cfg", "go.mod")
+COMPOSER_SECTIONS = {"require": "runtime"}
 JSON_FORMATS = ("package.json", "composer.json")
 TOML_FORMATS = ("pyproject.toml", "Cargo.toml")
-PARSED = (*LINE_FORMATS, *JSON_FORMATS, *TOML_FORMATS)
+PARSED = ("requirements.txt", "setup.cfg", "go.mod", *JSON_FORMATS, *TOML_FORMATS)
 
-ENTRY = "array<struct<name:string,version:string,dep_type:string>>"
+ENTRIES = "array<struct<name:string,version:string,dep_type:string>>"
+NO_ENTRIES = f"cast(array() AS {ENTRIES})"
 KEYS = ("repo", "file_seq", "file_name", "source")
 
 
 def discover_manifests(files: DataFrame) -> DataFrame:
     """Files with a manifest name, anywhere in the tree. ``file_seq`` orders by depth and path."""
-    path = F.col("path")
-    name = file_name(path)
-    known = F.create_map(*[F.lit(x) for pair in MANIFEST_SOURCES.items() for x in pair])
-    return files.where(name.isin(*MANIFEST_SOURCES) & F.col("error").isNull()).select(
+    sources = map_of({name: lit(source) for name, source in MANIFEST_SOURCES.items()})
+    name = paths.file_name()
+    return files.where(f"{in_list(name, MANIFEST_SOURCES)} AND error IS NULL").select(
         "repo",
         "path",
-        F.format_string("%05d/%s", depth(path), path).alias("file_seq"),
-        name.alias("file_name"),
-        F.try_element_at(known, name).alias("source"),
+        *exprs(
+            file_seq=f"format_string('%05d/%s', {paths.depth()}, path)",
+            file_name=name,
+            source=f"element_at({sources}, {name})",
+        ),
         "content",
     )
 
 
-def _entry(name: Column, version: Column, dep_type: str = "runtime") -> Column:
-    return F.struct(
-        name.alias("name"),
-        version.cast("string").alias("version"),
-        F.lit(dep_type).alias("dep_type"),
-    )
+# Line formats
 
 
-def _requirement(line: Column) -> Column:
-    name, version = split_spec(line)
-    return F.when((line != "") & ~F.startswith(line, F.lit("#")), _entry(name, version))
+def _runtime(pairs: str) -> str:
+    return f"transform({pairs}, e -> struct(e.name AS name, e.version AS version, 'runtime' AS dep_type))"
 
 
-def _setting(line: Column) -> Column:
-    parts = F.split(line, "=", 2)
-    wanted = F.contains(line, F.lit("=")) & ~F.startswith(strip(line), F.lit("["))
-    return F.when(wanted, _entry(strip(parts[0]), normalize_version(F.get(parts, F.lit(1)))))
+def _requirements(text: str) -> str:
+    stripped = f"transform({lines(text)}, l -> {strip('l')})"
+    kept = f"filter({stripped}, l -> l <> '' AND NOT startswith(l, '#'))"
+    return _runtime(split_specs(kept))
 
 
-def _requires(text: Column) -> Column:
-    """Module lines of go.mod: one-line ``require m v`` and the lines of ``require ( ... )``."""
-    no_comment = F.regexp_replace(text, r"//[^\n]*", "")
-    flat = F.regexp_replace(no_comment, r"(?m)^\s*require\s*\(([^)]*)\)", "$1")
-    inside = F.regexp_extract_all(no_comment, F.lit(r"(?m)^\s*require\s*\(([^)]*)\)"), F.lit(1))
-    block = F.split(F.array_join(inside, "\n"), "\n")
-    single = F.filter(
-        F.transform(F.split(flat, "\n"), strip), lambda l: F.startswith(l, F.lit("require"))
-    )
-    plain = F.transform(single, lambda l: strip(F.replace(l, F.lit("require"), F.lit(""))))
-    return F.concat(plain, F.transform(block, strip))
+def _settings(text: str) -> str:
+    kept = f"filter({lines(text)}, l -> contains(l, '=') AND NOT startswith({strip('l')}, '['))"
+    halves = f"transform({kept}, l -> split(l, '=', 2))"
+    pair = f"struct({strip('h[0]')} AS name, {normalize_version('h[1]')} AS version)"
+    return _runtime(f"transform({halves}, h -> {pair})")
 
 
-def _module(line: Column) -> Column:
-    words = F.split(line, r"\s+")
-    return F.when(F.size(words) >= 2, _entry(words[0], normalize_version(F.get(words, F.lit(1)))))
+GO_BLOCK = lit(r"(?m)^\s*require\s*\(([^)]*)\)")
 
 
-def _line_entries(text: Column) -> Column:
-    name = F.col("file_name")
-    return F.when(
-        name == "requirements.txt", F.transform(F.transform(lines(text), strip), _requirement)
-    ).when(name == "setup.cfg", F.transform(lines(text), _setting)).when(
-        name == "go.mod", F.transform(_requires(text), _module)
-    )
+def _modules(text: str) -> str:
+    """One-line ``require m v`` and the lines of ``require ( ... )`` blocks."""
+    plain = f"regexp_replace({text}, '//[^\\\\n]*', '')"
+    outside = f"transform(split(regexp_replace({plain}, {GO_BLOCK}, ''), '\\\\n'), l -> {strip('l')})"
+    single = f"transform(filter({outside}, l -> startswith(l, 'require')), l -> replace(l, 'require', ''))"
+    blocks = f"split(array_join(regexp_extract_all({plain}, {GO_BLOCK}, 1), '\\n'), '\\\\n')"
+    words = f"transform(concat({single}, {blocks}), l -> split({strip('l')}, '\\\\s+'))"
+    pair = f"struct(w[0] AS name, {normalize_version('w[1]')} AS version)"
+    return _runtime(f"transform(filter({words}, w -> size(w) >= 2), w -> {pair})")
 
 
-def parse_line_manifests(manifests: DataFrame) -> DataFrame:
-    entries = F.array_compact(_line_entries(F.col("text")))
-    return manifests.withColumn("entries", entries.cast(ENTRY)).withColumn("failed", F.lit(False))
+# JSON formats: values are variants, so a value of the wrong type is told from text.
 
+EMPTY_JSON = lit(r'^(null|false|-?0(\.0*)?([eE].*)?|""|\[\]|\{\})$')
 
-def _json_value(value: Column) -> tuple[Column, Column]:
-    """Version text of a JSON value, and whether the value makes its file unreadable.
 
-    Empty values (null, false, 0, "", [], {}) mean no version; other non-strings are errors.
-    """
-    text = F.to_json(value)
-    empty = F.coalesce(text, F.lit("null")).rlike(r'^(null|false|-?0(\.0*)?([eE].*)?|""|\[\]|\{\})$')
-    is_text = F.startswith(text, F.lit('"'))
-    bad = ~empty & ~is_text
-    return F.when(is_text, F.try_variant_get(value, "$", "string")), bad
+def _json_section(section: str, dep_type: str) -> str:
+    """Entries of a section. Empty values (null, false, 0, "", [], {}) mean no version."""
+    items = f"coalesce(map_entries(_json.`{section}`), array())"
+    named = (
+        f"transform({items}, e -> struct(e.key AS name, "
+        f"if(startswith(to_json(e.value), '\"'), try_variant_get(e.value, '$', 'string'), NULL) AS raw))"
+    )
+    version = normalize_version("e.raw")
+    return f"transform({named}, e -> struct(e.name AS name, {version} AS version, '{dep_type}' AS dep_type))"
 
 
-def parse_json_manifests(manifests: DataFrame) -> DataFrame:
-    sections = [*PACKAGE_SECTIONS, "require"]
-    schema = ", ".join(f"{s} map<string,variant>" for s in sections) + ", _bad string"
-    parsed = manifests.withColumns(
-        {
-            "_json": F.from_json("text", schema, {"columnNameOfCorruptRecord": "_bad"}),
-            "_top": F.from_json("text", "map<string,string>"),
-        }
-    )
-    is_package = F.col("file_name") == "package.json"
-
-    def section(name: str, dep_type: str) -> tuple[Column, Column]:
-        items = F.coalesce(F.map_entries(F.col(f"_json.{name}")), F.array())
-        wanted = is_package if name in PACKAGE_SECTIONS else ~is_package
-        entries = F.transform(
-            items, lambda e: _entry(e["key"], normalize_version(_json_value(e["value"])[0]), dep_type)
-        )
-        no_object = F.map_contains_key("_top", F.lit(name)) & F.col(f"_json.{name}").isNull()
-        bad = F.exists(items, lambda e: _json_value(e["value"])[1]) | F.coalesce(no_object, F.lit(False))
-        return F.when(wanted, entries.cast(ENTRY)).otherwise(F.array().cast(ENTRY)), wanted & bad
-
-    parts = [section(s, PACKAGE_SECTIONS.get(s, "runtime")) for s in sections]
-    corrupt = F.col("_json").isNull() | F.col("_json._bad").isNotNull()
-    failed = reduce(lambda a, b: a | b, [bad for _, bad in parts], corrupt)
-    return (
-        parsed.withColumn("failed", F.coalesce(failed, F.lit(True)))
-        .withColumn("entries", F.concat(*[entries for entries, _ in parts]))
-        .drop("_json", "_top")
+def _json_section_fails(section: str) -> str:
+    """The section is no object, or holds a value that is neither text nor empty."""
+    items = f"coalesce(map_entries(_json.`{section}`), array())"
+    wrong = (
+        f"exists({items}, e -> NOT startswith(coalesce(to_json(e.value), 'null'), '\"') "
+        f"AND NOT rlike(coalesce(to_json(e.value), 'null'), {EMPTY_JSON}))"
     )
+    no_object = f"coalesce(map_contains_key(_top, '{section}'), false) AND _json.`{section}` IS NULL"
+    return f"({wrong} OR ({no_object}))"
 
 
-def _toml_pairs(table: object, dep_type: str) -> list[tuple[str, str | None, str, bool]]:
-    """Rows (name, version, type, is_spec) of one TOML dependency table or list."""
-    if isinstance(table, list):
-        return [(spec, None, dep_type, True) for spec in table]
-    rows = []
-    for name, value in table.items():
-        if isinstance(value, list):
-            rows += [(spec, None, dep_type, True) for spec in value]
-        else:
-            rows.append((name, value, dep_type, False))
-    return rows
+def _json_entries(sections: dict[str, str]) -> str:
+    return f"concat({', '.join(_json_section(s, t) for s, t in sections.items())})"
+
+
+def _json_fails(sections: dict[str, str]) -> str:
+    parts = ["_json IS NULL", "_json._bad IS NOT NULL", *map(_json_section_fails, sections)]
+    return f"coalesce({' OR '.join(parts)}, true)"
+
 
+# TOML formats: Spark has no reader, so each text is parsed where it lies.
 
-def _toml_rows(file_name_: str, text: str) -> list[tuple[str, str | None, str, bool]]:
+
+def _toml_pairs(table: object, dep_type: str) -> list[dict[str, object]]:
+    """Entries of one TOML dependency table, or of a list of specifications."""
+    pairs = [(None, table)] if isinstance(table, list) else list(table.items())
+    entries = []
+    for name, value in pairs:
+        specs = value if isinstance(value, list) else None
+        rows = [(s, None, True) for s in specs] if specs is not None else [(name, value, False)]
+        entries += [dict(name=n, version=v, dep_type=dep_type, is_spec=s) for n, v, s in rows]
+    return entries
+
+
+def _toml_entries(file_name: str, text: str) -> list[dict[str, object]]:
     data = tomllib.loads(text)
-    if file_name_ == "Cargo.toml":
-        pairs = {
-            name: meta if isinstance(meta, str) else meta.get("version")
-            for name, meta in data.get("dependencies", {}).items()
-        }
-        rows = _toml_pairs(pairs, "runtime")
+    if file_name == "Cargo.toml":
+        crates = data.get("dependencies", {}).items()
+        plain = {n: m if isinstance(m, str) else m.get("version") for n, m in crates}
+        entries = _toml_pairs(plain, "runtime")
     else:
         project = data.get("project", {})
-        rows = _toml_pairs(project.get("dependencies", {}), "runtime")
-        rows += _toml_pairs(project.get("optional-dependencies", {}), "optional")
-    if any(version and not isinstance(version, str) for _, version, _, _ in rows):
-        raise TypeError("a version is not a string")
-    return [(name, version or None, dep_type, spec) for name, version, dep_type, spec in rows]
-
-
-TOML_COLUMNS = "raw array<struct<name:string,version:string,dep_type:string,is_spec:boolean>>"
-
-
-def _read_toml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spark has no TOML reader; each manifest text is read where it lies."""
-    fields = ("name", "version", "dep_type", "is_spec")
-    for batch in batches:
-        raw, failed = [], []
-        for name, text in zip(batch["file_name"], batch["text"]):
-            try:
-                raw.append([dict(zip(fields, row)) for row in _toml_rows(name, text)])
-                failed.append(False)
-            except Exception:
-                raw.append([])
-                failed.append(True)
-        yield batch.assign(raw=raw, failed=failed)
-
-
-def parse_toml_manifests(manifests: DataFrame) -> DataFrame:
-    keys = "repo string, file_seq string, file_name string, source string, text string"
-    read = manifests.select(*KEYS, "text").mapInPandas(
-        _read_toml, f"{keys}, {TOML_COLUMNS}, failed boolean"
+        entries = _toml_pairs(project.get("dependencies", {}), "runtime")
+        entries += _toml_pairs(project.get("optional-dependencies", {}), "optional")
+    for entry in entries:
+        entry["version"] = entry["version"] or None
+        if not isinstance(entry["version"] or "", str):
+            raise TypeError("a version is not a string")
+    return entries
+
+
+TOML_TYPE = "failed boolean, raw array<struct<name:string,version:string,dep_type:string,is_spec:boolean>>"
+
+
+def _read_toml(names: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for name, text in zip(names, texts):
+        try:
+            rows.append((False, _toml_entries(name, text) if text is not None else []))
+        except Exception:
+            rows.append((True, []))
+    return pd.DataFrame(rows, columns=["failed", "raw"])
+
+
+def _toml_versions() -> str:
+    parts = f"transform(_toml.raw, t -> struct(t AS t, {split_specs('array(t.name)')}[0] AS s))"
+    return (
+        f"transform({parts}, p -> struct(if(p.t.is_spec, p.s.name, p.t.name) AS name, "
+        f"if(p.t.is_spec, p.s.version, {normalize_version('p.t.version')}) AS version, "
+        "p.t.dep_type AS dep_type))"
     )
 
-    def entry(item: Column) -> Column:
-        spec_name, spec_version = split_spec(item["name"])
-        return F.struct(
-            F.when(item["is_spec"], spec_name).otherwise(item["name"]).alias("name"),
-            F.when(item["is_spec"], spec_version)
-            .otherwise(normalize_version(item["version"]))
-            .alias("version"),
-            item["dep_type"].alias("dep_type"),
-        )
 
-    return read.withColumn("entries", F.transform("raw", entry).cast(ENTRY)).drop("raw")
+# All formats
 
 
 def parse_manifests(manifests: DataFrame) -> DataFrame:
     """``(repo, file_seq, file_name, source, failed, entries)``, one row per manifest.
 
+    One pass over the manifests, without a shuffle: the text goes to the parser of its format.
     Known manifests without a parser have no entries and never fail, as they are never opened.
     """
-    raw = F.col("content").cast("string")
-    known = manifests.select(*KEYS, "content", F.coalesce(F.is_valid_utf8(raw), F.lit(False)).alias("_ok"))
-    readable = known.where("_ok").withColumn("text", F.col("content").cast("string")).drop("content", "_ok")
-    columns = [*KEYS, "failed", "entries"]
-    parsers = {
-        LINE_FORMATS: parse_line_manifests,
-        JSON_FORMATS: parse_json_manifests,
-        TOML_FORMATS: parse_toml_manifests,
+    def text_of(*names: str) -> str:
+        return f"CASE WHEN {in_list('file_name', names)} THEN _text END"
+
+    sections = {**PACKAGE_SECTIONS, **COMPOSER_SECTIONS}
+    schema = ", ".join(f"`{s}` map<string,variant>" for s in sections) + ", _bad string"
+    corrupt = "map('columnNameOfCorruptRecord', '_bad')"
+    read_toml = F.pandas_udf(_read_toml, TOML_TYPE)
+    texts = manifests.select(
+        *KEYS,
+        *exprs(
+            _text=f"CASE WHEN {in_list('file_name', PARSED)} AND is_valid_utf8(cast(content AS string)) "
+            "THEN cast(content AS string) END"
+        ),
+    )
+    read = texts.withColumns(
+        {
+            "_json": F.expr(f"from_json({text_of(*JSON_FORMATS)}, {lit(schema)}, {corrupt})"),
+            "_top": F.expr(f"from_json({text_of(*JSON_FORMATS)}, 'map<string,string>')"),
+            "_toml": read_toml("file_name", F.expr(text_of(*TOML_FORMATS))),
+        }
+    )
+    failed = (
+        f"CASE WHEN NOT {in_list('file_name', PARSED)} THEN false WHEN _text IS NULL THEN true "
+        f"WHEN file_name = 'package.json' THEN {_json_fails(PACKAGE_SECTIONS)} "
+        f"WHEN file_name = 'composer.json' THEN {_json_fails(COMPOSER_SECTIONS)} "
+        "ELSE _toml.failed END"
+    )
+    entries = {
+        "requirements.txt": _requirements("_text"),
+        "setup.cfg": _settings("_text"),
+        "go.mod": _modules("_text"),
+        "package.json": _json_entries(PACKAGE_SECTIONS),
+        "composer.json": _json_entries(COMPOSER_SECTIONS),
+        "pyproject.toml": _toml_versions(),
+        "Cargo.toml": _toml_versions(),
     }
-    parsed = [
-        parse(readable.where(F.col("file_name").isin(*names))).select(*columns)
-        for names, parse in parsers.items()
-    ]
-    no_parser = ~F.col("file_name").isin(*PARSED)
-    unopened = known.where(no_parser | ~F.col("_ok")).select(
-        *KEYS, (~no_parser).alias("failed"), F.array().cast(ENTRY).alias("entries")
+    cases = " ".join(f"WHEN {lit(name)} THEN cast({e} AS {ENTRIES})" for name, e in entries.items())
+    return read.withColumn("failed", F.expr(failed)).select(
+        *KEYS,
+        "failed",
+        F.expr(f"CASE WHEN failed OR _text IS NULL THEN {NO_ENTRIES} ELSE CASE file_name {cases} END END AS entries"),
     )
-    return reduce(DataFrame.unionByName, [*parsed, unopened])
 
 
 def occurrences_of(parsed: DataFrame) -> DataFrame:
     """One row per dependency entry of the manifests that parsed."""
-    exploded = parsed.where(~F.col("failed")).select(
-        "repo", "file_seq", "source", F.posexplode("entries").alias("entry_seq", "e")
+    exploded = parsed.where("NOT failed").selectExpr(
+        "repo", "file_seq", "source", "posexplode(entries) AS (entry_seq, e)"
     )
     return exploded.select(
         "repo", "file_seq", "entry_seq", "e.name", "e.version", "source", "e.dep_type"
-    ).to(exploded.sparkSession.createDataFrame([], OCCURRENCES).schema)
+    )
 
 
 def detected_sources(parsed: DataFrame) -> DataFrame:
     """Ecosystems of the manifests that parsed, per repository (at most seven values)."""
-    return (
-        parsed.where(~F.col("failed"))
-        .groupBy("repo")
-        .agg(F.array_sort(F.collect_set("source")).alias("sources_detected"))
-    )
+    grouped = parsed.where("NOT failed").groupBy("repo")
+    return grouped.agg(*exprs(sources_detected="array_sort(collect_set(source))"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from forgelens.functions.sql import exprs
 
 REPOS = "repo string"
 FILES = (
@@ -37,6 +38,13 @@ OCCURRENCES = (
     "dep_type string"
 )
 
+FILE_DEFAULTS = {
+    "content": "cast(NULL AS binary)",
+    "last_modified": "cast(NULL AS timestamp_ntz)",
+    "readable": "true",
+    "error": "cast(NULL AS string)",
+}
+
 # The enumerations of the data model, as stored strings.
 DEPENDENCY_TYPES = ("runtime", "development", "build", "optional", "peer", "unknown")
 DEPENDENCY_SOURCES = ("python", "javascript", "go", "rust", "php", "ruby", "jvm", "unknown")
@@ -59,17 +67,10 @@ def per_repo(repos: DataFrame, *parts: DataFrame, zeros: dict[str, object] | Non
     comes from a ``groupBy``, so the joins add no shuffle of their own.
     """
     joined = reduce(lambda left, right: left.join(right, "repo", "left"), parts, repos)
-    if not zeros:
-        return joined
-    return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zeros.items()})
+    return joined.fillna(zeros) if zeros else joined
 
 
 def with_file_defaults(files: DataFrame) -> DataFrame:
     """Add the optional ingest columns to a file table that lacks them."""
-    defaults: dict[str, Column] = {
-        "content": F.lit(None).cast("binary"),
-        "last_modified": F.lit(None).cast("timestamp_ntz"),
-        "readable": F.lit(True),
-        "error": F.lit(None).cast("string"),
-    }
-    return files.withColumns({c: e for c, e in defaults.items() if c not in files.columns})
+    missing = {k: v for k, v in FILE_DEFAULTS.items() if k not in files.columns}
+    return files.select("*", *exprs(**missing)) if missing else files
