@@ -139,29 +139,50 @@ def churn(repos: DataFrame, impacts: DataFrame) -> DataFrame:
 
 
 def churn_totals(impacts: DataFrame) -> DataFrame:
-    return churn_against_mean(impacts).groupBy("repo").agg(
+    """Churn figures from one reading of the impacts, for repositories that have any.
+
+    Files are first counted per churn value. A repository has few distinct values (k of them need
+    at least k(k-1)/2 changed lines), so its mean is a window over these counts and the files
+    themselves are not joined with it.
+    """
+    levels = (
+        impacts.selectExpr("repo", "insertions + deletions AS churn")
+        .groupBy("repo", "churn")
+        .agg(*exprs(n="count(*)"))
+    )
+    whole = "OVER (PARTITION BY repo)"
+    means = levels.selectExpr("*", f"sum(churn * n) {whole} / sum(n) {whole} AS mean_churn")
+    return means.groupBy("repo").agg(
         *exprs(
-            files="count(*)",
-            high_churn_files="count_if(churn > mean_churn * 2)",
-            average_churn="round(sum(churn) / count(*), 2)",
+            files="sum(n)",
+            high_churn_files="coalesce(sum(n) FILTER (WHERE churn > mean_churn * 2), 0L)",
+            average_churn="round(sum(churn * n) / sum(n), 2)",
         )
     )
 
 
+def average_churn(impacts: DataFrame) -> DataFrame:
+    """The mean alone, without the distribution around it."""
+    return impacts.groupBy("repo").agg(
+        *exprs(average_churn="round(sum(insertions + deletions) / count(*), 2)")
+    )
+
+
 # Activity
 
 
+ACTIVITY = {
+    "total_commits": "count(*)",
+    "first_commit_at": "min(authored_at)",
+    "last_commit_at": "max(authored_at)",
+    "meaningful_messages": f"count_if({is_meaningful()})",
+    "merge_commits": f"count_if({is_merge()})",
+}
+
+
 def activity_totals(commits: DataFrame) -> DataFrame:
     """All plain counts of a repository's commits, in one pass and one shuffle."""
-    return commits.groupBy("repo").agg(
-        *exprs(
-            total_commits="count(*)",
-            first_commit_at="min(authored_at)",
-            last_commit_at="max(authored_at)",
-            meaningful_messages=f"count_if({is_meaningful()})",
-            merge_commits=f"count_if({is_merge()})",
-        )
-    )
+    return commits.groupBy("repo").agg(*exprs(**ACTIVITY))
 
 
 def frequency_columns() -> dict[str, str]:
@@ -257,13 +278,16 @@ def author_ranks(commits: DataFrame) -> DataFrame:
     )
 
 
-def _dominant_levels(contributions: DataFrame, threshold: float) -> DataFrame:
-    """How many authors of each commit count belong to the dominant group.
+def commit_levels(
+    contributions: DataFrame, threshold: float = 0.5, carried: dict[str, str] | None = None
+) -> DataFrame:
+    """How many authors of each commit count belong to the dominant group (``taken``).
 
     Authors are first counted per commit count. A repository has few distinct commit counts (k of
     them need at least k(k+1)/2 commits), so the running total over them is small even where the
     authors are many. Within one commit count ``c`` the j-th author is needed as long as
-    ``(before + j * c) / total`` stays below the threshold.
+    ``(before + j * c) / total`` stays below the threshold. ``carried`` are further aggregates over
+    the authors of a level.
     """
     earlier = "OVER (PARTITION BY repo ORDER BY commits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     guess = f"ceil(({threshold}D * total - before) / commits)"
@@ -271,25 +295,39 @@ def _dominant_levels(contributions: DataFrame, threshold: float) -> DataFrame:
         f"filter(sequence({guess} - 1, {guess} + 1), "
         f"j -> double(before + j * commits) / total >= {threshold}D)"
     )
-    return (
-        contributions.groupBy("repo", "commits")
-        .agg(*exprs(authors="count(*)"))
-        .select(
-            "*",
-            *exprs(
-                before=f"coalesce(sum(commits * authors) {earlier}, 0L)",
-                ahead=f"coalesce(sum(authors) {earlier}, 0L)",
-                total="sum(commits * authors) OVER (PARTITION BY repo)",
-            ),
-        )
-        .withColumn("taken", F.expr(f"least(authors, greatest(get({needed}, 0), int(before = 0)))"))
-        .where("taken > 0")
+    levels = contributions.groupBy("repo", "commits").agg(*exprs(authors="count(*)", **(carried or {})))
+    return levels.select(
+        "*",
+        *exprs(
+            before=f"coalesce(sum(commits * authors) {earlier}, 0L)",
+            ahead=f"coalesce(sum(authors) {earlier}, 0L)",
+            total="sum(commits * authors) OVER (PARTITION BY repo)",
+        ),
+    ).withColumn("taken", F.expr(f"least(authors, greatest(get({needed}, 0), int(before = 0)))"))
+
+
+def history_totals(commits: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Activity counts and bus factor of each repository from one scan of its commits.
+
+    Commits are folded per author, authors per commit count, and commit counts per repository;
+    every fold combines on the map side, and only the first moves more than a summary.
+    """
+    per_author = commits.groupBy("repo", "author_email").agg(
+        *exprs(commits="count(*)", **{k: v for k, v in ACTIVITY.items() if k != "total_commits"})
+    )
+    refold = {
+        "first_commit_at": "min(first_commit_at)",
+        "last_commit_at": "max(last_commit_at)",
+        "meaningful_messages": "sum(meaningful_messages)",
+        "merge_commits": "sum(merge_commits)",
+    }
+    return commit_levels(per_author, threshold, refold).groupBy("repo").agg(
+        *exprs(total_commits="sum(commits * authors)", **refold, bus_factor="sum(taken)")
     )
 
 
 def bus_factor_totals(contributions: DataFrame, threshold: float = 0.5) -> DataFrame:
-    levels = _dominant_levels(contributions, threshold)
-    return levels.groupBy("repo").agg(*exprs(bus_factor="sum(taken)"))
+    return commit_levels(contributions, threshold).groupBy("repo").agg(*exprs(bus_factor="sum(taken)"))
 
 
 def bus_factor(repos: DataFrame, contributions: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -299,7 +337,8 @@ def bus_factor(repos: DataFrame, contributions: DataFrame, threshold: float = 0.
 
 def dominant_authors(contributions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The authors behind the bus factor in order, ties by first appearance, one row each."""
-    levels = _dominant_levels(contributions, threshold).select("repo", "commits", "ahead", "taken")
+    dominant = commit_levels(contributions, threshold).where("taken > 0")
+    levels = dominant.select("repo", "commits", "ahead", "taken")
     members = join_hot(
         contributions.select("repo", "author_email", "commits", "first_seq"),
         levels,

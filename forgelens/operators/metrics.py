@@ -15,7 +15,7 @@ from forgelens.functions.sql import exprs, lit, present_only
 from forgelens.operators import history
 from forgelens.operators.files import file_features, listed
 from forgelens.operators.skew import join_hot
-from forgelens.plans.history_reports import extended_summary
+from forgelens.plans.history_reports import impact_of, prepared
 from forgelens.tables import per_repo
 
 
@@ -72,46 +72,71 @@ def find_preset(name: str) -> Preset:
 # Metrics
 
 
-def structural_metrics(repos: DataFrame, files: DataFrame) -> DataFrame:
-    """Line totals, and files per language and category as maps with sorted keys.
+LINE_SUMS = ("total_lines", "blank_lines", "non_blank_lines")
+# The maps of the structural metrics: their column of the file features and its known values.
+FILE_MAPS = {
+    "languages": ("language", sorted(set(LANGUAGES.values()))),
+    "file_categories": ("category", sorted(CATEGORIES)),
+}
+
+
+def structural_totals(files: DataFrame) -> DataFrame:
+    """Line totals and files per language and category.
 
     One narrow pass over the contents and one shuffle of partial counts: languages and categories
     are known in advance, so each is a conditional count of the same aggregate.
     """
-    sums = ("total_lines", "blank_lines", "non_blank_lines")
-    kinds = {"languages": ("language", LANGUAGES.values()), "file_categories": ("category", CATEGORIES)}
     counts = {
         f"_{column}_{value}": f"count_if({column} = {lit(value)})"
-        for column, values in kinds.values()
-        for value in sorted(set(values))
+        for column, values in FILE_MAPS.values()
+        for value in values
     }
-    totals = file_features(listed(files)).groupBy("repo").agg(
-        *exprs(**{c: f"sum({c})" for c in sums}, files_counted="count(*)", **counts)
+    sums = {c: f"sum({c})" for c in LINE_SUMS}
+    return file_features(listed(files)).groupBy("repo").agg(
+        *exprs(**sums, files_counted="count(*)", **counts)
     )
 
-    def counted(column: str, values: Iterable[str]) -> str:
-        pairs = ", ".join(f"{lit(v)}, coalesce(`_{column}_{v}`, 0L)" for v in sorted(set(values)))
+
+def structural_columns() -> dict[str, str]:
+    """Columns over ``structural_totals``; the maps have sorted keys and no zero counts."""
+
+    def counted(column: str, values: list[str]) -> str:
+        pairs = ", ".join(f"{lit(v)}, coalesce(`_{column}_{v}`, 0L)" for v in values)
         return f"map_filter(map({pairs}), (k, n) -> n > 0)"
 
-    return per_repo(repos, totals).select(
-        "repo",
-        *exprs(
-            total_lines="coalesce(total_lines, 0L)",
-            files_counted="coalesce(files_counted, 0L)",
-            blank_lines="coalesce(blank_lines, 0L)",
-            non_blank_lines="coalesce(non_blank_lines, 0L)",
-            **{name: counted(*kind) for name, kind in kinds.items()},
-        ),
-    )
+    plain = {c: f"coalesce({c}, 0L)" for c in (*LINE_SUMS, "files_counted")}
+    return {**plain, **{name: counted(*kind) for name, kind in FILE_MAPS.items()}}
+
+
+def structural_metrics(repos: DataFrame, files: DataFrame) -> DataFrame:
+    totals = per_repo(repos, structural_totals(files))
+    return totals.select("repo", *exprs(**structural_columns()))
+
+
+def activity_columns(as_of: datetime) -> dict[str, str]:
+    return {**history.frequency_columns(), **history.inactivity_columns(as_of)}
 
 
 def activity_metrics(repos: DataFrame, commits: DataFrame, as_of: datetime) -> DataFrame:
-    columns = {**history.frequency_columns(), **history.inactivity_columns(as_of)}
     totals = per_repo(repos, history.activity_totals(commits))
-    return totals.select("repo", *exprs(**columns))
+    return totals.select("repo", *exprs(**activity_columns(as_of)))
 
 
-QUALITY = ("bus_factor", "meaningful_commit_ratio", "churn_average", "merge_ratio")
+def quality_columns() -> dict[str, str]:
+    return {
+        "bus_factor": "coalesce(bus_factor, 0L)",
+        "meaningful_commit_ratio": history.message_columns()["meaningful_ratio"],
+        "churn_average": "coalesce(average_churn, 0.0D)",
+        "merge_ratio": history.merge_columns()["merge_ratio"],
+    }
+
+
+def _history_parts(
+    commits: DataFrame, commit_files: DataFrame, max_commits: int | None
+) -> tuple[DataFrame, DataFrame]:
+    chosen = prepared(commits, max_commits)
+    churn = history.average_churn(impact_of(commit_files, chosen, max_commits))
+    return history.history_totals(chosen), churn
 
 
 def history_metrics(
@@ -122,30 +147,15 @@ def history_metrics(
     max_commits: int | None = None,
 ) -> DataFrame:
     """Activity metrics and quality signals from one reading of the history."""
-    summary = extended_summary(repos, commits, commit_files, as_of, max_commits)
-    return summary.selectExpr(
-        "repo",
-        "total_commits",
-        "commits_per_day",
-        "days_active",
-        "inactive",
-        "days_since_last_commit",
-        "bus_factor",
-        "meaningful_ratio AS meaningful_commit_ratio",
-        "average_churn AS churn_average",
-        "merge_ratio",
-    )
+    totals = per_repo(repos, *_history_parts(commits, commit_files, max_commits))
+    return totals.select("repo", *exprs(**activity_columns(as_of), **quality_columns()))
 
 
 def quality_signals(
-    repos: DataFrame,
-    commits: DataFrame,
-    commit_files: DataFrame,
-    as_of: datetime,
-    max_commits: int | None = None,
+    repos: DataFrame, commits: DataFrame, commit_files: DataFrame, max_commits: int | None = None
 ) -> DataFrame:
-    metrics = history_metrics(repos, commits, commit_files, as_of, max_commits)
-    return metrics.select("repo", *QUALITY)
+    totals = per_repo(repos, *_history_parts(commits, commit_files, max_commits))
+    return totals.select("repo", *exprs(**quality_columns()))
 
 
 def repository_metrics(
@@ -156,11 +166,15 @@ def repository_metrics(
     as_of: datetime,
     max_commits: int | None = None,
 ) -> DataFrame:
-    """The ``repo_metrics`` table, flat: structure, activity and quality of every repository."""
-    structure = structural_metrics(repos, files)
-    return structure.join(
-        history_metrics(repos, commits, commit_files, as_of, max_commits), "repo"
-    ).withColumn("generated_at", F.expr(history.moment(as_of)))
+    """The ``repo_metrics`` table, flat: structure, activity and quality of every repository.
+
+    Each base table is scanned once and folded to one row per repository before any join.
+    """
+    parts = (structural_totals(files), *_history_parts(commits, commit_files, max_commits))
+    columns = {**structural_columns(), **activity_columns(as_of), **quality_columns()}
+    return per_repo(repos, *parts).select(
+        "repo", *exprs(**columns, generated_at=history.moment(as_of))
+    )
 
 
 # Scores

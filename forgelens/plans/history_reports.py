@@ -12,6 +12,17 @@ from forgelens.operators import history
 from forgelens.tables import per_repo
 
 
+def summary_columns(as_of: datetime) -> dict[str, str]:
+    """Columns of the summary over ``history_totals``."""
+    return {
+        **history.frequency_columns(),
+        **history.inactivity_columns(as_of),
+        **history.message_columns(),
+        **history.merge_columns(),
+        "bus_factor": "coalesce(bus_factor, 0L)",
+    }
+
+
 def history_summary(
     repos: DataFrame, commits: DataFrame, as_of: datetime, *others: DataFrame
 ) -> DataFrame:
@@ -19,26 +30,24 @@ def history_summary(
 
     ``others`` are further per-repository results to join in the same step.
     """
-    columns = {
-        **history.frequency_columns(),
-        **history.inactivity_columns(as_of),
-        **history.message_columns(),
-        **history.merge_columns(),
-        "bus_factor": "coalesce(bus_factor, 0L)",
-    }
     kept = [c for other in others for c in other.columns if c != "repo"]
-    bus = history.bus_factor_totals(history.author_ranks(commits))
     return (
-        per_repo(repos, history.activity_totals(commits), bus, *others)
-        .select("repo", *exprs(**columns), *kept)
+        per_repo(repos, history.history_totals(commits), *others)
+        .select("repo", *exprs(**summary_columns(as_of)), *kept)
         .withColumn("score", F.expr(history.history_score()))
     )
 
 
-def _prepared(commits: DataFrame, max_commits: int | None) -> DataFrame:
+def prepared(commits: DataFrame, max_commits: int | None) -> DataFrame:
+    """The newest commits with normalised authors."""
     return history.normalize_authors(history.newest_commits(commits, max_commits))
 
 
+def impact_of(commit_files: DataFrame, chosen: DataFrame, max_commits: int | None) -> DataFrame:
+    """File impact of the chosen commits; without a limit no join is needed to choose them."""
+    return history.file_impact(commit_files, None if max_commits is None else chosen)
+
+
 BASIC = (
     "repo", "total_commits", "days_active", "commits_per_day", "bus_factor", "inactive",
     "days_since_last_commit", "total_messages", "meaningful_messages", "meaningful_ratio", "score",
@@ -52,7 +61,7 @@ def git_history_report(
     as_of: datetime,
     max_commits: int | None = None,
 ) -> dict[str, DataFrame]:
-    chosen = _prepared(commits, max_commits)
+    chosen = prepared(commits, max_commits)
     authors = history.author_contributions(history.attach_commit_stats(chosen, commit_files))
     return {
         "summary": history_summary(repos, chosen, as_of).select(*BASIC),
@@ -69,9 +78,8 @@ def extended_summary(
     max_commits: int | None = None,
 ) -> DataFrame:
     """The summary with churn and merges."""
-    chosen = _prepared(commits, max_commits)
-    only = None if max_commits is None else chosen
-    churn = history.churn_totals(history.file_impact(commit_files, only))
+    chosen = prepared(commits, max_commits)
+    churn = history.churn_totals(impact_of(commit_files, chosen, max_commits))
     zeros = {"files": 0, "high_churn_files": 0, "average_churn": 0.0}
     return history_summary(repos, chosen, as_of, churn).fillna(zeros)
 
@@ -84,7 +92,7 @@ def extended_git_history_report(
     max_commits: int | None = None,
 ) -> dict[str, DataFrame]:
     report = git_history_report(repos, commits, commit_files, as_of, max_commits)
-    chosen = _prepared(commits, max_commits)
+    chosen = prepared(commits, max_commits)
     report["summary"] = extended_summary(repos, commits, commit_files, as_of, max_commits)
     report["author_months"] = history.author_months(chosen)
     return report
@@ -93,7 +101,7 @@ def extended_git_history_report(
 def commit_activity_report(
     repos: DataFrame, commits: DataFrame, commit_files: DataFrame, max_commits: int | None = None
 ) -> dict[str, DataFrame]:
-    chosen = _prepared(commits, max_commits)
+    chosen = prepared(commits, max_commits)
     with_stats = history.attach_commit_stats(chosen, commit_files)
     return {
         "authors": history.commits_per_author(chosen),

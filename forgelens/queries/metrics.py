@@ -140,7 +140,7 @@ def activity_metrics(x: Inputs) -> DataFrame:
     "hist churn",
 )
 def quality_signals(x: Inputs) -> DataFrame:
-    return m.quality_signals(repos_of(x.commits), x.commits, x.commit_files, AS_OF)
+    return m.quality_signals(repos_of(x.commits), x.commits, x.commit_files)
 
 
 @query(
