@@ -28,6 +28,11 @@ def newest_commits(commits: DataFrame, max_commits: int | None) -> DataFrame:
     return commits if max_commits is None else first_n(commits, ["repo"], "seq", max_commits)
 
 
+def prepared(commits: DataFrame, max_commits: int | None) -> DataFrame:
+    """The newest commits with normalised authors."""
+    return normalize_authors(newest_commits(commits, max_commits))
+
+
 def is_meaningful(
     message: str = "message",
     min_length: int = MIN_MESSAGE_LENGTH,
@@ -120,6 +125,11 @@ def file_impact(commit_files: DataFrame, commits: DataFrame | None = None) -> Da
     return _impact(commit_files, "repo", "path")
 
 
+def impact_of(commit_files: DataFrame, chosen: DataFrame, max_commits: int | None) -> DataFrame:
+    """File impact of the chosen commits; without a limit no join is needed to choose them."""
+    return file_impact(commit_files, None if max_commits is None else chosen)
+
+
 def churn_against_mean(impacts: DataFrame) -> DataFrame:
     """Each file's churn beside the mean of its repository."""
     churn = impacts.selectExpr("repo", "path", "insertions + deletions AS churn")

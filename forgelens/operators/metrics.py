@@ -15,7 +15,6 @@ from forgelens.functions.sql import exprs, lit, present_only
 from forgelens.operators import history
 from forgelens.operators.files import file_features, listed
 from forgelens.operators.skew import join_hot
-from forgelens.plans.history_reports import impact_of, prepared
 from forgelens.tables import per_repo
 
 
@@ -134,8 +133,8 @@ def quality_columns() -> dict[str, str]:
 def _history_parts(
     commits: DataFrame, commit_files: DataFrame, max_commits: int | None
 ) -> tuple[DataFrame, DataFrame]:
-    chosen = prepared(commits, max_commits)
-    churn = history.average_churn(impact_of(commit_files, chosen, max_commits))
+    chosen = history.prepared(commits, max_commits)
+    churn = history.average_churn(history.impact_of(commit_files, chosen, max_commits))
     return history.history_totals(chosen), churn
 
 
@@ -222,15 +221,19 @@ def with_scores(
     Sections use the default thresholds whatever the preset, unless others are passed here.
     A later expression refers to an earlier one of its select by name.
     """
-    w = weights or DEFAULT_WEIGHTS
     sections = {**structure_score(), **activity_score(thresholds), **quality_score(thresholds)}
+    scored = metrics.select("*", *exprs(**sections))
+    return scored.withColumn("total_score", F.expr(total_score(weights)))
+
+
+def total_score(weights: dict[str, float] | None = None) -> str:
+    """Weighted total over the section scores."""
+    w = weights or DEFAULT_WEIGHTS
     total = (
         f"structure_score * {w['structure']}D + activity_score * {w['activity']}D "
         f"+ quality_score * {w['quality']}D"
     )
-    return metrics.select("*", *exprs(**sections)).withColumn(
-        "total_score", F.expr(f"round({scores.clamp(f'({total})')}, 3)")
-    )
+    return f"round({scores.clamp(f'({total})')}, 3)"
 
 
 def risk_flags(thresholds: Thresholds = DEFAULT_THRESHOLDS) -> str:
@@ -249,7 +252,10 @@ def risk_flags(thresholds: Thresholds = DEFAULT_THRESHOLDS) -> str:
 
 
 def compare_repositories(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Differences a - b for the pairs ``(a, b)`` of repository names that are given."""
+    """Differences a - b for the pairs ``(a, b)`` of repository names that are given.
+
+    Pairs are turned into two rows each, so the metrics are computed and joined once.
+    """
     values = {
         "total_score_diff": "total_score",
         "commits_per_day_diff": "commits_per_day",
@@ -257,13 +263,12 @@ def compare_repositories(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
         "meaningful_commit_ratio_diff": "meaningful_commit_ratio",
     }
     scored = with_scores(metrics).select("repo", *values.values())
-
-    def side(name: str) -> DataFrame:
-        return scored.selectExpr(f"repo AS {name}", *[f"{v} AS {name}_{v}" for v in values.values()])
-
-    differences = exprs(**{k: f"a_{v} - b_{v}" for k, v in values.items()})
-    left = join_hot(pairs, side("a"), ["a"], ["b"], ways=8)
-    return join_hot(left, side("b"), ["b"], ["a"], ways=8).select("a", "b", *differences)
+    sides = pairs.distinct().selectExpr(
+        "a", "b", "inline(array(struct(a AS repo, 1 AS sign), struct(b AS repo, -1 AS sign)))"
+    )
+    differences = exprs(**{k: f"sum(sign * {v})" for k, v in values.items()}, sides="count(*)")
+    compared = join_hot(sides, scored, ["repo"], ["a", "b"], ways=8).groupBy("a", "b").agg(*differences)
+    return compared.where("sides = 2").drop("sides")
 
 
 DELTA_COLUMNS = (

@@ -1,0 +1,26 @@
+"""Staging of intermediate tables that several results read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _use_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoint where the cluster says; a directory of our own only where nothing is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="forgelens-checkpoint-"))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows written once to the checkpoint directory, so that later reads do not recompute them.
+
+    Used where the input is far larger than the result, such as file contents reduced to parsed
+    manifests. The rows survive the loss of executors and the lineage is cut.
+    """
+    _use_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from forgelens.operators import dependencies as d
 from forgelens.operators import graph
+from forgelens.operators.staging import staged
 from forgelens.sources import manifests as m
 
 
@@ -37,8 +38,12 @@ def repository_dependency_report(
     files: DataFrame,
     license_rules: Sequence[tuple[str, str]] = d.LICENSE_PREFIXES,
 ) -> dict[str, DataFrame]:
-    """The report from file tables: discover, parse, merge, enrich, summarise."""
-    parsed = m.parse_manifests(m.discover_manifests(files))
+    """The report from file tables: discover, parse, merge, enrich, summarise.
+
+    The parsed manifests are staged: dependencies and detected sources both read them, and the
+    contents of the file table are read once.
+    """
+    parsed = staged(m.parse_manifests(m.discover_manifests(files)))
     occurrences = m.occurrences_of(parsed)
     return dependency_report(repos, occurrences, m.detected_sources(parsed), license_rules)
 

@@ -38,16 +38,6 @@ def history_summary(
     )
 
 
-def prepared(commits: DataFrame, max_commits: int | None) -> DataFrame:
-    """The newest commits with normalised authors."""
-    return history.normalize_authors(history.newest_commits(commits, max_commits))
-
-
-def impact_of(commit_files: DataFrame, chosen: DataFrame, max_commits: int | None) -> DataFrame:
-    """File impact of the chosen commits; without a limit no join is needed to choose them."""
-    return history.file_impact(commit_files, None if max_commits is None else chosen)
-
-
 BASIC = (
     "repo", "total_commits", "days_active", "commits_per_day", "bus_factor", "inactive",
     "days_since_last_commit", "total_messages", "meaningful_messages", "meaningful_ratio", "score",
@@ -61,7 +51,7 @@ def git_history_report(
     as_of: datetime,
     max_commits: int | None = None,
 ) -> dict[str, DataFrame]:
-    chosen = prepared(commits, max_commits)
+    chosen = history.prepared(commits, max_commits)
     authors = history.author_contributions(history.attach_commit_stats(chosen, commit_files))
     return {
         "summary": history_summary(repos, chosen, as_of).select(*BASIC),
@@ -78,8 +68,8 @@ def extended_summary(
     max_commits: int | None = None,
 ) -> DataFrame:
     """The summary with churn and merges."""
-    chosen = prepared(commits, max_commits)
-    churn = history.churn_totals(impact_of(commit_files, chosen, max_commits))
+    chosen = history.prepared(commits, max_commits)
+    churn = history.churn_totals(history.impact_of(commit_files, chosen, max_commits))
     zeros = {"files": 0, "high_churn_files": 0, "average_churn": 0.0}
     return history_summary(repos, chosen, as_of, churn).fillna(zeros)
 
@@ -92,7 +82,7 @@ def extended_git_history_report(
     max_commits: int | None = None,
 ) -> dict[str, DataFrame]:
     report = git_history_report(repos, commits, commit_files, as_of, max_commits)
-    chosen = prepared(commits, max_commits)
+    chosen = history.prepared(commits, max_commits)
     report["summary"] = extended_summary(repos, commits, commit_files, as_of, max_commits)
     report["author_months"] = history.author_months(chosen)
     return report
@@ -101,7 +91,7 @@ def extended_git_history_report(
 def commit_activity_report(
     repos: DataFrame, commits: DataFrame, commit_files: DataFrame, max_commits: int | None = None
 ) -> dict[str, DataFrame]:
-    chosen = prepared(commits, max_commits)
+    chosen = history.prepared(commits, max_commits)
     with_stats = history.attach_commit_stats(chosen, commit_files)
     return {
         "authors": history.commits_per_author(chosen),

@@ -164,12 +164,8 @@ def section_scores(x: Inputs) -> DataFrame:
     USES,
 )
 def composite_scores(x: Inputs) -> DataFrame:
-    metrics = metrics_of(x)
-
-    def rows(name: str) -> DataFrame:
-        return reports.metrics_report(metrics, name).select("repo", "preset", "total_score")
-
-    return rows("relaxed").unionByName(rows("strict")).unionByName(rows("research"))
+    totals = [f"struct('{p.name}' AS preset, {m.total_score(p.weights)} AS total_score)" for p in m.PRESETS.values()]
+    return m.with_scores(metrics_of(x)).selectExpr("repo", f"inline(array({', '.join(totals)}))")
 
 
 @query(
