@@ -10,7 +10,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = r"[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"  # besides the pair \r\n
 
 BINARY_PROBE_BYTES = 1024
 
@@ -25,7 +25,7 @@ def lstrip(text: str) -> str:
 
 def line_parts(text: str) -> str:
     """Pieces between line boundaries; the piece after a final boundary is an empty string."""
-    return f"split({text}, {lit(LINE_BREAK)}, -1)"
+    return f"split(replace({text}, '\\r\\n', '\\n'), {lit(LINE_BREAK)}, -1)"
 
 
 def open_end(parts: str) -> str:
@@ -38,7 +38,7 @@ def line_count(parts: str) -> str:
 
 
 def blank_count(parts: str) -> str:
-    return f"bigint(size(filter({parts}, l -> {strip('l')} = '')) - {open_end(parts)})"
+    return f"bigint(size(filter({parts}, l -> {lstrip('l')} = '')) - {open_end(parts)})"
 
 
 def lines(text: str) -> str:

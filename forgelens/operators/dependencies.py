@@ -360,9 +360,8 @@ def findings(deps: DataFrame) -> DataFrame:
     }
     ruled = present_only(*[f"CASE WHEN {holds} THEN {f} END" for holds, f in rules.items()])
     listed = f"concat(transform(vulnerabilities, v -> {known}), {ruled})"
-    return deps.selectExpr("repo", "name", f"posexplode({listed}) AS (position, f)").select(
-        "repo", "name", "position", "f.*"
-    )
+    exploded = deps.selectExpr("repo", "name", f"posexplode_outer({listed}) AS (position, f)")
+    return exploded.where("f IS NOT NULL").select("repo", "name", "position", "f.*")
 
 
 def findings_by_severity(all_findings: DataFrame) -> DataFrame:

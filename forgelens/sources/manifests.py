@@ -230,10 +230,14 @@ def parse_manifests(manifests: DataFrame) -> DataFrame:
 
 
 def occurrences_of(parsed: DataFrame) -> DataFrame:
-    """One row per dependency entry of the manifests that parsed."""
-    exploded = parsed.where("NOT failed").selectExpr(
-        "repo", "file_seq", "source", "posexplode(entries) AS (entry_seq, e)"
-    )
+    """One row per dependency entry of the manifests that parsed; the others have no entries.
+
+    The outer form keeps Spark from inferring a filter on the entries, which would parse every
+    manifest a second time.
+    """
+    exploded = parsed.selectExpr(
+        "repo", "file_seq", "source", "posexplode_outer(entries) AS (entry_seq, e)"
+    ).where("e IS NOT NULL")
     return exploded.select(
         "repo", "file_seq", "entry_seq", "e.name", "e.version", "source", "e.dep_type"
     )
