@@ -53,43 +53,51 @@ def parse_numstat_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def read_log_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records ``(repo, seq, header, body)`` of exported histories, in file order.
+    """Records ``(repo, block, place, header, body)`` of exported histories.
 
-    Files split into blocks of bounded size; records are numbered inside their block and a running
-    total over the blocks of a file gives each block its offset.
+    Large files are split into blocks; ``block`` and then ``place`` order the records of a file.
     """
-    raw = (
+    return (
         spark.read.option("lineSep", RECORD_SEPARATOR)
         .text(path)
+        .where("value <> ''")
         .selectExpr(
             "regexp_replace(_metadata.file_name, '[.]log$', '') AS repo",
             "_metadata.file_block_start AS block",
             "monotonically_increasing_id() AS place",
-            "value",
+            "split(value, '\\r?\\n', 2) AS parts",
+        )
+        .selectExpr(
+            "repo", "block", "place", "parts[0] AS header", "coalesce(get(parts, 1), '') AS body"
         )
-        .where("value <> ''")
     )
-    counts = raw.groupBy("repo", "block").agg(*exprs(n="count(*)"))
+
+
+def _numbered(parsed: DataFrame) -> DataFrame:
+    """Turn block and place into one ``seq``.
+
+    A block has a bounded size, so commits are numbered inside their block, and a running total
+    over the few blocks of a file gives each its offset.
+    """
+    counts = parsed.groupBy("repo", "block").agg(*exprs(n="count(*)"))
     earlier = (
         "sum(n) OVER (PARTITION BY repo ORDER BY block "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
     offsets = counts.selectExpr("repo", "block", f"coalesce({earlier}, 0L) AS skipped")
     inside = "row_number() OVER (PARTITION BY repo, block ORDER BY place)"
-    return (
-        raw.join(offsets, ["repo", "block"])
-        .selectExpr("repo", f"skipped + {inside} AS seq", "split(value, '\\r?\\n', 2) AS parts")
-        .selectExpr(
-            "repo", "seq", "parts[0] AS header", "coalesce(get(parts, 1), '') AS body"
-        )
-    )
+    kept = [c for c in parsed.columns if c not in ("repo", "block", "place")]
+    return parsed.join(offsets, ["repo", "block"]).selectExpr("repo", f"skipped + {inside} AS seq", *kept)
 
 
 def commits_of(records: DataFrame) -> DataFrame:
-    return parse_log_lines(records.selectExpr("repo", "seq", "header AS line"))
+    """The ``commits`` table. Only headers are moved to number them, never the change lists."""
+    headers = records.selectExpr("repo", "block", "place", "header AS line")
+    return _numbered(parse_log_lines(headers))
 
 
 def commit_files_of(records: DataFrame) -> DataFrame:
-    parsed = parse_log_lines(records.withColumnRenamed("header", "line"))
-    lines = "posexplode(split(body, '\\r?\\n')) AS (ordinal, line)"
+    """The ``commit_files`` table, without a shuffle."""
+    parsed = parse_log_lines(records.selectExpr("repo", "header AS line", "body"))
+    lines = "posexplode_outer(split(body, '\\r?\\n')) AS (ordinal, line)"
     return parse_numstat_lines(parsed.selectExpr("repo", "commit_hash", lines))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tomllib
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from forgelens.functions.sql import exprs, in_list, lit, map_of
 from forgelens.functions.text import lines, strip
 from forgelens.functions.versions import normalize_version, split_specs
 
+# Functions of this module travel to the Python workers by value, so that the workers need no copy
+# of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Manifest names with their ecosystem, and the sections of a package file.
 MANIFEST_SOURCES = {
     "requirements.txt": "python", "pyproject.toml": "python", "setup.py": "python",

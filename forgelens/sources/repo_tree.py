@@ -14,16 +14,22 @@ from __future__ import annotations
 
 import os
 import stat
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from forgelens.functions.paths import EXCLUDED_DIRS
 
+# Functions of this module travel to the Python workers by value, so that the workers need no copy
+# of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCHEMA = (
     "repo string, seq bigint, path string, kind string, content binary, size_bytes bigint, "
     "is_symlink boolean, is_executable boolean, last_modified timestamp_ntz, readable boolean, "
