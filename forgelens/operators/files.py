@@ -227,8 +227,10 @@ def directory_totals(files: DataFrame, dirs: DataFrame, include_root: bool = Fal
     if include_root:
         root = files.select("repo").distinct().selectExpr("repo", "'' AS path", "0 AS depth")
         known = known.unionByName(root)
-    above = f"explode(array_distinct(concat(array(''), {paths.ancestors('dir')}))) AS path"
-    candidates = parents.selectExpr("*", above)
+    above = paths.ancestors("dir")
+    if include_root:
+        above = f"array_distinct(concat(array(''), {above}))"
+    candidates = parents.selectExpr("*", f"explode({above}) AS path")
     nearest = (
         join_hot(candidates, known, ["repo", "path"], ["dir"], ways=8)
         .groupBy("repo", "dir")

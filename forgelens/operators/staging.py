@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _use_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoint where the cluster says; a directory of our own only where nothing is set."""
+    """Checkpoint where the cluster says. Only a local session without a setting gets its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="forgelens-checkpoint-"))
 
 

@@ -435,7 +435,7 @@ def high_risk_at_lower_threshold(x: Inputs) -> DataFrame:
 @query(
     "policy_violations",
     """, v AS (SELECT repo, count(*) FILTER (is_zero) AS n FROM deps GROUP BY repo)
-       SELECT repo, 'vulnerable_limit' AS rule, NULL AS name, 'Vulnerable dependencies exceed limit (' || n || ')' AS message FROM v WHERE n > 10
+       SELECT repo, 'vulnerable_limit' AS rule, CAST(NULL AS VARCHAR) AS name, 'Vulnerable dependencies exceed limit (' || n || ')' AS message FROM v WHERE n > 10
        UNION ALL SELECT repo, 'license', name, 'Disallowed license detected: ' || name || ' (' || license || ')' FROM deps WHERE license IN ('GPL', 'MIT')
        UNION ALL SELECT repo, 'pre_release', name, 'Pre-release dependency detected: ' || name FROM deps WHERE is_pre""",
     "deps",
@@ -447,7 +447,7 @@ def policy_violations(x: Inputs) -> DataFrame:
 @query(
     "policy_allowing_pre_releases",
     """, v AS (SELECT repo, count(*) FILTER (is_zero) AS n FROM deps GROUP BY repo)
-       SELECT repo, 'vulnerable_limit' AS rule, NULL AS name, 'Vulnerable dependencies exceed limit (' || n || ')' AS message FROM v WHERE n > 0""",
+       SELECT repo, 'vulnerable_limit' AS rule, CAST(NULL AS VARCHAR) AS name, 'Vulnerable dependencies exceed limit (' || n || ')' AS message FROM v WHERE n > 0""",
     "deps",
 )
 def policy_allowing_pre_releases(x: Inputs) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forgelens.functions.sql import exprs
 from forgelens.operators import history as h
+from forgelens.operators.skew import row_numbers
 from forgelens.plans import history_reports as reports
 from forgelens.queries.common import AS_OF, query
 from forgelens.sources import commit_log
@@ -78,6 +79,15 @@ def newest_commits(x: Inputs) -> DataFrame:
     return h.newest_commits(x.commits, 100).select("repo", "seq", "commit_hash")
 
 
+@query(
+    "commit_positions",
+    "SELECT repo, seq, row_number() OVER (PARTITION BY repo ORDER BY seq) AS position FROM commits",
+    "commits",
+)
+def commit_positions(x: Inputs) -> DataFrame:
+    return row_numbers(x.commits.select("repo", "seq"), ["repo"], "seq", "position")
+
+
 @query(
     "newest_commits_large",
     """SELECT repo, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq
