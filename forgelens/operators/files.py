@@ -218,21 +218,42 @@ def directory_totals(files: DataFrame, dirs: DataFrame, include_root: bool = Fal
     """Files and bytes directly in each listed directory, empty directories included.
 
     A file belongs to the nearest listed directory above it. Files are first summed per parent
-    directory, so only distinct directories take part in the lookup of the nearest one.
+    directory, so only distinct directories are looked up, and only parents that are not listed
+    themselves are matched with the directories above them.
     Files at the root belong to no directory unless ``include_root`` adds the row ``''``.
     """
-    sums = exprs(total_files="count(*)", total_size_bytes="sum(size_bytes)")
-    parents = files.groupBy("repo", *exprs(dir=paths.parent())).agg(*sums)
     known = dirs.select("repo", "path", "depth")
     if include_root:
         root = files.select("repo").distinct().selectExpr("repo", "'' AS path", "0 AS depth")
         known = known.unionByName(root)
+    parents = files.groupBy("repo", *exprs(dir=paths.parent())).agg(
+        *exprs(total_files="count(*)", total_size_bytes="sum(size_bytes)")
+    )
+    listed_parents = known.selectExpr("repo", "path AS dir", "true AS is_listed")
+    looked_up = parents.join(listed_parents, ["repo", "dir"], "left")
+    columns = ("repo", "path", "total_files", "total_size_bytes")
+    direct = looked_up.where("is_listed").withColumnRenamed("dir", "path").select(*columns)
+    farther = _nearest_above(looked_up.where("is_listed IS NULL"), known, include_root)
+    totals = direct.unionByName(farther.select(*columns)).groupBy("repo", "path")
+    sums = totals.agg(
+        *exprs(total_files="sum(total_files)", total_size_bytes="sum(total_size_bytes)")
+    )
+    return known.join(sums, ["repo", "path"], "left").fillna(0, ["total_files", "total_size_bytes"])
+
+
+def _nearest_above(parents: DataFrame, known: DataFrame, include_root: bool) -> DataFrame:
+    """Parents that are not listed themselves, each with the deepest listed directory above it.
+
+    Many of them may share one ancestor, so they are spread. Only listed directories that are an
+    ancestor of any are repeated for it.
+    """
     above = paths.ancestors("dir")
     if include_root:
         above = f"array_distinct(concat(array(''), {above}))"
     candidates = parents.selectExpr("*", f"explode({above}) AS path")
-    nearest = (
-        join_hot(candidates, known, ["repo", "path"], ["dir"], ways=8)
+    ancestors = known.join(candidates.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    return (
+        join_hot(candidates, ancestors, ["repo", "path"], ["dir"], ways=8)
         .groupBy("repo", "dir")
         .agg(
             *exprs(
@@ -241,11 +262,6 @@ def directory_totals(files: DataFrame, dirs: DataFrame, include_root: bool = Fal
                 total_size_bytes="any_value(total_size_bytes)",
             )
         )
-        .groupBy("repo", "path")
-        .agg(*exprs(total_files="sum(total_files)", total_size_bytes="sum(total_size_bytes)"))
-    )
-    return known.join(nearest, ["repo", "path"], "left").fillna(
-        0, ["total_files", "total_size_bytes"]
     )
 
 

@@ -38,7 +38,6 @@ class Preset:
     name: str
     thresholds: Thresholds = DEFAULT_THRESHOLDS
     weights: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
-    description: str = ""
 
 
 PRESETS = {
@@ -46,17 +45,12 @@ PRESETS = {
         "strict",
         Thresholds(0.05, 60, 3, 0.5, 300.0, 0.3),
         {"structure": 0.3, "activity": 0.35, "quality": 0.35},
-        "Strict evaluation for production-grade repositories.",
-    ),
-    "relaxed": Preset(
-        "relaxed",
-        description="Relaxed evaluation for early-stage or research repositories.",
     ),
+    "relaxed": Preset("relaxed"),
     "research": Preset(
         "research",
         Thresholds(0.005, 180, 1, 0.2, 800.0, 0.6),
         {"structure": 0.25, "activity": 0.25, "quality": 0.5},
-        "Research-oriented evaluation prioritizing experimentation.",
     ),
 }
 
