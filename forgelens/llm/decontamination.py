@@ -95,19 +95,32 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, how: EditMatch = Ed
     or empty texts match nothing. Every item is sought in every document, by blocks of items; a repeated row gives its
     matches again, and a row without an id gives them with a null id. Other columns are ignored.
     """
-    long_enough = benchmark.select("item_id", "text").where(F.length("text") >= how.least_chars)
-    total = long_enough.agg(F.sum(F.length("text"))).head()[0] or 0
-    blocks = total // how.block_chars + 1
     texts = documents.select("doc_id", "text").where("text is not null")
     out = None
-    for block in range(blocks):
-        rows = long_enough.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        found = texts.mapInArrow(_seeker([tuple(r) for r in rows], how), "doc_id long, item_id long, start_char long, end_char long, distance int")
+    for rows in _blocks(benchmark, how):
+        found = texts.mapInArrow(_seeker(rows, how), "doc_id long, item_id long, start_char long, end_char long, distance int")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _seeker(rows: list[tuple], how: EditMatch):
+def without_passages(documents: DataFrame, benchmark: DataFrame, how: EditMatch = EditMatch()) -> DataFrame:
+    """The same columns, without the rows that hold a passage of an item; null texts stay."""
+    for rows in _blocks(benchmark, how):
+        documents = documents.mapInArrow(_seeker(rows, how, True), documents.schema)
+    return documents
+
+
+def _blocks(benchmark: DataFrame, how: EditMatch) -> Iterator[list[tuple]]:
+    """The items, block by block."""
+    long_enough = benchmark.select("item_id", "text").where(F.length("text") >= how.least_chars)
+    total = long_enough.agg(F.sum(F.length("text"))).head()[0] or 0
+    blocks = total // how.block_chars + 1
+    for block in range(blocks):
+        yield [tuple(r) for r in long_enough.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+
+
+def _seeker(rows: list[tuple], how: EditMatch, drop: bool = False):
+    """Matches of the batches' rows, or with ``drop`` the rows that have none."""
     items: dict[int, tuple[str, int]] = {}
     for number, (_, text) in enumerate(rows):
         item = normal(text)
@@ -126,9 +139,14 @@ def _seeker(rows: list[tuple], how: EditMatch):
         for piece, values in by_piece.items():
             automaton.add_word(piece, values)
         if not by_piece:
+            yield from batches if drop else ()
             return
         automaton.make_automaton()
         for batch in batches:
+            if drop:
+                texts = (normal(cell.as_py()) for cell in batch.column("text"))
+                yield batch.filter(pa.array([next(matches(t, automaton, items), None) is None for t in texts], pa.bool_()))
+                continue
             found = []
             for doc_id, cell in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 for number, start, end, distance in matches(normal(cell.as_py()), automaton, items):

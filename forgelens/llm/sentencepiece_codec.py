@@ -7,8 +7,9 @@ vocabulary become UTF-8 byte pieces. As in the model, a text is encoded with one
 
 The search keeps backpointers for at most ``max_piece`` open positions beyond the committed ones: a later piece can't
 start earlier. When the best paths of all open positions pass one boundary, everything before it is final and its ids
-are given out. No piece of the vocabulary goes on with a space after another character, or crosses a line feed, so
-every such place is a boundary of all paths: words can be encoded apart, and equal words share the work. Only a run
+are given out. No piece of the vocabulary goes on with a space after another character, with a comma or full stop
+after a letter, or crosses a line feed, so every such place is a boundary of all paths: words can be encoded apart, and
+equal words share the work. Only a run
 without any blank can hold two paths that never meet (a short unit repeated); it is then kept until it ends.
 """
 
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 UNIT = 1_000_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 LONGEST_WORD = 64
-_NEVER = -(1 << 62)
-_SEGMENT = re.compile(r" *[^ \n]+| +|\n")
+_NEVER = -(1 << 60)
+#: Places inside a text that no piece crosses: before a space, around a line feed, between a letter and , or .
+_SEGMENT = re.compile(r" *[^ \n.,]+(?<=[A-Za-zÀ-ɏ])(?=[.,])| *[^ \n]+| +|\n")
+_CROSSING = re.compile(r"[^ ] |.\n|\n.|[A-Za-zÀ-ɏ][.,]")
 
 
 @dataclass(frozen=True)
@@ -63,7 +66,7 @@ def read_vocabulary(model_path: str) -> Vocabulary:
             texts.append(text.encode())
     total = round(UNIT * math.log(sum(1 / (r + 2.7) for r in range(1, rank + 1))))
     pieces = {t: (i, s - total) for t, (i, s) in pieces.items()}
-    if any(" " in t.lstrip(" ") or ("\n" in t and len(t) > 1) for t in pieces):
+    if any(_CROSSING.search(t) for t in pieces):
         raise ValueError("words of this vocabulary can't be encoded apart")
     return Vocabulary(pieces, tuple(byte_ids), min(s for _, s in pieces.values()) - 10 * UNIT, tuple(texts))
 
@@ -128,23 +131,6 @@ class StreamingViterbi:
                 self.scores[end] = self.scores[end - 1] + self.byte_score * len(self.chars[end - 1].encode("utf-8", "surrogatepass"))
                 self.back[end] = end - 1
 
-    def word(self, text: str) -> list[int]:
-        """Ids of a short text at once: it fits the window, so nothing is committed before its end."""
-        if not self.single.issuperset(text):
-            return [*self.push(text), *self.finish()]
-        scores, back, ids = [0] + [_NEVER] * len(text), [0] * (len(text) + 1), [0] * (len(text) + 1)
-        for end, (length, score, number) in self.automaton.iter(text):
-            end += 1
-            score += scores[end - length]
-            if score > scores[end]:
-                scores[end], back[end], ids[end] = score, end - length, number
-        out, at = [], len(text)
-        while at:
-            out.append(ids[at])
-            at = back[at]
-        out.reverse()
-        return out
-
     def _meeting(self, end: int) -> int:
         """The last boundary on the best paths of all open positions."""
         open_ = set(range(max(0, end - self.reach + 1), end + 1))
@@ -181,31 +167,107 @@ class StreamingViterbi:
         self._clear()
 
 
+class PieceTable:
+    """Pieces by the hash of their characters, looked up for whole arrays (open addressing)."""
+
+    BITS = 20
+    BASE = np.uint64(0xD1342543DE82EF95)
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        size = 1 << self.BITS
+        self.keys, self.rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        texts = list(vocabulary.pieces)
+        self.ids = np.array([vocabulary.pieces[t][0] for t in texts], np.int32)
+        self.scores = np.array([vocabulary.pieces[t][1] for t in texts] + [_NEVER], np.int64)
+        for row, text in enumerate(texts):
+            h = np.zeros(1, np.uint64)
+            for c in text:
+                h = self.step(h, np.uint64(ord(c)))
+            slot = int(self.slots(h)[0])
+            while self.rows[slot] >= 0:
+                if self.keys[slot] == h[0]:
+                    raise ValueError("two pieces share a hash")
+                slot = (slot + 1) % size
+            self.keys[slot], self.rows[slot] = h[0], row
+
+    def step(self, hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        return (hashes ^ (hashes >> np.uint64(29))) * self.BASE + chars + np.uint64(1)
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each piece, -1 for what is none (which has the score of never)."""
+        slot = self.slots(hashes)
+        rows = self.rows[slot]
+        wrong = (rows >= 0) & (self.keys[slot] != hashes)
+        while wrong.any():
+            at = np.nonzero(wrong)
+            slot[at] = (slot[at] + 1) % (1 << self.BITS)
+            rows[at] = self.rows[slot[at]]
+            wrong[at] = (rows[at] >= 0) & (self.keys[slot[at]] != hashes[at])
+        return rows
+
+
 class Encoder(dict):
-    """Ids of words as packed 4-byte numbers; a missing word goes through the search.
+    """Ids of words as packed 4-byte numbers. New words of a batch go through the search together, by length.
 
-    Words of the last generation stay at hand: when the dictionary is full it becomes the old generation.
+    A word up to ``LONGEST_WORD`` fits one window, so nothing is committed before its end and the step over its
+    positions is the same for all words of a length. Longer words and unknown characters take ``StreamingViterbi``.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.search = StreamingViterbi(vocabulary)
+        self.table = PieceTable(vocabulary)
         self.texts = vocabulary.texts
-        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = self.old.get(word)
-        if packed is None:
-            if len(word) > LONGEST_WORD:
-                return array("i", [*self.search.push(word), *self.search.finish()]).tobytes()
-            packed = array("i", self.search.word(word)).tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = packed
-        return packed
+        return array("i", [*self.search.push(word), *self.search.finish()]).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, _SEGMENT.findall(" " + text))), "<i4") if text else np.zeros(0, "<i4")
+    def learn(self, words: set[str]) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        by_length: dict[int, list[str]] = {}
+        for word in words.difference(self):
+            if len(word) <= LONGEST_WORD:
+                by_length.setdefault(len(word), []).append(word)
+        for length, own in by_length.items():
+            for k in range(0, len(own), 20_000):
+                self._solve(own[k : k + 20_000], length)
+
+    def _solve(self, words: list[str], length: int) -> None:
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length).astype(np.uint64)
+        reach, m = self.search.reach, len(words)
+        scores = np.zeros((m, length + 1), np.int64)
+        back, rows = np.zeros((m, length + 1), np.int16), np.zeros((m, length + 1), np.int32)
+        hashes = np.zeros((m, length), np.uint64)
+        lines = np.arange(m)
+        for end in range(1, length + 1):
+            low = max(0, end - reach)
+            hashes[:, low:end] = self.table.step(hashes[:, low:end], chars[:, end - 1 : end])
+            found = self.table.find(hashes[:, low:end])
+            total = scores[:, low:end] + self.table.scores[found]
+            best = np.argmax(total, axis=1)  # the first of equals: the longest piece
+            scores[:, end] = np.maximum(total[lines, best], _NEVER)
+            back[:, end] = best + low
+            rows[:, end] = found[lines, best]
+        out, count = np.zeros((m, length), np.int32), np.zeros(m, np.int64)
+        at, good = np.full(m, length), scores[:, length] > _NEVER // 2
+        for step in range(1, length + 1):
+            live = at > 0
+            if not live.any():
+                break
+            out[live, length - step] = self.table.ids[rows[lines[live], at[live]]]
+            count += live
+            at = np.where(live, back[lines, at], 0)
+        packed = out.tobytes()
+        for i, (word, n, ok) in enumerate(zip(words, count.tolist(), good.tolist(), strict=True)):
+            self[word] = packed[4 * ((i + 1) * length - n) : 4 * (i + 1) * length] if ok else self.__missing__(word)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
+        self.learn(set().union(*parts))
+        return [np.frombuffer(b"".join([self[w] for w in p]), "<i4") for p in parts]
 
     def decode(self, ids: Iterable[int]) -> str:
         data = b"".join(map(self.texts.__getitem__, ids))
@@ -223,19 +285,13 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                parts, counts, same = [], [], []
-                for cell in part.column("text"):
-                    text = cell.as_py()
-                    if text is None:
-                        counts.append(None)
-                        same.append(None)
-                        continue
-                    ids = encoder.encode(text)
-                    parts.append(ids)
-                    counts.append(len(ids))
-                    same.append(encoder.decode(ids.tolist()) == text)
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                texts = part.column("text").to_pylist()
+                parts = encoder.encode_all([t or "" for t in texts])
+                counts = [None if t is None else len(ids) for t, ids in zip(texts, parts, strict=True)]
+                same = [None if t is None else encoder.decode(ids.tolist()) == t for t, ids in zip(texts, parts, strict=True)]
+                # A null text has a null list of no ids.
                 bounds = np.cumsum([0] + [c or 0 for c in counts]).astype(np.int32)
                 values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.astype(np.int32)), mask=pa.array([c is None for c in counts], pa.bool_()))
