@@ -113,22 +113,19 @@ def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed(out ^ (end - start).astype(np.uint64))
 
 
-def window_hashes(values: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` consecutive values, by doubling: log n passes."""
+def window_hashes(values: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the runs of ``n`` consecutive values (those that start ``at``, if given), by doubling: log n passes."""
     if len(values) < n:
         return np.zeros(0, dtype=np.uint64)
     out, done, power, length, rest = None, 0, values, 1, n
     while True:
         if rest & 1:
-            if out is None:
-                out, done = power, length
-            else:
-                m = len(values) - done - length + 1
-                out = out[:m] * np.uint64(pow(_STEP, length, 1 << 64)) + power[done : done + m]
-                done += length
+            part = power[done + at] if at is not None else power[done : done + len(values) - n + 1]
+            out = part if out is None else out * np.uint64(pow(_STEP, length, 1 << 64)) + part
+            done += length
         rest >>= 1
         if not rest:
-            return mixed(out[: len(values) - n + 1])
+            return mixed(out)
         power = power[: len(power) - length] * np.uint64(pow(_STEP, length, 1 << 64)) + power[length:]
         length *= 2
 

@@ -39,7 +39,7 @@ class Rule:
     cover: tuple[int, ...]
     smaller_only: bool
     passes: int = 1
-    chunk_bytes: int = 4 << 20
+    chunk_bytes: int = 3 << 20
 
     def __post_init__(self) -> None:
         differences = {(a - b) % self.period for a in self.cover for b in self.cover}
@@ -87,7 +87,7 @@ def anchors_of(rule: Rule, blocks: int, part: int) -> Callable:
                 good &= place + rule.anchor <= size[row]
                 good &= (size >= rule.width)[row]
                 at = np.flatnonzero(good)
-                names = arrays.window_hashes(values, rule.anchor)[at] if len(at) else np.zeros(0, np.uint64)
+                names = arrays.window_hashes(values, rule.anchor, at) if len(at) else np.zeros(0, np.uint64)
                 yield from _pack(names, ids[first + row[at]], place[at], tags[first + row[at]], False, blocks, rule.passes, part)
 
     return run
@@ -110,7 +110,7 @@ def windows_of(rule: Rule, blocks: int, part: int) -> Callable:
                     np.add.at(edge, low, 1)
                     np.add.at(edge, high + 1, -1)
                 at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-                names = arrays.window_hashes(values, rule.width)[at] if len(at) else np.zeros(0, np.uint64)
+                names = arrays.window_hashes(values, rule.width, at) if len(at) else np.zeros(0, np.uint64)
                 row = np.searchsorted(before, at, side="right") - 1
                 yield from _pack(names, ids[first + row], (at - before[row]).astype(np.int32), tags[first + row], rule.smaller_only, blocks, rule.passes, part)
 
@@ -146,7 +146,7 @@ def _pack(names: np.ndarray, docs: np.ndarray, places: np.ndarray, tags: np.ndar
     if not len(names):
         return
     packed = places.astype(np.int64) | (tags.astype(np.int64) << 32)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     repeat, stands = _repeats(order, names, docs, smaller)
     rows: list[tuple] = []
     solved = np.sort(order[repeat])
@@ -157,7 +157,7 @@ def _pack(names: np.ndarray, docs: np.ndarray, places: np.ndarray, tags: np.ndar
     edges = np.flatnonzero(np.diff(block[sent])) + 1
     for own, flags in zip(np.split(sent, edges), np.split(shared, edges), strict=True):
         if len(own):
-            back = np.argsort(own, kind="stable")  # by document and place: small differences
+            back = np.argsort(own)  # by document and place: small differences
             own, flags = own[back], flags[back]
             rows.append((int(block[own[0]]), False, names[own].tobytes(), arrays.planes(docs[own]), arrays.planes(packed[own]), np.packbits(flags).tobytes()))
     kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -170,7 +170,7 @@ def _resolve(smaller: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, docs, places, shared, done_docs, done_places = [], [], [], [], [], []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 d, p = arrays.from_planes(row["docs"]), arrays.from_planes(row["places"])
                 if row["solved"]:
                     done_docs.append(d)
@@ -183,7 +183,7 @@ def _resolve(smaller: bool) -> Callable:
         if values:
             v, d, p, s = (np.concatenate(x) for x in (values, docs, places, shared))
             values.clear()
-            order = np.argsort(v, kind="stable")
+            order = np.argsort(v)
             repeat, _ = _repeats(order, v, d, smaller, s)
             hit = order[repeat]
             done_docs.append(d[hit])
@@ -207,11 +207,12 @@ def _resolve(smaller: bool) -> Callable:
 
 def _matched(rows: DataFrame, pack: Callable[[int, int], Callable], rule: Rule, smaller: bool, label: str) -> DataFrame:
     """(doc_id, tag, places) of repeats among what ``pack`` makes of the rows, one staged pass after another."""
-    blocks = 1 << max(6, (4 * shuffle_partitions(rows.sparkSession) * rule.passes - 1).bit_length())
+    blocks = 1 << max(6, (32 * shuffle_partitions(rows.sparkSession) * rule.passes - 1).bit_length())
     out = None
     for part in range(rule.passes):
         packed = rows.mapInArrow(pack(blocks, part), _PACKED)
-        found = packed.repartition("block").mapInArrow(_resolve(smaller), _PLACES)
+        # Many small partitions: a task holds its entries at once.
+        found = packed.repartition(8 * shuffle_partitions(rows.sparkSession), "block").mapInArrow(_resolve(smaller), _PLACES)
         if rule.passes > 1:
             found = staged(found, label)
         out = found if out is None else out.unionByName(found)
