@@ -130,14 +130,27 @@ def window_hashes(values: np.ndarray, n: int, at: np.ndarray | None = None) -> n
         length *= 2
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Differences of neighbours by byte planes: long runs of zeros for the shuffle's compression."""
-    delta = np.diff(values.astype(np.int64, copy=False), prepend=np.int64(0))
-    return delta.view(np.uint8).reshape(-1, 8).T.tobytes()
+def split_bytes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte by byte: equal high bytes stand together for compression."""
+    return values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0])
+def joined_bytes(data: bytes, width: int) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((parts.shape[1], 8), np.uint8)
+    out[:, :width] = parts.T
+    return out.view("<u8")[:, 0]
+
+
+def packed_steps(values: np.ndarray) -> bytes:
+    """Differences of neighbours, small ones as small numbers whatever their sign."""
+    step = np.diff(values.astype(np.int64, copy=False), prepend=np.int64(0))
+    return split_bytes(((step << 1) ^ (step >> 63)).view(np.uint64), 8)
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    step = joined_bytes(data, 8)
+    return np.cumsum((step >> np.uint64(1)).view(np.int64) ^ -(step & np.uint64(1)).view(np.int64))
 
 
 def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:

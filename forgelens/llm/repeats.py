@@ -14,17 +14,19 @@ of blocks at a time, so that no more than one pass is on disk.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.llm import arrays
 from forgelens.llm.staging import shuffle_partitions, staged
 
 TAG_BITS = 16
+#: Bytes of a name that travel, besides the bits of its block (8 at least): anchors only select, windows are kept whole.
+ANCHOR_BYTES, WINDOW_BYTES = 5, 7
 _PACKED = "block int, solved boolean, values binary, docs binary, places binary, shared binary"
 _PLACES = "doc_id long, tag int, places binary"
 
@@ -51,9 +53,12 @@ class Rule:
         return self.width - self.period + 1
 
 
-def tag_of(text: Column) -> Column:
-    """Tells rows apart that carry one id but different texts."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).cast("int")
+def tagged(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, tag): the tag tells rows apart that carry one id but different texts; 0 if there are none."""
+    rows = documents.select("doc_id", "text")
+    tag = F.pmod(F.xxhash64("text"), F.lit(1 << TAG_BITS)).cast("int")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).where("low <> high")
+    return rows.withColumn("tag", F.lit(0) if several.isEmpty() else tag)
 
 
 def units_of(data: np.ndarray, bounds: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +93,7 @@ def anchors_of(rule: Rule, blocks: int, part: int) -> Callable:
                 good &= (size >= rule.width)[row]
                 at = np.flatnonzero(good)
                 names = arrays.window_hashes(values, rule.anchor, at) if len(at) else np.zeros(0, np.uint64)
-                yield from _pack(names, ids[first + row[at]], place[at], tags[first + row[at]], False, blocks, rule.passes, part)
+                yield from _pack(names, ids[first + row[at]], place[at], tags[first + row[at]], False, blocks, rule.passes, part, ANCHOR_BYTES)
 
     return run
 
@@ -112,7 +117,7 @@ def windows_of(rule: Rule, blocks: int, part: int) -> Callable:
                 at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
                 names = arrays.window_hashes(values, rule.width, at) if len(at) else np.zeros(0, np.uint64)
                 row = np.searchsorted(before, at, side="right") - 1
-                yield from _pack(names, ids[first + row], (at - before[row]).astype(np.int32), tags[first + row], rule.smaller_only, blocks, rule.passes, part)
+                yield from _pack(names, ids[first + row], (at - before[row]).astype(np.int32), tags[first + row], rule.smaller_only, blocks, rule.passes, part, WINDOW_BYTES)
 
     return run
 
@@ -137,7 +142,7 @@ def _repeats(order: np.ndarray, values: np.ndarray, docs: np.ndarray, smaller: b
     return many, new
 
 
-def _pack(names: np.ndarray, docs: np.ndarray, places: np.ndarray, tags: np.ndarray, smaller: bool, blocks: int, passes: int, part: int) -> Iterator[pa.RecordBatch]:
+def _pack(names: np.ndarray, docs: np.ndarray, places: np.ndarray, tags: np.ndarray, smaller: bool, blocks: int, passes: int, part: int, width: int) -> Iterator[pa.RecordBatch]:
     shift = np.uint64(64 - blocks.bit_length() + 1)
     block = (names >> shift).astype(np.int32)
     if passes > 1:
@@ -151,7 +156,7 @@ def _pack(names: np.ndarray, docs: np.ndarray, places: np.ndarray, tags: np.ndar
     rows: list[tuple] = []
     solved = np.sort(order[repeat])
     if len(solved):
-        rows.append((int(block[solved[0]]), True, b"", arrays.planes(docs[solved]), arrays.planes(packed[solved]), b""))
+        rows.append((int(block[solved[0]]), True, b"", arrays.packed_steps(docs[solved]), arrays.split_bytes(packed[solved], 8), b""))
     sent = order[stands]
     shared = repeat[stands].astype(np.uint8)
     edges = np.flatnonzero(np.diff(block[sent])) + 1
@@ -159,24 +164,28 @@ def _pack(names: np.ndarray, docs: np.ndarray, places: np.ndarray, tags: np.ndar
         if len(own):
             back = np.argsort(own)  # by document and place: small differences
             own, flags = own[back], flags[back]
-            rows.append((int(block[own[0]]), False, names[own].tobytes(), arrays.planes(docs[own]), arrays.planes(packed[own]), np.packbits(flags).tobytes()))
+            rows.append((int(block[own[0]]), False, arrays.split_bytes(names[own], width), arrays.packed_steps(docs[own]), arrays.split_bytes(packed[own], 8), np.packbits(flags).tobytes()))
     kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "solved", "values", "docs", "places", "shared"])
 
 
-def _resolve(smaller: bool) -> Callable:
+def _resolve(smaller: bool, blocks: int, width: int) -> Callable:
     """Reads the blocks of one partition and gives the places of repeats, by document."""
 
+    kept = min(8 * width, 64 - blocks.bit_length() + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, docs, places, shared, done_docs, done_places = [], [], [], [], [], []
         for batch in batches:
             for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                d, p = arrays.from_planes(row["docs"]), arrays.from_planes(row["places"])
+                d, p = arrays.from_steps(row["docs"]), arrays.joined_bytes(row["places"], 8).view(np.int64)
                 if row["solved"]:
                     done_docs.append(d)
                     done_places.append(p)
                 else:
-                    values.append(np.frombuffer(row["values"], np.uint64))
+                    # The block holds the high bits; what a name keeps beyond both is dropped for anchors only.
+                    value = arrays.joined_bytes(row["values"], width) & np.uint64((1 << kept) - 1)
+                    values.append(value | np.uint64(row["block"] << kept))
                     docs.append(d)
                     places.append(p)
                     shared.append(np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=len(d)))
@@ -205,14 +214,14 @@ def _resolve(smaller: bool) -> Callable:
     return run
 
 
-def _matched(rows: DataFrame, pack: Callable[[int, int], Callable], rule: Rule, smaller: bool, label: str) -> DataFrame:
+def _matched(rows: DataFrame, pack: Callable[[int, int], Callable], rule: Rule, smaller: bool, label: str, width: int) -> DataFrame:
     """(doc_id, tag, places) of repeats among what ``pack`` makes of the rows, one staged pass after another."""
-    blocks = 1 << max(6, (32 * shuffle_partitions(rows.sparkSession) * rule.passes - 1).bit_length())
+    blocks = 1 << max(8, (32 * shuffle_partitions(rows.sparkSession) * rule.passes - 1).bit_length())
     out = None
     for part in range(rule.passes):
         packed = rows.mapInArrow(pack(blocks, part), _PACKED)
         # Many small partitions: a task holds its entries at once.
-        found = packed.repartition(8 * shuffle_partitions(rows.sparkSession), "block").mapInArrow(_resolve(smaller), _PLACES)
+        found = packed.repartition(8 * shuffle_partitions(rows.sparkSession), "block").mapInArrow(_resolve(smaller, blocks, width), _PLACES)
         if rule.passes > 1:
             found = staged(found, label)
         out = found if out is None else out.unionByName(found)
@@ -223,20 +232,15 @@ def _gathered(places: DataFrame) -> DataFrame:
     return places.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
 
 
-def texts_of(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "text", tag_of(F.col("text")).alias("tag"))
-
-
-def repeated_windows(documents: DataFrame, rule: Rule, left_out: DataFrame | None = None) -> DataFrame:
+def repeated_windows(rows: DataFrame, rule: Rule, left_out: DataFrame | None = None) -> DataFrame:
     """(doc_id, tag, places): the starts of repeated windows, as lists of packed arrays of 4-byte numbers.
 
-    ``left_out``: (doc_id, tag) of documents whose windows are settled already. Documents without an id take no part.
+    ``rows``: (doc_id, text, tag). ``left_out``: (doc_id, tag) of documents whose windows are settled already. Documents without an id take no part.
     """
-    texts = texts_of(documents).where("doc_id is not null and text is not null")
-    anchors = staged(_gathered(_matched(texts, lambda b, k: anchors_of(rule, b, k), rule, False, "anchors")), "anchors")
+    texts = rows.where("doc_id is not null and text is not null")
+    anchors = staged(_gathered(_matched(texts, lambda b, k: anchors_of(rule, b, k), rule, False, "anchors", ANCHOR_BYTES)), "anchors")
     if left_out is not None:
         anchors = anchors.join(left_out, ["doc_id", "tag"], "left_anti")
     near = texts.join(anchors, ["doc_id", "tag"])
-    once = replace(rule, passes=1)
-    windows = _matched(near, lambda b, k: windows_of(once, b, k), once, rule.smaller_only, "windows")
+    windows = _matched(near, lambda b, k: windows_of(rule, b, k), rule, rule.smaller_only, "windows", WINDOW_BYTES)
     return staged(_gathered(windows), "windows")

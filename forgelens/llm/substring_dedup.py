@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from forgelens.llm import arrays
-from forgelens.llm.repeats import Rule, _places, repeated_windows, texts_of
+from forgelens.llm.repeats import Rule, _places, repeated_windows, tagged
 
 #: A perfect difference cover of 21: five anchors in 21 positions, 15 words each for windows of 35.
 WORD_RULE = Rule(unit="word", width=35, period=21, cover=(0, 1, 4, 14, 16), smaller_only=False, chunk_bytes=8 << 20)
@@ -26,7 +26,8 @@ def remove_repeated_words(documents: DataFrame, rule: Rule = WORD_RULE, with_tex
     text). Repeated rows are copies like any other. Rows without a ``doc_id`` take no part and keep all their words.
     Columns other than doc_id and text are ignored.
     """
-    found = repeated_windows(documents, rule)
+    texts = tagged(documents)
+    found = repeated_windows(texts, rule)
     width = rule.width
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,6 +50,6 @@ def remove_repeated_words(documents: DataFrame, rule: Rule = WORD_RULE, with_tex
                 names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
-    rows = texts_of(documents).join(found, ["doc_id", "tag"], "left")
+    rows = texts.join(found, ["doc_id", "tag"], "left")
     out = rows.select("doc_id", "text", "places").mapInArrow(finish, _RESULT)
     return out if with_text else out.drop("kept_text")

@@ -19,20 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.llm import arrays
-from forgelens.llm.repeats import Rule, _places, repeated_windows, tag_of, texts_of
+from forgelens.llm.repeats import Rule, _places, repeated_windows, tagged
 
-#: A perfect difference cover of 31: six sample suffixes in 31 positions, named by 20 bytes for matches of 50.
-BYTE_RULE = Rule(unit="byte", width=50, period=31, cover=(1, 5, 11, 24, 25, 27), smaller_only=True, passes=2)
+#: A perfect difference cover of 21: five sample suffixes in 21 positions, named by 30 bytes for matches of 50.
+BYTE_RULE = Rule(unit="byte", width=50, period=21, cover=(0, 1, 4, 14, 16), smaller_only=True, passes=2)
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary, kept_sha256 string"
 
 
-def later_copies(documents: DataFrame, width: int) -> DataFrame:
+def later_copies(texts: DataFrame, width: int) -> DataFrame:
     """(doc_id, tag) of documents of ``width`` bytes or more whose whole text has a smaller id."""
     digests = (
-        documents.where(F.octet_length("text") >= width)
+        texts.where(F.octet_length("text") >= width)
         .where("doc_id is not null")
-        .select("doc_id", tag_of(F.col("text")).alias("tag"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest"))
+        .select("doc_id", "tag", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"))
     )
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"))
     return digests.join(least, "digest").where("doc_id > least").select("doc_id", "tag").distinct()
@@ -45,8 +45,9 @@ def remove_earlier_bytes(documents: DataFrame, rule: Rule = BYTE_RULE, with_byte
     smaller id; strings are judged on the input. Null texts are empty. Rows without a ``doc_id`` take no part and keep
     their bytes; rows that share an id don't remove each other's bytes. Other columns are ignored.
     """
-    copies = later_copies(documents, rule.width)
-    found = repeated_windows(documents, rule, copies)
+    texts = tagged(documents)
+    copies = later_copies(texts, rule.width)
+    found = repeated_windows(texts, rule, copies)
     width = rule.width
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,6 +78,6 @@ def remove_earlier_bytes(documents: DataFrame, rule: Rule = BYTE_RULE, with_byte
             )
 
     marks = found.unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
-    rows = texts_of(documents).join(marks, ["doc_id", "tag"], "left")
+    rows = texts.join(marks, ["doc_id", "tag"], "left")
     out = rows.select("doc_id", "text", "places", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(finish, _RESULT)
     return out if with_bytes else out.drop("kept_bytes")
