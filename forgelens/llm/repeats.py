@@ -40,7 +40,8 @@ class Rule:
     period: int
     cover: tuple[int, ...]
     smaller_only: bool
-    passes: int = 1
+    anchor_passes: int = 1
+    window_passes: int = 1
     chunk_bytes: int = 3 << 20
 
     def __post_init__(self) -> None:
@@ -93,7 +94,7 @@ def anchors_of(rule: Rule, blocks: int, part: int) -> Callable:
                 good &= (size >= rule.width)[row]
                 at = np.flatnonzero(good)
                 names = arrays.window_hashes(values, rule.anchor, at) if len(at) else np.zeros(0, np.uint64)
-                yield from _pack(names, ids[first + row[at]], place[at], tags[first + row[at]], False, blocks, rule.passes, part, ANCHOR_BYTES)
+                yield from _pack(names, ids[first + row[at]], place[at], tags[first + row[at]], False, blocks, rule.anchor_passes, part, ANCHOR_BYTES)
 
     return run
 
@@ -117,7 +118,7 @@ def windows_of(rule: Rule, blocks: int, part: int) -> Callable:
                 at = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
                 names = arrays.window_hashes(values, rule.width, at) if len(at) else np.zeros(0, np.uint64)
                 row = np.searchsorted(before, at, side="right") - 1
-                yield from _pack(names, ids[first + row], (at - before[row]).astype(np.int32), tags[first + row], rule.smaller_only, blocks, rule.passes, part, WINDOW_BYTES)
+                yield from _pack(names, ids[first + row], (at - before[row]).astype(np.int32), tags[first + row], rule.smaller_only, blocks, rule.window_passes, part, WINDOW_BYTES)
 
     return run
 
@@ -214,15 +215,15 @@ def _resolve(smaller: bool, blocks: int, width: int) -> Callable:
     return run
 
 
-def _matched(rows: DataFrame, pack: Callable[[int, int], Callable], rule: Rule, smaller: bool, label: str, width: int) -> DataFrame:
+def _matched(rows: DataFrame, pack: Callable[[int, int], Callable], passes: int, smaller: bool, label: str, width: int) -> DataFrame:
     """(doc_id, tag, places) of repeats among what ``pack`` makes of the rows, one staged pass after another."""
-    blocks = 1 << max(8, (32 * shuffle_partitions(rows.sparkSession) * rule.passes - 1).bit_length())
+    blocks = 1 << max(8, (4 * shuffle_partitions(rows.sparkSession) * passes - 1).bit_length())
     out = None
-    for part in range(rule.passes):
+    for part in range(passes):
         packed = rows.mapInArrow(pack(blocks, part), _PACKED)
         # Many small partitions: a task holds its entries at once.
-        found = packed.repartition(8 * shuffle_partitions(rows.sparkSession), "block").mapInArrow(_resolve(smaller, blocks, width), _PLACES)
-        if rule.passes > 1:
+        found = packed.repartition(4 * shuffle_partitions(rows.sparkSession), "block").mapInArrow(_resolve(smaller, blocks, width), _PLACES)
+        if passes > 1:
             found = staged(found, label)
         out = found if out is None else out.unionByName(found)
     return out
@@ -238,9 +239,11 @@ def repeated_windows(rows: DataFrame, rule: Rule, left_out: DataFrame | None = N
     ``rows``: (doc_id, text, tag). ``left_out``: (doc_id, tag) of documents whose windows are settled already. Documents without an id take no part.
     """
     texts = rows.where("doc_id is not null and text is not null")
-    anchors = staged(_gathered(_matched(texts, lambda b, k: anchors_of(rule, b, k), rule, False, "anchors", ANCHOR_BYTES)), "anchors")
+    anchors = staged(_gathered(_matched(texts, lambda b, k: anchors_of(rule, b, k), rule.anchor_passes, False, "anchors", ANCHOR_BYTES)), "anchors")
     if left_out is not None:
         anchors = anchors.join(left_out, ["doc_id", "tag"], "left_anti")
     near = texts.join(anchors, ["doc_id", "tag"])
-    windows = _matched(near, lambda b, k: windows_of(rule, b, k), rule, rule.smaller_only, "windows", WINDOW_BYTES)
+    if rule.window_passes > 1:
+        near = staged(near, "near")
+    windows = _matched(near, lambda b, k: windows_of(rule, b, k), rule.window_passes, rule.smaller_only, "windows", WINDOW_BYTES)
     return staged(_gathered(windows), "windows")

@@ -22,7 +22,7 @@ from forgelens.llm import arrays
 from forgelens.llm.repeats import Rule, _places, repeated_windows, tagged
 
 #: A perfect difference cover of 21: five sample suffixes in 21 positions, named by 30 bytes for matches of 50.
-BYTE_RULE = Rule(unit="byte", width=50, period=21, cover=(0, 1, 4, 14, 16), smaller_only=True, passes=2)
+BYTE_RULE = Rule(unit="byte", width=50, period=21, cover=(0, 1, 4, 14, 16), smaller_only=True, anchor_passes=2, window_passes=3)
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary, kept_sha256 string"
 

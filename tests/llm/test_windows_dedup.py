@@ -16,7 +16,7 @@ from forgelens.llm.suffix_dedup import BYTE_RULE, remove_earlier_bytes
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SMALL = Rule(unit="word", width=7, period=7, cover=(1, 2, 4), smaller_only=False, chunk_bytes=64)
-SMALL_BYTES = Rule(unit="byte", width=9, period=7, cover=(1, 2, 4), smaller_only=True, passes=3, chunk_bytes=64)
+SMALL_BYTES = Rule(unit="byte", width=9, period=7, cover=(1, 2, 4), smaller_only=True, anchor_passes=3, window_passes=2, chunk_bytes=64)
 
 
 def sha(data: bytes) -> str:
