@@ -8,7 +8,8 @@ Documents with one shingle set are one node from the start. A half key that one
 shared table key, so only shared halves are combined. Within a table bucket every member is first compared with the
 bucket's least member, on the full shingle sets; buckets that then still hold several components go on: small ones
 compare all members of different components, large ones take the next member as pivot, until no bucket has two
-components that were not compared. No bucket is capped.
+components that were not compared. What counts as small grows fourfold with every round, so rounds are few; members of
+one component, such as a large group of near copies, are never paired. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class NearDup:
     den: int = 100
     bands: int = 16
     rows: int = 2
-    small_bucket: int = 32  # buckets up to this size compare all members of different components
+    small_bucket: int = 32  # buckets up to this size compare all members of different components; grows by rounds
     chunk_bytes: int = 4 << 20
 
 
@@ -131,7 +132,7 @@ def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame:
     texts = documents.selectExpr("doc_id", "text", _TEXT_HASH).join(wanted, ["doc_id", "text_hash"])
     texts = staged(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
 
-    edges, roots = None, None
+    edges, roots, limit = None, None, 0
     while not members.isEmpty():
         if roots is not None:
             members = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
@@ -139,7 +140,7 @@ def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame:
             members = members.withColumn("root", F.col("node"))
         live = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), "node").alias("pivot"), F.count("*").alias("size")).where("low <> high")
         members = staged(members.join(live.select("bucket", "pivot", "size"), "bucket"), "members")
-        small = F.col("size") <= how.small_bucket if edges is not None else F.lit(False)
+        small = F.col("size") <= limit
         few = members.where(small)
         other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
         pairs = members.where(~small & (F.col("pivot.root") != F.col("root"))).select(F.least("pivot.node", "node").alias("a"), F.greatest("pivot.node", "node").alias("b"))
@@ -148,6 +149,7 @@ def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
         members = members.where(~small & (F.col("pivot.node") != F.col("node"))).select("bucket", "node")
+        limit = 4 * limit or how.small_bucket
     return roots
 
 
