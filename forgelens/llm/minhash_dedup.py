@@ -5,11 +5,11 @@ key, so bands * bands tables cost only 2 * bands * rows minhashes. A pair of sim
 probability below 2 * (1 - s ** rows) ** bands: 4e-6 at 0.75 with the defaults, 4e-9 at 0.85.
 
 Documents with one shingle set are one node from the start. A half key that one node has alone can't be part of a
-shared table key, so only shared halves are combined. Within a table bucket every member is first compared with the
-bucket's least member, on the full shingle sets; buckets that then still hold several components go on: small ones
-compare all members of different components, large ones take the next member as pivot, until no bucket has two
-components that were not compared. What counts as small grows fourfold with every round, so rounds are few; members of
-one component, such as a large group of near copies, are never paired. No bucket is capped.
+shared table key, so only shared halves are combined. Members of a small table bucket are all compared, on the full
+shingle sets, those of a large one with the bucket's least member only; buckets that then still hold several components
+go on with the next member as pivot, until no bucket has two components that were not compared. What counts as small
+grows eightfold with every round, so rounds are few; members of one component, such as a large group of near copies,
+are not paired. Pairs whose set sizes alone rule a link out are not compared. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ class NearDup:
     den: int = 100
     bands: int = 16
     rows: int = 2
-    small_bucket: int = 32  # buckets up to this size compare all members of different components; grows by rounds
+    small_bucket: int = 8  # buckets up to this size compare all members of different components
+    growth: int = 8  # what that size is multiplied by in every round
     chunk_bytes: int = 4 << 20
 
 
@@ -95,16 +96,35 @@ def signatures(documents: DataFrame, how: NearDup) -> DataFrame:
     return documents.selectExpr("doc_id", _TEXT_HASH, "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, halves array<long>")
 
 
-def bucket_members(nodes: DataFrame, how: NearDup) -> DataFrame:
-    """(bucket, node) of the table buckets that two nodes or more share."""
-    halves = nodes.select("node", F.posexplode("halves").alias("slot", "half"))
+def table_keys(nodes: DataFrame, how: NearDup) -> DataFrame:
+    """(bucket, node, n_shingles, root) of the table keys whose two halves other nodes have too."""
+    halves = nodes.select("node", "n_shingles", F.posexplode("halves").alias("slot", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     side = F.filter("found", lambda x: x["slot"] < how.bands), F.filter("found", lambda x: x["slot"] >= how.bands)
     tables = F.flatten(F.transform(side[0], lambda x: F.transform(side[1], lambda y: F.xxhash64(x["half"], y["half"]))))
-    keys = halves.join(shared, "half").groupBy("node").agg(F.collect_list(F.struct("slot", "half")).alias("found")).select("node", F.explode(tables).alias("bucket"))
-    keys = staged(keys, "keys")
-    crowded = keys.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket")
-    return keys.join(crowded, "bucket")
+    found = halves.join(shared, "half").groupBy("node", "n_shingles").agg(F.collect_list(F.struct("slot", "half")).alias("found"))
+    return found.select(F.explode(tables).alias("bucket"), "node", "n_shingles", F.col("node").alias("root"))
+
+
+def crowded(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with the size of their bucket and its least member as pivot."""
+    pivot = F.min(F.struct("node", "root", "n_shingles")).alias("pivot")
+    live = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot, F.count("*").alias("size")).where("low <> high")
+    return members.join(live.select("bucket", "pivot", "size"), "bucket")
+
+
+def candidates(members: DataFrame, limit: int, how: NearDup) -> DataFrame:
+    """(a, b): members of different components, all of them in buckets up to the limit, those with the pivot in larger ones.
+
+    The smaller set must have num / den of the larger one's shingles: other pairs can't be links.
+    """
+    few = members.where(F.col("size") <= limit).select("bucket", "node", "root", "n_shingles")
+    other = few.select("bucket", *(F.col(c).alias(f"other_{c}") for c in ("node", "root", "n_shingles")))
+    near = few.join(other, "bucket").where("node < other_node")
+    far = members.where(F.col("size") > limit).select("node", "root", "n_shingles", *(F.col(f"pivot.{c}").alias(f"other_{c}") for c in ("node", "root", "n_shingles")))
+    pairs = near.select(far.columns).unionByName(far).where("root <> other_root")
+    fits = how.den * F.least("n_shingles", "other_n_shingles") >= how.num * F.greatest("n_shingles", "other_n_shingles")
+    return pairs.where(fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
@@ -125,31 +145,26 @@ def linked(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame:
-    """(node, root) of the nodes that are linked with another; ``nodes``: node, owner, halves."""
-    members = staged(bucket_members(nodes, how), "members")
+def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame | None:
+    """(node, root) of the nodes that are linked with another; ``nodes``: node, owner, n_shingles, halves."""
+    members = staged(crowded(staged(table_keys(nodes, how), "keys")), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "owner.doc_id", "owner.text_hash"), "node")
     texts = documents.selectExpr("doc_id", "text", _TEXT_HASH).join(wanted, ["doc_id", "text_hash"])
     texts = staged(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
 
-    edges, roots, limit = None, None, 0
+    edges, roots, limit = None, None, how.small_bucket
     while not members.isEmpty():
-        if roots is not None:
-            members = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        found = staged(linked(candidates(members, limit, how), texts, how), "links")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            roots = components(edges)
+        left = members.where((F.col("size") > limit) & (F.col("pivot.node") != F.col("node"))).select("bucket", "node", "n_shingles")
+        if roots is None:
+            left = left.withColumn("root", F.col("node"))
         else:
-            members = members.withColumn("root", F.col("node"))
-        live = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), "node").alias("pivot"), F.count("*").alias("size")).where("low <> high")
-        members = staged(members.join(live.select("bucket", "pivot", "size"), "bucket"), "members")
-        small = F.col("size") <= limit
-        few = members.where(small)
-        other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = members.where(~small & (F.col("pivot.root") != F.col("root"))).select(F.least("pivot.node", "node").alias("a"), F.greatest("pivot.node", "node").alias("b"))
-        pairs = pairs.unionByName(few.join(other, "bucket").where("node < b and root <> rb").select(F.col("node").alias("a"), "b")).distinct()
-        found = staged(linked(pairs, texts, how), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-        members = members.where(~small & (F.col("pivot.node") != F.col("node"))).select("bucket", "node")
-        limit = 4 * limit or how.small_bucket
+            left = left.join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
+        members = staged(crowded(left), "members")
+        limit *= how.growth
     return roots
 
 
@@ -163,7 +178,7 @@ def near_duplicates(documents: DataFrame, how: NearDup = NearDup()) -> DataFrame
     """
     rows = staged(signatures(documents, how), "signatures")
     named = rows.where("doc_id is not null and node is not null")
-    nodes = staged(named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("owner"), F.first("halves").alias("halves")), "nodes")
+    nodes = staged(named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")), "nodes")
     roots = links(nodes, documents, how)
     if roots is None:
         final = nodes.select("node", F.col("owner.doc_id").alias("component"))
