@@ -5,11 +5,13 @@ key, so bands * bands tables cost only 2 * bands * rows minhashes. A pair of sim
 probability below 2 * (1 - s ** rows) ** bands: 4e-6 at 0.75 with the defaults, 4e-9 at 0.85.
 
 Documents with one shingle set are one node from the start. A half key that one node has alone can't be part of a
-shared table key, so only shared halves are combined. Members of a small table bucket are all compared, on the full
-shingle sets, those of a large one with the bucket's least member only; buckets that then still hold several components
-go on with the next member as pivot, until no bucket has two components that were not compared. What counts as small
-grows eightfold with every round, so rounds are few; members of one component, such as a large group of near copies,
-are not paired. Pairs whose set sizes alone rule a link out are not compared. No bucket is capped.
+shared table key, so only shared halves are combined. In the first rounds every component is compared with the one
+pivot that it shares most buckets with, which joins large groups of near copies at few comparisons. Then members of a
+small table bucket are all compared, on the full shingle sets, those of a large one with the bucket's least member only;
+buckets that then still hold several components go on with the next member as pivot, until no bucket has two components
+that were not compared. What counts as small grows eightfold with every round, so rounds are few; members of one
+component, such as a large group of near copies, are not paired. Pairs whose set sizes alone rule a link out are not
+compared, nor those of whose 64 minhashes fewer than 30 agree (a pair at 0.75 is lost so with 4e-7). No bucket is capped.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.llm import arrays
@@ -37,6 +40,8 @@ class NearDup:
     den: int = 100
     bands: int = 16
     rows: int = 2
+    agree: int = 30  # of all minhashes; fewer agree in a pair at 0.75 with the probability that the module names
+    leading_rounds: int = 2  # rounds in which every component is compared with its most shared pivot only
     small_bucket: int = 8  # buckets up to this size compare all members of different components
     growth: int = 8  # what that size is multiplied by in every round
     chunk_bytes: int = 4 << 20
@@ -57,9 +62,9 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[n
 
 
 def signatures(documents: DataFrame, how: NearDup) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, halves): node is the digest of the set, halves the left and then the right half keys."""
-    count = 2 * how.bands * how.rows
-    values = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, count), dtype=np.uint64)
+    """(doc_id, text_hash, n_shingles, node, halves, sketch): node is the digest of the set, halves the left and then the right half keys, sketch a byte of every minhash."""
+    hashes = 2 * how.bands * how.rows
+    values = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, (2, hashes), dtype=np.uint64)
     flip, times = values[0], values[1] * np.uint64(2) + np.uint64(1)
     slots = arrays.mixed(np.arange(1, 2 * how.bands + 1, dtype=np.uint64))
 
@@ -72,16 +77,19 @@ def signatures(documents: DataFrame, how: NearDup) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(sizes)
                 halves: list = [None] * len(sets)
+                sketches: list = [None] * len(sets)
                 if len(full):
                     joined = np.concatenate(sets)
                     starts = np.cumsum(sizes)[full] - sizes[full]
                     keys = np.zeros((len(full), 2 * how.bands), dtype=np.uint64)
-                    for k in range(count):
+                    sketch = np.zeros((len(full), hashes), dtype=np.uint8)
+                    for k in range(hashes):
                         least = np.minimum.reduceat((joined ^ flip[k]) * times[k], starts)
+                        sketch[:, k] = least & np.uint64(255)
                         keys[:, k // how.rows] = arrays.mixed(keys[:, k // how.rows] + least)
                     keys = arrays.mixed(keys ^ slots).view(np.int64)
-                    for i, row in zip(full, keys, strict=True):
-                        halves[i] = row
+                    for i, row, low in zip(full, keys, sketch, strict=True):
+                        halves[i], sketches[i] = row, low.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, last - first),
@@ -89,11 +97,12 @@ def signatures(documents: DataFrame, how: NearDup) -> DataFrame:
                         pa.array(sizes),
                         pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array(halves, pa.list_(pa.int64())),
+                        pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "node", "halves"],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "halves", "sketch"],
                 )
 
-    return documents.selectExpr("doc_id", _TEXT_HASH, "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, halves array<long>")
+    return documents.selectExpr("doc_id", _TEXT_HASH, "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, halves array<long>, sketch binary")
 
 
 def table_keys(nodes: DataFrame, how: NearDup) -> DataFrame:
@@ -113,18 +122,47 @@ def crowded(members: DataFrame) -> DataFrame:
     return members.join(live.select("bucket", "pivot", "size"), "bucket")
 
 
-def candidates(members: DataFrame, limit: int, how: NearDup) -> DataFrame:
-    """(a, b): members of different components, all of them in buckets up to the limit, those with the pivot in larger ones.
+def _fits(how: NearDup) -> Column:
+    """The smaller set must have num / den of the larger one's shingles: other pairs can't be links."""
+    return how.den * F.least("n_shingles", "other_n_shingles") >= how.num * F.greatest("n_shingles", "other_n_shingles")
 
-    The smaller set must have num / den of the larger one's shingles: other pairs can't be links.
-    """
+
+def _other() -> list[Column]:
+    return [F.col(f"pivot.{c}").alias(f"other_{c}") for c in ("node", "root", "n_shingles")]
+
+
+def _pair() -> list[Column]:
+    return [F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")]
+
+
+def leading(members: DataFrame, how: NearDup) -> DataFrame:
+    """(a, b): for every component the one pair with a pivot of another component that most buckets share."""
+    pairs = members.select("node", "root", "n_shingles", *_other()).where("root <> other_root").where(_fits(how))
+    counts = pairs.groupBy("root", "node", "other_node").agg(F.count("*").alias("n"))
+    best = counts.groupBy("root").agg(F.max(F.struct("n", "node", "other_node")).alias("best"))
+    return best.select("best.*").select(*_pair()).distinct()
+
+
+def candidates(members: DataFrame, limit: int, how: NearDup) -> DataFrame:
+    """(a, b): members of different components, all of them in buckets up to the limit, those with the pivot in larger ones."""
     few = members.where(F.col("size") <= limit).select("bucket", "node", "root", "n_shingles")
     other = few.select("bucket", *(F.col(c).alias(f"other_{c}") for c in ("node", "root", "n_shingles")))
     near = few.join(other, "bucket").where("node < other_node")
-    far = members.where(F.col("size") > limit).select("node", "root", "n_shingles", *(F.col(f"pivot.{c}").alias(f"other_{c}") for c in ("node", "root", "n_shingles")))
+    far = members.where(F.col("size") > limit).select("node", "root", "n_shingles", *_other())
     pairs = near.select(far.columns).unionByName(far).where("root <> other_root")
-    fits = how.den * F.least("n_shingles", "other_n_shingles") >= how.num * F.greatest("n_shingles", "other_n_shingles")
-    return pairs.where(fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    return pairs.where(_fits(how)).select(*_pair()).distinct()
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
+    """The pairs (a, b) whose minhashes agree in ``agree`` places at least, so that texts are read for few others than links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (arrays.utf8(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= how.agree))
+
+    sa, sb = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
@@ -146,26 +184,31 @@ def linked(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
 
 
 def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame | None:
-    """(node, root) of the nodes that are linked with another; ``nodes``: node, owner, n_shingles, halves."""
+    """(node, root) of the nodes that are linked with another; ``nodes``: node, owner, n_shingles, halves, sketch."""
     members = staged(crowded(staged(table_keys(nodes, how), "keys")), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "owner.doc_id", "owner.text_hash"), "node")
     texts = documents.selectExpr("doc_id", "text", _TEXT_HASH).join(wanted, ["doc_id", "text_hash"])
     texts = staged(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
 
     edges, roots, limit = None, None, how.small_bucket
-    while not members.isEmpty():
-        found = staged(linked(candidates(members, limit, how), texts, how), "links")
+    for number in count():
+        if members.isEmpty():
+            return roots
+        first = number < how.leading_rounds
+        pairs = leading(members, how) if first else staged(likely(candidates(members, limit, how), nodes, how), "pairs")
+        found = staged(linked(pairs, texts, how), "links")
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             roots = components(edges)
-        left = members.where((F.col("size") > limit) & (F.col("pivot.node") != F.col("node"))).select("bucket", "node", "n_shingles")
+        left = members if first else members.where((F.col("size") > limit) & (F.col("pivot.node") != F.col("node")))
+        left = left.select("bucket", "node", "n_shingles")
         if roots is None:
             left = left.withColumn("root", F.col("node"))
         else:
             left = left.join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
         members = staged(crowded(left), "members")
-        limit *= how.growth
-    return roots
+        if not first:
+            limit *= how.growth
 
 
 def near_duplicates(documents: DataFrame, how: NearDup = NearDup()) -> DataFrame:
@@ -178,7 +221,7 @@ def near_duplicates(documents: DataFrame, how: NearDup = NearDup()) -> DataFrame
     """
     rows = staged(signatures(documents, how), "signatures")
     named = rows.where("doc_id is not null and node is not null")
-    nodes = staged(named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")), "nodes")
+    nodes = staged(named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "nodes")
     roots = links(nodes, documents, how)
     if roots is None:
         final = nodes.select("node", F.col("owner.doc_id").alias("component"))
