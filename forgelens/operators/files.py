@@ -331,7 +331,7 @@ def scan_best_effort(
     return _scan(files, dirs, limits or ScanLimits(), exclude_dirs, "true", "true")
 
 
-def truncate_errors(errors: DataFrame, max_errors: int = 50) -> DataFrame:
+def truncate_errors(errors: DataFrame, max_errors: int) -> DataFrame:
     return first_n(errors, ["repo"], "seq", max_errors)
 
 

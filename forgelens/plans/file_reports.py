@@ -18,7 +18,7 @@ def perform_scan(
     check_permissions: bool = True,
     max_errors: int | None = None,
 ) -> f.Scan:
-    """Scan, then directory totals, then the limits and the cut of the errors."""
+    """Scan, then directory totals, then the limits and, where wanted, the cut of the errors."""
     scan = f.scan_guarded if check_permissions else f.scan_best_effort
     found = scan(files, dirs, limits, exclude_dirs)
     errors = found.errors
@@ -41,13 +41,16 @@ def detailed_scan_report(
     dirs: DataFrame,
     limits: f.ScanLimits | None = None,
     exclude_dirs: Iterable[str] = (),
+    max_errors: int | None = None,
 ) -> dict[str, DataFrame]:
-    found = perform_scan(files, dirs, limits, exclude_dirs, max_errors=100)
+    """The summary counts all errors; ``max_errors`` cuts the listed ones only."""
+    found = perform_scan(files, dirs, limits, exclude_dirs)
+    listed = found.errors if max_errors is None else f.truncate_errors(found.errors, max_errors)
     return {
         "summary": f.scan_summary(repos, found),
         "files": found.files,
         "directories": found.dirs,
-        "errors": found.errors,
+        "errors": listed,
     }
 
 

@@ -267,3 +267,12 @@ def test_detailed_scan_report(spark, tmp_path, rows):
     assert (found["one"].total_files, found["one"].total_directories) == (7, 6)
     quick = {r.repo: r for r in reports.quick_scan_report(repos, files_of(tree), dirs_of(tree)).collect()}
     assert (quick["one"].total_files, quick["one"].total_directories) == (8, 7)
+
+
+def test_detailed_report_counts_all_errors(files, repos):
+    t = files(*[(f"f{i}", None, {"error": f"error {i}"}) for i in range(150)])
+    report = reports.detailed_scan_report(repos("r"), t, f.derive_dirs(t), max_errors=100)
+    assert report["errors"].count() == 100
+    assert one(report["summary"])["errors_count"] == 150
+    whole = reports.detailed_scan_report(repos("r"), t, f.derive_dirs(t))
+    assert whole["errors"].count() == 150
