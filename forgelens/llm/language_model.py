@@ -2,8 +2,10 @@
 
 Texts are encoded once (A-Z in lower case) and staged. Counts of pieces and of words cover all training documents. The
 model gives the class of the next piece from up to ``window`` pieces before it: one attention head with relative
-positions over learned embeddings, trained in numpy on a bounded sample of training documents. The piece within its
-class follows the counts of all training documents, so the whole is a probability of the piece sequence and its end.
+positions over learned embeddings. Its weights start from a short run over a sample on the driver; then each task goes
+on from there over every piece of its training documents, and the weights of the tasks are averaged by the pieces they
+have seen. The piece within its class follows the counts of all training documents, so the whole is a probability of
+the piece sequence and its end.
 Long texts are scored in overlapping windows: every piece once, with at least half a window before it.
 
 The base needs the count of every word: the ``head_words`` most frequent ones are broadcast, the rest are joined.
@@ -28,14 +30,15 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 @dataclass(frozen=True)
 class Fit:
-    sample_documents: int = 400  # bound of the documents that train the attention weights
-    sample_pieces: int = 400_000  # and of their pieces, taken as random windows
+    sample_documents: int = 400  # bound of the documents that start the attention weights; all documents train them after that
+    sample_pieces: int = 400_000  # and of their pieces: an equal share of each document, from a place given by its hash
     head_words: int = 1 << 16
     width: int = 16
     window: int = 16
     classes: int = 64
     steps: int = 500
     batch: int = 64
+    pass_batch: int = 256  # windows of a step in the pass over all documents
     rate: float = 0.08
     chunk_bytes: int = 16 << 20
 
@@ -79,7 +82,61 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def train_attention(sequences: list[np.ndarray], counts: np.ndarray, fit: Fit) -> Attention:
+def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: np.ndarray, ids: np.ndarray, target: np.ndarray, rate: float) -> None:
+    """One step of AdaGrad in place, over windows of symbols and the symbols after them; the begin is no target."""
+    n, d = len(w["r"]), w["e"].shape[1]
+    back = np.arange(n)[:, None] - np.arange(n)[None, :]
+    lower = back >= 0
+    real = target != len(group)
+    wanted = group[np.where(real, target, 0)]
+    x = w["e"][ids]
+    q, k, v = x @ w["q"] / np.float32(d**0.5), x @ w["k"], x @ w["v"]
+    a = softmax(q @ k.transpose(0, 2, 1) + relative_mask(w["r"]))
+    h = x + a @ v
+    p = softmax(h @ w["c"] + w["b"])
+    p[np.arange(len(ids))[:, None], np.arange(n), wanted] -= 1
+    p *= real[..., None] / np.float32(max(1, real.sum()))
+    dh = p @ w["c"].T
+    da = dh @ v.transpose(0, 2, 1)
+    ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
+    dq, dk, dv = ds @ k / np.float32(d**0.5), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+    dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    flat = lambda m: m.reshape(-1, m.shape[-1])
+    slopes = {
+        "q": flat(x).T @ flat(dq),
+        "k": flat(x).T @ flat(dk),
+        "v": flat(x).T @ flat(dv),
+        "c": flat(h).T @ flat(p),
+        "b": flat(p).sum(axis=0),
+        "r": np.bincount(back[lower], ds.sum(axis=0)[lower], minlength=n),
+    }
+    for name, slope in slopes.items():
+        slope = slope.astype(np.float32)
+        seen[name] += slope * slope
+        w[name] -= np.float32(rate) * slope / np.sqrt(seen[name])
+    order = np.argsort(ids, axis=None, kind="stable")
+    sorted_ids = ids.reshape(-1)[order]
+    first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
+    own, slope = sorted_ids[first], np.add.reduceat(flat(dx)[order], first, axis=0)
+    seen["e"][own] += slope * slope
+    w["e"][own] -= np.float32(rate) * slope / np.sqrt(seen["e"][own])
+
+
+def stream_of(sequences: list[np.ndarray], symbols: int) -> np.ndarray:
+    """Each sequence between the begin and the end, one after the other."""
+    end, begin = symbols - 2, symbols - 1
+    return np.concatenate([np.concatenate([[begin], s, [end]]) for s in sequences]) if sequences else np.zeros(0, np.int64)
+
+
+@dataclass
+class Training:
+    """An attention model together with the squared slopes that scale its next steps."""
+
+    model: Attention
+    seen: dict[str, np.ndarray]
+
+
+def start_attention(sequences: list[np.ndarray], counts: np.ndarray, fit: Fit) -> Training:
     """``sequences``: symbols of sample documents; ``counts``: of every symbol but the begin, over all training documents."""
     rng = np.random.default_rng(11)
     group, within = grouped(counts, fit.classes)
@@ -95,47 +152,81 @@ def train_attention(sequences: list[np.ndarray], counts: np.ndarray, fit: Fit) -
     }
     w = {name: x.astype(np.float32) for name, x in w.items()}
     seen = {name: np.full(x.shape, 1e-3, np.float32) for name, x in w.items()}
-    end, begin = len(counts) - 1, len(counts)
-    stream = np.concatenate([np.concatenate([[begin], s, [end]]) for s in sequences]) if sequences else np.zeros(0, np.int64)
+    stream = stream_of(sequences, symbols)
     if len(stream) > n + 1:
-        back = np.arange(n)[:, None] - np.arange(n)[None, :]
-        lower = back >= 0
         for _ in range(fit.steps):
             at = rng.integers(0, len(stream) - n, fit.batch)[:, None] + np.arange(n + 1)
-            ids, target = stream[at[:, :-1]], stream[at[:, 1:]]
-            real = target != begin
-            wanted = group[np.where(real, target, 0)]
-            x = w["e"][ids]
-            q, k, v = x @ w["q"] / np.float32(d**0.5), x @ w["k"], x @ w["v"]
-            a = softmax(q @ k.transpose(0, 2, 1) + relative_mask(w["r"]))
-            h = x + a @ v
-            p = softmax(h @ w["c"] + w["b"])
-            p[np.arange(fit.batch)[:, None], np.arange(n), wanted] -= 1
-            p *= real[..., None] / np.float32(real.sum())
-            dh = p @ w["c"].T
-            da = dh @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
-            dq, dk, dv = ds @ k / np.float32(d**0.5), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-            dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-            flat = lambda m: m.reshape(-1, m.shape[-1])
-            slopes = {
-                "q": flat(x).T @ flat(dq),
-                "k": flat(x).T @ flat(dk),
-                "v": flat(x).T @ flat(dv),
-                "c": flat(h).T @ flat(p),
-                "b": flat(p).sum(axis=0),
-                "r": np.bincount(back[lower], ds.sum(axis=0)[lower], minlength=n),
-            }
-            for name, slope in slopes.items():
-                slope = slope.astype(np.float32)
-                seen[name] += slope * slope
-                w[name] -= np.float32(fit.rate) * slope / np.sqrt(seen[name])
-            own, place = np.unique(ids, return_inverse=True)
-            slope = np.zeros((len(own), d), np.float32)
-            np.add.at(slope, place.reshape(-1), flat(dx))
-            seen["e"][own] += slope * slope
-            w["e"][own] -= np.float32(fit.rate) * slope / np.sqrt(seen["e"][own])
-    return Attention(w, group, within, n)
+            step(w, seen, group, stream[at[:, :-1]], stream[at[:, 1:]], fit.rate)
+    return Training(Attention(w, group, within, n), seen)
+
+
+def train_attention(sequences: list[np.ndarray], counts: np.ndarray, fit: Fit) -> Attention:
+    return start_attention(sequences, counts, fit).model
+
+
+def train_on_all(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: np.ndarray, sequences: list[np.ndarray], fit: Fit, rng: np.random.Generator) -> np.ndarray:
+    """Steps in place in which every symbol of the sequences, and every end, is a target once; returns the inputs."""
+    n, begin = len(w["r"]), len(group)
+    stream = stream_of(sequences, begin + 1)
+    inputs, targets = stream[:-1], stream[1:]
+    pad = -len(inputs) % n
+    ids, wanted = (np.append(x, np.full(pad, begin)).reshape(-1, n) for x in (inputs, targets))
+    order = rng.permutation(len(ids))
+    for at in range(0, len(order), fit.pass_batch):
+        rows = order[at : at + fit.pass_batch]
+        step(w, seen, group, ids[rows], wanted[rows], fit.rate)
+    return inputs
+
+
+_DENSE = ("q", "k", "v", "c", "b", "r")
+
+
+def _dense_rows(w: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights but the embeddings, in rows of the width of those."""
+    d = w["e"].shape[1]
+    flat = np.concatenate([w[name].reshape(-1) for name in _DENSE]).astype(np.float64)
+    return np.append(flat, np.zeros(-len(flat) % d)).reshape(-1, d)
+
+
+def train_over_documents(learning: DataFrame, start, fit: Fit) -> Attention:
+    """Goes on from ``start`` (a broadcast Training) over the ids of all documents, in each task apart, and averages: an
+    embedding by the times its symbol was read, other weights by the pieces read. What reaches the driver is one row for
+    each symbol and each ``width`` other weights, however many tasks there are."""
+    d = fit.width
+    names = ["key", "mass", *(f"v{k}" for k in range(d))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = start.value
+        group = first.model.group
+        w, seen = ({name: x.copy() for name, x in given.items()} for given in (first.model.weights, first.seen))
+        rng, reads = np.random.default_rng(11), np.zeros(len(w["e"]), np.int64)
+        for batch in batches:
+            lists = batch.column("ids")
+            values, edges = lists.flatten().to_numpy().astype(np.int64), np.cumsum([0] + lists.value_lengths().to_pylist())
+            for at in range(0, batch.num_rows, 500):
+                own = [values[a:b] for a, b in zip(edges[at : at + 500], edges[at + 1 : at + 501])]
+                reads += np.bincount(train_on_all(w, seen, group, own, fit, rng), minlength=len(reads))
+        own, dense = np.flatnonzero(reads), _dense_rows(w)
+        if len(own):
+            mass = np.append(reads[own], np.full(len(dense), reads.sum())).astype(np.float64)
+            rows = np.concatenate([w["e"][own].astype(np.float64), dense]) * mass[:, None]
+            keys = np.append(own, len(reads) + np.arange(len(dense)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(mass), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(d))], names=names)
+
+    schema = "key long, mass double, " + ", ".join(f"v{k} double" for k in range(d))
+    sums = learning.select("ids").mapInArrow(run, schema).groupBy("key").agg(F.sum("mass"), *(F.sum(f"v{k}") for k in range(d))).collect()
+    model = start.value.model
+    weights, dense = {name: x.copy() for name, x in model.weights.items()}, _dense_rows(model.weights)
+    symbols = len(weights["e"])
+    for key, mass, *row in sums:
+        target = weights["e"] if key < symbols else dense
+        target[key if key < symbols else key - symbols] = np.array(row) / mass
+    at, flat = 0, dense.reshape(-1)
+    for name in _DENSE:
+        size = weights[name].size
+        weights[name] = flat[at : at + size].reshape(weights[name].shape).astype(np.float32)
+        at += size
+    return Attention(weights, model.group, model.within, model.window)
 
 
 class Scorer:
@@ -274,13 +365,12 @@ def score_documents(documents: DataFrame, model_path: str, fit: Fit = Fit()) ->
     for r in pieces:
         counts[r["id"]] = r["count"]
     counts[-1] = trained
-    sample, size = [], 0
     chosen = learning.select("row", "doc_id").orderBy(F.xxhash64("doc_id"), "row").limit(fit.sample_documents).select("row")
-    for r in learning.select("row", "ids").join(F.broadcast(chosen), "row").orderBy("row").toLocalIterator():
-        if size < fit.sample_pieces:
-            sample.append(np.array(r["ids"], np.int64))
-            size += len(sample[-1])
-    model = spark.sparkContext.broadcast(train_attention(sample, counts, fit))
+    share = max(fit.window + 1, fit.sample_pieces // fit.sample_documents)
+    place = F.pmod(F.xxhash64("row"), F.greatest(F.size("ids") - share + 1, F.lit(1))).cast("int") + 1
+    sample = [np.array(r["ids"], np.int64) for r in learning.join(F.broadcast(chosen), "row").orderBy("row").select(F.slice("ids", place, share).alias("ids")).toLocalIterator()]
+    start = spark.sparkContext.broadcast(start_attention(sample, counts, fit))
+    model = spark.sparkContext.broadcast(train_over_documents(learning, start, fit))
 
     rest = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times").withColumnRenamed("words", "word")
     tail = rest.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("sum"))

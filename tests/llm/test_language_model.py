@@ -83,6 +83,19 @@ def test_attention_learns_order():
     assert many > few + 50
 
 
+def test_every_training_document_trains_the_weights(spark):
+    # Documents of two kinds; the start sees one document only, so it can't know the order of words of both.
+    kinds = ("red blue green " * 60, "tree house river " * 60)
+    learns = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(400) if i not in set(learns)][:2]
+    rows = [(i, kinds[k % 2]) for k, i in enumerate(learns)] + [(i, kinds[k]) for k, i in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    fit = Fit(sample_documents=1, steps=0, pass_batch=16)
+    got = {r.doc_id: r.score / (r.n_pieces + 1) for r in score_documents(df, MODEL, fit).where("held_out").collect()}
+    # Frequencies alone give six words about log10(1/6) = -0.78 each.
+    assert all(got[i] > -0.3 for i in held), got
+
+
 @pytest.mark.parametrize("rows", [[], [(2, None)]])
 def test_tiny_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
