@@ -8,10 +8,15 @@ calibrated on fit rows that the dictionaries have not seen, and so is the logist
 The toxic dictionary takes the fit texts' windows that are far more frequent in toxic than in ordinary texts
 (likelihood ratio above 1.5 times the logarithm of the number of distinct windows), the ordinary one the most frequent
 windows of ordinary texts. Wider windows separate worse here: the distance of single words drowns in their neighbours.
+
+A run of letters above the longest window (text without blanks, glued words) is no single word. It gives overlapping
+windows of that length, and a window for every piece of a few characters in it, since words can begin anywhere.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -28,6 +33,10 @@ from forgelens.llm import arrays
 HEAD, TAIL = b"<0a1b2c3d4e5f6g7h8i9j>", b"|#%&~^=+"
 _WINDOW = re.compile(rb"[a-z\x80-\xff]+")
 CUT = 0.7
+#: Characters of the pieces of long runs; words of languages without blanks are of two to eight.
+PIECE_CHARS = range(2, 9)
+#: Windows whose lengths are computed at once.
+BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,8 +59,27 @@ class Model:
     longest_window: int
 
 
-def windows(text: str | None, longest: int) -> list[bytes]:
-    return [w[:longest] for w in _WINDOW.findall((text or "").encode("utf-8", "surrogatepass").lower())]
+def windows(text: str | None, longest: int) -> Iterator[bytes]:
+    """Runs of letters; of a run above ``longest`` bytes all parts, cut between characters."""
+    for m in _WINDOW.finditer((text or "").encode("utf-8", "surrogatepass").lower()):
+        if m.end() - m.start() <= longest:
+            yield m[0]
+        else:
+            yield from _parts_of_run(m[0], longest)
+
+
+def _parts_of_run(run: bytes, longest: int) -> Iterator[bytes]:
+    starts = [k for k, c in enumerate(run) if c & 0xC0 != 0x80] + [len(run)]
+    first, count = 0, len(starts) - 1
+    while first < count:
+        last = max(first + 1, bisect.bisect_right(starts, starts[first] + longest) - 1)
+        yield run[starts[first] : starts[last]]
+        if last == count:
+            break
+        first = max(first + 1, (first + last) // 2)
+    for size in PIECE_CHARS:
+        for k in range(count - size + 1):
+            yield run[starts[k] : starts[k + size]]
 
 
 class Lengths:
@@ -88,13 +116,16 @@ class Scorer:
         return toxic, self.ordinary.of(found) - toxic
 
     def score(self, texts: list[str | None]) -> list[float]:
-        parts = [windows(t, self.model.longest_window) for t in texts]
-        names = sorted(set().union(*parts))
-        toxic, gain = self.lengths(names)
-        good = (toxic <= self.model.most_toxic) & (gain >= self.model.least_gain)
-        counted = {w for w, g in zip(names, good.tolist(), strict=True) if g}
-        hits = np.array([sum(w in counted for w in p) for p in parts]) if counted else np.zeros(len(parts))
-        return logistic(features(hits, np.array([len(p) for p in parts])), np.array(self.model.weights)).tolist()
+        hits, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        every = ((k, w) for k, t in enumerate(texts) for w in windows(t, self.model.longest_window))
+        while block := list(itertools.islice(every, BLOCK)):
+            names = sorted({w for _, w in block})
+            toxic, gain = self.lengths(names)
+            good = (toxic <= self.model.most_toxic) & (gain >= self.model.least_gain)
+            counted = {w for w, g in zip(names, good.tolist(), strict=True) if g}
+            sizes += np.bincount([k for k, _ in block], minlength=len(texts))
+            hits += np.bincount(np.array([k for k, w in block if w in counted], np.int64), minlength=len(texts))
+        return logistic(features(hits, sizes), np.array(self.model.weights)).tolist()
 
 
 def features(hits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -139,7 +170,7 @@ def _joined(found: list[bytes]) -> bytes:
 def fit_model(rows: list[tuple[str | None, int]], fit: Fit) -> Model | None:
     """None without rows of both labels. Thresholds come from dictionaries of two thirds of the rows, applied to the rest;
     the dictionaries of the model then take all."""
-    rows = [(windows(t, fit.longest_window), y) for t, y in rows]
+    rows = [(list(windows(t, fit.longest_window)), y) for t, y in rows]
     toxic, ordinary = [w for w, y in rows if y], [w for w, y in rows if not y]
     if len(toxic) < 2 or len(ordinary) < 2:
         return None

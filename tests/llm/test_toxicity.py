@@ -6,7 +6,7 @@ import os
 import random
 import zlib
 
-from forgelens.llm.toxicity import Fit, Lengths, fit_model, score_toxicity, train, without_toxic
+from forgelens.llm.toxicity import Fit, Lengths, fit_model, score_toxicity, train, windows, without_toxic
 
 MEASURE = os.environ.get("TEST_FIT_DIR", "/root/testdata/sf0.1")
 
@@ -37,6 +37,42 @@ def test_unseen_rows_are_told_apart():
     assert Lengths(b" grubvar ").of([b"grubvar"])[0] < Lengths(b" other words ").of([b"grubvar"])[0]
 
 
+def test_long_runs_are_windowed_whole():
+    run = "".join(f"{chr(0x4E00 + k)}é{chr(0x1D100 + k)}a" for k in range(60))
+    found = [w.decode() for w in windows("ab " + run + " cd", 64)]
+    assert found[0] == "ab" and found[-1] == "cd" and all(len(w.encode()) <= 64 for w in found)
+    covered = 0
+    for w in (w for w in found if len(w) > 8):
+        assert run.index(w) <= covered
+        covered = max(covered, run.index(w) + len(w))
+    assert covered == len(run) and {run[k : k + 3] for k in range(len(run) - 2)} <= set(found)
+
+
+def test_toxic_words_in_text_without_blanks():
+    from forgelens.llm.toxicity import Scorer
+
+    def unspaced(seed, n):
+        rng = random.Random(seed)
+        signs = [chr(0x4E00 + k) for k in range(200)]
+        out = []
+        for _ in range(n):
+            y = int(rng.random() < 0.3)
+            text = [rng.choice(signs) for _ in range(rng.randint(100, 150))]
+            for _ in range(3 * y):
+                # Behind the first 64 bytes of the run.
+                text.insert(rng.randrange(30, len(text)), rng.choice(["毒骂恶", "贱滚蠢"]))
+            out.append(("".join(text), y))
+        return out
+
+    model = fit_model(unspaced(1, 300), Fit())
+    rows = unspaced(2, 100)
+    scores = Scorer(model).score([t for t, _ in rows])
+    assert sum((s >= 0.7) != bool(y) for s, (_, y) in zip(scores, rows, strict=True)) <= 4
+    latin = fit_model(invented(1, 900), Fit())
+    clean, glued = Scorer(latin).score(["tarenosil" * 20, "tarenosil" * 8 + "grubvar" + "mukaster" * 4 + "plozzish" + "grubvar" + "edosil"])
+    assert clean < 0.5 and glued >= 0.7
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"{MEASURE}/{t}.parquet") for t in ("documents", "labels"))
     model = train(docs, labels)
