@@ -22,7 +22,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class CharClass:
-    """A candidate belongs to the first class that its characters fit and whose marks it has all."""
+    """Windows are sought in each longest run of these characters that has a character of each mark."""
 
     name: str
     characters: str
@@ -38,7 +38,7 @@ CLASSES = (
     CharClass("lower and digit", _LOWER + _DIGIT, (_LOWER, _DIGIT), 3.5),
     CharClass("mixed", _LOWER + _UPPER + _DIGIT + "+/_=-", (_LOWER, _UPPER, _DIGIT), 3.6),
 )
-#: Whole candidates that are no secrets: UUIDs, dates and times, version and file-like names, repeated units.
+#: Whole spans that are no secrets: UUIDs, dates and times, version and file-like names, repeated units, placeholders.
 ALLOWED = (
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
     r"\d{4}-\d{2}-\d{2}([T_-][0-9-]+)?",
@@ -46,6 +46,10 @@ ALLOWED = (
     r"(.{1,8}?)\1+.{0,7}",
     r".*(EXAMPLE|example|xxxx|XXXX|0000000|1234567).*",
 )
+#: Of these, what is no secret as a whole part between = signs either, where separators belong to the class.
+IDENTIFIERS = ALLOWED[:3]
+#: Before a colon, these name an address and no user.
+MAIL_LABEL = re.compile(r"(?i)(?<![A-Za-z0-9])(mailto|e?-?mail|from|to|b?cc|reply-to):$")
 
 
 @dataclass(frozen=True)
@@ -53,6 +57,7 @@ class EntropyScan:
     window: int = 20
     classes: tuple[CharClass, ...] = CLASSES
     allowed: tuple[str, ...] = ALLOWED
+    identifiers: tuple[str, ...] = IDENTIFIERS
 
 
 class Scanner:
@@ -61,8 +66,8 @@ class Scanner:
     def __init__(self, how: EntropyScan) -> None:
         self.how = how
         self.candidate = re.compile(rf"[A-Za-z0-9+/_=-]{{{how.window},}}")
-        self.allowed = re.compile("|".join(f"(?:{x})" for x in self._numbered(how.allowed)))
-        self.classes = [(set(c.characters), [set(m) for m in c.marks], c.bits) for c in how.classes]
+        self.allowed, self.identifiers = (re.compile("|".join(f"(?:{x})" for x in self._numbered(p))) for p in (how.allowed, how.identifiers))
+        self.classes = [(re.compile(f"[{re.escape(c.characters)}]{{{how.window},}}"), [set(m) for m in c.marks], c.bits, "-" in c.characters) for c in how.classes]
         self.terms = [0.0] + [n * math.log2(n) for n in range(1, how.window + 1)]
 
     @staticmethod
@@ -103,24 +108,52 @@ class Scanner:
             yield begin, end
 
     def entropy(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = []
+        found: list[tuple[int, int, int]] = []
         for m in self.candidate.finditer(text):
-            run = m[0]
-            letters = set(run)
-            bits = next((b for own, marks, b in self.classes if letters <= own and all(letters & x for x in marks)), None)
-            if bits is None or self.allowed.fullmatch(run) or self._address(text, m):
+            if self._address(text, m):
                 continue
-            for a, b in self.windows(run, bits):
+            end = -1
+            for a, b in sorted(self._spans(m[0])):
                 a, b = a + m.start(), b + m.start()
-                if not any(s <= a and b <= e for s, _, e in base):
+                if any(s <= a and b <= e for s, _, e in base):
+                    continue
+                if a < end:
+                    found[-1] = (found[-1][0], 3, max(b, end))
+                else:
                     found.append((a, 3, b))
+                end = found[-1][2]
         return found
 
+    def _spans(self, candidate: str) -> Iterator[tuple[int, int]]:
+        """Windows of each class in the longest runs of its characters; those of two classes can overlap."""
+        for own, marks, bits, separated in self.classes:
+            for r in own.finditer(candidate):
+                letters = set(r[0])
+                if not all(letters & x for x in marks):
+                    continue
+                for a, b in self.windows(r[0], bits):
+                    a, b = a + r.start(), b + r.start()
+                    if not self.allowed.fullmatch(candidate, a, b) and not (separated and self._identifier(candidate, a, b)):
+                        yield a, b
+
+    def _identifier(self, candidate: str, a: int, b: int) -> bool:
+        """The part between = signs that holds most of the span is a name or number of a known form."""
+        at = 0
+        for part in candidate.split("="):
+            if 2 * (min(b, at + len(part)) - max(a, at)) > b - a:
+                return self.identifiers.fullmatch(part) is not None
+            at += len(part) + 1
+        return False
+
     @staticmethod
     def _address(text: str, m: re.Match) -> bool:
-        """Part of a link or of a mail address."""
-        before = text[max(0, m.start() - 1) : m.start()]
-        return before == "@" or text[m.end() : m.end() + 1] == "@" or (before == ":" and m[0].startswith("//"))
+        """Part of a link or of a mail address; what stands as user or password before a host is neither."""
+        before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+        if before == ":" and m[0].startswith("//"):
+            return after != "@"
+        if after == "@":
+            return before != ":" or MAIL_LABEL.search(text, max(0, m.start() - 12), m.start()) is not None
+        return before == "@"
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base = self.base(text)
