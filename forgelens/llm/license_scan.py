@@ -1,6 +1,7 @@
 """License scan: a sparse n-gram logistic regression over paragraphs, confirmed by comparison with templates.
 
-DataFrame and SQL functions only. A paragraph is a line of a text. Features are the distinct word unigrams and bigrams
+DataFrame and SQL functions only. A paragraph is a line of a text; notices wrapped over adjoining lines are sought in
+joined pieces of lines too, which end at blank lines. Features are the distinct word unigrams and bigrams
 that occur in templates; the model is trained on variants of the templates and on a bounded sample of the corpus's own
 paragraphs as the class of none, with an L1 penalty, so few weights stay. A class of generic licence wording is trained
 as ``unknown``. The least probability of a family is calibrated on sample paragraphs that the model has not seen, and a
@@ -104,6 +105,45 @@ def paragraphs_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "body")).where(F.length(F.trim("body")) > 0)
 
 
+#: Characters of a joined piece in its first line, and after it; no template is longer.
+REACH = 240
+
+
+def _needed(similarity: float) -> list[str]:
+    """Words of which a text must hold one to reach the similarity with any template; the shortest are left out first."""
+    texts = [_pairs(t) for c, ts in TEMPLATES.items() if c != UNKNOWN for t in ts]
+    kept = {w for t in texts for g in t for w in g.split(" ")}
+    for word in sorted(kept, key=lambda w: (len(w), w)):
+        free = kept - {word}
+        if all(sum(not free.intersection(g.split(" ")) for g in t) < similarity * len(t) for t in texts):
+            kept = free
+    return sorted(kept)
+
+
+def wrapped_of(documents: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, paragraph, body, before): for each line with a line right below it, the end of the line and what follows
+    up to a blank line, ``REACH`` characters of each at most, and the end of the line right above. Only those that can reach the similarity."""
+    possible = lambda x: F.lower(x).rlike(rf"(?<![a-z0-9])(?:{'|'.join(_needed(similarity))})(?![a-z0-9])")
+    lines = F.split("text", "\n")
+    blank = lambda x: F.length(F.trim(F.translate(x, "\r\t", "  "))) == 0
+
+    def piece(x: Column, k: Column) -> Column:
+        # Lines of one character would fill REACH with half as many lines.
+        rest = F.slice(F.col("lines"), k + 2, F.lit(REACH // 2))
+        return _bound(rest, lambda r: _bound(F.array_position(F.transform(r, blank), F.lit(True)), lambda p: F.when(
+            (F.size(r) > 0) & (p != 1) & ~blank(x),
+            F.struct(
+                k.alias("paragraph"),
+                F.concat(F.right(x, F.lit(REACH)), F.lit("\n"), F.left(F.array_join(F.when(p > 0, F.slice(r, F.lit(1), (p - 1).cast("int"))).otherwise(r), "\n"), F.lit(REACH))).alias("body"),
+                F.when(k > 0, F.right(F.element_at(F.col("lines"), F.greatest(k, F.lit(1))), F.lit(REACH))).otherwise("").alias("before"),
+            ),
+        )))
+
+    pieces = F.filter(F.transform(F.col("lines"), piece), lambda x: x.isNotNull())
+    rows = documents.where(possible(F.col("text"))).select("doc_id", lines.alias("lines")).select("doc_id", F.inline(pieces))
+    return rows.where(possible(F.col("body")))
+
+
 def _variants() -> list[tuple[str, list[str]]]:
     """Each template, and the template without every fifth, fourth or third word, by all offsets."""
     out = []
@@ -187,21 +227,40 @@ def scan(documents: DataFrame, model: LicenseModel) -> DataFrame:
     """One row per licence paragraph: doc_id, paragraph, family, probability, similarity, confirmed, body.
 
     family is a key of TEMPLATES; ``unknown`` where the wording is of a licence but no family is probable enough or no
-    template of it compares. Null and empty texts have no paragraphs. Rows are independent: repeated rows are reported
-    again, a null id stays null. Other columns are ignored.
+    template of it compares. A notice that is confirmed only when lines are joined has a row with the number of the line
+    where it begins, beside those that its lines may have by themselves. Null and empty texts have no paragraphs. Rows
+    are independent: repeated rows are reported again, a null id stays null. Other columns are ignored.
     """
+    kept = ("doc_id", "paragraph", "family", "probability", "similarity", "confirmed", "body")
+    joined = _judged(wrapped_of(documents, model.similarity), model).where("confirmed")
+    # The notice begins in this line, and no line has it alone.
+    alone = F.array_max(F.transform(F.split("body", "\n"), lambda x: _similarity(x, F.col("templates"))))
+    above = _similarity(F.concat_ws("\n", "before", "body"), F.col("templates"))
+    below = _similarity(F.regexp_replace("body", "^[^\n]*\n", ""), F.col("templates"))
+    joined = joined.where((alone < model.similarity) & (above <= F.col("similarity")) & (below < F.col("similarity")))
+    return _judged(paragraphs_of(documents), model).select(*kept).unionByName(joined.select(*kept))
+
+
+def _similarity(text: Column, templates: Column) -> Column:
+    grams = grams_of(words_of(text))
+    return _bound(grams, lambda g: F.array_max(F.transform(templates, lambda t: F.size(F.array_intersect(g, t)) / F.size(t))))
+
+
+def _judged(paragraphs: DataFrame, model: LicenseModel) -> DataFrame:
+    """Adds family, probability, similarity, confirmed and the templates of the family to licence paragraphs; drops others."""
     words = words_of(F.col("body"))
-    anchored = paragraphs_of(documents).withColumn("words", words).where(F.exists("words", lambda w: w.isin(list(model.anchors))))
+    anchored = paragraphs.withColumn("words", words).where(F.exists("words", lambda w: w.isin(list(model.anchors))))
     rows = _scored(anchored.withColumn("grams", grams_of(F.col("words"))), model)
     classes = _constant(model.classes, "array<string>")
     licence = F.slice("p", 2, len(model.classes) - 1)
     rows = rows.where(1 - F.col("p")[0] >= model.least_probability).withColumn("best", F.array_position("p", F.array_max(licence)).cast("int"))
     predicted = F.element_at(classes, F.col("best"))
     templates = _constant([[_pairs(t) for t in TEMPLATES.get(c, ())] for c in model.classes], "array<array<array<string>>>")
-    shares = F.transform(F.element_at(templates, F.col("best")), lambda t: F.size(F.array_intersect("grams", t)) / F.size(t))
+    rows = rows.withColumn("templates", F.element_at(templates, F.col("best")))
+    shares = F.transform("templates", lambda t: F.size(F.array_intersect("grams", t)) / F.size(t))
     rows = rows.withColumn("predicted", predicted).withColumn("probability", F.array_max(licence)).withColumn("similarity", F.array_max(shares))
     sure = (F.col("probability") >= model.least_probability) & (F.col("similarity") >= model.similarity) & (F.col("predicted") != UNKNOWN)
-    return rows.select("doc_id", "paragraph", F.when(sure, F.col("predicted")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "similarity", sure.alias("confirmed"), "body")
+    return rows.withColumn("family", F.when(sure, F.col("predicted")).otherwise(F.lit(UNKNOWN))).withColumn("confirmed", sure)
 
 
 def _pairs(text: str) -> list[str]:

@@ -38,6 +38,16 @@ def test_families_and_clean_text(spark):
     assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
 
 
+def test_notices_wrapped_over_lines(spark):
+    model = train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    cases = [(1, "A file\n\n" + mit, 2, "mit"), (2, gpl.format(3), 1, "gpl-3.0"), (3, "x\n\n" + gpl.format(2), 3, "gpl-2.0"), (4, mit.replace("a copy\nof", "a copy\n\nof"), None, None)]
+    df = spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")
+    got = [(r.doc_id, r.paragraph, r.family) for r in scan(df, model).where("confirmed").collect()]
+    assert sorted(got) == [(i, k, f) for i, _, k, f in cases if f], got
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert scan(docs, train(docs)).count() == 0
