@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgelens.llm import decontamination, language_model, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, substring_dedup, suffix_dedup, topk_search, toxicity
+from forgelens.llm import decontamination, language_model, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, topk_search, toxicity
 
 #: Path of the published vocabulary file, read on the driver.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.score_toxicity(documents, toxicity.train(documents, _table(spark, directory, "labels")))
 
 
+def op11_simhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_language_model,
         op10_toxicity,
+        op11_simhash_dedup,
     )
 }
 
