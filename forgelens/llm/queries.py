@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgelens.llm import decontamination, language_model, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, topk_search, toxicity
+from forgelens.llm import decontamination, language_model, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, token_alignment, topk_search, toxicity
 
-#: Path of the published vocabulary file, read on the driver.
+#: Paths of the published vocabulary files, read on the driver.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+BYTE_MODEL = os.environ.get("BYTE_MODEL", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op11_simhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, directory, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    return token_alignment.align_documents(_table(spark, directory, "documents"), BYTE_MODEL, PIECE_MODEL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language_model,
         op10_toxicity,
         op11_simhash_dedup,
+        op12_token_alignment,
     )
 }
 
