@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgelens.llm import decontamination, language_model, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, token_alignment, topk_search, toxicity
+from forgelens.llm import decontamination, language_model, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, simhash_dedup, spelling_variants, substring_dedup, suffix_dedup, token_alignment, topk_search, toxicity
 
 #: Paths of the published vocabulary files, read on the driver.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -68,6 +68,10 @@ def op12_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
     return token_alignment.align_documents(_table(spark, directory, "documents"), BYTE_MODEL, PIECE_MODEL)
 
 
+def op13_spelling_variants(spark: SparkSession, directory: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
         op11_simhash_dedup,
         op12_token_alignment,
+        op13_spelling_variants,
     )
 }
 
