@@ -14,7 +14,7 @@ from forgelens.operators import loc
 from forgelens.plans import file_reports as reports
 from forgelens.sources import ignore_rules
 from forgelens.sources.json_sink import as_json, write_json
-from forgelens.sources.repo_tree import RepoTreeSource, dirs_of, files_of
+from forgelens.sources.repo_tree import TreeLimits, dirs_of, entry_row, files_of, list_directory, read_trees
 
 
 @pytest.fixture
@@ -233,15 +233,26 @@ def make_tree(root: Path) -> None:
     os.symlink(root / "nowhere", root / "one/broken")
 
 
-def test_tree_source(spark, tmp_path, rows):
+WALK = ["README.md", "pkg/__init__.py", ".gitignore", ".github/workflows/ci.yml", "__tests__/x.js", "pkg/deep/a.bin", "run.sh", "link.md"]
+SMALL_STEPS = TreeLimits(entries_per_listing=1, rows_per_task=2, batch_rows=2, batch_bytes=3)
+
+
+@pytest.fixture
+def trees(spark, tmp_path_factory):
+    """A tree reader that stages into a folder of its own."""
+
+    def read(root, **options):
+        return read_trees(spark, str(root), work_dir=f"file://{tmp_path_factory.mktemp('work')}", **options)
+
+    return read
+
+
+@pytest.mark.parametrize("limits", [TreeLimits(), SMALL_STEPS])
+def test_tree_source(trees, tmp_path, rows, limits):
     make_tree(tmp_path)
-    spark.dataSource.register(RepoTreeSource)
-    tree = spark.read.format("repo_tree").option("root", str(tmp_path)).load()
+    tree = trees(tmp_path, limits=limits)
     found = files_of(tree)
-    assert rows(found.where("repo = 'one'"), "path") == sorted(
-        [(p,) for p in ("README.md", "pkg/__init__.py", ".gitignore", ".github/workflows/ci.yml", "__tests__/x.js", "pkg/deep/a.bin", "run.sh", "link.md")],
-        key=repr,
-    )
+    assert rows(found.where("repo = 'one'"), "path") == sorted([(p,) for p in WALK], key=repr)
     assert rows(found.where("is_symlink"), "path") == [("link.md",)]
     assert rows(found.where("is_executable"), "path") == [("run.sh",)]
     assert bytes(found.where("repo = 'two'").head().content) == b"\xff"
@@ -250,17 +261,115 @@ def test_tree_source(spark, tmp_path, rows):
         ("one", ".github", 1), ("one", ".github/workflows", 2), ("one", "__tests__", 1), ("one", "linked", 1),
         ("one", "pkg", 1), ("one", "pkg/deep", 2), ("one", "pkg/empty", 2),
     ]
-    assert found.groupBy("repo", "seq").count().where("count > 1").count() == 0
-    everything = spark.read.format("repo_tree").option("root", str(tmp_path / "one")).option("layout", "single")
-    unpruned = files_of(everything.option("prune", "false").option("content", "false").load())
+    unpruned = files_of(trees(tmp_path / "one", layout="single", prune=False, content=False, limits=limits))
     assert ("node_modules/m/i.js",) in rows(unpruned, "path")
     assert unpruned.where("content IS NOT NULL").count() == 0
+    assert {r.repo for r in unpruned.collect()} == {"one"}
+
+
+def walked(root):
+    """Entries as a walk from the top meets them, directories first, by name."""
+    out = []
+
+    def visit(directory):
+        names = os.listdir(root / directory)
+        is_dir = {n: (root / directory / n).is_dir() for n in names}
+        own = sorted(names, key=lambda n: (not is_dir[n], n))
+        own = [n for n in own if not (is_dir[n] and n in ("node_modules", ".git"))]
+        out.extend(os.path.join(directory, n) for n in own)
+        for n in own:
+            if is_dir[n] and not (root / directory / n).is_symlink():
+                visit(os.path.join(directory, n))
+
+    visit("")
+    return out
+
+
+@pytest.mark.parametrize("limits", [TreeLimits(), SMALL_STEPS])
+def test_entries_are_numbered_in_the_order_of_the_walk(trees, tmp_path, limits):
+    rng = random.Random(8)
+    for _ in range(150):
+        parts = [rng.choice(["a", "a-b", "a.b", "b", "c c", "é"]) for _ in range(rng.randint(0, 5))]
+        (tmp_path / "r" / "/".join(parts)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / "/".join(parts) / f"f{rng.randint(0, 9)}").write_bytes(b"x" * rng.randint(0, 9))
+    tree = trees(tmp_path, limits=limits)
+    found = sorted((r.seq, r.path) for r in tree.collect())
+    assert [p for _, p in found] == walked(tmp_path / "r")
+    assert [s for s, _ in found] == list(range(1, len(found) + 1))
+
+
+def test_partitions_do_not_follow_the_number_of_repositories(spark, trees, tmp_path):
+    for k in range(60):
+        (tmp_path / f"repo{k}" / "src").mkdir(parents=True)
+        (tmp_path / f"repo{k}" / "src" / "a.py").write_bytes(b"a")
+    tree = trees(tmp_path)
+    assert files_of(tree).count() == 60 and dirs_of(tree).count() == 60
+    assert tree.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_one_huge_directory_is_spread(trees, tmp_path):
+    (tmp_path / "r" / "huge").mkdir(parents=True)
+    for k in range(1_500):
+        (tmp_path / "r" / "huge" / f"f{k}").write_bytes(b"z")
+    tree = trees(tmp_path, limits=TreeLimits(rows_per_task=100))
+    tasks = [n for n in tree.rdd.glom().map(len).collect() if n]
+    assert sum(tasks) == 1_501 and len(tasks) == 16 and max(tasks) < 200
+
+
+def test_bad_entries_are_errors(trees, tmp_path, rows):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "good.py").write_bytes(b"1")
+    os.mkdir(os.fsencode(tmp_path) + b"/r/bad\xffdir")
+    with open(os.fsencode(tmp_path) + b"/r/bad\xff.py", "wb") as handle:
+        handle.write(b"2")
+    os.mkdir(os.fsencode(tmp_path) + b"/repo\xfe")
+    found = files_of(trees(tmp_path, limits=SMALL_STEPS))
+    assert rows(found.where("error IS NULL"), "repo", "path") == [("r", "good.py")]
+    assert rows(found.where("error IS NOT NULL"), "repo", "path", "error") == [
+        ("r", "bad\\xff.py", "name is not UTF-8: bad\\xff.py"), ("r", "bad\\xffdir", "name is not UTF-8: bad\\xffdir"),
+        ("repo\\xfe", "", "name is not UTF-8: repo\\xfe"),
+    ]
+    result = f.scan(found, f.derive_dirs(found.where("error IS NULL")))
+    assert result.files.count() == 1 and result.errors.count() == 3
+
+
+def test_roots_that_cannot_be_listed_are_errors(trees, tmp_path, monkeypatch):
+    missing = files_of(trees(tmp_path / "nowhere")).collect()
+    assert [(r.repo, r.path, r.error is not None) for r in missing] == [("", "", True)]
+    single = files_of(trees(tmp_path / "nowhere", layout="single")).collect()
+    assert [(r.repo, r.path, "cannot list" in r.error) for r in single] == [("nowhere", "", True)]
+
+    def denied(path):
+        raise PermissionError(13, "Permission denied")
+
+    monkeypatch.setattr(os, "scandir", denied)
+    assert [r[4:] for r in list_directory("r", "/x", 1, "sub", frozenset())] == [(None, True, False, "cannot list sub: Permission denied")]
+
+
+def test_times_out_of_range_and_vanished_files_are_errors(tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"abc")
+    assert entry_row("r", 1, str(tmp_path), "a", TreeLimits())[4] == b"abc"
+    assert entry_row("r", 1, str(tmp_path), "a", TreeLimits(content_bytes=2))[4:6] == (None, 3)
+    assert "cannot stat gone" in entry_row("r", 1, str(tmp_path), "gone", TreeLimits())[-1]
+    real = os.stat
+
+    class Late:
+        def __init__(self, info):
+            self.st_mode, self.st_size, self.st_mtime_ns = info.st_mode, info.st_size, 10**21
+
+    monkeypatch.setattr(os, "stat", lambda path, **more: Late(real(path, **more)))
+    assert entry_row("r", 1, str(tmp_path), "a", TreeLimits())[-1] == "modification time of a is out of range"
+
+
+def test_tree_needs_a_shared_folder(spark, tmp_path):
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="all executors share"):
+            read_trees(spark, str(tmp_path))
 
 
-def test_detailed_scan_report(spark, tmp_path, rows):
+def test_detailed_scan_report(trees, tmp_path, rows):
     make_tree(tmp_path)
-    spark.dataSource.register(RepoTreeSource)
-    tree = spark.read.format("repo_tree").option("root", str(tmp_path)).load()
+    tree = trees(tmp_path)
     repos = tables.repos_of(files_of(tree))
     report = reports.detailed_scan_report(repos, files_of(tree), dirs_of(tree))
     found = {r.repo: r for r in report["summary"].collect()}
