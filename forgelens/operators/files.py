@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from forgelens.functions import paths, text
 from forgelens.functions.sql import array_of, expr_map, exprs, in_list, lit, map_of, present_only
-from forgelens.operators.skew import first_n, join_hot, salt_of, salts
+from forgelens.operators.shared import shared
+from forgelens.operators.skew import first_n, join_hot
 from forgelens.tables import per_repo
 
 # Tokens counted as branches, code suffixes of the two line counters, and the
@@ -19,8 +20,6 @@ BRANCH_TOKENS = ("if ", "for ", "while ", "case ", "except ")
 LOC_SUFFIXES = (".py", ".js", ".ts", ".java", ".go", ".rs", ".cpp", ".c", ".h")
 COMMENT_PREFIXES = {".py": "#", ".js": "//", ".ts": "//", ".java": "//"}
 
-DEPTH_SLOTS = 4096
-
 
 def classify_files(files: DataFrame) -> DataFrame:
     """Add ``language`` and ``category``; only the binary probe looks at the content."""
@@ -163,15 +162,28 @@ def listed_dirs(dirs: DataFrame, exclude_dirs: Iterable[str] = ()) -> DataFrame:
     return dirs.where(f"NOT {paths.has_excluded_name('path', names)}")
 
 
+def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(repo, path)`` of the files that an ignore rule of their repository matches.
+
+    Patterns are looked up, not tried: each path is spelled out once into its prefixes, suffixes and substrings of the
+    lengths that occur among its repository's patterns, and those keys are joined with the patterns by equality. So the
+    work follows the length of a path and the number of different lengths, not the number of rules.
+    """
+    patterns = rules.select("repo", "kind", F.col("pattern").alias("key")).where("key IS NOT NULL").distinct()
+    lengths = patterns.selectExpr("repo", "kind", "length(key) AS n").distinct()
+    spelled = join_hot(files.select("repo", "path"), lengths, ["repo"], ["path"]).where("n <= length(path)")
+    keys = (
+        "CASE kind WHEN 'prefix' THEN array(left(path, n)) WHEN 'suffix' THEN array(right(path, n)) "
+        "ELSE array_distinct(transform(sequence(1, length(path) - n + 1), i -> substring(path, i, n))) END"
+    )
+    exploded = spelled.selectExpr("repo", "path", "kind", f"explode({keys}) AS key")
+    hits = join_hot(exploded, patterns, ["repo", "kind", "key"], ["path"], "left_semi", ways=8)
+    return hits.select("repo", "path").distinct()
+
+
 def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files that no ignore rule of their repository matches."""
-    matches = (
-        "f.repo = r.repo AND f._salt = r._salt AND CASE r.kind WHEN 'prefix' THEN startswith(f.path, r.pattern) "
-        "WHEN 'suffix' THEN endswith(f.path, r.pattern) ELSE contains(f.path, r.pattern) END"
-    )
-    salted = files.withColumn("_salt", salt_of("path")).alias("f")
-    spread = rules.withColumn("_salt", F.explode(salts())).alias("r")
-    return salted.join(spread, F.expr(matches), "left_anti").drop("_salt")
+    return files.join(ignored_paths(files, rules), ["repo", "path"], "left_anti")
 
 
 def large_files(files: DataFrame, min_size_bytes: int) -> DataFrame:
@@ -188,25 +200,24 @@ def shallow_dirs(dirs: DataFrame, max_depth: int) -> DataFrame:
 def derive_dirs(files: DataFrame) -> DataFrame:
     """All directories above the files, for file tables that come without directory rows.
 
-    Parents are reduced to distinct ones before exploding. ``seq`` follows the first file below a
-    directory, outer directories first, and is unique for depths below ``DEPTH_SLOTS``.
+    Parents are reduced to distinct ones before exploding. ``seq`` is that of the first file below a
+    directory; the directories that one file brings are ordered by their depth.
     """
     parents = (
         files.groupBy("repo", *exprs(dir=paths.parent()))
         .agg(F.min("seq").alias("first_seq"))
         .where("dir <> ''")
     )
-    depth = f"int({paths.depth()})"
     return (
         parents.selectExpr("repo", "first_seq", f"explode({paths.ancestors('dir')}) AS path")
         .groupBy("repo", "path")
-        .agg(F.min("first_seq").alias("first_seq"))
+        .agg(F.min("first_seq").alias("seq"))
         .select(
             "repo",
             *exprs(
-                seq=f"first_seq * {DEPTH_SLOTS} + {depth}",
+                seq="seq",
                 path="path",
-                depth=depth,
+                depth=f"int({paths.depth()})",
                 is_symlink="false",
                 readable="true",
             ),
@@ -217,52 +228,51 @@ def derive_dirs(files: DataFrame) -> DataFrame:
 def directory_totals(files: DataFrame, dirs: DataFrame, include_root: bool = False) -> DataFrame:
     """Files and bytes directly in each listed directory, empty directories included.
 
-    A file belongs to the nearest listed directory above it. Files are first summed per parent
-    directory, so only distinct directories are looked up, and only parents that are not listed
-    themselves are matched with the directories above them.
-    Files at the root belong to no directory unless ``include_root`` adds the row ``''``.
+    A file belongs to the nearest listed directory above it. Files are summed per parent directory first. Parents and
+    listed directories are then one table of paths, in which a parent that is listed is settled at once; the others are
+    matched with the listed directories above them. Files at the root belong to no directory unless ``include_root``
+    adds the row ``''``.
     """
+    parents = files.groupBy("repo", *exprs(path=paths.parent())).agg(
+        *exprs(total_files="count(*)", total_size_bytes="sum(size_bytes)")
+    )
     known = dirs.select("repo", "path", "depth")
     if include_root:
-        root = files.select("repo").distinct().selectExpr("repo", "'' AS path", "0 AS depth")
-        known = known.unionByName(root)
-    parents = files.groupBy("repo", *exprs(dir=paths.parent())).agg(
-        *exprs(total_files="count(*)", total_size_bytes="sum(size_bytes)")
+        known = known.unionByName(parents.select("repo").distinct().selectExpr("repo", "'' AS path", "0 AS depth"))
+    else:
+        parents = parents.where("path <> ''")
+    listed_rows = known.selectExpr("*", "0L AS total_files", "0L AS total_size_bytes")
+    parent_rows = parents.selectExpr("repo", "path", "int(NULL) AS depth", "total_files", "total_size_bytes")
+    nodes = listed_rows.unionByName(parent_rows).groupBy("repo", "path").agg(
+        *exprs(depth="max(depth)", total_files="sum(total_files)", total_size_bytes="sum(total_size_bytes)")
     )
-    listed_parents = known.selectExpr("repo", "path AS dir", "true AS is_listed")
-    looked_up = parents.join(listed_parents, ["repo", "dir"], "left")
-    columns = ("repo", "path", "total_files", "total_size_bytes")
-    direct = looked_up.where("is_listed").withColumnRenamed("dir", "path").select(*columns)
-    farther = _nearest_above(looked_up.where("is_listed IS NULL"), known, include_root)
-    totals = direct.unionByName(farther.select(*columns)).groupBy("repo", "path")
-    sums = totals.agg(
-        *exprs(total_files="sum(total_files)", total_size_bytes="sum(total_size_bytes)")
+    nodes = shared(nodes)
+    direct = nodes.where("depth IS NOT NULL")
+    farther = _nearest_above(nodes.where("depth IS NULL"), direct.select("repo", "path", "depth"), include_root)
+    return direct.unionByName(farther).groupBy("repo", "path").agg(
+        *exprs(depth="max(depth)", total_files="sum(total_files)", total_size_bytes="sum(total_size_bytes)")
     )
-    return known.join(sums, ["repo", "path"], "left").fillna(0, ["total_files", "total_size_bytes"])
 
 
 def _nearest_above(parents: DataFrame, known: DataFrame, include_root: bool) -> DataFrame:
-    """Parents that are not listed themselves, each with the deepest listed directory above it.
+    """The sums of parents that are not listed, under the deepest listed directory above each.
 
-    Many of them may share one ancestor, so they are spread. Only listed directories that are an
-    ancestor of any are repeated for it.
+    Many of them may share one ancestor, so they are spread.
     """
-    above = paths.ancestors("dir")
+    above = f"slice({paths.ancestors('path')}, 1, size(split(path, '/')) - 1)"
     if include_root:
-        above = f"array_distinct(concat(array(''), {above}))"
-    candidates = parents.selectExpr("*", f"explode({above}) AS path")
-    ancestors = known.join(candidates.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
-    return (
-        join_hot(candidates, ancestors, ["repo", "path"], ["dir"], ways=8)
-        .groupBy("repo", "dir")
-        .agg(
-            *exprs(
-                path="max_by(path, depth)",
-                total_files="any_value(total_files)",
-                total_size_bytes="any_value(total_size_bytes)",
-            )
+        above = f"concat(array(''), {above})"
+    candidates = parents.selectExpr("repo", "path AS dir", "total_files", "total_size_bytes", f"explode({above}) AS path")
+    found = join_hot(candidates, known, ["repo", "path"], ["dir"], ways=8)
+    nearest = found.groupBy("repo", "dir").agg(
+        *exprs(
+            best="max(struct(depth, path))",
+            total_files="any_value(total_files)",
+            total_size_bytes="any_value(total_size_bytes)",
         )
     )
+    settled = nearest.selectExpr("repo", "best.path AS path", "best.depth AS depth", "total_files", "total_size_bytes")
+    return settled
 
 
 # Scans
@@ -343,7 +353,7 @@ def enforce_limits(
     if max_files is not None:
         files = first_n(files, ["repo"], "seq", max_files)
     if max_directories is not None:
-        dirs = first_n(dirs, ["repo"], "seq", max_directories)
+        dirs = first_n(dirs, ["repo"], "seq", max_directories, ["depth"])
     return Scan(files, dirs, result.errors)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 JOIN_WAYS = 32
-BLOCK_ROWS = 65_536
-SMALL_LIMIT = 10_000
+LEVEL_BITS = 16  # 65,536 values in a block, and blocks in a block of blocks
+LEVELS = 64 // LEVEL_BITS
 
 
 def salt_of(*columns: str, ways: int = JOIN_WAYS) -> Column:
@@ -43,45 +43,53 @@ def join_hot(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], seq: str, name: str = "rn") -> DataFrame:
-    """Row number per key in ``seq`` order, for groups of any size.
+def _blocks_below(df: DataFrame, keys: Sequence[str], seq: str, limit: int | None) -> DataFrame:
+    """``(*keys, _block1, _earlier)``: the blocks of ``seq`` values with the number of rows before each.
 
-    ``seq`` is unique per key, so a block of consecutive values holds at most ``BLOCK_ROWS``
-    rows (twice that around 0). Blocks are counted first, a running total over the few blocks gives each its offset,
-    and rows are numbered inside their block only.
+    A bigint has four digits of ``LEVEL_BITS`` bits. Rows are counted per block of the values that
+    share all digits but the last; counts are summed per block of blocks, and so on. Then running totals
+    go down the tree: each is taken within one parent, so over 65,536 counts at most, however the values lie.
+    With a limit, blocks that begin beyond it are dropped on the way down.
     """
-    by = ", ".join(keys)
-    blocked = df.withColumn("_block", F.expr(f"{seq} div {BLOCK_ROWS}"))
-    counts = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
-    earlier = (
-        f"sum(_rows) OVER (PARTITION BY {by} ORDER BY _block "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    )
-    offsets = counts.selectExpr(*keys, "_block", f"coalesce({earlier}, 0L) AS _offset")
-    inside = f"row_number() OVER (PARTITION BY {by}, _block ORDER BY {seq})"
-    return (
-        blocked.join(offsets, [*keys, "_block"])
-        .withColumn(name, F.expr(f"_offset + {inside}"))
-        .drop("_block", "_offset")
-    )
-
-
-def first_n(df: DataFrame, keys: Sequence[str], seq: str, n: int) -> DataFrame:
-    """The first ``n`` rows per key in ``seq`` order.
-
-    A small ``n`` is cut twice, first per salted part of the key and then per key, so the last
-    step sees at most ``JOIN_WAYS * n`` rows of a key. A large ``n`` uses the blocked row number.
+    counts = {1: df.groupBy(*keys, F.expr(f"shiftright(bigint({seq}), {LEVEL_BITS})").alias("_block1")).agg(F.count("*").alias("_rows"))}
+    for level in range(2, LEVELS):
+        parent = F.expr(f"shiftright(_block{level - 1}, {LEVEL_BITS})").alias(f"_block{level}")
+        counts[level] = counts[level - 1].groupBy(*keys, parent).agg(F.sum("_rows").alias("_rows"))
+    above = None
+    for level in reversed(range(1, LEVELS)):
+        own, parents = counts[level], list(keys)
+        if above is not None:
+            own = own.withColumn(f"_block{level + 1}", F.expr(f"shiftright(_block{level}, {LEVEL_BITS})"))
+            parents = [*keys, f"_block{level + 1}"]
+            own = own.join(above.withColumnRenamed("_earlier", "_base"), parents)
+        before = (
+            f"sum(_rows) OVER (PARTITION BY {', '.join(parents)} ORDER BY _block{level} "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        )
+        base = "0L" if above is None else "_base"
+        above = own.selectExpr(*keys, f"_block{level}", f"{base} + coalesce({before}, 0L) AS _earlier")
+        if limit is not None:
+            above = above.where(F.col("_earlier") < limit)
+    return above
+
+
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], seq: str, name: str = "rn", ties: Sequence[str] = (), limit: int | None = None
+) -> DataFrame:
+    """Row number per key in ``seq`` order, for groups of any size and any values of ``seq``.
+
+    ``seq`` is unique per key, or rows that share a value are few and ordered by ``ties``. Rows are numbered
+    inside their block of 65,536 values and moved by the rows before the block. With a limit only the rows up
+    to it are returned.
     """
-    if n > SMALL_LIMIT:
-        return row_numbers(df, keys, seq, "_rn").where(F.col("_rn") <= n).drop("_rn")
-    by = ", ".join(keys)
-    part = F.expr(f"row_number() OVER (PARTITION BY {by}, _salt ORDER BY {seq})")
-    whole = F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY {seq})")
-    return (
-        df.withColumn("_salt", salt_of(seq))
-        .withColumn("_rn", part)
-        .where(f"_rn <= {n}")
-        .withColumn("_rn", whole)
-        .where(f"_rn <= {n}")
-        .drop("_salt", "_rn")
-    )
+    blocked = df.withColumn("_block1", F.expr(f"shiftright(bigint({seq}), {LEVEL_BITS})"))
+    by, order = ", ".join([*keys, "_block1"]), ", ".join([seq, *ties])
+    inside = f"row_number() OVER (PARTITION BY {by} ORDER BY {order})"
+    placed = blocked.join(_blocks_below(df, keys, seq, limit), [*keys, "_block1"])
+    numbered = placed.withColumn(name, F.expr(f"_earlier + {inside}")).drop("_block1", "_earlier")
+    return numbered if limit is None else numbered.where(F.col(name) <= limit)
+
+
+def first_n(df: DataFrame, keys: Sequence[str], seq: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows per key in ``seq`` order, one way for every ``n``."""
+    return row_numbers(df, keys, seq, "_rn", ties, n).drop("_rn").select(df.columns)

@@ -2,7 +2,8 @@
 
 Timestamps are ``TIMESTAMP_NTZ`` in UTC, so no result depends on the session time zone.
 ``seq`` columns are unique within a repository and give the order in which the producer
-listed the rows (scan order, newest commit first).
+listed the rows (scan order, newest commit first). Directories derived from files share the ``seq`` of
+their first file and are told apart by ``depth``.
 """
 
 from __future__ import annotations

@@ -84,6 +84,22 @@ def test_directory_totals_against_brute_force(files, rows):
             known[(more["repo"], parent)][1] += len(body)
     found = f.directory_totals(frame, listed).collect()
     assert {(r.repo, r.path): [r.total_files, r.total_size_bytes] for r in found} == known
+    whole = f.directory_totals(frame, listed, include_root=True).collect()
+    sums = {(r.repo, r.path): [r.total_files, r.total_size_bytes, r.depth] for r in whole}
+    for repo in ("hot", "s"):
+        own = [(path, body) for path, body, more in entries if more["repo"] == repo]
+        settled = [v for (r, _), v in known.items() if r == repo]
+        assert sums.pop((repo, "")) == [len(own) - sum(n for n, _ in settled), sum(len(b) for _, b in own) - sum(b for _, b in settled), 0]
+    assert {k: v[:2] for k, v in sums.items()} == known
+
+
+def test_directory_totals_read_the_files_twice_at_most(spark, tmp_path, files):
+    files(("a/b/c", "x"), ("a/d", "y")).write.parquet(str(tmp_path / "files"))
+    t = spark.read.parquet(str(tmp_path / "files"))
+    totals = f.directory_totals(t, f.derive_dirs(t))
+    totals.collect()
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("FileScan parquet") <= 2
 
 
 def test_scan_limits_and_symlinks(files, rows):
@@ -190,6 +206,36 @@ def test_ignore_rules(spark, files, rows):
     assert rows(kept, "path") == [("main.py",), ("x/docs",)]
 
 
+def test_ignore_rules_against_brute_force(spark, files, rows):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab/é.") for _ in range(n))
+    entries = [(f"{word(rng.randint(0, 9))}{i}", "", {"repo": rng.choice(["hot", "hot", "s", "free"])}) for i in range(300)]
+    rules = [(rng.choice(["hot", "s"]), rng.choice(["prefix", "suffix", "contains"]), word(rng.randint(0, 4)) or "3") for _ in range(25)]
+    rules += [("s", "contains", ""), ("none", "contains", "a"), ("hot", "prefix", None)]
+
+    def ignored(path, repo):
+        tests = {"prefix": path.startswith, "suffix": path.endswith, "contains": path.__contains__}
+        return any(r == repo and p is not None and tests[kind](p) for r, kind, p in rules)
+
+    kept = f.drop_ignored(files(*entries).select("repo", "path"), spark.createDataFrame(rules, "repo string, kind string, pattern string"))
+    assert rows(kept, "path") == sorted([(p,) for p, _, more in entries if not ignored(p, more["repo"])], key=repr)
+
+
+def test_ignore_rules_are_looked_up_by_equality(spark, files):
+    rules = spark.createDataFrame([("r", "contains", "a")], "repo string, kind string, pattern string")
+    plan = f.drop_ignored(files(("a", "")).select("repo", "path"), rules)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_derived_directories_keep_their_order_at_any_depth(files, rows):
+    deep = "/".join(["d"] * 5_000)
+    t = files((f"{deep}/x", ""), ("a/y", ""))
+    dirs = f.derive_dirs(t)
+    assert dirs.selectExpr("count(*)", "count(DISTINCT seq, depth)").head() == (5_001, 5_001)
+    cut = f.enforce_limits(f.scan_best_effort(t, dirs), max_directories=4_999)
+    assert cut.dirs.selectExpr("max(depth)", "count(*)").head() == (4_999, 4_999)
+
+
 def test_standard_ignore_files_are_root_only(files, rows):
     t = files((".gitignore", "*.log\r\nbuild\n"), ("sub/.gitignore", "never\n"), (".ignore", "x*"))
     assert rows(ignore_rules.standard_ignore_rules(t), "kind", "pattern") == [("contains", "build"), ("prefix", "x"), ("suffix", ".log")]
