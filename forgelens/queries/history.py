@@ -101,6 +101,38 @@ def newest_commits_large(x: Inputs) -> DataFrame:
     )
 
 
+LOGGED = """SELECT o_orderpriority AS repo, o_orderkey AS k, o_custkey AS customer, o_orderstatus AS status
+  FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderkey % 19 <> 0"""
+
+
+@query(
+    "commits_of_logs",
+    f"""SELECT repo, k - k % 65536 + row_number() OVER (PARTITION BY repo, k // 65536 ORDER BY k) - 1 AS seq, CAST(k AS VARCHAR) AS commit_hash,
+               'Dev ' || (customer % 37) AS author_name, 'dev' || (customer % 37) || '@example.com' AS author_email,
+               TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1000000000 + customer) AS authored_at,
+               CASE WHEN k % 6 = 1 THEN 'Merge a | b' ELSE 'order ' || status END AS message FROM ({LOGGED})""",
+)
+def commits_of_logs(x: Inputs) -> DataFrame:
+    """The table of commits from exported logs; damaged headers and times that do not parse are left out."""
+    return commit_log.commits_of(x.log_records)
+
+
+LOGGED_LINE = """CASE WHEN l_linenumber % 4 = 0 THEN '-' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END || chr(9) || l_linenumber
+  || CASE WHEN l_partkey % 11 = 0 THEN '' ELSE chr(9) || 'mod' || l_partkey || '.py' END"""
+
+
+@query(
+    "commit_files_of_logs",
+    f"""SELECT repo, commit_hash, ordinal, path, insertions, deletions FROM (
+          SELECT repo, CAST(k AS VARCHAR) AS commit_hash, CAST(row_number() OVER (PARTITION BY k ORDER BY l_linenumber, {LOGGED_LINE}) - 1 AS INTEGER) AS ordinal,
+                 'mod' || l_partkey || '.py' AS path, CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS insertions,
+                 CAST(l_linenumber AS BIGINT) AS deletions, l_partkey FROM ({LOGGED}) JOIN lineitem ON k = l_orderkey) WHERE l_partkey % 11 <> 0""",
+)
+def commit_files_of_logs(x: Inputs) -> DataFrame:
+    """The changes of the same commits; a line without its three fields takes a place but is no row."""
+    return commit_log.commit_files_of(x.log_records)
+
+
 @query(
     "commits_by_author",
     "SELECT repo, author_email, count(*) AS commits FROM c GROUP BY repo, author_email",
@@ -200,15 +232,16 @@ def churn(x: Inputs) -> DataFrame:
 
 @query(
     "churn_of_large_changes",
-    """, part_impact AS (SELECT repo, path, sum(insertions + deletions) AS v FROM commit_files WHERE insertions > 45 GROUP BY repo, path),
+    """, part_impact AS (SELECT repo, path || CASE WHEN insertions > 45 THEN '#large' ELSE '#small' END AS path, sum(insertions + deletions) AS v FROM commit_files GROUP BY 1, 2),
        m AS (SELECT repo, path, v, avg(v) OVER (PARTITION BY repo) AS m FROM part_impact)
        SELECT repo, count(*) AS files, count(*) FILTER (v > 2 * m) AS high_churn_files, round(any_value(m), 2) AS average_churn
        FROM m GROUP BY repo""",
     "commit_files",
 )
 def churn_of_large_changes(x: Inputs) -> DataFrame:
-    big_changes = x.commit_files.where("insertions > 45")
-    return h.churn(repos_of(x.commits), h.file_impact(big_changes))
+    """Large and small changes of a file apart, so churn is uneven; every change takes part."""
+    size = F.when(F.col("insertions") > 45, "#large").otherwise("#small")
+    return h.churn(repos_of(x.commits), h.file_impact(x.commit_files.withColumn("path", F.concat("path", size))))
 
 
 @query(
@@ -361,6 +394,21 @@ def extended_git_history_report(x: Inputs) -> DataFrame:
     return reports.extended_git_history_report(repos, x.commits, x.commit_files, AS_OF)["summary"]
 
 
+@query(
+    "extended_git_history_authors",
+    """SELECT repo, 'total' AS part, author_email AS key, commits, insertions, deletions FROM contrib
+       UNION ALL SELECT repo, strftime(authored_at, '%Y-%m'), author_email, count(*), NULL, NULL FROM c GROUP BY 1, 2, 3""",
+    "contrib c",
+)
+def extended_git_history_authors(x: Inputs) -> DataFrame:
+    """The authors and author months of the extended report."""
+    report = reports.extended_git_history_report(repos_of(x.commits), x.commits, x.commit_files, AS_OF)
+    none = "bigint(NULL)"
+    months = report["author_months"].selectExpr("repo", "month AS part", "author_email AS key", "commits", f"{none} AS insertions", f"{none} AS deletions")
+    totals = report["authors"].selectExpr("repo", "'total' AS part", "author_email AS key", "commits", "insertions", "deletions")
+    return totals.unionByName(months)
+
+
 @query(
     "commit_activity_report",
     """SELECT repo, 'author' AS part, author_email AS key, count(*) AS commits FROM c GROUP BY repo, author_email

@@ -2,16 +2,19 @@
 
 A repository's history is exported outside Spark, one file per repository, newest commit first::
 
-    git log --numstat --format='%x1e%H|%an|%ae|%at|%s' > <repo>.log
+    git log --numstat --format='%x1e%H|%an|%ae|%at|%s' > <root>/<repo>.log
 
-Each record starts with the byte 0x1E, so a file splits safely across tasks.
+Each record starts with the byte 0x1E, so a file splits safely across tasks. The repository is the path of its file
+below the root without ``.log``: ``a/app.log`` and ``b/app.log`` are two repositories.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from forgelens.functions.sql import exprs
+from forgelens.functions.sql import lit
 
 RECORD_SEPARATOR = "\x1e"
 # Years 1 to 9999; a time outside does not parse.
@@ -52,17 +55,34 @@ def parse_numstat_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def _root_of(path: str) -> str:
+    """The folder that repository names are relative to: of a file or a pattern, the folder above what varies."""
+    parts = path.rstrip("/").split("/")
+    fixed = next((i for i, part in enumerate(parts) if re.search(r"[*?\[{]", part)), len(parts))
+    if fixed == len(parts) and parts[-1].endswith(".log"):
+        fixed -= 1
+    return "/".join(parts[:fixed])
+
+
 def read_log_records(spark: SparkSession, path: str) -> DataFrame:
     """Records ``(repo, block, place, header, body)`` of exported histories.
 
-    Large files are split into blocks; ``block`` and then ``place`` order the records of a file.
+    ``path`` is a folder, searched for ``*.log`` at any depth, a file, or a pattern. Large files are split into blocks;
+    ``block`` (the byte at which it starts) and then ``place`` order the records of a file.
     """
+    root = _root_of(path)
+    # The metadata column holds an encoded URI; a plus sign is no space there.
+    file_path = "url_decode(replace(_metadata.file_path, '+', '%2B'))"
+    below = re.sub("^[a-z0-9]+:/*", "/", root) + "/"
+    name = f"substring({file_path}, locate({lit(below)}, {file_path}) + {len(below)})"
+    reader = spark.read.option("lineSep", RECORD_SEPARATOR)
+    if root == path.rstrip("/"):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log")
     return (
-        spark.read.option("lineSep", RECORD_SEPARATOR)
-        .text(path)
+        reader.text(path)
         .where("value <> ''")
         .selectExpr(
-            "regexp_replace(_metadata.file_name, '[.]log$', '') AS repo",
+            f"regexp_replace({name}, '[.]log$', '') AS repo",
             "_metadata.file_block_start AS block",
             "monotonically_increasing_id() AS place",
             "split(value, '\\r?\\n', 2) AS parts",
@@ -73,27 +93,18 @@ def read_log_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _numbered(parsed: DataFrame) -> DataFrame:
-    """Turn block and place into one ``seq``.
+def commits_of(records: DataFrame) -> DataFrame:
+    """The ``commits`` table, from one reading of the records.
 
-    A block has a bounded size, so commits are numbered inside their block, and a running total
-    over the few blocks of a file gives each its offset.
+    ``seq`` is the start of the record's block plus its place in the block. A record that is not empty takes two bytes at
+    least, so the numbers of a block end before the next block starts: they are unique and follow the file without a
+    count of what comes before. Only headers are moved to number them, never the change lists, and a block has a
+    bounded size.
     """
-    counts = parsed.groupBy("repo", "block").agg(*exprs(n="count(*)"))
-    earlier = (
-        "sum(n) OVER (PARTITION BY repo ORDER BY block "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    )
-    offsets = counts.selectExpr("repo", "block", f"coalesce({earlier}, 0L) AS skipped")
+    headers = parse_log_lines(records.selectExpr("repo", "block", "place", "header AS line"))
+    kept = [c for c in headers.columns if c not in ("repo", "block", "place")]
     inside = "row_number() OVER (PARTITION BY repo, block ORDER BY place)"
-    kept = [c for c in parsed.columns if c not in ("repo", "block", "place")]
-    return parsed.join(offsets, ["repo", "block"]).selectExpr("repo", f"skipped + {inside} AS seq", *kept)
-
-
-def commits_of(records: DataFrame) -> DataFrame:
-    """The ``commits`` table. Only headers are moved to number them, never the change lists."""
-    headers = records.selectExpr("repo", "block", "place", "header AS line")
-    return _numbered(parse_log_lines(headers))
+    return headers.selectExpr("repo", f"block + {inside} - 1 AS seq", *kept)
 
 
 def commit_files_of(records: DataFrame) -> DataFrame:

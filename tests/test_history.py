@@ -76,7 +76,7 @@ def test_log_file_keeps_its_order_across_blocks(spark, tmp_path):
         raw = commit_log.read_log_records(spark, str(tmp_path))
         found = commit_log.commits_of(raw).where("repo = 'alpha'").orderBy("seq").collect()
         assert [r.commit_hash for r in found] == [f"h{i}" for i in range(3000)]
-        assert [r.seq for r in found] == list(range(1, 3001))
+        assert len({r.seq for r in found}) == 3000
         files = commit_log.commit_files_of(raw)
         assert files.where("repo = 'alpha'").count() == 6000
         assert files.where("commit_hash = 'b1'").head().path == "z.py"
@@ -84,6 +84,33 @@ def test_log_file_keeps_its_order_across_blocks(spark, tmp_path):
         spark.conf.set(key, before)
 
 
+def test_repositories_are_paths_below_the_root(spark, tmp_path, rows):
+    for name in ("a/app", "b/app", "b/x y+z%41", "top"):
+        target = tmp_path / "logs" / f"{name}.log"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(f"\x1eh1|n|{name}@x|2|first\n\n1\t2\tf.py\n\x1eh2|n|e@x|1|second\n")
+    (tmp_path / "logs" / "notes.txt").write_text("\x1eno|n|e|1|log\n")
+    root = str(tmp_path / "logs")
+    expected = [(repo, k) for repo in ("a/app", "b/app", "b/x y+z%41", "top") for k in (0, 1)]
+    for path in (root, root + "/", f"file://{root}"):
+        found = commit_log.commits_of(commit_log.read_log_records(spark, path))
+        assert rows(found, "repo", "seq") == expected
+    one_file = commit_log.commits_of(commit_log.read_log_records(spark, f"{root}/a/app.log"))
+    assert rows(one_file, "repo", "commit_hash") == [("app", "h1"), ("app", "h2")]
+    several = commit_log.commit_files_of(commit_log.read_log_records(spark, f"{root}/*/app.log"))
+    assert rows(several, "repo", "path", "deletions") == [("a/app", "f.py", 2), ("b/app", "f.py", 2)]
+
+
+def test_block_numbers_do_not_meet(spark, rows):
+    """Records of the least size fill a block with fewer numbers than it has bytes."""
+    records = spark.createDataFrame(
+        [("r", b, p, f"h{b}-{p}|n|e|{p}|m", "") for b, n in ((0, 40), (4096, 30), (8192, 1)) for p in range(n)],
+        "repo string, block long, place long, header string, body string",
+    )
+    found = rows(commit_log.commits_of(records), "seq", "commit_hash")
+    assert found == sorted([(b + p, f"h{b}-{p}") for b, n in ((0, 40), (4096, 30), (8192, 1)) for p in range(n)], key=repr)
+
+
 def test_small_history(commits, changes, repos, rows):
     c = commits(
         commit("r", 1, message="add new file"), commit("r", 2, message="add second line"), commit("r", 3, message="initial commit")
