@@ -11,73 +11,88 @@ from pyspark.sql import functions as F
 from forgelens.functions import versions
 from forgelens.functions.scores import share
 from forgelens.functions.sql import exprs
+from forgelens.operators.shared import shared
 from forgelens.operators.skew import join_hot
 from forgelens.tables import per_repo
 
 
-def _keyed(occurrences: DataFrame) -> DataFrame:
-    return occurrences.withColumn("dep_key", F.lower("name"))
+def _per_version(occurrences: DataFrame) -> DataFrame:
+    """One row per name and version; NULL stands for all occurrences without one.
+
+    Types and ecosystems are enumerations, so their sets are small. A hot name is spread by its versions.
+    """
+    version = f"CASE WHEN {versions.present('version')} THEN version END"
+    keyed = occurrences.select("repo", *exprs(name="lower(name)", version=version), "dep_type", "source")
+    return keyed.groupBy("repo", "name", "version").agg(
+        *exprs(rows="count(*)", types="array_sort(collect_set(dep_type))", sources="array_sort(collect_set(source))")
+    )
 
 
-def _distinct_versions(occurrences: DataFrame) -> DataFrame:
-    pinned = _keyed(occurrences).where(versions.present("version"))
-    return pinned.selectExpr("repo", "dep_key AS name", "version").distinct()
+def _measures(per_version: DataFrame) -> DataFrame:
+    """All that the conflict kinds compare, one row per name.
+
+    The sets of a name's versions are collected as sets of sets, of which an enumeration has few.
+    """
+    major = f"double(nullif({versions.first_number('version')}, ''))"
+    every = "array_sort(array_distinct(flatten(collect_set({}))))"
+    return per_version.select("*", *exprs(major=major)).groupBy("repo", "name").agg(
+        *exprs(
+            n_versions="count(version)",
+            types=every.format("types"),
+            sources=every.format("sources"),
+            majors="coalesce(sum(rows) FILTER (WHERE major IS NOT NULL), 0L)",
+            high="max(major)",
+            low="min(major)",
+        )
+    )
+
+
+def conflict_measures(occurrences: DataFrame) -> DataFrame:
+    """``(repo, name, n_versions, types, sources, majors, high, low)``, from one reading of the occurrences."""
+    return _measures(_per_version(occurrences))
 
 
 def version_conflicts(occurrences: DataFrame) -> DataFrame:
     """Names with several versions: ``(repo, name, n_versions)``."""
-    counts = _distinct_versions(occurrences).groupBy("repo", "name")
-    return counts.agg(*exprs(n_versions="count(*)")).where("n_versions > 1")
+    return conflict_measures(occurrences).where("n_versions > 1").select("repo", "name", "n_versions")
 
 
 def conflicting_versions(occurrences: DataFrame) -> DataFrame:
     """The versions of each version conflict, one row each; a name may have any number."""
-    found = version_conflicts(occurrences)
-    return join_hot(_distinct_versions(occurrences), found, ["repo", "name"], ["version"], ways=8)
-
-
-def _several(occurrences: DataFrame, column: str, values: str) -> DataFrame:
-    """Names with several values of an enumeration, so the collected set is small."""
-    collected = _keyed(occurrences).groupBy("repo", "dep_key")
-    collected = collected.agg(F.expr(f"array_sort(collect_set({column})) AS {values}"))
-    return collected.where(f"size({values}) > 1").withColumnRenamed("dep_key", "name")
+    per_version = shared(_per_version(occurrences))
+    found = _measures(per_version).where("n_versions > 1").select("repo", "name", "n_versions")
+    listed = per_version.where("version IS NOT NULL").select("repo", "name", "version")
+    return join_hot(listed, found, ["repo", "name"], ["version"], ways=8)
 
 
 def type_conflicts(occurrences: DataFrame) -> DataFrame:
-    return _several(occurrences, "dep_type", "types")
+    return conflict_measures(occurrences).where("size(types) > 1").select("repo", "name", "types")
 
 
 def ecosystem_shadowing(occurrences: DataFrame) -> DataFrame:
-    shadowed = _several(occurrences, "source", "sources")
+    shadowed = conflict_measures(occurrences).where("size(sources) > 1").select("repo", "name", "sources")
     return shadowed.withColumn("count", F.expr("bigint(size(sources))"))
 
 
 def version_divergence(occurrences: DataFrame) -> DataFrame:
     """Spread of the major versions of a name, relative to the largest; 0.0 when all are zero."""
-    major = f"double(nullif({versions.first_number('version')}, ''))"
-    spread = (
-        _keyed(occurrences)
-        .where(versions.present("version"))
-        .selectExpr("repo", "dep_key AS name", f"{major} AS major")
-        .groupBy("repo", "name")
-        .agg(*exprs(majors="count(major)", high="max(major)", low="min(major)"))
-    )
     divergence = exprs(divergence=share("high - low", "high"))
-    return spread.where("majors > 1").select("repo", "name", *divergence)
+    return conflict_measures(occurrences).where("majors > 1").select("repo", "name", *divergence)
 
 
-def conflicts(occurrences: DataFrame) -> DataFrame:
-    """All conflicts with their number of differing values."""
+# The kinds of conflicts, each with the measure that must exceed one.
+KINDS = {
+    "version_conflict": "n_versions",
+    "dependency_type_conflict": "bigint(size(types))",
+    "ecosystem_shadowing": "bigint(size(sources))",
+}
 
-    def rows(found: DataFrame, kind: str, size: str) -> DataFrame:
-        return found.selectExpr(
-            "repo", "name", f"'{kind}' AS conflict_type", f"bigint({size}) AS n_values"
-        )
 
-    version = rows(version_conflicts(occurrences), "version_conflict", "n_versions")
-    types = rows(type_conflicts(occurrences), "dependency_type_conflict", "size(types)")
-    shadow = rows(ecosystem_shadowing(occurrences), "ecosystem_shadowing", "size(sources)")
-    return version.unionByName(types).unionByName(shadow)
+def conflicts(occurrences: DataFrame) -> DataFrame:
+    """All conflicts with their number of differing values."""
+    kinds = ", ".join(f"struct('{kind}' AS conflict_type, {size} AS n_values)" for kind, size in KINDS.items())
+    unpivoted = conflict_measures(occurrences).selectExpr("repo", "name", f"inline(filter(array({kinds}), k -> k.n_values > 1))")
+    return unpivoted.select("repo", "name", "conflict_type", "n_values")
 
 
 def conflict_report(repos: DataFrame, occurrences: DataFrame) -> dict[str, DataFrame]:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.functions import versions
 from forgelens.functions.sql import array_of, exprs, in_list, lit, map_of, present_only
+from forgelens.operators.shared import shared
 from forgelens.tables import DEPENDENCY_TYPES, per_repo
 
 # License of name prefixes, in rule order, and the restrictive licenses.
@@ -23,7 +24,7 @@ TOOLING_TYPES = ("development", "build")
 # Merge
 
 
-def _merge_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
+def _merge_in_order(rows: DataFrame, key: str, order: str, more: Sequence[Column] = ()) -> DataFrame:
     """Reduce the rows of a key to one: the first seen wins, gaps are filled from later rows.
 
     The version comes from the first row that has one and the type from the first row whose type
@@ -37,8 +38,10 @@ def _merge_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
             versioned=f"min(CASE WHEN {has_version} THEN struct({order} AS at, version) END)",
             typed=f"min(CASE WHEN dep_type <> 'unknown' THEN struct({order} AS at, dep_type) END)",
             ord=f"min({order})",
-        )
+        ),
+        *more,
     )
+    carried = [c for c in merged.columns if c not in ("repo", key, "first", "versioned", "typed", "ord")]
     return merged.select(
         "repo",
         *([key] if key != "name" else []),
@@ -49,6 +52,7 @@ def _merge_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
             dep_type="coalesce(typed.dep_type, first.dep_type)",
         ),
         "ord",
+        *carried,
     )
 
 
@@ -66,10 +70,26 @@ def entries_per_manifest(occurrences: DataFrame) -> DataFrame:
     )
 
 
+def merge_entries(entries: DataFrame) -> DataFrame:
+    """Merge manifests in file order, by the name as spelled; one row per name and manifest comes in."""
+    return _merge_in_order(entries, "name", "struct(file_seq, entry_seq)")
+
+
 def merge_dependencies(occurrences: DataFrame) -> DataFrame:
-    """Merge manifests in file order, by the name as spelled."""
-    order = "struct(file_seq, entry_seq)"
-    return _merge_in_order(entries_per_manifest(occurrences), "name", order)
+    """The same for dependency rows as they stand in the manifests."""
+    return merge_entries(entries_per_manifest(occurrences))
+
+
+def merge_with_sources(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged dependencies and the ecosystems of each repository, from one shuffle of the entries.
+
+    ``entries`` also has ``failed``, and a row without a name for manifests without entries. The ecosystems of the
+    manifests that parsed (seven at most) travel with the rows of each name.
+    """
+    parsed_sources = exprs(sources="array_sort(collect_set(CASE WHEN NOT failed THEN source END))")
+    rows = shared(_merge_in_order(entries, "name", "struct(file_seq, entry_seq)", parsed_sources))
+    found = rows.groupBy("repo").agg(F.expr("array_sort(array_distinct(flatten(collect_set(sources))))").alias("sources_detected"))
+    return rows.where("name IS NOT NULL").drop("sources"), found.where("size(sources_detected) > 0")
 
 
 def deduplicate(merged: DataFrame) -> DataFrame:

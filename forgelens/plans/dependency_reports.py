@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from forgelens.operators import dependencies as d
 from forgelens.operators import graph
-from forgelens.operators.staging import staged
 from forgelens.sources import manifests as m
 
 
@@ -40,12 +39,13 @@ def repository_dependency_report(
 ) -> dict[str, DataFrame]:
     """The report from file tables: discover, parse, merge, enrich, summarise.
 
-    The parsed manifests are staged: dependencies and detected sources both read them, and the
-    contents of the file table are read once.
+    Each of its frames is one lazily planned reading of the contents: entries are folded in the manifest that holds them,
+    and dependencies and ecosystems come from the same shuffle.
     """
-    parsed = staged(m.parse_manifests(m.discover_manifests(files)))
-    occurrences = m.occurrences_of(parsed)
-    return dependency_report(repos, occurrences, m.detected_sources(parsed), license_rules)
+    entries = m.merged_entries_of(m.parse_manifests(m.discover_manifests(files)))
+    merged, sources = d.merge_with_sources(entries)
+    deps = d.enrich(d.deduplicate(merged), license_rules)
+    return {"summary": health_summary(repos, deps, sources), "dependencies": deps}
 
 
 def graph_report(repos: DataFrame, deps: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:

@@ -237,24 +237,42 @@ def detected_sources(x: Inputs) -> DataFrame:
     return joined(m.detected_sources(m.parse_manifests(rows)), "sources_detected")
 
 
+# One manifest per part row, of the seven formats in turn. Some name a package twice: the later entry counts.
+FORMATS = {
+    "requirements.txt": "{name}==9.9\n{name}=={v}\n",
+    "setup.cfg": "[metadata]\n{name} = {v}\n",
+    "go.mod": "require {name} {v}\n",
+    "package.json": '{"dependencies": {"{name}": "7.7"}, "devDependencies": {"{name}": "^{v}"}}',
+    "composer.json": '{"require": {"{name}": "{v}"}}',
+    "pyproject.toml": '[project]\ndependencies = ["{name}==8.8", "{name}=={v}"]\n',
+    "Cargo.toml": '[dependencies]\n{name} = "{v}"\n',
+}
+
+
 @query(
     "repository_dependency_report",
-    f"""WITH p AS ({PART}), e AS (SELECT repo, k, name, v FROM p WHERE k % 2 = 0),
-        first AS (SELECT repo, lower(name) AS key, arg_min(v, k) AS v FROM e GROUP BY repo, lower(name))
+    f"""WITH p AS ({PART}), e AS (SELECT repo, k, name, v FROM p WHERE NOT (k % 7 = 3 AND k % 10 = 9)),
+        first AS (SELECT repo, lower(name) AS key, arg_min(v, k) AS v FROM e GROUP BY repo, lower(name)),
+        seen AS (SELECT repo, string_agg(DISTINCT s, ',' ORDER BY s) AS sources_detected FROM (SELECT repo, CASE k % 7 WHEN 2 THEN 'go' WHEN 3 THEN 'javascript'
+          WHEN 4 THEN 'php' WHEN 6 THEN 'rust' ELSE 'python' END AS s FROM e) GROUP BY repo)
         SELECT repo, count(*) AS total, count(*) FILTER (starts_with(v, '0.')) AS vulnerable,
                count(*) FILTER (starts_with(v, '0.')) AS outdated,
                greatest(0.0, round(1.0 - (count(*) FILTER (starts_with(v, '0.')) / CAST(count(*) AS DOUBLE) * 0.6e0
                  + count(*) FILTER (starts_with(v, '0.')) / CAST(count(*) AS DOUBLE) * 0.4e0), 3)) AS health_score,
-               'javascript,python' AS sources_detected FROM first GROUP BY repo""",
+               any_value(sources_detected) AS sources_detected FROM first JOIN seen USING (repo) GROUP BY repo""",
 )
 def repository_dependency_report(x: Inputs) -> DataFrame:
-    """From file tables: every second manifest is a requirements file, the rest are lock files."""
-    even = F.col("p_partkey") % 2 == 0
-    name = F.when(even, "requirements.txt").otherwise("yarn.lock")
+    """From file tables of all formats that are parsed; some package files are damaged."""
+    kind = F.col("p_partkey") % 7
+    name, text = F.lit(""), F.lit("")
+    for number, (file_name, template) in enumerate(FORMATS.items()):
+        name = F.when(kind == number, file_name).otherwise(name)
+        text = F.when(kind == number, part_text(template)).otherwise(text)
+    text = F.when((kind == 3) & (F.col("p_partkey") % 10 == 9), "{bad").otherwise(text)
     files = x.table("part").select(
         F.col("p_type").alias("repo"),
         F.concat(F.format_string("d%012d/", "p_partkey"), name).alias("path"),
-        part_text("{name}=={v}\n").cast("binary").alias("content"),
+        text.cast("binary").alias("content"),
         F.lit(None).cast("string").alias("error"),
     )
     report = reports.repository_dependency_report(repos_of(files), files)["summary"]

@@ -235,6 +235,33 @@ def parse_manifests(manifests: DataFrame) -> DataFrame:
     )
 
 
+def folded(entries: str, payload: tuple[str, ...] = ("version", "dep_type")) -> str:
+    """One entry per name, as a dictionary would hold them: the last entry's payload at the first entry's place.
+
+    The entries of a manifest are sorted by name and place, so that runs of a name stand together, and each run gives its
+    first place and its last payload. The result is in order of those places, as ``at``.
+    """
+    values = ", ".join(f"e.{c} AS {c}" for c in payload)
+    ordered = f"array_sort(transform({entries}, (e, i) -> struct(e.name AS name, i AS at, {values})))"
+    firsts = "filter(s, (e, i) -> i = 0 OR s[i - 1].name <> e.name)"
+    lasts = "filter(s, (e, i) -> i = size(s) - 1 OR s[i + 1].name <> e.name)"
+    kept = ", ".join(f"l.{c} AS {c}" for c in payload)
+    merged = f"array_sort(zip_with({firsts}, {lasts}, (f, l) -> struct(f.at AS at, l.name AS name, {kept})))"
+    return f"transform(array({ordered}), s -> {merged})[0]"
+
+
+def merged_entries_of(parsed: DataFrame) -> DataFrame:
+    """One row per name and manifest, and one without a name for a manifest that has none: ``failed`` and ``source``
+    of every manifest reach whoever reads the rows, so dependencies and ecosystems come from one frame.
+    """
+    fold = folded("entries")
+    exploded = parsed.selectExpr("repo", "file_seq", "source", "failed", f"explode_outer({fold}) AS e")
+    return exploded.selectExpr(
+        "repo", "file_seq", "e.at AS entry_seq", "e.name AS name", "e.version AS version", "source",
+        "e.dep_type AS dep_type", "failed",
+    )
+
+
 def occurrences_of(parsed: DataFrame) -> DataFrame:
     """One row per dependency entry of the manifests that parsed; the others have no entries.
 
