@@ -47,22 +47,41 @@ def lines(text: str) -> str:
     return f"{marked}[0]"
 
 
-def is_binary(content: str, sample_bytes: int = BINARY_PROBE_BYTES) -> str:
-    """A NUL byte in the first bytes. Missing content is not binary."""
-    return f"coalesce(contains(substring({content}, 1, {sample_bytes}), X'00'), false)"
+def is_binary(content: str, sample_bytes: int | None = BINARY_PROBE_BYTES) -> str:
+    """A NUL byte in the first bytes, or anywhere for ``None``. Missing content is not binary."""
+    sample = content if sample_bytes is None else f"substring({content}, 1, {sample_bytes})"
+    return f"coalesce(contains({sample}, X'00'), false)"
+
+
+# Stands before a letter that says what was there: itself, or a replacement character that the text really holds.
+_MARK = "\x01"
 
 
 def decode_lenient(content: str) -> str:
-    """UTF-8 text without the undecodable bytes; missing content gives the empty string."""
+    """UTF-8 text without the undecodable bytes; missing content gives the empty string.
+
+    Spark puts a replacement character in place of undecodable bytes. Those that stand in the text as they are get a name
+    of their own before, and their place back after the others were removed.
+    """
     raw = f"cast({content} AS string)"
-    cleaned = f"replace(make_valid_utf8({raw}), '\ufffd', '')"
-    return f"coalesce(if(is_valid_utf8({raw}), {raw}, {cleaned}), '')"
+    named = f"replace(replace({raw}, {lit(_MARK)}, {lit(_MARK + 'm')}), '\ufffd', {lit(_MARK + 'r')})"
+    cleaned = f"replace(make_valid_utf8({named}), '\ufffd', '')"
+    restored = f"replace(replace({cleaned}, {lit(_MARK + 'r')}, '\ufffd'), {lit(_MARK + 'm')}, {lit(_MARK)})"
+    return f"coalesce(if(is_valid_utf8({raw}), {raw}, {restored}), '')"
+
+
+def read_text(content: str) -> str:
+    """Lenient text of a whole file as a text reader gives it: every line end is a line feed.
+
+    Line counts do not need it, as they take all line ends alike.
+    """
+    return f"replace(replace({decode_lenient(content)}, '\\r\\n', '\\n'), '\\r', '\\n')"
 
 
-def safe_text(content: str, max_bytes: int | None = None) -> str:
-    """Lenient text of a file, empty for binary files; optionally of its first bytes only."""
-    body = content if max_bytes is None else f"substring({content}, 1, {max_bytes})"
-    return f"if({is_binary(content)}, '', {decode_lenient(body)})"
+def safe_text(content: str, max_bytes: int | None = None, sample_bytes: int | None = BINARY_PROBE_BYTES) -> str:
+    """Text of a file, empty for binary files; optionally of its first bytes, whose line ends stay as they are."""
+    body = read_text(content) if max_bytes is None else decode_lenient(f"substring({content}, 1, {max_bytes})")
+    return f"if({is_binary(content, sample_bytes)}, '', {body})"
 
 
 _HASHES = {"md5": "md5({})", "sha1": "sha1({})"}

@@ -21,13 +21,10 @@ LOC_SUFFIXES = (".py", ".js", ".ts", ".java", ".go", ".rs", ".cpp", ".c", ".h")
 COMMENT_PREFIXES = {".py": "#", ".js": "//", ".ts": "//", ".java": "//"}
 
 
-def classify_files(files: DataFrame) -> DataFrame:
+def classify_files(files: DataFrame, sample_bytes: int | None = text.BINARY_PROBE_BYTES) -> DataFrame:
     """Add ``language`` and ``category``; only the binary probe looks at the content."""
-    return files.withColumns(
-        expr_map(
-            {"language": paths.language(), "category": paths.category(text.is_binary("content"))}
-        )
-    )
+    binary = text.is_binary("content", sample_bytes)
+    return files.withColumns(expr_map({"language": paths.language(), "category": paths.category(binary)}))
 
 
 def _with_pieces(files: DataFrame, content_text: str) -> DataFrame:
@@ -44,7 +41,9 @@ LINE_COUNTS = {
 
 def count_file_lines(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Add line counts of the safe text: none for binary or missing content."""
-    pieces = _with_pieces(files, text.safe_text("content", max_bytes))
+    body = "content" if max_bytes is None else f"substring(content, 1, {max_bytes})"
+    safe = f"if({text.is_binary('content')}, '', {text.decode_lenient(body)})"
+    pieces = _with_pieces(files, safe)
     totals = expr_map({k: LINE_COUNTS[k] for k in ("total_lines", "blank_lines")})
     counted = pieces.withColumns(totals).drop("_pieces")
     return counted.withColumn("non_blank_lines", F.expr("total_lines - blank_lines"))
@@ -411,6 +410,56 @@ def directory_size(repos: DataFrame, files: DataFrame) -> DataFrame:
     return per_repo(repos, total, zeros={"total_size_bytes": 0})
 
 
+# Fixed value: the sums of lines that a content pass gives.
+LINE_SUMS = ("total_lines", "blank_lines", "non_blank_lines")
+
+
+def summary_counts(files: DataFrame, exclude_dirs: Iterable[str] = (), with_lines: bool = True) -> DataFrame:
+    """Counts and sums of the listed files by language, category, depth and extra exclusion.
+
+    One projection looks at each content; what leaves it is a small table from which several reports are folded. The
+    table is shared, so a plan that uses more than one of them reads the contents once.
+    """
+    extra = list(exclude_dirs)
+    classified = classify_files(listed(files))
+    features = count_file_lines(classified) if with_lines else classified
+    keys = exprs(is_excluded=paths.in_excluded_dir("path", extra) if extra else "false", depth=f"int({paths.depth()})")
+    sums = {"files": "count(*)", "size_bytes": "sum(size_bytes)"}
+    if with_lines:
+        sums |= {c: f"sum({c})" for c in LINE_SUMS}
+    return shared(features.groupBy("repo", "language", "category", *keys).agg(*exprs(**sums)))
+
+
+def summary_parts(repos: DataFrame, counts: DataFrame) -> dict[str, DataFrame]:
+    """Size, languages, categories and, where they were counted, lines, each folded from the shared counts.
+
+    Extra exclusions do not reach the size.
+    """
+    kept = counts.where("NOT is_excluded")
+
+    def files_by(key: str) -> DataFrame:
+        return kept.where(f"{key} IS NOT NULL").groupBy("repo", key).agg(F.sum("files").alias("files"))
+
+    size = counts.groupBy("repo").agg(F.sum("size_bytes").alias("total_size_bytes"))
+    parts = {
+        "size": per_repo(repos, size, zeros={"total_size_bytes": 0}),
+        "languages": files_by("language"),
+        "categories": files_by("category"),
+    }
+    if "total_lines" in counts.columns:
+        sums = {**{c: f"sum({c})" for c in LINE_SUMS}, "files_counted": "sum(files)"}
+        parts["lines"] = per_repo(repos, kept.groupBy("repo").agg(*exprs(**sums)), zeros=dict.fromkeys(sums, 0))
+    return parts
+
+
+def depths_of(counts: DataFrame, dirs: DataFrame) -> DataFrame:
+    """Entries per depth from the shared counts, directories included."""
+    both = counts.select("repo", "depth", F.col("files").alias("n")).unionByName(
+        listed_dirs(dirs).selectExpr("repo", "depth", "1L AS n")
+    )
+    return both.groupBy("repo", "depth").agg(F.sum("n").alias("entries"))
+
+
 def extension_histogram(files: DataFrame) -> DataFrame:
     named = exprs(extension=f"coalesce(nullif({paths.suffix()}, ''), '<none>')")
     return files.groupBy("repo", *named).agg(F.count("*").alias("files"))

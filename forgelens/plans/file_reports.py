@@ -57,21 +57,26 @@ def detailed_scan_report(
 def quick_repository_summary(
     repos: DataFrame, files: DataFrame, exclude_dirs: Iterable[str] = ()
 ) -> dict[str, DataFrame]:
-    return {
-        "size": f.directory_size(repos, files),
-        "languages": f.files_per_language(files, exclude_dirs),
-        "categories": f.files_per_category(files, exclude_dirs),
-    }
+    return f.summary_parts(repos, f.summary_counts(files, exclude_dirs, with_lines=False))
 
 
 def repository_summary(
     repos: DataFrame, files: DataFrame, dirs: DataFrame, exclude_dirs: Iterable[str] = ()
 ) -> dict[str, DataFrame]:
-    """Extra exclusions reach the language, category and line counts only."""
+    """Extra exclusions reach the language, category and line counts only. All parts come from one pass over contents."""
+    counts = f.summary_counts(files, exclude_dirs)
+    return {**f.summary_parts(repos, counts), "depths": f.depths_of(counts, dirs)}
+
+
+def engine_summary(
+    repos: DataFrame, files: DataFrame, dirs: DataFrame, max_entries: int = 100_000
+) -> dict[str, DataFrame]:
+    """Entry count, directory names, extensions and findings of the whole tree, nothing excluded."""
     return {
-        **quick_repository_summary(repos, files, exclude_dirs),
-        "depths": f.depth_histogram(files, dirs),
-        "lines": f.repository_lines(repos, files, exclude_dirs),
+        "entries": f.entry_counts(repos, files, dirs),
+        "directories": f.directory_names(dirs),
+        "extensions": f.extension_histogram(files),
+        "findings": f.structure_findings(repos, files, dirs, max_entries),
     }
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from forgelens.functions import scores
 from forgelens.functions.sql import exprs, lit
 from forgelens.operators import metrics as m
+from forgelens.operators.files import ScanLimits
+from forgelens.plans.file_reports import detailed_scan_report, quick_scan_report
 
 SECTIONS = ("structure", "activity", "quality")
 
@@ -53,6 +55,30 @@ def full_evaluation(metrics: DataFrame, preset: str = "relaxed") -> DataFrame:
     return metrics_report(metrics, preset).select("*", *exprs(**evaluation_columns()))
 
 
+#: Depth up to which the raw detailed scan goes.
+RAW_DEPTH = 10
+RAW_ERRORS = 100
+
+
+def metrics_with_raw(
+    repos: DataFrame,
+    files: DataFrame,
+    dirs: DataFrame,
+    commits: DataFrame,
+    commit_files: DataFrame,
+    as_of: datetime,
+    max_commits: int | None = None,
+    include_raw: bool = False,
+) -> dict[str, DataFrame]:
+    """The metrics and, on request, the scans beside them: the quick one, and the frames of the detailed one."""
+    found = {"metrics": m.repository_metrics(repos, files, commits, commit_files, as_of, max_commits)}
+    if include_raw:
+        detailed = detailed_scan_report(repos, files, dirs, ScanLimits(max_depth=RAW_DEPTH), max_errors=RAW_ERRORS)
+        found["filesystem_quick"] = quick_scan_report(repos, files, dirs)
+        found |= {f"filesystem_detailed_{part}": frame for part, frame in detailed.items()}
+    return found
+
+
 def analyze_repositories(
     repos: DataFrame,
     files: DataFrame,

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from forgelens.functions import paths
 from forgelens.functions.sql import array_of, exprs
-from forgelens.functions.text import content_hash, decode_lenient, is_binary, safe_text
+from forgelens.functions.text import content_hash, is_binary, read_text, safe_text
 from forgelens.operators import analyzers as an
 from forgelens.operators import files as f
 from forgelens.operators import loc
 from forgelens.plans import file_reports as reports
-from forgelens.queries.common import DIR_NAMES, LINE_BREAKS, query
+from forgelens.queries.common import DIR_NAMES, LINE_BREAKS, PY_SPACE, query
 from forgelens.sources import ignore_rules, manifests
 from forgelens.sources.adapters import Inputs
 from forgelens.sources.json_sink import as_json
@@ -168,38 +168,80 @@ def detailed_scan_directories(x: Inputs) -> DataFrame:
     return reports.detailed_scan_report(file_repos(x), x.files, dirs(x))["directories"]
 
 
+GOOD_ENTRIES = "NOT excluded AND NOT is_symlink AND seq % 10 <> 3 AND seq % 9 <> 4"
+
+
+@query(
+    "detailed_scan_summary",
+    f"""SELECT repo, count(*) FILTER ({GOOD_ENTRIES}) AS total_files, any_value(coalesce(n, 0)) AS total_directories,
+              CAST(coalesce(sum(size_bytes) FILTER ({GOOD_ENTRIES}), 0) AS BIGINT) AS total_size_bytes,
+              count(*) FILTER (NOT excluded AND seq % 9 = 4) AS errors_count
+       FROM lined LEFT JOIN (SELECT repo, count(*) AS n FROM listed_dirs GROUP BY repo) USING (repo) GROUP BY repo""",
+    "lined listed_dirs",
+)
+def detailed_scan_summary(x: Inputs) -> DataFrame:
+    return reports.detailed_scan_report(file_repos(x), with_errors(x.files), dirs(x), max_errors=100)["summary"]
+
+
+@query(
+    "detailed_scan_files",
+    f"SELECT repo, seq, path, size_bytes, is_symlink, is_executable FROM lined WHERE {GOOD_ENTRIES}",
+    "lined",
+)
+def detailed_scan_files(x: Inputs) -> DataFrame:
+    report = reports.detailed_scan_report(file_repos(x), with_errors(x.files), dirs(x))
+    return report["files"].drop("last_modified")
+
+
+@query(
+    "detailed_scan_errors",
+    """SELECT repo, seq, path, 'cannot stat ' || path AS error FROM
+       (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS rn FROM lined WHERE NOT excluded AND seq % 9 = 4) WHERE rn <= 100""",
+    "lined",
+)
+def detailed_scan_errors(x: Inputs) -> DataFrame:
+    return reports.detailed_scan_report(file_repos(x), with_errors(x.files), dirs(x), max_errors=100)["errors"]
+
+
 # Text, lines and hashes
 
+def damaged(x: Inputs) -> DataFrame:
+    """Every file with bytes that are no UTF-8 for each ``z`` and a genuine replacement character for each ``q``."""
+    text = "replace(replace(cast(content AS string), 'q', '\ufffd'), 'z', cast(X'FF' AS string))"
+    return x.files.selectExpr("repo", "path", f"cast({text} AS binary) AS content")
+
+
+GENUINE = "replace(text, 'q', chr(65533))"
+READ = f"replace(replace(replace({GENUINE}, 'z', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
 @query(
     "safe_text",
-    """SELECT repo, path, CASE WHEN is_binary THEN 0 ELSE length(text) END AS characters,
-              md5(CASE WHEN is_binary THEN '' ELSE text END) AS digest, length(text) AS unguarded_characters FROM lined""",
+    f"""SELECT repo, path, length(CASE WHEN is_binary THEN '' ELSE whole END) AS characters, md5(CASE WHEN is_binary THEN '' ELSE whole END) AS digest,
+               length(whole) AS unguarded_characters, md5(whole) AS unguarded_digest FROM (SELECT *, {READ} AS whole FROM lined)""",
     "lined",
 )
 def safe_text_of_files(x: Inputs) -> DataFrame:
-    texts = x.files.select(
-        "repo", "path", *exprs(guarded=safe_text("content"), plain=decode_lenient("content"))
-    )
+    texts = damaged(x).select("repo", "path", *exprs(guarded=safe_text("content"), plain=read_text("content")))
     return texts.selectExpr(
         "repo",
         "path",
         "bigint(length(guarded)) AS characters",
         "md5(guarded) AS digest",
         "bigint(length(plain)) AS unguarded_characters",
+        "md5(plain) AS unguarded_digest",
     )
 
 
 @query(
     "safe_text_of_first_bytes",
-    """SELECT repo, path, length(CASE WHEN contains(left(ascii_text, 1024), chr(0)) THEN '' ELSE left(ascii_text, 200) END) AS characters,
-              md5(CASE WHEN contains(left(ascii_text, 1024), chr(0)) THEN '' ELSE left(ascii_text, 200) END) AS digest
-       FROM (SELECT repo, path, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS ascii_text FROM files)""",
-    "files",
+    f"""SELECT repo, path, length(part) AS characters, md5(part) AS digest FROM
+        (SELECT repo, path, CASE WHEN is_binary THEN '' ELSE replace(left(genuine, len(list_filter(range(1, 201), lambda i: strlen(left(genuine, i)) <= 200))), 'z', '') END AS part
+         FROM (SELECT *, {GENUINE} AS genuine FROM lined))""",
+    "lined",
 )
 def safe_text_of_first_bytes(x: Inputs) -> DataFrame:
-    ascii_text = F.regexp_replace(F.col("content").cast("string"), r"[^\x00-\x7F]", "")
-    files = x.files.select("repo", "path", ascii_text.cast("binary").alias("content"))
-    texts = files.select("repo", "path", *exprs(text=safe_text("content", 200)))
+    texts = damaged(x).select("repo", "path", *exprs(text=safe_text("content", 200)))
     return texts.selectExpr("repo", "path", "bigint(length(text)) AS characters", "md5(text) AS digest")
 
 
@@ -241,6 +283,11 @@ def loc_report(x: Inputs) -> DataFrame:
     return loc.loc_report(file_repos(x), x.files)["summary"]
 
 
+@query("loc_report_files", "SELECT repo, path, total_lines, code_lines, blank_lines, comment_lines FROM loc", "loc")
+def loc_report_files(x: Inputs) -> DataFrame:
+    return loc.loc_report(file_repos(x), x.files)["files"]
+
+
 @query(
     "loc_totals",
     """SELECT repo, CAST(coalesce(sum(code_lines), 0) AS BIGINT) AS code_lines,
@@ -286,6 +333,20 @@ def branch_tokens(x: Inputs) -> DataFrame:
 
 # Classification
 
+@query(
+    "files_classified_by_whole_content",
+    """SELECT repo, path, CASE WHEN seq % 5 = 0 THEN 'binary' ELSE category END AS category,
+              CASE WHEN seq % 5 = 0 OR is_binary THEN 0 ELSE length(text) END AS bytes FROM (SELECT *, seq FROM fx)""",
+    "fx",
+)
+def files_classified_by_whole_content(x: Inputs) -> DataFrame:
+    """A NUL behind the usual probe makes a file binary where the whole content is looked at."""
+    late = x.files.withColumn("content", F.expr("if(seq % 5 = 0, content || X'00', content)"))
+    found = f.classify_files(late, sample_bytes=None)
+    unread = safe_text("content", sample_bytes=None)
+    return found.select("repo", "path", "category", *exprs(bytes=f"bigint(if({unread} = '', 0, length(cast(content AS string))))"))
+
+
 @query("classified_files", "SELECT repo, path, language, category FROM fx", "fx")
 def classified_files(x: Inputs) -> DataFrame:
     return f.classify_files(x.files).select("repo", "path", "language", "category")
@@ -472,7 +533,7 @@ def directory_names(x: Inputs) -> DataFrame:
     "structure_findings",
     """, n AS (SELECT repo, count(*) AS n FROM (SELECT repo, path AS d FROM root_files UNION ALL
                SELECT DISTINCT repo, d FROM (SELECT repo, unnest(CASE WHEN path LIKE '.github%' THEN ['.github', '.github/workflows']
-                 WHEN path LIKE 'src/%' THEN ['src'] WHEN path LIKE 'tests/%' THEN ['tests'] ELSE [] END) AS d FROM root_files)) GROUP BY repo)
+                 WHEN path LIKE 'src/%' THEN ['src'] WHEN path LIKE 'tests/%' THEN ['tests'] WHEN path LIKE 'other/%' THEN ['other'] ELSE [] END) AS d FROM root_files)) GROUP BY repo)
        SELECT repo, 'Repository contains ' || n || ' files (limit: 14)' AS message, 'high' AS severity, 'size_check' AS source FROM n WHERE n > 14
        UNION ALL SELECT repo, 'No tests directory detected', 'medium', 'structure_scan' FROM root_repos
          WHERE repo NOT IN (SELECT repo FROM root_files WHERE path LIKE 'tests/%')
@@ -485,6 +546,30 @@ def structure_findings(x: Inputs) -> DataFrame:
     return f.structure_findings(repos_of(files), files, f.derive_dirs(files), max_entries=14)
 
 
+@query(
+    "engine_summary",
+    """SELECT repo, 'entries' AS part, '' AS key, CAST(count(*) AS VARCHAR) AS value FROM (SELECT repo FROM root_files UNION ALL
+         SELECT repo FROM (SELECT DISTINCT repo, unnest(CASE WHEN path LIKE '.github/%' THEN ['.github', '.github/workflows'] WHEN contains(path, '/') THEN
+           [split_part(path, '/', 1)] ELSE [] END) AS d FROM root_files)) GROUP BY repo
+       UNION ALL SELECT DISTINCT repo, 'directory', unnest(CASE WHEN path LIKE '.github/%' THEN ['.github', 'workflows'] WHEN contains(path, '/') THEN
+           [split_part(path, '/', 1)] ELSE [] END), '' FROM root_files
+       UNION ALL SELECT repo, 'extension', ext, CAST(count(*) AS VARCHAR) FROM (SELECT repo, CASE WHEN regexp_matches(path, '[^/]\.[^./]+$')
+           THEN lower(regexp_extract(path, '(\.[^./]+)$', 1)) ELSE '<none>' END AS ext FROM root_files) GROUP BY repo, ext
+       UNION ALL SELECT repo, 'finding', 'No tests directory detected', 'medium' FROM root_repos WHERE repo NOT IN (SELECT repo FROM root_files WHERE path LIKE 'tests/%')
+       UNION ALL SELECT repo, 'finding', 'No CI configuration detected', 'low' FROM root_repos WHERE repo NOT IN (SELECT repo FROM root_files WHERE path LIKE '.github/%')""",
+    "root_files root_repos",
+)
+def engine_summary(x: Inputs) -> DataFrame:
+    files = x.root_files
+    parts = reports.engine_summary(repos_of(files), files, f.derive_dirs(files))
+    return (
+        parts["entries"].selectExpr("repo", "'entries' AS part", "'' AS key", "string(file_count) AS value")
+        .unionByName(parts["directories"].selectExpr("repo", "'directory' AS part", "name AS key", "'' AS value"))
+        .unionByName(parts["extensions"].selectExpr("repo", "'extension' AS part", "extension AS key", "string(files) AS value"))
+        .unionByName(parts["findings"].selectExpr("repo", "'finding' AS part", "message AS key", "severity AS value"))
+    )
+
+
 # Ignore rules
 
 RULE_LINE = """CASE doc_id % 8 WHEN 0 THEN '*.py' WHEN 1 THEN 'docs/f' || CAST(doc_id AS STRING) || '*' WHEN 2 THEN '# note'
@@ -509,6 +594,8 @@ def ignore_rule_rows(x: Inputs) -> DataFrame:
     return rules(x)
 
 
+STARRED = "replace(replace(cast(content AS string), 'e\\n', '*\\n'), '\\na', '\\n*')"
+STARRED_SQL = "replace(replace(text, 'e' || chr(10), '*' || chr(10)), chr(10) || 'a', chr(10) || '*')"
 IGNORED = """EXISTS (SELECT 1 FROM rules r WHERE r.repo = n.repo AND CASE kind WHEN 'prefix' THEN starts_with(n.path, r.pattern)
   WHEN 'suffix' THEN ends_with(n.path, r.pattern) ELSE contains(n.path, r.pattern) END)"""
 
@@ -518,15 +605,20 @@ def files_not_ignored(x: Inputs) -> DataFrame:
     return f.drop_ignored(x.files.select("repo", "path"), rules(x))
 
 
+KINDS = """CASE WHEN starts_with(line, '*') AND length(line) > 1 THEN 'suffix' WHEN ends_with(line, '*') AND length(line) > 1 THEN 'prefix' ELSE 'contains' END AS kind,
+  CASE WHEN starts_with(line, '*') AND length(line) > 1 THEN line[2:] WHEN ends_with(line, '*') AND length(line) > 1 THEN line[:-2] ELSE line END AS pattern"""
+
+
 @query(
     "standard_ignore_rules",
-    f"""SELECT DISTINCT repo, 'contains' AS kind, pattern FROM
-        (SELECT repo, trim(unnest(string_split_regex(text, {LINE_BREAKS}))) AS pattern FROM root_files WHERE path = '.gitignore')
-        WHERE pattern <> '' AND NOT starts_with(pattern, '#') AND NOT (length(pattern) > 1 AND (starts_with(pattern, '*') OR ends_with(pattern, '*')))""",
+    f"""SELECT DISTINCT repo, {KINDS} FROM
+        (SELECT repo, trim(unnest(string_split_regex(CASE WHEN contains(left(text, 1024), chr(0)) THEN '' ELSE {STARRED_SQL} END, {LINE_BREAKS})), {PY_SPACE}) AS line
+         FROM root_files WHERE path = '.gitignore') WHERE line <> '' AND NOT starts_with(line, '#')""",
     "root_files",
 )
 def standard_ignore_rules(x: Inputs) -> DataFrame:
-    return ignore_rules.standard_ignore_rules(x.root_files).where("kind = 'contains'")
+    """Rules of all kinds: some line ends and starts become stars."""
+    return ignore_rules.standard_ignore_rules(x.root_files.withColumn("content", F.expr(f"cast({STARRED} AS binary)")))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forgelens.functions import scores
 from forgelens.functions.sql import exprs
 from forgelens.operators import metrics as m
+from forgelens.operators.files import derive_dirs
 from forgelens.plans import metrics_reports as reports
 from forgelens.queries.common import AS_OF, query
 from forgelens.queries.history import authors_normalized
@@ -237,18 +238,41 @@ def compact_metrics_report(x: Inputs) -> DataFrame:
         CASE WHEN commits_per_day >= 0.1 THEN 'high' WHEN commits_per_day >= 0.01 THEN 'moderate' ELSE 'low' END AS activity_trend,
         CASE WHEN churn_average <= 200 THEN 'stable' WHEN churn_average <= 600 THEN 'moderate' ELSE 'volatile' END AS churn_stability,
         CASE WHEN bus_factor >= 4 THEN 'low' WHEN bus_factor >= 2 THEN 'medium' ELSE 'high' END AS bus_factor_risk,
+        'Structure score ' || structure_score || ' (grade ' || CASE WHEN structure_score >= 0.85 THEN 'A' WHEN structure_score >= 0.7 THEN 'B'
+           WHEN structure_score >= 0.55 THEN 'C' ELSE 'D' END || ')' AS structure_explanation,
         'Activity score ' || activity_score || ' (grade ' || CASE WHEN activity_score >= 0.85 THEN 'A' WHEN activity_score >= 0.7 THEN 'B'
-           WHEN activity_score >= 0.55 THEN 'C' ELSE 'D' END || ')' AS activity_explanation FROM g""",
+           WHEN activity_score >= 0.55 THEN 'C' ELSE 'D' END || ')' AS activity_explanation,
+        'Quality score ' || quality_score || ' (grade ' || CASE WHEN quality_score >= 0.85 THEN 'A' WHEN quality_score >= 0.7 THEN 'B'
+           WHEN quality_score >= 0.55 THEN 'C' ELSE 'D' END || ')' AS quality_explanation FROM g""",
     USES,
 )
 def evaluation_summary(x: Inputs) -> DataFrame:
     full = reports.full_evaluation(metrics_of(x))
     return full.select(
         "repo", "overall_score", "grade", "activity_trend", "churn_stability", "bus_factor_risk",
-        "activity_explanation",
+        "structure_explanation", "activity_explanation", "quality_explanation",
     )
 
 
+@query(
+    "metrics_raw_scans",
+    """SELECT repo, 'quick' AS part, count(*) FILTER (NOT excluded) AS files, CAST(coalesce(sum(size_bytes) FILTER (NOT excluded), 0) AS BIGINT) AS bytes FROM lined GROUP BY repo
+       UNION ALL SELECT repo, 'detailed', count(*) FILTER (NOT excluded AND NOT is_symlink),
+         CAST(coalesce(sum(size_bytes) FILTER (NOT excluded AND NOT is_symlink), 0) AS BIGINT) FROM lined GROUP BY repo""",
+    "lined",
+)
+def metrics_raw_scans(x: Inputs) -> DataFrame:
+    """The scans that the metrics carry on request."""
+    found = reports.metrics_with_raw(
+        repos_of(x.files), x.files, derive_dirs(x.files), x.commits, x.commit_files, AS_OF, include_raw=True
+    )
+
+    def part(key: str, label: str) -> DataFrame:
+        return found[key].selectExpr("repo", f"'{label}' AS part", "total_files AS files", "total_size_bytes AS bytes")
+
+    return part("filesystem_quick", "quick").unionByName(part("filesystem_detailed_summary", "detailed"))
+
+
 @query(
     "repository_comparison",
     METRICS + f""", t AS (SELECT *, {RELAXED} AS total_score FROM sec)

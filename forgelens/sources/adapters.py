@@ -31,6 +31,20 @@ SELECT o_orderpriority AS repo, CAST(l_orderkey AS STRING) AS commit_hash, l_lin
        CAST(l_quantity AS BIGINT) AS insertions, CAST(round(l_discount * 100) AS BIGINT) AS deletions
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
+LOG_RECORDS_SQL = """
+SELECT c.repo, c.seq - c.seq % 65536 AS block, c.seq AS place, c.header, coalesce(l.body, '') AS body
+FROM (SELECT o_orderpriority AS repo, o_orderkey AS seq, CAST(o_orderkey AS STRING) AS commit_hash,
+             CASE WHEN o_orderkey % 23 = 0 THEN 'damaged'
+                  ELSE CAST(o_orderkey AS STRING) || '|Dev ' || CAST(o_custkey % 37 AS STRING) || '|dev' || CAST(o_custkey % 37 AS STRING)
+                       || '@example.com|' || CASE WHEN o_orderkey % 19 = 0 THEN 'soon' ELSE CAST(1000000000 + o_custkey AS STRING) END
+                       || '|' || CASE WHEN o_orderkey % 6 = 1 THEN 'Merge a | b' ELSE 'order ' || o_orderstatus END END AS header
+      FROM orders) c
+LEFT JOIN (SELECT commit_hash, array_join(transform(array_sort(collect_list(struct(ordinal, line))), x -> x.line), chr(10)) AS body
+           FROM (SELECT CAST(l_orderkey AS STRING) AS commit_hash, l_linenumber AS ordinal,
+                        CASE WHEN l_linenumber % 4 = 0 THEN '-' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END || chr(9)
+                          || CAST(l_linenumber AS STRING) || CASE WHEN l_partkey % 11 = 0 THEN '' ELSE chr(9) || 'mod' || CAST(l_partkey AS STRING) || '.py' END AS line
+                 FROM lineitem) GROUP BY commit_hash) l ON c.commit_hash = l.commit_hash"""
+
 DOCUMENT_FILES_SQL = """
 SELECT source AS repo, doc_id AS seq,
        CASE doc_id % 6 WHEN 0 THEN 'src/core/' WHEN 1 THEN 'src/utils/' WHEN 2 THEN 'pkg/tests/'
@@ -48,12 +62,12 @@ FROM (SELECT doc_id, source,
 
 ROOT_FILES_SQL = """
 SELECT 'r' || CAST(CAST(floor(doc_id / 14.0) AS INT) AS STRING) AS repo, doc_id AS seq,
-       CASE doc_id % 14 WHEN 0 THEN 'README.md' WHEN 1 THEN 'CONTRIBUTING.md' WHEN 2 THEN 'CHANGELOG.md'
+       CASE WHEN doc_id * 7 % 5 = 0 THEN 'other/f' || CAST(doc_id AS STRING) || '.txt' ELSE CASE doc_id % 14 WHEN 0 THEN 'README.md' WHEN 1 THEN 'CONTRIBUTING.md' WHEN 2 THEN 'CHANGELOG.md'
             WHEN 3 THEN 'requirements.txt' WHEN 4 THEN 'pyproject.toml' WHEN 5 THEN 'package.json' WHEN 6 THEN 'pom.xml'
             WHEN 7 THEN '.github/workflows/ci.yml' WHEN 8 THEN '.gitlab-ci.yml' WHEN 9 THEN '.travis.yml'
-            WHEN 10 THEN 'Jenkinsfile' WHEN 11 THEN '.gitignore' WHEN 12 THEN 'src/a.py' ELSE 'tests/test_a.py' END AS path,
+            WHEN 10 THEN 'Jenkinsfile' WHEN 11 THEN '.gitignore' WHEN 12 THEN 'src/a.py' ELSE 'tests/test_a.py' END END AS path,
        text, {bytes}(text) AS size_bytes, false AS is_symlink, false AS is_executable
-FROM (SELECT doc_id, replace(text, '. ', chr(10)) AS text FROM documents WHERE doc_id * 7 % 5 <> 0)"""
+FROM (SELECT doc_id, replace(text, '. ', chr(10)) AS text FROM documents)"""
 
 PAGE_FILES_SQL = """
 SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS repo, page_id AS seq,
@@ -109,6 +123,11 @@ class Inputs:
     def commit_files(self) -> DataFrame:
         return self._adapt(COMMIT_FILES_SQL, "lineitem", "orders")
 
+    @cached_property
+    def log_records(self) -> DataFrame:
+        """Histories as exported logs hold them: a header line and a change list for each commit."""
+        return self._adapt(LOG_RECORDS_SQL, "orders", "lineitem")
+
     @staticmethod
     def _with_content(files: DataFrame) -> DataFrame:
         columns = (

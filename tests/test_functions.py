@@ -54,6 +54,25 @@ def test_lenient_decoding_follows_python(spark):
         assert row.nul == (b"\x00" in bytes(row.b))
 
 
+def test_genuine_replacement_characters_stay(value):
+    for raw in (b"a\xef\xbf\xbdb\xff", "\x01r\ufffd\x01m\x01".encode() + b"\xc3", b"\xf0\xef\xbf\xbd", b"\x01\xffr", b"\xef\xbf", b"\xed\xa0\x80\xc0\x80x"):
+        assert value(text.decode_lenient("x"), "x binary", raw) == raw.decode("utf-8", errors="ignore")
+
+
+def test_line_ends_of_whole_files_are_line_feeds(value):
+    raw = b"a\r\nb\rc\n\r\r\n\xff"
+    assert value(text.read_text("x"), "x binary", raw) == "a\nb\nc\n\n\n"
+    assert value(text.safe_text("x"), "x binary", raw) == "a\nb\nc\n\n\n"
+    assert value(text.safe_text("x", 4), "x binary", raw) == "a\r\nb"
+
+
+def test_binary_probe_of_the_whole_content(value):
+    late = b"a" * 5_000 + b"\x00"
+    assert value(text.is_binary("x"), "x binary", late) is False
+    assert value(text.is_binary("x", None), "x binary", late) is True
+    assert value(text.safe_text("x", sample_bytes=None), "x binary", late) == ""
+
+
 def test_binary_probe_and_safe_text(value):
     assert value(text.safe_text("x"), "x binary", b"\x00\x01\x02") == ""
     assert value(text.safe_text("x"), "x binary", b"a" * 1024 + b"\x00") == "a" * 1024 + "\x00"
