@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from forgelens.llm import arrays
 from forgelens.llm.staging import shuffle_partitions, staged
+from forgelens.operators.skew import row_numbers
 
-TAG_BITS = 16
 #: Bytes of a name that travel, besides the bits of its block (8 at least): anchors only select, windows are kept whole.
 ANCHOR_BYTES, WINDOW_BYTES = 5, 7
 _PACKED = "block int, solved boolean, values binary, docs binary, places binary, shared binary"
@@ -55,11 +55,18 @@ class Rule:
 
 
 def tagged(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, tag): the tag tells rows apart that carry one id but different texts; 0 if there are none."""
+    """(doc_id, text, tag): the tag numbers the rows that carry one id, from 1; 0 where an id has one row.
+
+    Rows of one id are numbered in blocks of bounded size, however many they are, from a table that is written once.
+    """
     rows = documents.select("doc_id", "text")
-    tag = F.pmod(F.xxhash64("text"), F.lit(1 << TAG_BITS)).cast("int")
-    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).where("low <> high")
-    return rows.withColumn("tag", F.lit(0) if several.isEmpty() else tag)
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if several.isEmpty():
+        return rows.withColumn("tag", F.lit(0))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    repeated = rows.select("doc_id", "row").join(several, "doc_id", "left_semi")
+    numbers = staged(row_numbers(repeated, ["doc_id"], "row", "number").select("row", F.col("number").cast("int").alias("number")), "numbers")
+    return rows.join(numbers, "row", "left").select("doc_id", "text", F.coalesce("number", F.lit(0)).alias("tag"))
 
 
 def units_of(data: np.ndarray, bounds: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:

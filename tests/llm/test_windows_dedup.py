@@ -111,3 +111,12 @@ def test_kept_text_and_bytes(spark):
 def test_rule_must_be_a_cover():
     with pytest.raises(ValueError):
         Rule(unit="word", width=9, period=8, cover=(0, 1), smaller_only=False)
+
+
+def test_long_and_short_texts_of_one_id(spark, rows):
+    """Rows of one id are told apart by their number, so no two can be taken for each other."""
+    rng = random.Random(6)
+    data = [(5, " ".join(rng.choice("abc") for _ in range(rng.choice([2, 30, 400])))) for _ in range(300)] + [(4, "a b c a b c a b c"), (5, None), (5, ""), (6, "a b c a b c a b c")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert rows(remove_repeated_words(df, SMALL), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(data, 7)
+    assert rows(remove_earlier_bytes(df, SMALL_BYTES), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(data, 9)
