@@ -33,7 +33,9 @@ class Search:
 def usable(vectors: DataFrame, scale: float) -> DataFrame:
     """(vec_id, ints, norm) of the vectors without null or non-finite components."""
     good = vectors.where("vec_id is not null and embedding is not null").where(F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))))
-    ints = F.transform("embedding", lambda x: F.round(F.lit(scale) * x.cast("double") - F.pmod(F.lit(scale) * x.cast("double"), F.lit(1.0))))
+    scaled = lambda x: F.lit(scale) * x.cast("double")
+    # From 2^52 on every double is whole, and further on too large for a bigint.
+    ints = F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < float(1 << 52), F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     rows = good.select("vec_id", ints.alias("ints"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("ints", F.lit(0.0), lambda a, x: a + x * x)))
 

@@ -39,3 +39,10 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [-1.0]), (2, [0.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, top_k(df, 2).collect())) == [(0, 1, 2, 0), (0, 2, 1, -65536), (2, 1, 0, 0), (2, 2, 1, 0)]
     assert top_k(df.limit(0)).count() == 0
+
+
+def test_floor_of_tiny_negative_components(spark):
+    data = [(0, [-1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1e-20, 0.0]), (3, [-1e-300, 5e-324]), (4, [-0.0, -2.0**-60])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(df, 10).collect())) == brute(data, 10, 5)
+    assert [r.vec_id for r in top_k(df, 10).orderBy("rank").collect()][:2] == [2, 3]
