@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from forgelens.llm import arrays
 from forgelens.llm.sentencepiece_codec import Encoder, Vocabulary, read_vocabulary
-from forgelens.llm.staging import staged
+from forgelens.llm.staging import sent, staged
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -189,14 +189,14 @@ def _dense_rows(w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def train_over_documents(learning: DataFrame, start, fit: Fit) -> Attention:
-    """Goes on from ``start`` (a broadcast Training) over the ids of all documents, in each task apart, and averages: an
+    """Goes on from ``start`` (gives a Training in a task) over the ids of all documents, in each task apart, and averages: an
     embedding by the times its symbol was read, other weights by the pieces read. What reaches the driver is one row for
     each symbol and each ``width`` other weights, however many tasks there are."""
     d = fit.width
     names = ["key", "mass", *(f"v{k}" for k in range(d))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = start.value
+        first = start()
         group = first.model.group
         w, seen = ({name: x.copy() for name, x in given.items()} for given in (first.model.weights, first.seen))
         rng, reads = np.random.default_rng(11), np.zeros(len(w["e"]), np.int64)
@@ -215,7 +215,7 @@ def train_over_documents(learning: DataFrame, start, fit: Fit) -> Attention:
 
     schema = "key long, mass double, " + ", ".join(f"v{k} double" for k in range(d))
     sums = learning.select("ids").mapInArrow(run, schema).groupBy("key").agg(F.sum("mass"), *(F.sum(f"v{k}") for k in range(d))).collect()
-    model = start.value.model
+    model = start().model
     weights, dense = {name: x.copy() for name, x in model.weights.items()}, _dense_rows(model.weights)
     symbols = len(weights["e"])
     for key, mass, *row in sums:
@@ -319,7 +319,7 @@ def _prepared(documents: DataFrame, vocabulary, head) -> DataFrame:
     """Piece ids of each text in lower case, and what its words give for the base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = Encoder(vocabulary())
         names, logs = head.value
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
@@ -346,7 +346,7 @@ def score_documents(documents: DataFrame, model_path: str, fit: Fit = Fit()) ->
     """
     spark = documents.sparkSession
     vocabulary: Vocabulary = read_vocabulary(model_path)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = sent(spark, vocabulary)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     marked = documents.select("doc_id", held.alias("held_out"), (F.col("doc_id").isNotNull() & ~held).alias("learns"), "text")
 
@@ -369,8 +369,8 @@ def score_documents(documents: DataFrame, model_path: str, fit: Fit = Fit()) ->
     share = max(fit.window + 1, fit.sample_pieces // fit.sample_documents)
     place = F.pmod(F.xxhash64("row"), F.greatest(F.size("ids") - share + 1, F.lit(1))).cast("int") + 1
     sample = [np.array(r["ids"], np.int64) for r in learning.join(F.broadcast(chosen), "row").orderBy("row").select(F.slice("ids", place, share).alias("ids")).toLocalIterator()]
-    start = spark.sparkContext.broadcast(start_attention(sample, counts, fit))
-    model = spark.sparkContext.broadcast(train_over_documents(learning, start, fit))
+    start = sent(spark, start_attention(sample, counts, fit))
+    model = sent(spark, train_over_documents(learning, start, fit))
 
     rest = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times").withColumnRenamed("words", "word")
     tail = rest.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("sum"))
@@ -378,7 +378,7 @@ def score_documents(documents: DataFrame, model_path: str, fit: Fit = Fit()) ->
     kept = ("row", "doc_id", "held_out", "n_words", "hits", "sums")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = Scorer(model())
         for batch in batches:
             lists = batch.column("ids")
             values, edges = lists.flatten().to_numpy(), np.cumsum([0] + lists.value_lengths().to_pylist())

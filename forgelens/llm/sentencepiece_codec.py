@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from forgelens.llm.staging import sent
+
 UNIT = 1_000_000
 CACHE_WORDS = 500_000
 LONGEST_WORD = 64
@@ -280,10 +282,10 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
     A null text has null ids, an empty one none. Rows are independent: repeated rows and rows without an id are treated
     like any other. Other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
+    vocabulary = sent(documents.sparkSession, read_vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(vocabulary())
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
                 part = batch.slice(first, 2000)
@@ -302,10 +304,10 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids): the inverse of ``encode``. Null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
+    vocabulary = sent(encoded.sparkSession, read_vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(vocabulary())
         for batch in batches:
             texts = [None if ids is None else encoder.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -1,0 +1,37 @@
+"""What is broadcast can be read by workers that lack the package."""
+
+from __future__ import annotations
+
+import pickle
+
+import numpy as np
+
+from forgelens.llm.language_model import Attention, Training
+from forgelens.llm.queries import PIECE_MODEL
+from forgelens.llm.sentencepiece_codec import read_vocabulary
+from forgelens.llm.staging import sent
+
+
+class Context:
+    """Keeps what is broadcast as its bytes."""
+
+    def __init__(self):
+        self.sent = []
+
+    @property
+    def sparkContext(self):
+        return self
+
+    def broadcast(self, value):
+        self.sent.append(pickle.dumps(value))
+        return type("Sent", (), {"value": value})
+
+
+def test_values_travel_as_plain_fields():
+    context = Context()
+    vocabulary = read_vocabulary(PIECE_MODEL)
+    training = Training(Attention({"e": np.eye(2)}, np.zeros(3), np.ones(3), 4), {"e": np.ones(2)})
+    back, trained = sent(context, vocabulary)(), sent(context, training)()
+    assert back == vocabulary and back.max_piece == vocabulary.max_piece
+    assert trained.model.window == 4 and trained.seen.keys() == {"e"} and (trained.model.weights["e"] == np.eye(2)).all()
+    assert len(context.sent) == 3 and not any(b"forgelens" in x for x in context.sent)
