@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class EditMatch:
     chars_per_error: int = 20  # error budget of an item: its length over this
-    least_chars: int = 24  # shorter items are no evidence and take no part
+    least_chars: int = 24  # shorter items are sought as they are, between characters that go on no word
     block_chars: int = 4_000_000  # items are sought in blocks of about so many characters
 
 
@@ -62,14 +62,23 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
-def matches(text: str, automaton, items: dict[int, tuple[str, int]]) -> Iterator[tuple[int, int, int, int]]:
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """No word goes on across the start or the end of a passage."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not before and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
+def matches(text: str, automaton, items: dict[int, tuple[str, int, bool]]) -> Iterator[tuple[int, int, int, int]]:
     """(item number, start, end, distance) of the best match around each cluster of piece hits."""
     starts = defaultdict(set)
     for end, values in automaton.iter(text):
         for number, offset, length in values:
             starts[number].add(end + 1 - length - offset)
     for number, found in starts.items():
-        item, errors = items[number]
+        item, errors, short = items[number]
+        if short:  # one piece, the item itself: every hit is exact
+            yield from ((number, s, s + len(item), 0) for s in sorted(found) if stands_alone(text, s, s + len(item)))
+            continue
         clusters: list[list[int]] = []
         for s in sorted(found):
             if clusters and s - clusters[-1][1] <= 2 * errors:
@@ -91,8 +100,8 @@ def matches(text: str, automaton, items: dict[int, tuple[str, int]]) -> Iterator
 def contaminated(documents: DataFrame, benchmark: DataFrame, how: EditMatch = EditMatch()) -> DataFrame:
     """(doc_id, item_id, start_char, end_char, distance): passages of documents within the error budget of an item.
 
-    Positions count characters of the normalised text (lower case, single spaces). Items below ``least_chars`` and null
-    or empty texts match nothing. Every item is sought in every document, by blocks of items; a repeated row gives its
+    Positions count characters of the normalised text (lower case, single spaces). Items below ``least_chars`` are found
+    without errors and as whole words only; null and empty items and texts match nothing. Every item is sought in every document, by blocks of items; a repeated row gives its
     matches again, and a row without an id gives them with a null id. Other columns are ignored.
     """
     texts = documents.select("doc_id", "text").where("text is not null")
@@ -112,27 +121,28 @@ def without_passages(documents: DataFrame, benchmark: DataFrame, how: EditMatch
 
 def _blocks(benchmark: DataFrame, how: EditMatch) -> Iterator[list[tuple]]:
     """The items, block by block."""
-    long_enough = benchmark.select("item_id", "text").where(F.length("text") >= how.least_chars)
-    total = long_enough.agg(F.sum(F.length("text"))).head()[0] or 0
+    given = benchmark.select("item_id", "text").where(F.length("text") > 0)
+    total = given.agg(F.sum(F.length("text"))).head()[0] or 0
     blocks = total // how.block_chars + 1
     for block in range(blocks):
-        yield [tuple(r) for r in long_enough.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+        yield [tuple(r) for r in given.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
 
 
 def _seeker(rows: list[tuple], how: EditMatch, drop: bool = False):
     """Matches of the batches' rows, or with ``drop`` the rows that have none."""
-    items: dict[int, tuple[str, int]] = {}
+    items: dict[int, tuple[str, int, bool]] = {}
     for number, (_, text) in enumerate(rows):
         item = normal(text)
-        if len(item) >= how.least_chars:
-            items[number] = (item, len(item) // how.chars_per_error)
+        if item:
+            short = len(item) < how.least_chars
+            items[number] = (item, 0 if short else len(item) // how.chars_per_error, short)
     names = [r[0] for r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         by_piece = defaultdict(list)
-        for number, (item, errors) in items.items():
+        for number, (item, errors, _) in items.items():
             for offset, piece in pieces(item, errors):
                 by_piece[piece].append((number, offset, len(piece)))
         automaton = ahocorasick.Automaton()

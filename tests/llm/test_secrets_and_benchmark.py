@@ -8,6 +8,7 @@ import os
 import random
 import re
 
+from forgelens.llm import decontamination
 from forgelens.llm.decontamination import EditMatch, contaminated, myers, normal, pieces
 from forgelens.llm.secret_scan import EntropyScan, Scanner, scan_secrets, without_secrets
 
@@ -136,6 +137,8 @@ def test_matches_equal_the_whole_table(spark):
             a = normal(x)
             if len(a) >= 24 and t and len(t) < 10_000 and edits(a, normal(t)) <= len(a) // 15:
                 want.add((d, i))
+            if 0 < len(a) < 24 and t and re.search(rf"(?<![a-zé]){re.escape(a)}(?![a-zé])", normal(t)):
+                want.add((d, i))
     want.add((102, 1))
     assert {(r.doc_id, r.item_id) for r in got} == want
     texts = {d: normal(t) for d, t in docs}
@@ -144,6 +147,17 @@ def test_matches_equal_the_whole_table(spark):
     assert sum((r.doc_id, r.item_id) == (5, 0) for r in got) >= 2
 
 
+def test_short_items_are_found_as_whole_words(spark, rows):
+    items = [(1, "What is 2 + 2 ?"), (2, "Ottawa"), (3, "2 + 2"), (4, " "), (5, "?")]
+    texts = [(1, "so: WHAT is\n2 + 2 ? indeed"), (2, "ottawan"), (3, "(ottawa)"), (4, "12 + 2"), (5, "2 + 23"), (6, "x 2 + 2"), (7, "What is 2 + 2?"), (8, None), (9, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = contaminated(docs, bench)
+    assert rows(found, "doc_id", "item_id", "distance") == [(1, 1, 0), (1, 3, 0), (1, 5, 0), (3, 2, 0), (6, 3, 0), (7, 3, 0), (7, 5, 0)]
+    kept = decontamination.without_passages(docs, bench.where("item_id < 5"))
+    assert rows(kept, "doc_id") == [(2,), (4,), (5,), (8,), (9,)]
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert scan_secrets(docs).count() == 0 and without_secrets(docs).count() == 0
