@@ -207,12 +207,13 @@ def dependencies_by_type(repos: DataFrame, deps: DataFrame) -> DataFrame:
 
     Every repository has all six types; a type without members has one row with NULL name.
     """
-    present = deps.groupBy("repo").agg(*exprs(present="collect_set(dep_type)"))
+    members = shared(deps.select("repo", "dep_type", "name"))
+    present = members.groupBy("repo").agg(*exprs(present="collect_set(dep_type)"))
     absent = f"array_except({array_of(DEPENDENCY_TYPES)}, coalesce(present, {array_of([])}))"
     empty = repos.join(present, "repo", "left").selectExpr(
         "repo", f"explode({absent}) AS dep_type", "cast(NULL AS string) AS name"
     )
-    return deps.select("repo", "dep_type", "name").unionByName(empty)
+    return members.unionByName(empty)
 
 
 def type_counts(repos: DataFrame, deps: DataFrame) -> DataFrame:

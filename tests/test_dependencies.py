@@ -338,3 +338,79 @@ def test_multi_ecosystem_insights(manifests, repos):
     assert {r.license: r.dependencies for r in insights["license_distribution"].collect()} == {"BSD": 1, "MIT": 1, "Unknown": 2}
     assert insights["usage_profiles"].count() == insights["upgrade_impacts"].count() == 4
     assert reports.verbose_report(repos("r"), report["dependencies"], report["summary"].select("repo", "sources_detected"))["summary"].count() == 1
+
+
+def scans(df):
+    """File scans of the plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """A frame read back from Parquet, so that scans can be counted."""
+
+    def store(df):
+        path = str(tmp_path / f"t{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return store
+
+
+def test_entries_fold_like_a_dictionary(spark, rows):
+    rng = random.Random(2)
+    manifests, expected = [], []
+    for k in range(60):
+        entries = [(rng.choice("abcde"), rng.choice(["1", "2", None, ""]), rng.choice(["runtime", "peer"])) for _ in range(rng.randint(0, 12))]
+        manifests.append(("r", f"f{k:02}", "s", False, entries))
+        kept = {}
+        for at, (name, *payload) in enumerate(entries):
+            kept[name] = (kept[name][0] if name in kept else at, *payload)
+        expected += [("r", f"f{k:02}", at, n, v, "s", t, False) for n, (at, v, t) in kept.items()]
+        expected += [("r", f"f{k:02}", None, None, None, "s", None, False)] if not entries else []
+    frame = spark.createDataFrame(manifests, f"repo string, file_seq string, source string, failed boolean, entries {m.ENTRIES}")
+    assert rows(m.merged_entries_of(frame)) == sorted(expected, key=repr)
+    merged, sources = d.merge_with_sources(m.merged_entries_of(frame))
+    plain = d.merge_dependencies(m.occurrences_of(frame))
+    assert rows(merged, "name", "version", "dep_type", "ord") == rows(plain, "name", "version", "dep_type", "ord")
+    assert rows(sources) == [("r", ["s"])]
+
+
+def test_ecosystems_of_empty_and_failed_manifests(spark, rows):
+    data = [("r", "1", "python", False, []), ("r", "2", "go", True, []), ("s", "1", "rust", True, []), ("r", "3", "php", False, [("x", "1", "runtime")])]
+    frame = spark.createDataFrame(data, f"repo string, file_seq string, source string, failed boolean, entries {m.ENTRIES}")
+    merged, sources = d.merge_with_sources(m.merged_entries_of(frame))
+    assert rows(merged, "repo", "name") == [("r", "x")]
+    assert rows(sources) == rows(m.detected_sources(frame)) == [("r", ["php", "python"])]
+
+
+def test_conflicts_read_the_occurrences_once(occurrences, repos, stored):
+    o = stored(occurrences(("r", "1", 0, "a", "1", "python", "runtime"), ("r", "2", 0, "A", "2", "go", "peer")))
+    report = cf.conflict_report(repos("r"), o)
+    assert {k: scans(v) for k, v in report.items()} == dict.fromkeys(report, 1)
+
+
+def test_conflicts_of_a_name_with_many_versions(spark, repos, rows):
+    many = spark.range(20_000).selectExpr("'r' AS repo", "string(id) AS file_seq", "0 AS entry_seq", "'Hot' AS name", "string(id % 7000) || '.0' AS version",
+                                          "if(id % 2 = 0, 'python', 'go') AS source", "'runtime' AS dep_type")
+    assert rows(cf.conflicts(many)) == [("r", "hot", "ecosystem_shadowing", 2), ("r", "hot", "version_conflict", 7000)]
+    assert cf.conflicting_versions(many).count() == 7000
+    assert rows(cf.version_divergence(many)) == [("r", "hot", 1.0)]
+
+
+def test_types_read_the_dependencies_once(occurrences, repos, rows, stored):
+    o = stored(occurrences(("r", "1", 0, "a", "1", "python", "runtime"), ("r", "1", 1, "b", None, "python", "peer")))
+    found = d.dependencies_by_type(repos("r"), d.dependencies(o))
+    assert scans(found) == 1
+    assert ("r", "runtime", "a") in rows(found) and ("r", "build", None) in rows(found) and len(rows(found)) == 6
+
+
+def test_dependency_report_plans_without_a_job(spark, repos, stored):
+    content = spark.sql("SELECT 'r' AS repo, 'requirements.txt' AS path, cast('a==1\nA==0.2\na==0.3' AS binary) AS content, string(NULL) AS error")
+    files = stored(content)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    report = reports.repository_dependency_report(repos("r"), files)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
+    assert scans(report["summary"]) == 1
+    assert [(r.name, r.version) for r in report["dependencies"].collect()] == [("a", "0.3")]

@@ -431,3 +431,45 @@ def test_detailed_report_counts_all_errors(files, repos):
     assert one(report["summary"])["errors_count"] == 150
     whole = reports.detailed_scan_report(repos("r"), t, f.derive_dirs(t))
     assert whole["errors"].count() == 150
+
+
+def test_repository_summary_reads_contents_once(spark, tmp_path, files, repos, rows):
+    entries = [("src/a.py", "x\n\n"), ("docs/b.md", "t\n"), ("node_modules/c.js", "y"), ("bin", b"\x00")]
+    files(*entries).write.parquet(str(tmp_path / "files"))
+    t = spark.read.parquet(str(tmp_path / "files"))
+    parts = reports.repository_summary(repos("r", "none"), t, f.derive_dirs(t), exclude_dirs=["docs"])
+    assert rows(parts["size"]) == [("none", 0), ("r", 6)]
+    assert rows(parts["languages"]) == [("r", "python", 1)]
+    assert rows(parts["categories"]) == [("r", "binary", 1), ("r", "source", 1)]
+    assert rows(parts["lines"]) == [("none", 0, 0, 0, 0), ("r", 2, 1, 1, 2)]
+    assert rows(parts["depths"]) == [("r", 1, 3), ("r", 2, 2)]
+    expected = f.depth_histogram(t, f.derive_dirs(t))
+    assert rows(parts["depths"]) == rows(expected) and rows(parts["lines"]) == rows(f.repository_lines(repos("r", "none"), t, ["docs"]))
+    both = parts["size"].selectExpr("repo", "total_size_bytes AS n").unionByName(parts["categories"].selectExpr("repo", "files AS n"))
+    both = both.unionByName(parts["lines"].selectExpr("repo", "total_lines AS n")).unionByName(parts["languages"].selectExpr("repo", "files AS n"))
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("content" in line for line in plan.splitlines() if "FileScan" in line) == 1
+    quick = reports.quick_repository_summary(repos("r"), t)
+    assert sorted(quick) == ["categories", "languages", "size"] and rows(quick["size"]) == [("r", 6)]
+
+
+def test_engine_summary(tree, repos, rows):
+    parts = reports.engine_summary(repos("r"), tree, f.derive_dirs(tree), max_entries=3)
+    assert rows(parts["entries"]) == [("r", 7)]
+    assert rows(parts["directories"]) == [("r", "deep"), ("r", "src"), ("r", "tests")]
+    assert rows(parts["extensions"]) == [("r", ".md", 1), ("r", ".py", 3)]
+    assert rows(parts["findings"], "severity") == [("high",), ("low",)]
+
+
+def test_metrics_carry_raw_scans_on_request(spark, tree, repos):
+    from forgelens.plans.metrics_reports import metrics_with_raw
+
+    commits = spark.createDataFrame([("r", 1, "h", "n", "e", datetime(2024, 1, 1), "add a file")], tables.COMMITS)
+    changes = spark.createDataFrame([("r", "h", 1, "a", 1, 0)], tables.COMMIT_FILES)
+    arguments = (repos("r"), tree, f.derive_dirs(tree), commits, changes, datetime(2024, 2, 1))
+    assert list(metrics_with_raw(*arguments)) == ["metrics"]
+    found = metrics_with_raw(*arguments, include_raw=True)
+    assert one(found["metrics"])["total_commits"] == 1
+    assert one(found["filesystem_quick"])["total_files"] == 4
+    assert found["filesystem_detailed_files"].count() == 4 and found["filesystem_detailed_errors"].count() == 0
