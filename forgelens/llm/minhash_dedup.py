@@ -5,13 +5,16 @@ key, so bands * bands tables cost only 2 * bands * rows minhashes. A pair of sim
 probability below 2 * (1 - s ** rows) ** bands: 4e-6 at 0.75 with the defaults, 4e-9 at 0.85.
 
 Documents with one shingle set are one node from the start. A half key that one node has alone can't be part of a
-shared table key, so only shared halves are combined. In the first rounds every component is compared with the one
-pivot that it shares most buckets with, which joins large groups of near copies at few comparisons. Then members of a
-small table bucket are all compared, on the full shingle sets, those of a large one with the bucket's least member only;
-buckets that then still hold several components go on with the next member as pivot, until no bucket has two components
-that were not compared. What counts as small grows eightfold with every round, so rounds are few; members of one
-component, such as a large group of near copies, are not paired. Pairs whose set sizes alone rule a link out are not
-compared, nor those of whose 64 minhashes fewer than 30 agree (a pair at 0.75 is lost so with 4e-7). No bucket is capped.
+shared table key, so only shared halves are combined. In the leading rounds every component is compared with the one
+pivot that it shares most buckets with, on the full shingle sets; pivots differ from round to round. That joins large
+groups of near copies at few comparisons. What buckets of several components are left with is paired once: nodes meet
+under their left half keys, and a pair counts if it shares a right one too, is not of one component, and may be a link.
+Three exact bounds and one of known risk say so: the sizes of the sets; the number of shingles that a member of another
+component has too, of which a link needs nearly all; and the agreement of 30 of the 64 minhashes (a pair at 0.75 is lost
+so with 4e-7). In a large group of texts that are alike but not linked the second bound leaves few pairs. Pairs are made
+and tested where their nodes meet, in tiles of bounded size; what is left is verified on the full sets, the best pair of
+each component first, so that members of one component, such as a large group of near copies, are not paired. No bucket
+is capped.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 
 from forgelens.llm import arrays
 from forgelens.llm.components import components
-from forgelens.llm.staging import staged
+from forgelens.llm.staging import shuffle_partitions, staged
 
 _TEXT_HASH = "xxhash64(text) AS text_hash"
+_HASH = "_hash_of_text"
 
 
 @dataclass(frozen=True)
@@ -42,8 +45,8 @@ class NearDup:
     rows: int = 2
     agree: int = 30  # of all minhashes; fewer agree in a pair at 0.75 with the probability that the module names
     leading_rounds: int = 2  # rounds in which every component is compared with its most shared pivot only
-    small_bucket: int = 8  # buckets up to this size compare all members of different components
-    growth: int = 8  # what that size is multiplied by in every round
+    best_rounds: int = 2  # rounds in which every component is compared with the candidate that most minhashes share
+    crowd: int = 2048  # members that one task compares with each other; larger lists are cut into tiles
     chunk_bytes: int = 4 << 20
 
 
@@ -106,29 +109,37 @@ def signatures(documents: DataFrame, how: NearDup) -> DataFrame:
 
 
 def table_keys(nodes: DataFrame, how: NearDup) -> DataFrame:
-    """(bucket, node, n_shingles, root) of the table keys whose two halves other nodes have too."""
+    """(bucket, node, n_shingles, common, root) of the table keys whose two halves other nodes have too; all shingles may be common."""
     halves = nodes.select("node", "n_shingles", F.posexplode("halves").alias("slot", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     side = F.filter("found", lambda x: x["slot"] < how.bands), F.filter("found", lambda x: x["slot"] >= how.bands)
     tables = F.flatten(F.transform(side[0], lambda x: F.transform(side[1], lambda y: F.xxhash64(x["half"], y["half"]))))
     found = halves.join(shared, "half").groupBy("node", "n_shingles").agg(F.collect_list(F.struct("slot", "half")).alias("found"))
-    return found.select(F.explode(tables).alias("bucket"), "node", "n_shingles", F.col("node").alias("root"))
+    return found.select(F.explode(tables).alias("bucket"), "node", "n_shingles", F.col("n_shingles").alias("common"), F.col("node").alias("root"))
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with the size of their bucket and its least member as pivot."""
-    pivot = F.min(F.struct("node", "root", "n_shingles")).alias("pivot")
-    live = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot, F.count("*").alias("size")).where("low <> high")
-    return members.join(live.select("bucket", "pivot", "size"), "bucket")
+def crowded(members: DataFrame, number: int = 0) -> DataFrame:
+    """The members of buckets that hold several components, with a pivot for each bucket that differs from round to round."""
+    pivot = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("order"), "node", "root", "n_shingles", "common")).alias("pivot")
+    live = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).where("low <> high")
+    return members.join(live.select("bucket", "pivot"), "bucket")
 
 
 def _fits(how: NearDup) -> Column:
-    """The smaller set must have num / den of the larger one's shingles: other pairs can't be links."""
-    return how.den * F.least("n_shingles", "other_n_shingles") >= how.num * F.greatest("n_shingles", "other_n_shingles")
+    """What a link needs: the smaller set has num / den of the larger one's shingles, and neither has too few common ones.
+
+    The intersection holds common shingles only. It makes up num / den of the union if and only if it makes up
+    num / (num + den) of the two sizes together.
+    """
+    sizes = how.den * F.least("n_shingles", "other_n_shingles") >= how.num * F.greatest("n_shingles", "other_n_shingles")
+    return sizes & ((how.num + how.den) * F.least("common", "other_common") >= how.num * (F.col("n_shingles") + F.col("other_n_shingles")))
+
+
+_MEMBER = ("node", "root", "n_shingles", "common")
 
 
 def _other() -> list[Column]:
-    return [F.col(f"pivot.{c}").alias(f"other_{c}") for c in ("node", "root", "n_shingles")]
+    return [F.col(f"pivot.{c}").alias(f"other_{c}") for c in _MEMBER]
 
 
 def _pair() -> list[Column]:
@@ -137,32 +148,124 @@ def _pair() -> list[Column]:
 
 def leading(members: DataFrame, how: NearDup) -> DataFrame:
     """(a, b): for every component the one pair with a pivot of another component that most buckets share."""
-    pairs = members.select("node", "root", "n_shingles", *_other()).where("root <> other_root").where(_fits(how))
+    pairs = members.select(*_MEMBER, *_other()).where("root <> other_root").where(_fits(how))
     counts = pairs.groupBy("root", "node", "other_node").agg(F.count("*").alias("n"))
     best = counts.groupBy("root").agg(F.max(F.struct("n", "node", "other_node")).alias("best"))
     return best.select("best.*").select(*_pair()).distinct()
 
 
-def candidates(members: DataFrame, limit: int, how: NearDup) -> DataFrame:
-    """(a, b): members of different components, all of them in buckets up to the limit, those with the pivot in larger ones."""
-    few = members.where(F.col("size") <= limit).select("bucket", "node", "root", "n_shingles")
-    other = few.select("bucket", *(F.col(c).alias(f"other_{c}") for c in ("node", "root", "n_shingles")))
-    near = few.join(other, "bucket").where("node < other_node")
-    far = members.where(F.col("size") > limit).select("node", "root", "n_shingles", *_other())
-    pairs = near.select(far.columns).unionByName(far).where("root <> other_root")
-    return pairs.where(_fits(how)).select(*_pair()).distinct()
+def postings(members: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
+    """(list, tile, chunk, slot, node, home, n_shingles, common, halves, sketch): every live node under each of its left half keys.
+
+    A list that holds more than ``crowd`` nodes is cut into chunks, and its nodes go to one tile for each pair of chunks,
+    so that no task meets more than two chunks.
+    """
+    live = members.select(*_MEMBER).dropDuplicates(["node"]).join(nodes.select("node", "halves", "sketch"), "node")
+    posted = live.select("*", F.posexplode(F.slice("halves", 1, how.bands)).alias("slot", "half"))
+    sizes = posted.groupBy("half").agg(F.count("*").alias("size")).where("size > 1")
+    cut = posted.join(sizes.select("half", F.ceil(F.col("size") / how.crowd).cast("int").alias("ways")), "half")
+    chunked = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int"))
+    tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    # The list of a half key also names the two chunks that meet.
+    key = F.xxhash64("half", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    return tiled.select(key.alias("list"), (F.col("chunk") != F.col("other")).alias("tile"), "chunk", "slot", "node", F.xxhash64("root").alias("home"), "n_shingles", "common", "halves", "sketch")
+
+
+def candidates(posted: DataFrame, how: NearDup) -> DataFrame:
+    """(a, b, agree): pairs of nodes of different components that share a table key and may be linked, each pair once.
+
+    A table key is a left with a right half key, so nodes that meet under a left half must share a right one too. Of the
+    left halves that a pair shares, the first reports it. Pairs that fail ``_fits`` or whose minhashes agree in fewer than
+    ``agree`` places are dropped where they are made.
+    """
+    bands = how.bands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            lists = batch.column("list").to_numpy()
+            last = int(np.searchsorted(lists, lists[-1])) if len(lists) else 0
+            if last or (held and len(lists) and held[-1].column("list")[-1].as_py() != lists[0]):
+                yield from near(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from near(pa.Table.from_batches(held))
+
+    def near(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        n = table.num_rows
+        if n < 2:
+            return
+        lists, chunk, slot, home, size, common = (table.column(c).to_numpy() for c in ("list", "chunk", "slot", "home", "n_shingles", "common"))
+        tile = np.asarray(table.column("tile"))
+        halves = table.column("halves").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        sketch = arrays.utf8(table.column("sketch"))[0].reshape(n, -1)
+        step, at = 1, np.arange(n)
+        while len(at := at[at + step < n]):
+            at = at[lists[at] == lists[at + step]]
+            for k in range(0, len(at), 100_000):
+                i = at[k : k + 100_000]
+                j = i + step
+                good = (home[i] != home[j]) & (~tile[i] | (chunk[i] != chunk[j]))
+                good &= how.den * np.minimum(size[i], size[j]) >= how.num * np.maximum(size[i], size[j])
+                good &= (how.num + how.den) * np.minimum(common[i], common[j]) >= how.num * (size[i] + size[j])
+                i, j = i[good], j[good]
+                same = halves[i] == halves[j]
+                good = same[:, bands:].any(axis=1) & (same[:, :bands].argmax(axis=1) == slot[i])
+                i, j = i[good], j[good]
+                agree = (sketch[i] == sketch[j]).sum(axis=1)
+                i, j, agree = i[agree >= how.agree], j[agree >= how.agree], agree[agree >= how.agree]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks().take(pa.array(x)) for x in (i, j)] + [pa.array(agree, pa.int32())], names=["a", "b", "agree"])
+            step += 1
+
+    dealt = posted.repartition(shuffle_partitions(posted.sparkSession), "list").sortWithinPartitions("list")
+    found = dealt.mapInArrow(run, "a binary, b binary, agree int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree")
+
+
+def rooted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs (a, b, agree) that still lie in different components, with those as ra and rb."""
+    if roots is None:
+        return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+    for c in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    return pairs.where("ra <> rb")
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """For every component the pair of most agreeing minhashes."""
+    sides = pairs.select(F.col("ra").alias("root"), "agree", "a", "b").unionByName(pairs.select(F.col("rb").alias("root"), "agree", "a", "b"))
+    return sides.groupBy("root").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+
 
+def with_common(members: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """The members with the number of their shingles that a member of another component has too, as ``common``.
 
-def likely(pairs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (a, b) whose minhashes agree in ``agree`` places at least, so that texts are read for few others than links."""
+    A link between components holds no other shingles, so whoever has too few of them is linked with nobody and goes. In
+    a large group of alike texts, most of what is left after the pivots are texts with too many words of their own; they
+    are told by this count instead of by comparing each with all of the group.
+    """
+    live = members.select("node", "root").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (arrays.utf8(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= how.agree))
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                sets = list(shingle_sets(*arrays.utf8(part.column("text")), how.shingle))
+                sizes = [len(x) for x in sets]
+                own = (pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in ("place", "home"))
+                shingles = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), *own], names=["shingle", "place", "home"])
 
-    sa, sb = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    # Nodes and components go by 64 bits here: two that are taken for one could only lose a shingle if both were in a group.
+    placed = texts.join(live, "node").select("text", F.xxhash64("node").alias("place"), F.xxhash64("root").alias("home"))
+    shingles = placed.mapInArrow(run, "shingle long, place long, home long")
+    shared = shingles.groupBy("shingle").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("shingle")
+    counts = staged(shingles.join(shared, "shingle", "left_semi").groupBy("place").agg(F.count("*").alias("common")), "common")
+    found = members.drop("common").withColumn("place", F.xxhash64("node")).join(counts, "place").drop("place")
+    return found.where(how.den * F.col("common") >= how.num * F.col("n_shingles"))
 
 
 def linked(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
@@ -190,46 +293,79 @@ def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame | N
     texts = documents.selectExpr("doc_id", "text", _TEXT_HASH).join(wanted, ["doc_id", "text_hash"])
     texts = staged(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
 
-    edges, roots, limit = None, None, how.small_bucket
-    for number in count():
-        if members.isEmpty():
-            return roots
-        first = number < how.leading_rounds
-        pairs = leading(members, how) if first else staged(likely(candidates(members, limit, how), nodes, how), "pairs")
+    edges, roots = None, None
+
+    def confirmed(pairs: DataFrame) -> None:
+        """Adds what the full sets confirm to the edges."""
+        nonlocal edges, roots
         found = staged(linked(pairs, texts, how), "links")
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             roots = components(edges)
-        left = members if first else members.where((F.col("size") > limit) & (F.col("pivot.node") != F.col("node")))
-        left = left.select("bucket", "node", "n_shingles")
-        if roots is None:
-            left = left.withColumn("root", F.col("node"))
-        else:
-            left = left.join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-        members = staged(crowded(left), "members")
-        if not first:
-            limit *= how.growth
-
 
-def near_duplicates(documents: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Words: A-Z in lower case, split at the six ASCII spaces. component_id is the least doc_id reachable over links, kept
-    says that it is the row's own. Null and empty texts have an empty set and are linked with nothing. Rows without a
-    doc_id take no part: component_id is null and kept is true. Rows that share a doc_id are nodes of their own.
-    Other columns are ignored.
+    for number in range(how.leading_rounds):
+        if members.isEmpty():
+            return roots
+        confirmed(leading(members, how))
+        left = members.select("bucket", "node", "n_shingles", "common").withColumn("root", F.col("node"))
+        if roots is not None:
+            left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = staged(crowded(left, number + 1), "members")
+    if members.isEmpty():
+        return roots
+    pairs = staged(candidates(postings(with_common(members, texts, how), nodes, how), how), "pairs")
+    for number in range(how.best_rounds + 1):
+        left = staged(rooted(pairs, roots), "left")
+        if left.isEmpty():
+            break
+        confirmed(best_of(left) if number < how.best_rounds else left)
+    return roots
+
+
+def grouped(documents: DataFrame, how: NearDup) -> DataFrame:
+    """Every row as (doc_id, text_hash, n_shingles, root, component): the group it is in and the least doc_id there.
+
+    Both are null for rows without an id or without words.
     """
     rows = staged(signatures(documents, how), "signatures")
     named = rows.where("doc_id is not null and node is not null")
     nodes = staged(named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("owner"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "nodes")
     roots = links(nodes, documents, how)
     if roots is None:
-        final = nodes.select("node", F.col("owner.doc_id").alias("component"))
+        final = nodes.select("node", F.col("node").alias("root"), F.col("owner.doc_id").alias("component"))
     else:
         placed = nodes.select("node", F.col("owner.doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = placed.groupBy("root").agg(F.min("least").alias("component"))
-        final = placed.join(least, "root").select("node", "component")
-    out = rows.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+        final = placed.join(least, "root").select("node", "root", "component")
+    known = F.col("doc_id").isNotNull()
+    out = rows.join(final, "node", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", *(F.when(known, F.col(c)).alias(c) for c in ("root", "component")))
+
+
+def near_duplicates(documents: DataFrame, how: NearDup = NearDup()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Words: A-Z in lower case, split at the six ASCII spaces. component_id is the least doc_id reachable over links, kept
+    says that it is the row's own. Null and empty texts have an empty set and are linked with nothing. Rows without a
+    doc_id take no part: component_id is null and kept is true. Rows that share a doc_id are nodes of their own.
+    Other columns are ignored.
+    """
+    out = grouped(documents, how)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
+
+def one_of_each(documents: DataFrame, how: NearDup = NearDup()) -> DataFrame:
+    """The documents with one row of every group: one that carries its least doc_id, the one of least text hash if several do.
+
+    Rows without a doc_id and rows without words all stay. Equal rows of one text are one.
+    """
+    found = staged(grouped(documents, how), "groups")
+    chosen = found.where("root is not null and doc_id = component").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    hashed = documents.withColumn(_HASH, F.expr(_TEXT_HASH.split(" AS ")[0]))
+    best = chosen.select("best.doc_id", F.col("best.text_hash").alias(_HASH)).distinct()
+    named = hashed.join(best, ["doc_id", _HASH], "left_semi").dropDuplicates(["doc_id", _HASH])
+    plain = found.where("doc_id is not null and n_shingles = 0").select("doc_id", F.col("text_hash").alias(_HASH)).distinct()
+    wordless = hashed.join(plain, ["doc_id", _HASH], "left_semi")
+    rest = hashed.where("doc_id is null")
+    return named.unionByName(wordless).unionByName(rest).select(documents.columns)

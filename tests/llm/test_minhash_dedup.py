@@ -6,6 +6,9 @@ import os
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from forgelens.llm import minhash_dedup as mh
 from forgelens.llm.components import components
 from forgelens.llm.minhash_dedup import NearDup, near_duplicates
 
@@ -72,7 +75,8 @@ def test_components_match_all_pairs(spark, rows):
     data = chain_rows(3)
     df = spark.createDataFrame([(i, t, "n", 1, None) for i, t in data], "doc_id long, text string, node string, root int, halves string").repartition(3)
     assert rows(near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == brute(data)
-    assert rows(near_duplicates(df, NearDup(small_bucket=2)), "doc_id", "n_shingles", "component_id", "kept") == brute(data)
+    for how in (NearDup(crowd=3), NearDup(leading_rounds=0, best_rounds=0, crowd=7)):
+        assert rows(near_duplicates(df, how), "doc_id", "n_shingles", "component_id", "kept") == brute(data)
 
 
 def test_tables_match_all_pairs(spark, rows):
@@ -81,6 +85,27 @@ def test_tables_match_all_pairs(spark, rows):
     assert rows(near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == brute(data)
 
 
+def test_alike_texts_that_are_no_links_are_not_paired(spark):
+    """Texts with too many words of their own fall out by the count of common shingles, before any pair of them is made."""
+    rng = random.Random(7)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for k in rng.sample(range(100), 8):
+            w[k] = f"own{d}x{k}"
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    how = NearDup()
+    signed = mh.signatures(df, how)
+    nodes = signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "halves", "sketch")))
+    members = mh.crowded(mh.table_keys(nodes, how))
+    texts = signed.select("node", "doc_id").join(df, "doc_id").select("node", "text")
+    assert members.select("node").distinct().count() > 100
+    assert mh.candidates(mh.postings(mh.with_common(members, texts, how), nodes, how), how).count() < 20
+    assert near_duplicates(df).where("kept").count() == sum(r[3] for r in brute(rows))
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -16,7 +16,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_registered():
     assert set(queries.QUERIES) < set(entry.queries()) and "pipeline" in entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
 
 
@@ -55,6 +55,19 @@ def test_stages_one_by_one(spark, tmp_path):
     assert sorted(corpus_pipeline.run(spark, SF).select("doc_id").collect()) == sorted(docs.select("doc_id").collect())
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    """One row of each group stays, also where rows of different groups carry one id."""
+    first, second = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [(7, first), (7, second), (7, second), (7, second + " more"), (9, first), (3, "alone at last here now"), (7, ""), (7, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    kept_second = [t for i, t in found if i == 7 and t and t.startswith(second)]
+    assert len(kept_second) == 1 and out.columns == docs.columns
+    rest = [x for x in found if x[1] not in kept_second]
+    assert rest == sorted([(7, first), (3, "alone at last here now"), (7, ""), (7, None), (8, None)], key=repr)
+
+
 @pytest.mark.parametrize("case", ["edge", "empty"])
 def test_stages_take_edge_rows(spark, case):
     rows = [] if case == "empty" else [(1, None, "en", "s", None), (2, "", "en", None, 0), (None, "password=abcdef1 x", None, "s", 3), (None, None, None, None, None), (4, "a b c d e f", "en", "s", 11), (4, "a b c d e f", "en", "s", 11), (5, "z" * 100_000, "en", "s", 1)]
