@@ -3,7 +3,8 @@
 Toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark passages go, secrets
 in the texts are replaced by a mark, and what is left is encoded as SentencePiece ids. All but the last stage return the
 columns of documents. Null and repeated rows: a null text passes every stage (its ids are null); rows without a doc_id
-are never near duplicates; of rows that repeat a doc_id one stays after the second stage.
+are never near duplicates; of equal rows one stays after the second stage, of rows that carry one doc_id and different
+texts one of each group.
 """
 
 from __future__ import annotations
@@ -26,9 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return minhash_dedup.one_of_each(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
