@@ -548,7 +548,7 @@ def structure_findings(x: Inputs) -> DataFrame:
 
 @query(
     "engine_summary",
-    """SELECT repo, 'entries' AS part, '' AS key, CAST(count(*) AS VARCHAR) AS value FROM (SELECT repo FROM root_files UNION ALL
+    r"""SELECT repo, 'entries' AS part, '' AS key, CAST(count(*) AS VARCHAR) AS value FROM (SELECT repo FROM root_files UNION ALL
          SELECT repo FROM (SELECT DISTINCT repo, unnest(CASE WHEN path LIKE '.github/%' THEN ['.github', '.github/workflows'] WHEN contains(path, '/') THEN
            [split_part(path, '/', 1)] ELSE [] END) AS d FROM root_files)) GROUP BY repo
        UNION ALL SELECT DISTINCT repo, 'directory', unnest(CASE WHEN path LIKE '.github/%' THEN ['.github', 'workflows'] WHEN contains(path, '/') THEN
