@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgelens.llm import decontamination, language_model, license_scan, minhash_dedup, secret_scan, sentencepiece_codec, simhash_dedup, spelling_variants, substring_dedup, suffix_dedup, token_alignment, topk_search, toxicity
+from forgelens.llm import decontamination, language_model, license_scan, minhash_dedup, oracle_sql, secret_scan, sentencepiece_codec, simhash_dedup, spelling_variants, substring_dedup, suffix_dedup, token_alignment, topk_search, toxicity
 
 #: Paths of the published vocabulary files, read on the driver.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -94,6 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FINITE = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_dedup": oracle_sql.MINHASH_DEDUP,
+    "op5_substring_dedup": oracle_sql.SUBSTRING_DEDUP,
+    "op7_suffix_dedup": oracle_sql.SUFFIX_DEDUP,
+    "op13_spelling_variants": oracle_sql.SPELLING_VARIANTS,
     "op6_topk_search": f"""
         WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS ints FROM embeddings WHERE {_FINITE}),
         pairs AS (
