@@ -13,10 +13,12 @@ The two vocabulary files are read on the driver and broadcast; their size does n
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,50 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Fixed value: how byte-level vocabularies of this kind cut a text before they merge.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_PIECE = 500
+_LONG_BLANK = re.compile(r"\s{%d}" % LONG_PIECE)
+
+
+def _has_long_piece(text: str) -> bool:
+    return len(text) > LONG_PIECE and (max(map(len, text.split()), default=0) > LONG_PIECE or _LONG_BLANK.search(text) is not None)
+
+
+def _ranked(byte_file: str, texts: list[bytes]):
+    """An encoder that merges by rank, if the file is of the usual kind and its ids are in the order of its merges."""
+    import tiktoken
+
+    model, cut = json.loads(byte_file), {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    own, added = model["model"], {x["id"] for x in model["added_tokens"]}
+    merges = [m if isinstance(m, str) else " ".join(m) for m in own.get("merges", [])]
+    plain = model.get("normalizer") is None and cut.items() <= (model.get("pre_tokenizer") or {}).items()
+    odd = any(own.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    in_order = all(own["vocab"].get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges))
+    if not (plain and in_order) or odd or own.get("type") != "BPE" or len(own["vocab"].keys() - {x["content"] for x in model["added_tokens"]}) != 256 + len(merges):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks={t: i for i, t in enumerate(texts) if i not in added}, special_tokens={})
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """The bytes of all tokens of one kind end to end."""
+
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Pieces:
+        size = np.array([len(x) for x in texts], dtype=np.int64)
+        return cls(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        shift = self.start[ids] - (np.cumsum(size) - size)
+        return self.data[np.repeat(shift, size) + np.arange(int(size.sum()))]
+
+
 class Encoders:
     """Both tokenizers with the bytes of each of their tokens."""
 
@@ -69,8 +115,9 @@ class Encoders:
         self.first_bytes = [b""] * (max(entries.values()) + 1)
         for entry, number in entries.items():
             self.first_bytes[number] = bytes(symbols[c] for c in entry)
+        self.ranked = _ranked(byte_file, self.first_bytes)
         self.second_bytes = [self._piece(i) for i in range(self.second.vocab_size())]
-        self.first_sizes, self.second_sizes = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.first_bytes, self.second_bytes))
+        self.first_table, self.second_table = Pieces.of(self.first_bytes), Pieces.of(self.second_bytes)
         self.splits = not any(_ACROSS.search(x.decode("utf-8", "replace")) for x in (*self.first_bytes, *self.second_bytes))
         # The text of an id with what follows it: within a group's kind, between its kinds, between groups.
         ids = [str(i).encode() for i in range(max(len(self.first_bytes), len(self.second_bytes)))]
@@ -80,6 +127,21 @@ class Encoders:
         piece = self.second.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self.second.is_byte(number) else piece.replace("▁", " ").encode()
 
+    def first_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of the byte-level tokenizer.
+
+        Where ids are in the order of the merges, merging by rank gives the same ids several times as fast; its time grows
+        with the square of a piece, so texts that hold a long one go through the merges themselves.
+        """
+        if self.ranked is None:
+            return [x.ids for x in self.first.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list = [None if _has_long_piece(t) else self.ranked.encode_ordinary(t) for t in texts]
+        long = [k for k, ids in enumerate(out) if ids is None]
+        if long:
+            for k, found in zip(long, self.first.encode_batch_fast([texts[k] for k in long], add_special_tokens=False), strict=True):
+                out[k] = found.ids
+        return out
+
     def parts(self, text: str, size: int) -> list[str]:
         """The text cut at gaps, each part about ``size`` characters; the space of a gap is dropped, as each part gets one in front."""
         if len(text) <= size or not self.splits:
@@ -91,7 +153,7 @@ class Encoders:
         return [*out, text[first:]]
 
     def encode(self, texts: list[bytes | None], part_chars: int) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of both kinds of every text; none where the joined tokens are not the text with a space in front."""
+        """The ids of both kinds of every text; none for texts that are null, empty or not UTF-8."""
         parts, owners = [], []
         for row, raw in enumerate(texts):
             try:
@@ -105,16 +167,25 @@ class Encoders:
         first: list[list[int]] = [[] for _ in texts]
         second: list[list[int]] = [[] for _ in texts]
         if parts:
-            encoded = self.first.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-            for row, a, b in zip(owners, encoded, self.second.encode(parts, num_threads=1), strict=True):
-                first[row] += a.ids
+            for row, a, b in zip(owners, self.first_ids([" " + p for p in parts]), self.second.encode(parts, num_threads=1), strict=True):
+                first[row] += a
                 second[row] += b
-        for row, raw in enumerate(texts):
-            wanted = b" " + (raw or b"")
-            if any(b"".join(map(table.__getitem__, ids)) != wanted for table, ids in ((self.first_bytes, first[row]), (self.second_bytes, second[row]))):
-                first[row], second[row] = [], []
         return first, second
 
+    def same(self, texts: list[bytes | None], tokens: list[tuple[Pieces, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Whether the joined tokens of either kind are the text with a space in front; ``tokens`` has ids and their rows."""
+        wanted = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
+        fits = np.ones(len(texts), dtype=bool)
+        for pieces, ids, row in tokens:
+            fits &= np.bincount(row, weights=pieces.size[ids], minlength=len(texts)) == wanted
+        data = np.frombuffer(b"".join(b" " + t for t, fit in zip(texts, fits, strict=True) if fit and t), np.uint8)
+        ends = np.cumsum(np.where(fits, wanted, 0))
+        good = fits.copy()
+        for pieces, ids, row in tokens:
+            differ = np.flatnonzero(pieces.joined(ids[fits[row]]) != data)
+            good[np.searchsorted(ends, differ, side="right")] = False
+        return good
+
 
 @dataclass
 class Aligned:
@@ -147,13 +218,18 @@ def overlaps(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
 
 
 def align(encoders: Encoders, texts: list[bytes | None], part_chars: int) -> Aligned:
-    first, second = encoders.encode(texts, part_chars)
-    n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (first, second))
-    a, b = (np.fromiter((i for ids in lists for i in ids), np.int64, int(n.sum())) for lists, n in ((first, n_a), (second, n_b)))
-    end_a, end_b = np.cumsum(encoders.first_sizes[a]), np.cumsum(encoders.second_sizes[b])
-    start_a, start_b = end_a - encoders.first_sizes[a], end_b - encoders.second_sizes[b]
+    lists = encoders.encode(texts, part_chars)
     rows = np.arange(len(texts))
+    n_a, n_b = (np.array([len(x) for x in own], dtype=np.int64) for own in lists)
+    a, b = (np.fromiter(chain.from_iterable(own), np.int64, int(n.sum())) for own, n in zip(lists, (n_a, n_b), strict=True))
     row_a, row_b = np.repeat(rows, n_a), np.repeat(rows, n_b)
+    good = encoders.same(texts, [(encoders.first_table, a, row_a), (encoders.second_table, b, row_b)])
+    if not good.all():
+        a, row_a, b, row_b = a[good[row_a]], row_a[good[row_a]], b[good[row_b]], row_b[good[row_b]]
+        n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+    size_a, size_b = encoders.first_table.size[a], encoders.second_table.size[b]
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    start_a, start_b = end_a - size_a, end_b - size_b
 
     start, end = np.concatenate([start_a, start_b]), np.concatenate([end_a, end_b])
     kind = np.repeat([0, 1], [len(a), len(b)])

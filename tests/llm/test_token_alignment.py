@@ -119,11 +119,28 @@ def test_parts_give_the_ids_of_the_whole(models):
     rng = random.Random(5)
     for _ in range(200):
         text = "".join(rng.choice(["a", "the ", " ", "  ", "\n", "\t", "Foo", "'s", "1", "é", "🙂", "▁", "　", "\x1c", "."]) for _ in range(120))
-        (a,), (b,) = encoders.encode([text.encode()], 20)
-        if a:
-            assert a == first.encode(" " + text, add_special_tokens=False).ids and b == second.encode(text)
-        else:
-            assert "▁" in text
+        assert encoders.encode([text.encode()], 20) == ([first.encode(" " + text, add_special_tokens=False).ids], [second.encode(text)])
+        found = ta.align(encoders, [None, text.encode(), b"", b"ok", b"\xff"], 20)
+        assert (found.n_a[1] == 0) == ("▁" in text) and found.n_a[3] == found.n_b[3] == 1 and not found.n_a[[0, 2, 4]].any()
+
+
+def test_ranks_and_merges_give_the_same_ids(spark, models):
+    """Both ways of the byte-level encoder, over the table, over characters of all kinds and over random texts."""
+    first, _ = models
+    with open(PIECE_MODEL, "rb") as f:
+        encoders = ta.Encoders(open(BYTE_MODEL).read(), f.read())
+    assert encoders.ranked is not None
+    rng = random.Random(8)
+    texts = [" " + r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    texts += [f" a{c}a1{c}1 {c} .{c}. {c}\n{c} x" for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000, 41)])]
+    kinds = ["aeiou", "the ing tion", "0123456789", "  \n\t", "'s't'll", ".,;:!?-_", "éèüñß", "東京的是", "🙂👍🏽", "приветмир", "\x00\x7f\x85\xa0"]
+    texts += [" " + "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(1, 300))) for _ in range(3_000)]
+    texts += [" " + "ab" * 600, " " + " " * 900 + "x", " " + "x" * 20_000 + " tail", " \n" * 800]
+    plain = [x.ids for k in range(0, len(texts), 5_000) for x in first.encode_batch(texts[k : k + 5_000], add_special_tokens=False)]
+    assert encoders.first_ids(texts) == plain
+    model = json.load(open(BYTE_MODEL))
+    model["model"]["merges"][0], model["model"]["merges"][1] = model["model"]["merges"][1], model["model"]["merges"][0]
+    assert ta._ranked(json.dumps(model), encoders.first_bytes) is None
 
 
 def test_coalescing_of_overlapping_intervals():
