@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-from dataclasses import fields, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,18 +36,5 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sent(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Broadcasts a dataclass as its plain fields; the result gives it back in a task.
-
-    A broadcast value is pickled by reference, so an instance of a class of this package would need a copy of the package
-    on every worker. Fields travel as they are, and the class with the function that asks for it.
-    """
-    values = {f.name: getattr(value, f.name) for f in fields(value)}
-    inner = {name: sent(spark, x) for name, x in values.items() if is_dataclass(x)}
-    shared = spark.sparkContext.broadcast({name: x for name, x in values.items() if name not in inner})
-    kind = type(value)
-    return lambda: kind(**shared.value, **{name: given() for name, given in inner.items()})
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
