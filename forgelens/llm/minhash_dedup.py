@@ -12,9 +12,9 @@ under their left half keys, and a pair counts if it shares a right one too, is n
 Three exact bounds and one of known risk say so: the sizes of the sets; the number of shingles that a member of another
 component has too, of which a link needs nearly all; and the agreement of 30 of the 64 minhashes (a pair at 0.75 is lost
 so with 4e-7). In a large group of texts that are alike but not linked the second bound leaves few pairs. Pairs are made
-and tested where their nodes meet, in tiles of bounded size; what is left is verified on the full sets, the best pair of
-each component first, so that members of one component, such as a large group of near copies, are not paired. No bucket
-is capped.
+and tested where their nodes meet, in tiles of bounded size: once to find the nodes that have any, then, with the full
+sets of those nodes beside them, to compare the sets, the best pair of each component first. Pairs of one component need
+no comparison, and only links that join two components leave a tile, so no table holds pairs. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -45,8 +45,9 @@ class NearDup:
     rows: int = 2
     agree: int = 30  # of all minhashes; fewer agree in a pair at 0.75 with the probability that the module names
     leading_rounds: int = 2  # rounds in which every component is compared with its most shared pivot only
-    best_rounds: int = 2  # rounds in which every component is compared with the candidate that most minhashes share
+    best_rounds: int = 2  # rounds in which every component of a list is compared with the candidate that most minhashes share
     crowd: int = 2048  # members that one task compares with each other; larger lists are cut into tiles
+    crowd_shingles: int = 4 << 20  # and shingles of those members
     chunk_bytes: int = 4 << 20
 
 
@@ -157,13 +158,14 @@ def leading(members: DataFrame, how: NearDup) -> DataFrame:
 def postings(members: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
     """(list, tile, chunk, slot, node, home, n_shingles, common, halves, sketch): every live node under each of its left half keys.
 
-    A list that holds more than ``crowd`` nodes is cut into chunks, and its nodes go to one tile for each pair of chunks,
-    so that no task meets more than two chunks.
+    A list that holds more than ``crowd`` nodes, or sets of more than ``crowd_shingles`` in all, is cut into
+    chunks, and its nodes go to one tile for each pair of chunks, so that no task meets more than two chunks.
     """
     live = members.select(*_MEMBER).dropDuplicates(["node"]).join(nodes.select("node", "halves", "sketch"), "node")
     posted = live.select("*", F.posexplode(F.slice("halves", 1, how.bands)).alias("slot", "half"))
-    sizes = posted.groupBy("half").agg(F.count("*").alias("size")).where("size > 1")
-    cut = posted.join(sizes.select("half", F.ceil(F.col("size") / how.crowd).cast("int").alias("ways")), "half")
+    sizes = posted.groupBy("half").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("shingles")).where("size > 1")
+    ways = F.greatest(F.ceil(F.col("size") / how.crowd), F.ceil(F.col("shingles") / how.crowd_shingles)).cast("int")
+    cut = posted.join(sizes.select("half", ways.alias("ways")), "half")
     chunked = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int"))
     tiled = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     # The list of a half key also names the two chunks that meet.
@@ -171,73 +173,141 @@ def postings(members: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
     return tiled.select(key.alias("list"), (F.col("chunk") != F.col("other")).alias("tile"), "chunk", "slot", "node", F.xxhash64("root").alias("home"), "n_shingles", "common", "halves", "sketch")
 
 
-def candidates(posted: DataFrame, how: NearDup) -> DataFrame:
-    """(a, b, agree): pairs of nodes of different components that share a table key and may be linked, each pair once.
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one partition, sorted by list, in tables that cut no list."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        lists = batch.column("list").to_numpy()
+        last = int(np.searchsorted(lists, lists[-1])) if len(lists) else 0
+        if last or (held and len(lists) and held[-1].column("list")[-1].as_py() != lists[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _pairs(table: pa.Table, how: NearDup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i and j of one list that may be linked, with the number of minhashes that agree.
 
     A table key is a left with a right half key, so nodes that meet under a left half must share a right one too. Of the
     left halves that a pair shares, the first reports it. Pairs that fail ``_fits`` or whose minhashes agree in fewer than
-    ``agree`` places are dropped where they are made.
+    ``agree`` places are dropped.
     """
-    bands = how.bands
+    bands, n = how.bands, table.num_rows
+    if n < 2:
+        return
+    lists, chunk, slot, home, size, common = (table.column(c).to_numpy() for c in ("list", "chunk", "slot", "home", "n_shingles", "common"))
+    tile = np.asarray(table.column("tile"))
+    halves = table.column("halves").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    sketch = arrays.utf8(table.column("sketch"))[0].reshape(n, -1)
+    step, at = 1, np.arange(n)
+    while len(at := at[at + step < n]):
+        at = at[lists[at] == lists[at + step]]
+        for k in range(0, len(at), 100_000):
+            i = at[k : k + 100_000]
+            j = i + step
+            good = (home[i] != home[j]) & (~tile[i] | (chunk[i] != chunk[j]))
+            good &= how.den * np.minimum(size[i], size[j]) >= how.num * np.maximum(size[i], size[j])
+            good &= (how.num + how.den) * np.minimum(common[i], common[j]) >= how.num * (size[i] + size[j])
+            i, j = i[good], j[good]
+            same = halves[i] == halves[j]
+            good = same[:, bands:].any(axis=1) & (same[:, :bands].argmax(axis=1) == slot[i])
+            i, j = i[good], j[good]
+            agree = (sketch[i] == sketch[j]).sum(axis=1)
+            good = agree >= how.agree
+            if good.any():
+                yield i[good].astype(np.int32), j[good].astype(np.int32), agree[good].astype(np.int16)
+        step += 1
+
+
+def _dealt(posted: DataFrame) -> DataFrame:
+    return posted.repartition(shuffle_partitions(posted.sparkSession), "list").sortWithinPartitions("list")
+
+
+def candidates(posted: DataFrame, how: NearDup) -> DataFrame:
+    """The rows of ``postings`` whose node meets a node of another component there that it may be linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            lists = batch.column("list").to_numpy()
-            last = int(np.searchsorted(lists, lists[-1])) if len(lists) else 0
-            if last or (held and len(lists) and held[-1].column("list")[-1].as_py() != lists[0]):
-                yield from near(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield from near(pa.Table.from_batches(held))
-
-    def near(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        n = table.num_rows
-        if n < 2:
-            return
-        lists, chunk, slot, home, size, common = (table.column(c).to_numpy() for c in ("list", "chunk", "slot", "home", "n_shingles", "common"))
-        tile = np.asarray(table.column("tile"))
-        halves = table.column("halves").combine_chunks().flatten().to_numpy().reshape(n, -1)
-        sketch = arrays.utf8(table.column("sketch"))[0].reshape(n, -1)
-        step, at = 1, np.arange(n)
-        while len(at := at[at + step < n]):
-            at = at[lists[at] == lists[at + step]]
-            for k in range(0, len(at), 100_000):
-                i = at[k : k + 100_000]
-                j = i + step
-                good = (home[i] != home[j]) & (~tile[i] | (chunk[i] != chunk[j]))
-                good &= how.den * np.minimum(size[i], size[j]) >= how.num * np.maximum(size[i], size[j])
-                good &= (how.num + how.den) * np.minimum(common[i], common[j]) >= how.num * (size[i] + size[j])
-                i, j = i[good], j[good]
-                same = halves[i] == halves[j]
-                good = same[:, bands:].any(axis=1) & (same[:, :bands].argmax(axis=1) == slot[i])
-                i, j = i[good], j[good]
-                agree = (sketch[i] == sketch[j]).sum(axis=1)
-                i, j, agree = i[agree >= how.agree], j[agree >= how.agree], agree[agree >= how.agree]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks().take(pa.array(x)) for x in (i, j)] + [pa.array(agree, pa.int32())], names=["a", "b", "agree"])
-            step += 1
-
-    dealt = posted.repartition(shuffle_partitions(posted.sparkSession), "list").sortWithinPartitions("list")
-    found = dealt.mapInArrow(run, "a binary, b binary, agree int")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree")
-
-
-def rooted(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The pairs (a, b, agree) that still lie in different components, with those as ra and rb."""
-    if roots is None:
-        return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
-    for c in "ab":
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    return pairs.where("ra <> rb")
+        for table in _whole_lists(batches):
+            met = np.zeros(table.num_rows, dtype=bool)
+            for i, j, _ in _pairs(table, how):
+                met[i], met[j] = True, True
+            if met.any():
+                yield from table.filter(pa.array(met)).to_batches(max_chunksize=10_000)
+
+    return _dealt(posted).mapInArrow(run, posted.schema)
 
 
-def best_of(pairs: DataFrame) -> DataFrame:
-    """For every component the pair of most agreeing minhashes."""
-    sides = pairs.select(F.col("ra").alias("root"), "agree", "a", "b").unionByName(pairs.select(F.col("rb").alias("root"), "agree", "a", "b"))
-    return sides.groupBy("root").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+def settled(met: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """(a, b): links between nodes of ``candidates``, on their full sets, that join their components where they meet.
+
+    The pairs never leave the task. It compares the pair of most agreeing minhashes of each component first, for
+    ``best_rounds`` rounds, then the others; pairs that lie in one component by then need no comparison. So a list of
+    k nodes gives at most k - 1 rows, however many pairs it holds.
+    """
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                sets = [x.tobytes() for x in shingle_sets(*arrays.utf8(part.column("text")), how.shingle)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_lists(batches):
+            found = list(zip(*_pairs(table, how), strict=True))
+            if found:
+                i, j, agree = (np.concatenate(x) for x in found)
+                order = np.argsort(-agree, kind="stable")
+                a, b = joined(table, i[order], j[order])
+                nodes = table.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x, pa.int64())) for x in (a, b)], names=["a", "b"])
+
+    def joined(table: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
+        data, bounds = arrays.utf8(table.column("shingles"))
+        group = np.unique(table.column("home").to_numpy(), return_inverse=True)[1]
+        out: tuple[list[int], list[int]] = ([], [])
+
+        def shingles(k: int) -> np.ndarray:
+            return np.frombuffer(data[bounds[k] : bounds[k + 1]].tobytes(), np.uint64)
+
+        def compare(one: int, others: np.ndarray) -> None:
+            own, sets = shingles(one), [shingles(k) for k in others]
+            sizes = np.array([len(x) for x in sets])
+            whole = np.concatenate(sets)
+            hit = own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole
+            both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for other in others[how.den * both >= how.num * (len(own) + sizes - both)]:
+                if group[one] != group[other]:
+                    group[group == group[other]] = group[one]
+                    out[0].append(int(one))
+                    out[1].append(int(other))
+
+        for _ in range(how.best_rounds):
+            left = group[i] != group[j]
+            i, j = i[left], j[left]
+            if not len(i):
+                break
+            best = np.unique(np.unique(np.stack([group[i], group[j]], axis=1), return_index=True)[1] // 2)
+            for one, other in zip(i[best], j[best], strict=True):
+                if group[one] != group[other]:
+                    compare(one, np.array([other]))
+            i, j = np.delete(i, best), np.delete(j, best)
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for others in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else []:
+            one = i[others[0]]
+            for first in range(0, len(others), 256):
+                near = j[others[first : first + 256]]
+                near = near[group[near] != group[one]]
+                if len(near):
+                    compare(one, near)
+        return out
+
+    wanted = texts.join(met.select("node").distinct(), "node", "left_semi")
+    sets = wanted.select("node", "text").mapInArrow(sets_of, "node binary, shingles binary")
+    return _dealt(met.join(sets, "node")).mapInArrow(run, "a binary, b binary")
 
 
 def with_common(members: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
@@ -295,10 +365,10 @@ def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame | N
 
     edges, roots = None, None
 
-    def confirmed(pairs: DataFrame) -> None:
-        """Adds what the full sets confirm to the edges."""
+    def confirmed(links: DataFrame) -> None:
+        """Adds links to the edges."""
         nonlocal edges, roots
-        found = staged(linked(pairs, texts, how), "links")
+        found = staged(links, "links")
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             roots = components(edges)
@@ -306,19 +376,15 @@ def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame | N
     for number in range(how.leading_rounds):
         if members.isEmpty():
             return roots
-        confirmed(leading(members, how))
+        confirmed(linked(leading(members, how), texts, how))
         left = members.select("bucket", "node", "n_shingles", "common").withColumn("root", F.col("node"))
         if roots is not None:
             left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         members = staged(crowded(left, number + 1), "members")
     if members.isEmpty():
         return roots
-    pairs = staged(candidates(postings(with_common(members, texts, how), nodes, how), how), "pairs")
-    for number in range(how.best_rounds + 1):
-        left = staged(rooted(pairs, roots), "left")
-        if left.isEmpty():
-            break
-        confirmed(best_of(left) if number < how.best_rounds else left)
+    met = staged(candidates(postings(with_common(members, texts, how), nodes, how), how), "met")
+    confirmed(settled(met, texts, how))
     return roots
 
 

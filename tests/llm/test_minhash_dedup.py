@@ -106,6 +106,36 @@ def test_alike_texts_that_are_no_links_are_not_paired(spark):
     assert near_duplicates(df).where("kept").count() == sum(r[3] for r in brute(rows))
 
 
+def test_alike_texts_with_common_words_leave_no_table_of_pairs(spark, rows, monkeypatch):
+    """Every shingle is in half of the texts, so the count of common ones tells nothing; pairs must not become rows."""
+    rng = random.Random(9)
+    data = []
+    for d in range(300):
+        w = [f"b{k}" for k in range(100)]
+        for k in range(3, 99, 6):
+            w[k] = f"{rng.choice('xy')}{k}"
+        data.append((d, " ".join(w)))
+    for d in range(300, 320):  # some links
+        w = data[d - 300][1].split()
+        w[3] = f"z{d % 2}"
+        data.append((d, " ".join(w)))
+    sizes, staged = {}, mh.staged
+
+    def counted(frame, label):
+        out = staged(frame, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(mh, "staged", counted)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    how = NearDup()
+    assert rows(near_duplicates(df, how), "doc_id", "n_shingles", "component_id", "kept") == brute(data)
+    after = {k: n for k, n in sizes.items() if k not in ("keys", "members")}
+    assert max(after.values()) <= len(data) * how.bands, after
+    how = NearDup(leading_rounds=0, best_rounds=0, crowd_shingles=5000)
+    assert rows(near_duplicates(df, how), "doc_id", "n_shingles", "component_id", "kept") == brute(data)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
