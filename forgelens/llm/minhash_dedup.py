@@ -7,7 +7,8 @@ probability below 2 * (1 - s ** rows) ** bands: 4e-6 at 0.75 with the defaults,
 Documents with one shingle set are one node from the start. A half key that one node has alone can't be part of a
 shared table key, so only shared halves are combined. In the leading rounds every component is compared with the one
 pivot that it shares most buckets with, on the full shingle sets; pivots differ from round to round. That joins large
-groups of near copies at few comparisons. What buckets of several components are left with is paired once: nodes meet
+groups of near copies at few comparisons; until all links are known, labels stand for the components (``merged``).
+What buckets of several components are left with is paired once: nodes meet
 under their left half keys, and a pair counts if it shares a right one too, is not of one component, and may be a link.
 Three exact bounds and one of known risk say so: the sizes of the sets; the number of shingles that a member of another
 component has too, of which a link needs nearly all; and the agreement of 30 of the 64 minhashes (a pair at 0.75 is lost
@@ -148,11 +149,28 @@ def _pair() -> list[Column]:
 
 
 def leading(members: DataFrame, how: NearDup) -> DataFrame:
-    """(a, b): for every component the one pair with a pivot of another component that most buckets share."""
+    """(a, b, low_root, low_other_root, high_root, high_other_root): for every component the one pair with a pivot of another component that most buckets share, and whose pair it is."""
     pairs = members.select(*_MEMBER, *_other()).where("root <> other_root").where(_fits(how))
-    counts = pairs.groupBy("root", "node", "other_node").agg(F.count("*").alias("n"))
-    best = counts.groupBy("root").agg(F.max(F.struct("n", "node", "other_node")).alias("best"))
-    return best.select("best.*").select(*_pair()).distinct()
+    counts = pairs.groupBy("root", "node", "other_node", "other_root").agg(F.count("*").alias("n"))
+    best = counts.groupBy("root").agg(F.max(F.struct("n", "node", "other_node", "other_root")).alias("best")).select("root", "best.*")
+    # Two components may name the same pair: it is compared once.
+    ways = F.struct("root", "other_root")
+    return best.select(*_pair(), ways.alias("way")).groupBy("a", "b").agg(F.min("way").alias("low"), F.max("way").alias("high")).select("a", "b", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("low", "high") for c in ("root", "other_root")))
+
+
+def merged(named: DataFrame) -> DataFrame:
+    """(root, label) from (root, other_root), at most one row a root: roots of one label are connected.
+
+    Everybody goes two steps along the rows and takes the lesser of the place reached and the next one. That makes one
+    label of everything within two steps of two roots that name each other. Longer chains get several labels; a label
+    only spares comparisons, the links themselves decide the components in the end.
+    """
+    other = named.select(F.col("root").alias("at"), F.col("other_root").alias("next"))
+
+    def step(found: DataFrame, at: str, to: str) -> DataFrame:
+        return found.join(other.select(F.col("at").alias(at), F.col("next").alias(to)), at, "left").withColumn(to, F.coalesce(to, at))
+
+    return step(step(named.withColumnRenamed("other_root", "one"), "one", "two"), "two", "three").select("root", F.least("two", "three").alias("label"))
 
 
 def postings(members: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
@@ -339,7 +357,8 @@ def with_common(members: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame
 
 
 def linked(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The rows of ``pairs`` whose nodes a and b have full shingle sets that are similar enough."""
+    columns = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,10 +369,10 @@ def linked(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
                 for x, y in zip(*sets, strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(how.den * both >= how.num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns).filter(pa.array(good, pa.bool_()))
 
     ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(ta, "a").join(tb, "b").select(*columns, "ta", "tb").mapInArrow(run, pairs.schema)
 
 
 def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame | None:
@@ -363,29 +382,25 @@ def links(nodes: DataFrame, documents: DataFrame, how: NearDup) -> DataFrame | N
     texts = documents.selectExpr("doc_id", "text", _TEXT_HASH).join(wanted, ["doc_id", "text_hash"])
     texts = staged(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
 
-    edges, roots = None, None
-
-    def confirmed(links: DataFrame) -> None:
-        """Adds links to the edges."""
-        nonlocal edges, roots
-        found = staged(links, "links")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            roots = components(edges)
-
+    edges = None
     for number in range(how.leading_rounds):
         if members.isEmpty():
-            return roots
-        confirmed(linked(leading(members, how), texts, how))
-        left = members.select("bucket", "node", "n_shingles", "common").withColumn("root", F.col("node"))
-        if roots is not None:
-            left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            break
+        found = staged(linked(leading(members, how), texts, how), "links")
+        left = members.select("bucket", "node", "n_shingles", "common", "root")
+        if not found.isEmpty():
+            pairs = found.select("a", "b")
+            edges = pairs if edges is None else edges.unionByName(pairs)
+            ways = [F.struct(F.col(f"{x}_root").alias("root"), F.col(f"{x}_other_root").alias("other_root")) for x in ("low", "high")]
+            labels = staged(merged(found.select(F.explode(F.array_distinct(F.array(*ways))).alias("way")).select("way.*")), "labels")
+            left = left.join(labels, "root", "left").withColumn("root", F.coalesce("label", "root")).drop("label")
         members = staged(crowded(left, number + 1), "members")
-    if members.isEmpty():
-        return roots
-    met = staged(candidates(postings(with_common(members, texts, how), nodes, how), how), "met")
-    confirmed(settled(met, texts, how))
-    return roots
+    if not members.isEmpty():
+        met = staged(candidates(postings(with_common(members, texts, how), nodes, how), how), "met")
+        found = staged(settled(met, texts, how), "links")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+    return None if edges is None else components(edges)
 
 
 def grouped(documents: DataFrame, how: NearDup) -> DataFrame:

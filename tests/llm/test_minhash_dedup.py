@@ -147,3 +147,22 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len(got) == 400
     assert len({got[x] for x in names[:200]}) == 1 and len({got[x] for x in names[200:]}) == 1 and got[names[0]] != got[names[200]]
+
+
+def test_roots_that_name_each_other_get_one_label(spark):
+    """A star, two roots that name each other, and a chain: labels join connected roots only, and the first two wholly."""
+    named = [("a", "c"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "f"), ("f", "e"), ("p", "q"), ("q", "r")]
+    got = {r.root: r.label for r in mh.merged(spark.createDataFrame(named, "root string, other_root string")).collect()}
+    assert len(got) == len(named)
+    assert len({got[x] for x in "abcd"}) == 1 and got["e"] == got["f"] and got["p"] == got["q"]
+    assert set(got["e"]) <= set("ef") and set(got["p"]) <= set("pqr") and set(got["a"]) <= set("abcd")
+
+
+def test_components_are_made_once(spark, rows, monkeypatch):
+    """The leading rounds label what they join; only all links together go through the rounds of the components."""
+    calls = []
+    monkeypatch.setattr(mh, "components", lambda edges: calls.append(1) or components(edges))
+    data = chain_rows(5)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert rows(near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == brute(data)
+    assert len(calls) == 1
