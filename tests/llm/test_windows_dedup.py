@@ -8,8 +8,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from forgelens.llm import suffix_dedup
 from forgelens.llm.repeats import Rule
 from forgelens.llm.substring_dedup import WORD_RULE, remove_repeated_words
 from forgelens.llm.suffix_dedup import BYTE_RULE, remove_earlier_bytes
@@ -120,3 +122,32 @@ def test_long_and_short_texts_of_one_id(spark, rows):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     assert rows(remove_repeated_words(df, SMALL), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(data, 7)
     assert rows(remove_earlier_bytes(df, SMALL_BYTES), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(data, 9)
+
+
+def test_stretches_hold_every_string_once_and_are_few():
+    """Strings are dealt by a seed that depends on them alone, and about eleven of them travel together."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (3000, 49, 50, 0, 500)]
+    texts.append(np.concatenate([texts[4][100:300], texts[0][7:400]]))
+    bounds = np.cumsum([0] + [len(t) for t in texts])
+    data = np.concatenate(texts)
+    start, size, seed, _ = suffix_dedup.stretches(data, bounds, BYTE_RULE)
+    places = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    assert places.tolist() == [k for a, b in zip(bounds, bounds[1:]) for k in range(a, b - 49)]
+    assert len(start) * 8 < size.sum()
+    # Blocks are the high bits of a seed: each half of them gets its share.
+    assert 0.4 < np.mean(seed >> np.uint64(63)) < 0.6
+    seeds = {}
+    for place, s in zip(places.tolist(), np.repeat(seed, size).tolist()):
+        assert seeds.setdefault(data[place : place + 50].tobytes(), s) == s
+
+
+def test_copies_in_other_surroundings_match_brute_force(spark, rows):
+    """Passages that begin and end at any place, so that stretches agree in part only; one pass and several."""
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdé") for _ in range(rng.randint(45, 160))) for _ in range(5)]
+    data = [(rng.randint(0, 60), "".join(rng.choice([p[rng.randint(0, 20) : len(p) - rng.randint(0, 20)], "zq" * rng.randint(0, 40)]) for p in rng.choices(passages, k=4))) for _ in range(90)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    for rule in (BYTE_RULE, Rule(unit="byte", width=50, period=21, cover=BYTE_RULE.cover, smaller_only=True, anchor_passes=2, window_passes=2, chunk_bytes=300)):
+        for crowd in (4096, 2):
+            assert rows(remove_earlier_bytes(df, rule, crowd=crowd), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(data, 50)
