@@ -25,8 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from forgelens.llm import arrays
+
 UNIT = 1_000_000
-CACHE_WORDS = 500_000
+#: Words whose ids are kept, and the UTF-8 bytes of texts that are split into words at once: they bound a worker's memory.
+CACHE_WORDS = 100_000
+CHUNK_BYTES = 1 << 20
 LONGEST_WORD = 64
 _NEVER = -(1 << 60)
 #: Places inside a text that no piece crosses: before a space, around a line feed, between a letter and , or .
@@ -179,16 +183,19 @@ class PieceTable:
         texts = list(vocabulary.pieces)
         self.ids = np.array([vocabulary.pieces[t][0] for t in texts], np.int32)
         self.scores = np.array([vocabulary.pieces[t][1] for t in texts] + [_NEVER], np.int64)
-        for row, text in enumerate(texts):
-            h = np.zeros(1, np.uint64)
-            for c in text:
-                h = self.step(h, np.uint64(ord(c)))
-            slot = int(self.slots(h)[0])
+        sizes = np.array([len(t) for t in texts])
+        hashes = np.zeros(len(texts), np.uint64)
+        for length in np.unique(sizes):
+            own = np.flatnonzero(sizes == length)
+            chars = np.frombuffer("".join(texts[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+            for k in range(length):
+                hashes[own] = self.step(hashes[own], chars[:, k].astype(np.uint64))
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces share a hash")
+        for row, slot in enumerate(self.slots(hashes).tolist()):
             while self.rows[slot] >= 0:
-                if self.keys[slot] == h[0]:
-                    raise ValueError("two pieces share a hash")
                 slot = (slot + 1) % size
-            self.keys[slot], self.rows[slot] = h[0], row
+            self.keys[slot], self.rows[slot] = hashes[row], row
 
     def step(self, hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
         return (hashes ^ (hashes >> np.uint64(29))) * self.BASE + chars + np.uint64(1)
@@ -225,8 +232,10 @@ class Encoder(dict):
         return array("i", [*self.search.push(word), *self.search.finish()]).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
+        if len(self) + len(words) > CACHE_WORDS:
+            kept = {w: self[w] for w in words.intersection(self)}
             self.clear()
+            self.update(kept)
         by_length: dict[int, list[str]] = {}
         for word in words.difference(self):
             if len(word) <= LONGEST_WORD:
@@ -285,8 +294,8 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
+            for first, last in arrays.chunks(arrays.utf8(batch.column("text"))[1], CHUNK_BYTES):
+                part = batch.slice(first, last - first)
                 texts = part.column("text").to_pylist()
                 parts = encoder.encode_all([t or "" for t in texts])
                 counts = [None if t is None else len(ids) for t, ids in zip(texts, parts, strict=True)]

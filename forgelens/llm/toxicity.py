@@ -19,6 +19,7 @@ import bisect
 import itertools
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -118,13 +119,19 @@ class Scorer:
     def score(self, texts: list[str | None]) -> list[float]:
         hits, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         every = ((k, w) for k, t in enumerate(texts) for w in windows(t, self.model.longest_window))
-        while block := list(itertools.islice(every, BLOCK)):
-            names = sorted({w for _, w in block})
-            toxic, gain = self.lengths(names)
+        while True:
+            names: dict[bytes, int] = {}  # each window once; the others are two numbers
+            row, name = array("i"), array("i")
+            for k, w in itertools.islice(every, BLOCK):
+                row.append(k)
+                name.append(names.setdefault(w, len(names)))
+            if not row:
+                break
+            toxic, gain = self.lengths(list(names))
             good = (toxic <= self.model.most_toxic) & (gain >= self.model.least_gain)
-            counted = {w for w, g in zip(names, good.tolist(), strict=True) if g}
-            sizes += np.bincount([k for k, _ in block], minlength=len(texts))
-            hits += np.bincount(np.array([k for k, w in block if w in counted], np.int64), minlength=len(texts))
+            row, name = np.array(row), np.array(name)
+            sizes += np.bincount(row, minlength=len(texts))
+            hits += np.bincount(row[good[name]], minlength=len(texts))
         return logistic(features(hits, sizes), np.array(self.model.weights)).tolist()
 
 

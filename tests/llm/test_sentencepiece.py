@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
+from forgelens.llm import sentencepiece_codec
 from forgelens.llm.sentencepiece_codec import Encoder, StreamingViterbi, decode, encode, read_vocabulary
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -74,3 +78,26 @@ def test_edge_rows(spark):
     assert all(r.round_trip for r in got if r.doc_id != 99)
     assert [(r.ids, r.n_ids, r.round_trip) for r in got if r.doc_id == 99] == [(None, None, None)]
     assert encode(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
+
+
+def test_kept_words_stay_few(vocabulary, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_WORDS", 100)
+    encoder, plain = Encoder(vocabulary), Encoder(vocabulary)
+    for k in range(6):
+        texts = [" ".join(f"word{j}" for j in range(60 * k, 60 * k + 90))]
+        got = encoder.encode_all(texts)[0].tolist()
+        plain.clear()
+        assert got == plain.encode_all(texts)[0].tolist() == lattice(vocabulary, " " + texts[0])
+        assert len(encoder) <= 100
+
+
+def test_a_batch_is_split_into_words_piece_by_piece(spark):
+    given = {}
+    frame = SimpleNamespace(sparkSession=spark, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: given.update(run=run)))
+    encode(frame, MODEL)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(["the cat sat on a mat " * 150] * 1500)], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in given["run"](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == 1500 and peak < 75, peak

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import tracemalloc
 import zlib
 
 from forgelens.llm.toxicity import Fit, Lengths, fit_model, score_toxicity, train, windows, without_toxic
@@ -93,3 +94,17 @@ def test_edge_rows_and_no_labels(spark):
     kept = without_toxic(docs, model)
     assert kept.columns == docs.columns and sorted(r.score for r in kept.collect()) == [1.0, 2.0, 3.0, 4.0]
     assert score_toxicity(docs.limit(0), model).count() == 0 and without_toxic(docs.limit(0), model).count() == 0
+
+
+def test_repeated_windows_take_little_memory(monkeypatch):
+    from forgelens.llm import toxicity
+
+    scorer = toxicity.Scorer(fit_model(invented(1, 300), Fit()))
+    texts = [t for t, _ in invented(2, 3)] * 1000
+    tracemalloc.start()
+    scores = scorer.score(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 15, peak
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    assert scores[:30] == scorer.score(texts[:30])
