@@ -18,15 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.llm import arrays
-from forgelens.llm.sentencepiece_codec import Encoder, Vocabulary, read_vocabulary
+from forgelens.llm.sentencepiece_codec import CHUNK_BYTES, Encoder, Vocabulary, read_vocabulary
 from forgelens.llm.staging import staged
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
 
 @dataclass(frozen=True)
 class Fit:
@@ -40,7 +39,7 @@ class Fit:
     batch: int = 64
     pass_batch: int = 256  # windows of a step in the pass over all documents
     rate: float = 0.08
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 2 << 20  # of text whose words are found at once: bounds a worker's memory
 
 
 @dataclass
@@ -77,11 +76,24 @@ def relative_mask(bias: np.ndarray) -> np.ndarray:
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
+    """In place."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
     x /= x.sum(axis=-1, keepdims=True)
     return x
 
 
+def plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In place, for a fresh product: no second array of its size."""
+    x += y
+    return x
+
+
+def sorted_places(ids: np.ndarray, symbols: int) -> np.ndarray:
+    """Stable order of the ids; 16 bits are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16) if symbols <= 1 << 16 else ids, axis=None, kind="stable")
+
+
 def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: np.ndarray, ids: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of AdaGrad in place, over windows of symbols and the symbols after them; the begin is no target."""
     n, d = len(w["r"]), w["e"].shape[1]
@@ -89,18 +101,22 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: np.ndarra
     lower = back >= 0
     real = target != len(group)
     wanted = group[np.where(real, target, 0)]
-    x = w["e"][ids]
-    q, k, v = x @ w["q"] / np.float32(d**0.5), x @ w["k"], x @ w["v"]
-    a = softmax(q @ k.transpose(0, 2, 1) + relative_mask(w["r"]))
-    h = x + a @ v
-    p = softmax(h @ w["c"] + w["b"])
+    x = w["e"].take(ids, axis=0)
+    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
+    q /= np.float32(d**0.5)
+    a = softmax(plus(q @ k.transpose(0, 2, 1), relative_mask(w["r"])))
+    h = plus(a @ v, x)
+    p = softmax(plus(h @ w["c"], w["b"]))
     p[np.arange(len(ids))[:, None], np.arange(n), wanted] -= 1
     p *= real[..., None] / np.float32(max(1, real.sum()))
     dh = p @ w["c"].T
     da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
-    dq, dk, dv = ds @ k / np.float32(d**0.5), ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-    dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+    ds = da
+    ds -= (da * a).sum(axis=-1, keepdims=True)
+    ds *= a
+    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+    dq /= np.float32(d**0.5)
+    dx = plus(plus(plus(dq @ w["q"].T, dh), dk @ w["k"].T), dv @ w["v"].T)
     flat = lambda m: m.reshape(-1, m.shape[-1])
     slopes = {
         "q": flat(x).T @ flat(dq),
@@ -114,12 +130,13 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: np.ndarra
         slope = slope.astype(np.float32)
         seen[name] += slope * slope
         w[name] -= np.float32(rate) * slope / np.sqrt(seen[name])
-    order = np.argsort(ids, axis=None, kind="stable")
+    order = sorted_places(ids, len(w["e"]))
     sorted_ids = ids.reshape(-1)[order]
     first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-    own, slope = sorted_ids[first], np.add.reduceat(flat(dx)[order], first, axis=0)
-    seen["e"][own] += slope * slope
-    w["e"][own] -= np.float32(rate) * slope / np.sqrt(seen["e"][own])
+    own, slope = sorted_ids[first], np.add.reduceat(flat(dx).take(order, axis=0), first, axis=0)
+    squares = plus(seen["e"].take(own, axis=0), slope * slope)
+    seen["e"][own] = squares
+    w["e"][own] -= np.float32(rate) * slope / np.sqrt(squares)
 
 
 def stream_of(sequences: list[np.ndarray], symbols: int) -> np.ndarray:
@@ -202,7 +219,7 @@ def train_over_documents(learning: DataFrame, start, fit: Fit) -> Attention:
         rng, reads = np.random.default_rng(11), np.zeros(len(w["e"]), np.int64)
         for batch in batches:
             lists = batch.column("ids")
-            values, edges = lists.flatten().to_numpy().astype(np.int64), np.cumsum([0] + lists.value_lengths().to_pylist())
+            values, edges = lists.flatten().to_numpy(), np.cumsum([0] + lists.value_lengths().to_pylist())
             for at in range(0, batch.num_rows, 500):
                 own = [values[a:b] for a, b in zip(edges[at : at + 500], edges[at + 1 : at + 501])]
                 reads += np.bincount(train_on_all(w, seen, group, own, fit, rng), minlength=len(reads))
@@ -268,27 +285,41 @@ class Scorer:
         places = starts[:, None] + np.arange(n)
         inside = places < ends[doc[starts]][:, None]
         ids = inputs[np.minimum(places, len(inputs) - 1)]
-        a = softmax(np.matmul(self.q[ids[:, first:]], self.k[ids].transpose(0, 2, 1)) + self.mask[first:])
-        h = np.matmul(a, self.v[ids]) + self.e[ids[:, first:]]
+        later = ids[:, first:]
+        a = softmax(plus(np.matmul(self.q.take(later, axis=0), self.k.take(ids, axis=0).transpose(0, 2, 1)), self.mask[first:]))
+        h = plus(np.matmul(a, self.v.take(ids, axis=0)), self.e.take(later, axis=0))
         good = inside[:, first:]
         at = places[:, first:][good]
-        logits = h[good] @ self.c + self.b
-        most = logits.max(axis=1)
-        total = np.log(np.exp(logits - most[:, None]).sum(axis=1)) + most
+        logits = plus(h[good] @ self.c, self.b)
         target = targets[at]
-        gained[at] = logits[np.arange(len(at)), self.model.group[target]] - total + self.model.within[target]
+        most = logits.max(axis=1)
+        wanted = logits[np.arange(len(at)), self.model.group[target]]
+        logits -= most[:, None]
+        total = np.log(np.exp(logits, out=logits).sum(axis=1)) + most
+        gained[at] = wanted - total + self.model.within[target]
+
+
+def summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, with the sum of its counts."""
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else order
+    return words[first], np.add.reduceat(counts, first) if len(words) else counts
 
 
 def word_counts(documents: DataFrame, fit: Fit) -> DataFrame:
-    """(word, n) over the documents: words by their hashes, counted in each task first."""
+    """(word, n) over the documents: words by their hashes, counted in each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = arrays.utf8(batch.column("text"))
+            found = []
             for first, last in arrays.chunks(bounds, fit.chunk_bytes):
                 own = bounds[first : last + 1]
                 _, _, hashes, _ = arrays.words_of(data[own[0] : own[-1]], own - own[0], lower=True)
-                words, counts = np.unique(hashes, return_counts=True)
+                found.append(np.unique(hashes, return_counts=True))
+            if found:
+                words, counts = summed(np.concatenate([w for w, _ in found]), np.concatenate([n for _, n in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
     return documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -322,9 +353,9 @@ def _prepared(documents: DataFrame, vocabulary, head) -> DataFrame:
         encoder = Encoder(vocabulary.value)
         names, logs = head.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
-                ids = encoder.encode_all([(t or "").translate(_LOWER) for t in part.column("text").to_pylist()])
+            for first, last in arrays.chunks(arrays.utf8(batch.column("text"))[1], CHUNK_BYTES):
+                part = batch.slice(first, last - first)
+                ids = encoder.encode_all([t or "" for t in pc.ascii_lower(part.column("text")).to_pylist()])
                 bounds = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype(np.int32)))
                 _, _, hashes, before = arrays.words_of(*arrays.utf8(part.column("text")), lower=True)

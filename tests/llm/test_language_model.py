@@ -6,13 +6,17 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from forgelens.llm.language_model import Fit, Scorer, score_documents, train_attention
+from forgelens.llm import arrays
+from forgelens.llm.language_model import Fit, Scorer, score_documents, train_attention, word_counts
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -100,3 +104,18 @@ def test_every_training_document_trains_the_weights(spark):
 def test_tiny_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert score_documents(df, MODEL, Fit(steps=5)).count() == len(rows)
+
+
+def test_words_of_a_batch_are_counted_piece_by_piece(spark):
+    given = {}
+    chain = SimpleNamespace(groupBy=lambda *_: SimpleNamespace(agg=lambda *_: None))
+    frame = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: given.update(run=run) or chain))
+    word_counts(frame, Fit())
+    batch = pa.RecordBatch.from_arrays([pa.array(["The cat sat on a mat " * 200] * 3000 + [None, "", "cat"])], names=["text"])
+    arrays._Tables.get()
+    tracemalloc.start()
+    out = list(given["run"](iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert sorted(n for o in out for n in o.column("n").to_pylist()) == [600_000] * 5 + [600_001]
+    assert peak < 110, peak
