@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forgelens.llm import arrays
-from forgelens.llm.sentencepiece_codec import CHUNK_BYTES, Encoder, Vocabulary, read_vocabulary
+from forgelens.llm.sentencepiece_codec import CHUNK_BYTES, ColumnEncoder, Vocabulary, read_vocabulary
 from forgelens.llm.staging import staged
 
 
@@ -75,12 +75,20 @@ def relative_mask(bias: np.ndarray) -> np.ndarray:
     return np.where(back >= 0, bias[np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of ``x`` less a number for each row, their sums by row, and those numbers.
+
+    The numbers are 0 unless a sum nears the ends of the range; then they are the largest of the rows, which cost more
+    to find than all else."""
+    ones, off = np.ones(x.shape[-1], x.dtype), np.zeros(x.shape[:-1], x.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(x)
+        sums = e @ ones
+    if sums.size and not (sums.min() > 1e-30 and sums.max() < 1e30):
+        off = x.max(axis=-1)
+        e = np.exp(x - off[..., None])
+        sums = e @ ones
+    return e, sums, off
 
 
 def plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -89,6 +97,26 @@ def plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x
 
 
+BLOCK_ROWS = 256  # of a long factor: products of this size take half the time of one over all rows
+
+
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x @ y`` for many rows of ``x`` and a small ``y``, block by block."""
+    y = np.ascontiguousarray(y)
+    whole = len(x) // BLOCK_ROWS * BLOCK_ROWS
+    out = np.empty((len(x), y.shape[1]), np.result_type(x, y))
+    np.matmul(x[:whole].reshape(-1, BLOCK_ROWS, x.shape[1]), y, out=out[:whole].reshape(-1, BLOCK_ROWS, y.shape[1]))
+    np.matmul(x[whole:], y, out=out[whole:])
+    return out
+
+
+def cross(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y`` for many rows, block by block."""
+    whole = len(x) // BLOCK_ROWS * BLOCK_ROWS
+    blocks = (m[:whole].reshape(-1, BLOCK_ROWS, m.shape[1]) for m in (x, y))
+    return (next(blocks).transpose(0, 2, 1) @ next(blocks)).sum(axis=0) + x[whole:].T @ y[whole:]
+
+
 def sorted_places(ids: np.ndarray, symbols: int) -> np.ndarray:
     """Stable order of the ids; 16 bits are sorted by their digits."""
     return np.argsort(ids.astype(np.uint16) if symbols <= 1 << 16 else ids, axis=None, kind="stable")
@@ -99,31 +127,39 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: np.ndarra
     n, d = len(w["r"]), w["e"].shape[1]
     back = np.arange(n)[:, None] - np.arange(n)[None, :]
     lower = back >= 0
-    real = target != len(group)
-    wanted = group[np.where(real, target, 0)]
+    real = (target != len(group)).reshape(-1)
+    wanted = group[np.where(real, target.reshape(-1), 0)]
+    share = real / np.float32(max(1, real.sum()))
+    flat = lambda m: m.reshape(-1, m.shape[-1])
+    # Scores are x (q k') x' and values (a x) v: fewer products than with the vectors q, k and v of every symbol.
+    root = np.float32(d**0.5)
+    pair = w["q"] @ w["k"].T / root
     x = w["e"].take(ids, axis=0)
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    q /= np.float32(d**0.5)
-    a = softmax(plus(q @ k.transpose(0, 2, 1), relative_mask(w["r"])))
-    h = plus(a @ v, x)
-    p = softmax(plus(h @ w["c"], w["b"]))
-    p[np.arange(len(ids))[:, None], np.arange(n), wanted] -= 1
-    p *= real[..., None] / np.float32(max(1, real.sum()))
-    dh = p @ w["c"].T
-    da = dh @ v.transpose(0, 2, 1)
-    ds = da
-    ds -= (da * a).sum(axis=-1, keepdims=True)
+    turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+    y = product(flat(x), pair).reshape(x.shape)
+    a, sums, _ = exponentials(plus(y @ turned, relative_mask(w["r"])))
+    a /= sums[..., None]
+    z = a @ x
+    h = plus(product(flat(z), w["v"]), flat(x))
+    p, sums, _ = exponentials(plus(product(h, w["c"]), w["b"]))
+    scale = (share / sums)[:, None]  # of the rows of p, put on narrower factors
+    p.reshape(-1)[np.arange(len(p)) * p.shape[1] + wanted] -= sums
+    dh = product(p, w["c"].T)
+    dh *= scale
+    dz = product(dh, w["v"].T).reshape(x.shape)
+    ds = dz @ turned
+    ds -= np.einsum("wij,wij->wi", ds, a)[..., None]
     ds *= a
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-    dq /= np.float32(d**0.5)
-    dx = plus(plus(plus(dq @ w["q"].T, dh), dk @ w["k"].T), dv @ w["v"].T)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
+    dy = ds @ x
+    dx = plus(plus(plus(product(flat(dy), pair.T), dh), flat(ds.transpose(0, 2, 1) @ y)), flat(a.transpose(0, 2, 1) @ dz))
+    dpair = cross(flat(x), flat(dy)) / root
+    h *= scale
     slopes = {
-        "q": flat(x).T @ flat(dq),
-        "k": flat(x).T @ flat(dk),
-        "v": flat(x).T @ flat(dv),
-        "c": flat(h).T @ flat(p),
-        "b": flat(p).sum(axis=0),
+        "q": dpair @ w["k"],
+        "k": dpair.T @ w["q"],
+        "v": cross(flat(z), dh),
+        "c": cross(h, p),
+        "b": scale[:, 0] @ p,
         "r": np.bincount(back[lower], ds.sum(axis=0)[lower], minlength=n),
     }
     for name, slope in slopes.items():
@@ -133,7 +169,7 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: np.ndarra
     order = sorted_places(ids, len(w["e"]))
     sorted_ids = ids.reshape(-1)[order]
     first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-    own, slope = sorted_ids[first], np.add.reduceat(flat(dx).take(order, axis=0), first, axis=0)
+    own, slope = sorted_ids[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0)
     squares = plus(seen["e"].take(own, axis=0), slope * slope)
     seen["e"][own] = squares
     w["e"][own] -= np.float32(rate) * slope / np.sqrt(squares)
@@ -195,6 +231,34 @@ def train_on_all(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: n
     return inputs
 
 
+def id_type(symbols: int) -> np.dtype:
+    """Of the numbers in which ids are staged, as bytes: a list column costs more time than the ids take to find."""
+    return np.dtype("<u2" if symbols <= 1 << 16 else "<i4")
+
+
+def staged_ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows of a batch and the bounds of the rows."""
+    data, bounds = arrays.utf8(column)
+    return data.view(kind), bounds // kind.itemsize
+
+
+def id_counts(learning: DataFrame, symbols: int) -> np.ndarray:
+    """How often each id occurs; each task gives at most one row an id."""
+    kind = id_type(symbols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(symbols, np.int64)
+        for batch in batches:
+            total += np.bincount(staged_ids(batch.column("ids"), kind)[0], minlength=symbols)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["id", "n"])
+
+    counts = np.zeros(symbols)
+    for r in learning.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r["id"]] = r["n"]
+    return counts
+
+
 _DENSE = ("q", "k", "v", "c", "b", "r")
 
 
@@ -218,8 +282,7 @@ def train_over_documents(learning: DataFrame, start, fit: Fit) -> Attention:
         w, seen = ({name: x.copy() for name, x in given.items()} for given in (first.model.weights, first.seen))
         rng, reads = np.random.default_rng(11), np.zeros(len(w["e"]), np.int64)
         for batch in batches:
-            lists = batch.column("ids")
-            values, edges = lists.flatten().to_numpy(), np.cumsum([0] + lists.value_lengths().to_pylist())
+            values, edges = staged_ids(batch.column("ids"), id_type(len(w["e"])))
             for at in range(0, batch.num_rows, 500):
                 own = [values[a:b] for a, b in zip(edges[at : at + 500], edges[at + 1 : at + 501])]
                 reads += np.bincount(train_on_all(w, seen, group, own, fit, rng), minlength=len(reads))
@@ -251,9 +314,9 @@ class Scorer:
 
     def __init__(self, model: Attention) -> None:
         w = model.weights
-        d = w["e"].shape[1]
         self.model, self.mask = model, relative_mask(w["r"])
-        self.e, self.q, self.k, self.v = w["e"], w["e"] @ w["q"] / np.float32(d**0.5), w["e"] @ w["k"], w["e"] @ w["v"]
+        self.e, self.v = w["e"], w["v"]
+        self.y = w["e"] @ (w["q"] @ w["k"].T / np.float32(w["e"].shape[1] ** 0.5))
         self.c, self.b = w["c"], w["b"]
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
@@ -265,38 +328,36 @@ class Scorer:
         if not len(sizes):
             return out
         offsets = np.cumsum(sizes) - sizes
-        inputs, targets = np.empty(sizes.sum(), np.int64), np.empty(sizes.sum(), np.int64)
+        inputs, targets = np.full(sizes.sum() + n, end, np.int64), np.empty(sizes.sum(), np.int64)
         for s, o in zip(sequences, offsets, strict=True):
             inputs[o], inputs[o + 1 : o + len(s) + 1] = begin, s
             targets[o : o + len(s)], targets[o + len(s)] = s, end
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        gained = np.empty(len(inputs))
+        wanted, gained = self.model.group[targets], self.model.within[targets]
         later = np.maximum(0, -(-(sizes - n) // (n - half)))  # windows after the first
         row = np.repeat(np.arange(len(sizes)), later)
         step = np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later) + 1
-        for starts, first in ((offsets, 0), (offsets[row] + step * (n - half), half)):
-            for at in range(0, len(starts), 4096):
-                self._windows(starts[at : at + 4096], first, offsets + sizes, doc, inputs, targets, gained)
+        ends = offsets + sizes
+        for starts, last, first in ((offsets, ends, 0), (offsets[row] + step * (n - half), ends[row], half)):
+            for at in range(0, len(starts), 512):
+                self._windows(starts[at : at + 512], last[at : at + 512], first, inputs, wanted, gained)
         return np.add.reduceat(gained, offsets) / np.log(10)
 
-    def _windows(self, starts: np.ndarray, first: int, ends: np.ndarray, doc: np.ndarray, inputs: np.ndarray, targets: np.ndarray, gained: np.ndarray) -> None:
-        """Scores the positions of each window from ``first`` on."""
-        n = self.model.window
+    def _windows(self, starts: np.ndarray, ends: np.ndarray, first: int, inputs: np.ndarray, wanted: np.ndarray, gained: np.ndarray) -> None:
+        """Adds what the positions of each window from ``first`` on gain by their classes."""
+        n, d = self.model.window, self.e.shape[1]
         places = starts[:, None] + np.arange(n)
-        inside = places < ends[doc[starts]][:, None]
-        ids = inputs[np.minimum(places, len(inputs) - 1)]
-        later = ids[:, first:]
-        a = softmax(plus(np.matmul(self.q.take(later, axis=0), self.k.take(ids, axis=0).transpose(0, 2, 1)), self.mask[first:]))
-        h = plus(np.matmul(a, self.v.take(ids, axis=0)), self.e.take(later, axis=0))
-        good = inside[:, first:]
-        at = places[:, first:][good]
-        logits = plus(h[good] @ self.c, self.b)
-        target = targets[at]
-        most = logits.max(axis=1)
-        wanted = logits[np.arange(len(at)), self.model.group[target]]
-        logits -= most[:, None]
-        total = np.log(np.exp(logits, out=logits).sum(axis=1)) + most
-        gained[at] = wanted - total + self.model.within[target]
+        ids = inputs[places]
+        x = self.e.take(ids, axis=0)
+        a, sums, _ = exponentials(plus(self.y.take(ids[:, first:], axis=0) @ np.ascontiguousarray(x.transpose(0, 2, 1)), self.mask[first:]))
+        a /= sums[..., None]
+        z = a @ x
+        places = places[:, first:]
+        good = np.flatnonzero(places < ends[:, None])
+        at = places.reshape(-1)[good]
+        h = plus(product(z.reshape(-1, d).take(good, axis=0), self.v), x[:, first:].reshape(-1, d).take(good, axis=0))
+        logits = plus(product(h, self.c), self.b)
+        _, sums, off = exponentials(logits)
+        gained[at] += logits.reshape(-1)[np.arange(len(at)) * logits.shape[1] + wanted[at]] - (np.log(sums) + off)
 
 
 def summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,13 +386,13 @@ def word_counts(documents: DataFrame, fit: Fit) -> DataFrame:
     return documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _rest(names: np.ndarray, logs: np.ndarray, words: np.ndarray, before: np.ndarray) -> list[pa.Array]:
-    """By row: number of words, words and log10 sums of the head, and the other words with their numbers."""
+def _rest(at: np.ndarray, logs: np.ndarray, words: np.ndarray, before: np.ndarray) -> list[pa.Array]:
+    """By row: number of words, words and log10 sums of the head, and the other words with their numbers. ``at``: the
+    place of each word in the head, or -1."""
     rows = len(before) - 1
     row = np.repeat(np.arange(rows), np.diff(before))
-    at = np.minimum(np.searchsorted(names, words), max(0, len(names) - 1))
-    known = names[at] == words if len(names) else np.zeros(len(words), dtype=bool)
-    sums = np.bincount(row[known], logs[at[known]] if len(names) else None, minlength=rows)
+    known = at >= 0
+    sums = np.bincount(row[known], logs[at[known]], minlength=rows)
     hits = np.bincount(row[known], minlength=rows)
     rest_row, rest_word = row[~known], words[~known]
     order = np.lexsort((rest_word, rest_row))
@@ -343,25 +404,26 @@ def _rest(names: np.ndarray, logs: np.ndarray, words: np.ndarray, before: np.nda
     return [pa.array(np.diff(before)), pa.array(hits), pa.array(sums.astype(np.float64)), *lists]
 
 
-_PREPARED = "doc_id long, held_out boolean, learns boolean, ids array<int>, n_words long, hits long, sums double, words array<long>, times array<long>"
+_PREPARED = "doc_id long, held_out boolean, learns boolean, ids binary, n_words long, hits long, sums double, words array<long>, times array<long>"
 
 
 def _prepared(documents: DataFrame, vocabulary, head) -> DataFrame:
     """Piece ids of each text in lower case, and what its words give for the base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder, kind = ColumnEncoder(vocabulary.value), id_type(len(vocabulary.value.texts) + 2)
         names, logs = head.value
+        places = arrays.Places()
+        places.add(names.view(np.uint64), np.arange(len(names), dtype=np.int32))
         for batch in batches:
             for first, last in arrays.chunks(arrays.utf8(batch.column("text"))[1], CHUNK_BYTES):
                 part = batch.slice(first, last - first)
-                ids = encoder.encode_all([t or "" for t in pc.ascii_lower(part.column("text")).to_pylist()])
-                bounds = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype(np.int32)))
+                ids, bounds = encoder.encode(pc.ascii_lower(part.column("text")))
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds * kind.itemsize), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
                 _, _, hashes, before = arrays.words_of(*arrays.utf8(part.column("text")), lower=True)
-                base = _rest(names, logs, hashes.view(np.int64), before)
+                base = _rest(places.find(hashes), logs, hashes.view(np.int64), before)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "held_out", "learns")), lists, *base],
+                    [*(part.column(c) for c in ("doc_id", "held_out", "learns")), packed, *base],
                     names=["doc_id", "held_out", "learns", "ids", "n_words", "hits", "sums", "words", "times"],
                 )
 
@@ -391,15 +453,15 @@ def score_documents(documents: DataFrame, model_path: str, fit: Fit = Fit()) ->
     # Rows are numbered as they are written: all later steps read those numbers.
     parts = staged(_prepared(marked, shared, head).withColumn("row", F.monotonically_increasing_id()), "pieces")
     learning = parts.where("learns")
-    pieces = learning.select(F.explode("ids").alias("id")).groupBy("id").count().collect()  # at most one row for each id of the vocabulary
-    counts = np.zeros(len(vocabulary.texts) + 1)
-    for r in pieces:
-        counts[r["id"]] = r["count"]
+    kind = id_type(len(vocabulary.texts) + 2)
+    counts = id_counts(learning, len(vocabulary.texts) + 2)[:-1]
     counts[-1] = trained
     chosen = learning.select("row", "doc_id").orderBy(F.xxhash64("doc_id"), "row").limit(fit.sample_documents).select("row")
     share = max(fit.window + 1, fit.sample_pieces // fit.sample_documents)
-    place = F.pmod(F.xxhash64("row"), F.greatest(F.size("ids") - share + 1, F.lit(1))).cast("int") + 1
-    sample = [np.array(r["ids"], np.int64) for r in learning.join(F.broadcast(chosen), "row").orderBy("row").select(F.slice("ids", place, share).alias("ids")).toLocalIterator()]
+    n_ids = (F.octet_length("ids") / kind.itemsize).cast("int")
+    place = F.pmod(F.xxhash64("row"), F.greatest(n_ids - share + 1, F.lit(1))).cast("int")
+    part = F.substr("ids", place * kind.itemsize + 1, F.lit(share * kind.itemsize))
+    sample = [np.frombuffer(r["ids"], kind).astype(np.int64) for r in learning.join(F.broadcast(chosen), "row").orderBy("row").select(part.alias("ids")).toLocalIterator()]
     start = spark.sparkContext.broadcast(start_attention(sample, counts, fit))
     model = spark.sparkContext.broadcast(train_over_documents(learning, start, fit))
 
@@ -411,8 +473,7 @@ def score_documents(documents: DataFrame, model_path: str, fit: Fit = Fit()) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            lists = batch.column("ids")
-            values, edges = lists.flatten().to_numpy(), np.cumsum([0] + lists.value_lengths().to_pylist())
+            values, edges = staged_ids(batch.column("ids"), kind)
             for first in range(0, batch.num_rows, 500):
                 last = min(first + 500, batch.num_rows)
                 own = [values[a:b] for a, b in zip(edges[first:last], edges[first + 1 : last + 1], strict=True)]

@@ -30,6 +30,8 @@ from forgelens.llm import arrays
 UNIT = 1_000_000
 #: Words whose ids are kept, and the UTF-8 bytes of texts that are split into words at once: they bound a worker's memory.
 CACHE_WORDS = 100_000
+#: The same of ``ColumnEncoder``, which holds them in arrays of about 50 bytes a word.
+COLUMN_WORDS = 1 << 19
 CHUNK_BYTES = 1 << 20
 LONGEST_WORD = 64
 _NEVER = -(1 << 60)
@@ -196,6 +198,7 @@ class PieceTable:
             while self.rows[slot] >= 0:
                 slot = (slot + 1) % size
             self.keys[slot], self.rows[slot] = hashes[row], row
+        self.taken = self.rows >= 0
 
     def step(self, hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
         return (hashes ^ (hashes >> np.uint64(29))) * self.BASE + chars + np.uint64(1)
@@ -204,16 +207,18 @@ class PieceTable:
         return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Row of each piece, -1 for what is none (which has the score of never)."""
-        slot = self.slots(hashes)
-        rows = self.rows[slot]
-        wrong = (rows >= 0) & (self.keys[slot] != hashes)
-        while wrong.any():
-            at = np.nonzero(wrong)
-            slot[at] = (slot[at] + 1) % (1 << self.BITS)
-            rows[at] = self.rows[slot[at]]
-            wrong[at] = (rows[at] >= 0) & (self.keys[slot[at]] != hashes[at])
-        return rows
+        """Row of each piece, -1 for what is none (which has the score of never). Most are none, and most of those meet
+        an empty slot."""
+        out = np.full(hashes.size, -1, np.int32)
+        slot = self.slots(hashes.reshape(-1))
+        at = np.flatnonzero(self.taken[slot])
+        slot, keys = slot[at], hashes.reshape(-1)[at]
+        while len(at):
+            rows, same = self.rows[slot], self.keys[slot] == keys
+            out[at[same]] = rows[same]
+            left = ~same & (rows >= 0)
+            at, slot, keys = at[left], (slot[left] + 1) % (1 << self.BITS), keys[left]
+        return out.reshape(hashes.shape)
 
 
 class Encoder(dict):
@@ -245,33 +250,41 @@ class Encoder(dict):
                 self._solve(own[k : k + 20_000], length)
 
     def _solve(self, words: list[str], length: int) -> None:
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length).astype(np.uint64)
-        reach, m = self.search.reach, len(words)
-        scores = np.zeros((m, length + 1), np.int64)
-        back, rows = np.zeros((m, length + 1), np.int16), np.zeros((m, length + 1), np.int32)
-        hashes = np.zeros((m, length), np.uint64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+        out, count, good = self.paths(chars.T.astype(np.uint64))
+        packed = out.tobytes()
+        for i, (word, n, ok) in enumerate(zip(words, count.tolist(), good.tolist(), strict=True)):
+            self[word] = packed[4 * ((i + 1) * length - n) : 4 * (i + 1) * length] if ok else self.__missing__(word)
+
+    def paths(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For words in columns of characters: a row of ids for each, flush right, their number, and whether pieces alone
+        make up the word."""
+        length, m = chars.shape
+        reach = self.search.reach
+        scores = np.zeros((length + 1, m), np.int64)
+        back, rows = np.zeros((length + 1, m), np.int16), np.zeros((length + 1, m), np.int32)
+        hashes = np.zeros((length, m), np.uint64)
         lines = np.arange(m)
         for end in range(1, length + 1):
             low = max(0, end - reach)
-            hashes[:, low:end] = self.table.step(hashes[:, low:end], chars[:, end - 1 : end])
-            found = self.table.find(hashes[:, low:end])
-            total = scores[:, low:end] + self.table.scores[found]
-            best = np.argmax(total, axis=1)  # the first of equals: the longest piece
-            scores[:, end] = np.maximum(total[lines, best], _NEVER)
-            back[:, end] = best + low
-            rows[:, end] = found[lines, best]
+            hashes[low:end] = self.table.step(hashes[low:end], chars[end - 1])
+            found = self.table.find(hashes[low:end])
+            total = scores[low:end] + self.table.scores[found]
+            best = np.argmax(total, axis=0)  # the first of equals: the longest piece
+            scores[end] = np.maximum(total[best, lines], _NEVER)
+            back[end] = best + low
+            rows[end] = found[best, lines]
         out, count = np.zeros((m, length), np.int32), np.zeros(m, np.int64)
-        at, good = np.full(m, length), scores[:, length] > _NEVER // 2
+        at, good = np.full(m, length), scores[length] > _NEVER // 2
+        live = lines
         for step in range(1, length + 1):
-            live = at > 0
-            if not live.any():
+            out[live, length - step] = self.table.ids[rows[at[live], live]]
+            count[live] += 1
+            at[live] = back[at[live], live]
+            live = live[at[live] > 0]
+            if not len(live):
                 break
-            out[live, length - step] = self.table.ids[rows[lines[live], at[live]]]
-            count += live
-            at = np.where(live, back[lines, at], 0)
-        packed = out.tobytes()
-        for i, (word, n, ok) in enumerate(zip(words, count.tolist(), good.tolist(), strict=True)):
-            self[word] = packed[4 * ((i + 1) * length - n) : 4 * (i + 1) * length] if ok else self.__missing__(word)
+        return out, count, good
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         parts = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
@@ -283,6 +296,99 @@ class Encoder(dict):
         return data[1:].decode("utf-8", "surrogatepass")
 
 
+class ColumnEncoder:
+    """Ids of whole string columns: words are found as arrays of places and looked up by their 64-bit hashes (names, not
+    confirmed by the letters); only new ones are searched for. At most ``COLUMN_WORDS`` are kept, or one column's."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.encoder = Encoder(vocabulary)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.pool = arrays.Places(), np.zeros(0, np.int32)
+        self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after the other, and the bounds of the rows; a null has none."""
+        data, bounds = arrays.utf8(column)
+        full = bounds[1:] > bounds[:-1]
+        data = np.insert(data, bounds[:-1][full], 32)
+        bounds = bounds + np.append(0, np.cumsum(full))
+        if not len(data):
+            return np.zeros(0, np.int32), bounds
+        first = segment_starts(data, bounds[:-1][full])
+        last = np.append(first[1:], len(data))
+        names = arrays._span_hashes(data, first, last)
+        word = self.known.find(names)
+        if (word < 0).any():
+            self._learn(data, first, last, names, word)
+        sizes = self.sizes[word]
+        before = np.append(0, np.cumsum(sizes))
+        ids = self.pool[np.repeat(self.starts[word] - before[:-1], sizes) + np.arange(before[-1])]
+        return ids, before[np.searchsorted(first, bounds)]
+
+    def _learn(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, names: np.ndarray, word: np.ndarray) -> None:
+        """Fills the gaps in ``word``."""
+        new = np.flatnonzero(word < 0)
+        own, at, back = np.unique(names[new], return_index=True, return_inverse=True)
+        if len(self.starts) + len(own) > COLUMN_WORDS:
+            self._clear()
+            new = np.arange(len(names))
+            own, at, back = np.unique(names, return_index=True, return_inverse=True)
+        word[new] = len(self.starts) + back
+        self.known.add(own, np.arange(len(self.starts), len(self.starts) + len(own), dtype=np.int32))
+        sizes, pool = self._search(data, first[new[at]], last[new[at]])
+        self.starts = np.append(self.starts, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32))
+        self.sizes = np.append(self.sizes, sizes.astype(np.int32))
+        self.pool = np.append(self.pool, pool)
+
+    def _search(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids. Words of a length are searched together, as in ``Encoder``."""
+        size = last - first
+        own = data[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        chars = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.add.reduceat((own & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
+        begin = np.cumsum(length) - length
+        sizes, parts, other = np.zeros(len(first), np.int64), [], [np.flatnonzero(length > LONGEST_WORD)]
+        for n in np.unique(length[length <= LONGEST_WORD]).tolist():
+            same = np.flatnonzero(length == n)
+            for k in range(0, len(same), 20_000):
+                at = same[k : k + 20_000]
+                out, count, good = self.encoder.paths(chars[begin[at] + np.arange(n)[:, None]].astype(np.uint64))
+                other.append(at[~good])
+                sizes[at] = count * good
+                parts.append((at[good], out[(np.arange(n) >= n - count[:, None]) & good[:, None]]))
+        for i in np.concatenate(other).tolist():
+            found = np.frombuffer(self.encoder[chars[begin[i] : begin[i] + length[i]].tobytes().decode("utf-32-le", "surrogatepass")], "<i4")
+            sizes[i] = len(found)
+            parts.append((np.array([i]), found))
+        pool, starts = np.zeros(sizes.sum(), np.int32), np.cumsum(sizes) - sizes
+        for at, ids in parts:
+            n = sizes[at]
+            pool[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return sizes, pool
+
+
+def segment_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the words of ``_SEGMENT`` begin in UTF-8 texts that stand one after the other from ``rows`` on, each with a
+    space in front."""
+    space, line = data == 32, data == 10
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins |= line
+    begins[1:] |= line[:-1]
+    begins[rows] = True
+    # Of a word that goes on after , or . the first such place counts, if a letter up to U+024F is before it.
+    stop = np.flatnonzero((data == 44) | (data == 46))
+    word = np.searchsorted(np.flatnonzero(begins), stop, side="right")
+    stop = stop[np.append(True, word[1:] != word[:-1])] if len(stop) else stop
+    before, lead = data[stop - 1], data[np.maximum(stop - 2, 0)]
+    latin = ((before | 32) >= 97) & ((before | 32) <= 122)
+    latin |= (before >= 0x80) & (before < 0xC0) & (((lead >= 0xC3) & (lead <= 0xC8)) | ((lead == 0xC9) & (before <= 0x8F)))
+    begins[stop[latin]] = True
+    return np.flatnonzero(begins)
+
+
 def encode(documents: DataFrame, model_path: str) -> DataFrame:
     """One row per document: doc_id, ids, n_ids, round_trip (the ids decode to the very text).
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 
 from forgelens.llm import arrays
-from forgelens.llm.language_model import Fit, Scorer, score_documents, train_attention, word_counts
+from forgelens.llm.language_model import Fit, Scorer, cross, exponentials, id_counts, id_type, product, score_documents, step, train_attention, word_counts
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -119,3 +119,57 @@ def test_words_of_a_batch_are_counted_piece_by_piece(spark):
     tracemalloc.stop()
     assert sorted(n for o in out for n in o.column("n").to_pylist()) == [600_000] * 5 + [600_001]
     assert peak < 110, peak
+
+
+@pytest.mark.parametrize("rows", [0, 5, 256, 700])
+def test_products_in_blocks(rows):
+    rng = np.random.default_rng(rows)
+    x, y, z = rng.normal(size=(rows, 16)), rng.normal(size=(rows, 7)), rng.normal(size=(7, 16)).T
+    assert np.allclose(product(x, z), x @ z) and np.allclose(cross(x, y), x.T @ y)
+
+
+def test_exponentials_at_the_ends_of_the_range():
+    x = np.array([[0, 1, -1], [500, 499, -500], [-300, -301, -1e9], [80, -80, 0]], np.float32)
+    for part in (x, x[:1], x[:0]):
+        e, sums, off = exponentials(part)
+        assert np.isfinite(e).all() and np.allclose(e.sum(axis=1), sums)
+        assert np.allclose(np.log(sums) + off, [math.log(sum(math.exp(v - max(r)) for v in r)) + max(r) for r in part.tolist()])
+
+
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    m, n, d, classes = 20, 16, 4, 6
+    group = rng.integers(0, classes, 12).astype(np.int32)
+    shapes = {"e": (13, d), "q": (d, d), "k": (d, d), "v": (d, d), "r": (n,), "c": (d, classes), "b": (classes,)}
+    w = {name: rng.normal(0, 0.7, shape) for name, shape in shapes.items()}
+    ids, target = rng.integers(0, 13, (m, n)), rng.integers(0, 13, (m, n))  # 12 is the begin, no target
+
+    def loss(w):
+        x = w["e"][ids]
+        back = np.arange(n)[:, None] - np.arange(n)
+        s = (x @ w["q"]) @ (x @ w["k"]).transpose(0, 2, 1) / d**0.5 + np.where(back >= 0, w["r"][np.maximum(back, 0)], -np.inf)
+        a = np.exp(s - s.max(axis=-1, keepdims=True))
+        h = x + a / a.sum(axis=-1, keepdims=True) @ (x @ w["v"])
+        z = h @ w["c"] + w["b"]
+        z -= np.log(np.exp(z).sum(axis=-1, keepdims=True))
+        real = target < 12
+        return -z[real][np.arange(real.sum()), group[target[real]]].sum() / real.sum()
+
+    now = {name: x.astype(np.float32) for name, x in w.items()}
+    seen = {name: np.zeros(x.shape, np.float32) for name, x in w.items()}
+    with np.errstate(invalid="ignore"):  # slopes of 0
+        step(now, seen, group, ids, target, 0.5)
+    for name, x in w.items():
+        for at in list(np.ndindex(x.shape))[:: max(1, x.size // 12)]:
+            near = [loss({**w, name: np.where(np.arange(x.size).reshape(x.shape) == np.ravel_multi_index(at, x.shape), x + e, x)}) for e in (1e-5, -1e-5)]
+            slope = (near[0] - near[1]) / 2e-5
+            assert math.isclose(np.sqrt(seen[name][at]), abs(slope), rel_tol=2e-2, abs_tol=2e-5), (name, at)
+            assert abs(slope) < 1e-4 or (now[name][at] < x[at]) == (slope > 0), (name, at)
+
+
+@pytest.mark.parametrize("symbols", [300, 70_000])
+def test_staged_ids_are_counted(spark, symbols):
+    rows = [[5, 5, symbols - 1], [], [0, 5]]
+    df = spark.createDataFrame([(bytearray(np.array(r, id_type(symbols)).tobytes()),) for r in rows], "ids binary").repartition(2)
+    counts = id_counts(df, symbols)
+    assert {i: int(counts[i]) for i in np.flatnonzero(counts)} == {0: 1, 5: 3, symbols - 1: 1}

@@ -7,11 +7,12 @@ import random
 import tracemalloc
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from forgelens.llm import sentencepiece_codec
-from forgelens.llm.sentencepiece_codec import Encoder, StreamingViterbi, decode, encode, read_vocabulary
+from forgelens.llm import arrays, sentencepiece_codec
+from forgelens.llm.sentencepiece_codec import _SEGMENT, ColumnEncoder, Encoder, StreamingViterbi, decode, encode, read_vocabulary, segment_starts
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -101,3 +102,54 @@ def test_a_batch_is_split_into_words_piece_by_piece(spark):
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert rows == 1500 and peak < 75, peak
+
+
+def odd_texts(rng, n):
+    words = ["the", "a", ".", ",", "b.c,d", "12.5", "x1.y", "é.", "ß,", "ɏ.z", "ɐ.z", "×.q", "漢.", "字", "😀.", "\t", "\x00", "▁", "Zq" * 40, "İ", "_.", "...", " ", "  ", "\n", "\r\n", "�"]
+    return ["".join(rng.choice(words) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randrange(30))) for _ in range(n)]
+
+
+def test_segments_of_bytes_are_those_of_texts():
+    texts = [" " + t for t in TEXTS + odd_texts(random.Random(2), 400) if t]
+    rows = np.cumsum([0] + [len(t.encode()) for t in texts])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = segment_starts(data, rows[:-1]).tolist()
+    got = [data[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+    assert got == [w for t in texts for w in _SEGMENT.findall(t)]
+
+
+@pytest.mark.parametrize("most", [1 << 19, 50])
+def test_columns_are_encoded_like_texts(vocabulary, monkeypatch, most):
+    monkeypatch.setattr(sentencepiece_codec, "COLUMN_WORDS", most)
+    texts = TEXTS + [None] + odd_texts(random.Random(3), 300)
+    plain, columns = Encoder(vocabulary), ColumnEncoder(vocabulary)
+    for part in (texts, texts[7:150], [None, ""], [], texts[100:]):
+        ids, bounds = columns.encode(pa.array(["skipped", *part], pa.string()).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x.tolist() for x in plain.encode_all([t or "" for t in part])]
+
+
+def test_a_word_is_searched_for_once(vocabulary, monkeypatch):
+    searched, own = [], Encoder.paths
+    monkeypatch.setattr(Encoder, "paths", lambda self, chars: searched.append(chars.shape[1]) or own(self, chars))
+    encoder = ColumnEncoder(vocabulary)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(150_000)]  # more than ``CACHE_WORDS``
+    for _ in range(2):
+        for first in range(0, len(words), 50_000):
+            encoder.encode(pa.array([" ".join(words[first : first + 50_000])]))
+    assert sum(searched) <= len(set(words))
+
+
+def test_places_of_keys():
+    rng = np.random.default_rng(9)
+    keys = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    rng.shuffle(keys)
+    keys[0] = 0
+    places = arrays.Places()
+    assert places.find(keys[:5]).tolist() == [-1] * 5
+    for first in range(0, 10_000, 700):
+        last = min(first + 700, 10_000)
+        places.add(keys[first:last], np.arange(first, last, dtype=np.int32))
+    assert (places.find(keys[:10_000]) == np.arange(10_000)).all() and (places.find(keys[10_000:]) == -1).all()
+    places.add(keys[:0], np.zeros(0, np.int32))
+    assert len(places.find(keys[:0])) == 0
