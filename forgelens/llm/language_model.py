@@ -13,7 +13,7 @@ The base needs the count of every word: the ``head_words`` most frequent ones ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,20 +75,20 @@ def relative_mask(bias: np.ndarray) -> np.ndarray:
     return np.where(back >= 0, bias[np.maximum(back, 0)], np.float32(-1e9)).astype(np.float32)
 
 
-def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exponentials of ``x`` less a number for each row, their sums by row, and those numbers.
+def exponentials(x: np.ndarray, again: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of ``x``, in place, less a number for each row, their sums by row, and those numbers.
 
     The numbers are 0 unless a sum nears the ends of the range; then they are the largest of the rows, which cost more
-    to find than all else."""
+    to find than all else, and ``again`` makes ``x`` anew."""
     ones, off = np.ones(x.shape[-1], x.dtype), np.zeros(x.shape[:-1], x.dtype)
     with np.errstate(over="ignore", invalid="ignore"):
-        e = np.exp(x)
-        sums = e @ ones
+        sums = np.exp(x, out=x) @ ones
     if sums.size and not (sums.min() > 1e-30 and sums.max() < 1e30):
+        x = again()
         off = x.max(axis=-1)
-        e = np.exp(x - off[..., None])
-        sums = e @ ones
-    return e, sums, off
+        x -= off[..., None]
+        sums = np.exp(x, out=x) @ ones
+    return x, sums, off
 
 
 def plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -137,11 +137,14 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], group: np.ndarra
     x = w["e"].take(ids, axis=0)
     turned = np.ascontiguousarray(x.transpose(0, 2, 1))
     y = product(flat(x), pair).reshape(x.shape)
-    a, sums, _ = exponentials(plus(y @ turned, relative_mask(w["r"])))
+    mask = relative_mask(w["r"])
+    likeness = lambda: plus(y @ turned, mask)
+    a, sums, _ = exponentials(likeness(), likeness)
     a /= sums[..., None]
     z = a @ x
     h = plus(product(flat(z), w["v"]), flat(x))
-    p, sums, _ = exponentials(plus(product(h, w["c"]), w["b"]))
+    logits = lambda: plus(product(h, w["c"]), w["b"])
+    p, sums, _ = exponentials(logits(), logits)
     scale = (share / sums)[:, None]  # of the rows of p, put on narrower factors
     p.reshape(-1)[np.arange(len(p)) * p.shape[1] + wanted] -= sums
     dh = product(p, w["c"].T)
@@ -348,16 +351,20 @@ class Scorer:
         places = starts[:, None] + np.arange(n)
         ids = inputs[places]
         x = self.e.take(ids, axis=0)
-        a, sums, _ = exponentials(plus(self.y.take(ids[:, first:], axis=0) @ np.ascontiguousarray(x.transpose(0, 2, 1)), self.mask[first:]))
+        y, turned = self.y.take(ids[:, first:], axis=0), np.ascontiguousarray(x.transpose(0, 2, 1))
+        likeness = lambda: plus(y @ turned, self.mask[first:])
+        a, sums, _ = exponentials(likeness(), likeness)
         a /= sums[..., None]
         z = a @ x
         places = places[:, first:]
         good = np.flatnonzero(places < ends[:, None])
         at = places.reshape(-1)[good]
         h = plus(product(z.reshape(-1, d).take(good, axis=0), self.v), x[:, first:].reshape(-1, d).take(good, axis=0))
-        logits = plus(product(h, self.c), self.b)
-        _, sums, off = exponentials(logits)
-        gained[at] += logits.reshape(-1)[np.arange(len(at)) * logits.shape[1] + wanted[at]] - (np.log(sums) + off)
+        logits = lambda: plus(product(h, self.c), self.b)
+        all_ = logits()
+        own = all_.reshape(-1)[np.arange(len(at)) * all_.shape[1] + wanted[at]]
+        _, sums, off = exponentials(all_, logits)
+        gained[at] += own - (np.log(sums) + off)
 
 
 def summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
